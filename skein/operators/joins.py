@@ -71,13 +71,14 @@ def adjoin(df: DataFrame, other: DataFrame, lookup: dict, inject: list[str] | No
                      *[col_path(o, other).alias(o) for o in _order_names(order) if o not in inject])
     r = dedupe_lookup(r, right_keys, inject, order)
     r = r.select(*right_keys, *[F.col(quote_part(c)).alias((prefix or "") + c) for c in inject])
-    left_keys = [compile_value(v, df) for v in lookup.values()]
+    left_keys = [f"__lk{i}" for i in range(len(keys))]
+    left = df.withColumns({lk: compile_value(v, df) for lk, v in zip(left_keys, lookup.values())})
     cond = None
     for lk, rk in zip(left_keys, right_keys):
-        e = lk == r[rk]
+        e = F.col(lk) == F.col(rk)
         cond = e if cond is None else cond & e
-    return df.join(r, cond, "left").select(*[df[quote_part(c)] for c in df.columns],
-                                           *[r[quote_part((prefix or "") + c)] for c in inject])
+    return left.join(r, cond, "left").select(*[F.col(quote_part(c)) for c in df.columns],
+                                             *[F.col(quote_part((prefix or "") + c)) for c in inject])
 
 
 def _order_names(order) -> list[str]:
@@ -103,12 +104,17 @@ def conjoin(df: DataFrame, other: DataFrame, on: dict, fields: list[str] | None
     """
     fields = fields or [c for c in other.columns if c not in on]
     _check_collisions(df, fields, prefix)
+    lkeys = [f"__lk{i}" for i in range(len(on))]
+    rkeys = [f"__rk{i}" for i in range(len(on))]
+    left = df.withColumns({lk: compile_value(v, df) for lk, v in zip(lkeys, on.values())})
+    right = other.select(*[col_path(rf, other).alias(rk) for rf, rk in zip(on.keys(), rkeys)],
+                         *[col_path(c, other).alias((prefix or "") + c) for c in fields])
     cond = None
-    for rf, lv in on.items():
-        e = compile_value(lv, df) == other[quote_part(rf)]
+    for lk, rk in zip(lkeys, rkeys):
+        e = F.col(lk) == F.col(rk)
         cond = e if cond is None else cond & e
-    return df.join(other, cond, "inner").select(*[df[quote_part(c)] for c in df.columns],
-                                                *[other[quote_part(c)].alias((prefix or "") + c) for c in fields])
+    return left.join(right, cond, "inner").select(*[F.col(quote_part(c)) for c in df.columns],
+                                                  *[F.col(quote_part((prefix or "") + c)) for c in fields])
 
 
 def foreach_join(driver: DataFrame, facts: DataFrame, on: dict) -> DataFrame:
@@ -117,9 +123,11 @@ def foreach_join(driver: DataFrame, facts: DataFrame, on: dict) -> DataFrame:
     Instead of one job per driving row this is one join: a driving row emits every fact row its
     parameters select, so duplicate driving rows repeat their results as separate runs would.
     """
-    cond = None
     params = driver.select(*[compile_value(v, driver).alias(f"__p{i}") for i, v in enumerate(on.values())])
-    for i, rf in enumerate(on.keys()):
-        e = params[f"__p{i}"] == facts[quote_part(rf)]
+    keyed = facts.select(*[col_path(rf, facts).alias(f"__f{i}") for i, rf in enumerate(on.keys())],
+                         *[F.col(quote_part(c)) for c in facts.columns])
+    cond = None
+    for i in range(len(on)):
+        e = F.col(f"__p{i}") == F.col(f"__f{i}")
         cond = e if cond is None else cond & e
-    return params.join(facts, cond, "inner").select(*[facts[quote_part(c)] for c in facts.columns])
+    return params.join(keyed, cond, "inner").select(*[F.col(quote_part(c)) for c in facts.columns])
