@@ -67,7 +67,7 @@ def write_documents(parts: DataFrame, path: str, by: list[str] | None = None, nu
     order = [quote_part(b) for b in by] + ["part", "seq"]
     n = num_partitions or parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     out = parts.repartitionByRange(int(n), *order).sortWithinPartitions(*order).select(*[quote_part(b) for b in by], "text")
-    w = out.write.mode("overwrite").option("lineSep", "")
+    w = out.write.mode("overwrite")  # parts end in newlines: JSON whitespace
     if by:
         w = w.partitionBy(*by)
     w.text(path)

@@ -170,13 +170,14 @@ def _escape_regex(s: str) -> str:
 
 
 def scan_many(spark: SparkSession, path: str, glob: str = "*", exclude: list[str] | None = None,
-              fmt: str = "parquet", recursive: bool = False, merge_schema: bool = True) -> DataFrame:
+              fmt: str = "parquet", recursive: bool = False, merge_schema: bool = True,
+              options: dict | None = None) -> DataFrame:
     """Every matching dataset at a location, minus ``exclude`` globs, in ONE multi-file read.
 
     Adds ``name`` (file name), ``rpath`` and ``schema`` (name without extension) so per-dataset
     work is a ``groupBy`` instead of a driver loop of jobs.
     """
-    r = spark.read.format(fmt).option("pathGlobFilter", glob)
+    r = spark.read.format(fmt).options(**(options or {})).option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", True)
     if fmt == "parquet" and merge_schema:

@@ -180,6 +180,25 @@ def q_order(spark, d):
     return pattern.retrieve(s, {"match": {"s_acctbal": {"gt": 0}}, "order": {"s_nationkey": "asc", "s_acctbal": "desc"}})
 
 
+def q_codify(spark, d):
+    from .operators.codify import codify_frame
+
+    return codify_frame(table(spark, d, "part")).select("field", "type", "size")
+
+
+def q_profile(spark, d):
+    from .operators.codify import profile
+
+    return profile(table(spark, d, "customer"))
+
+
+def q_scan_many(spark, d):
+    from .sources.files import scan_many
+
+    many = scan_many(spark, d, "*.parquet", exclude=["documents*", "pages*"])
+    return many.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "filter_match_drop": q_filter_match_drop,
     "mutate": q_mutate,
@@ -207,8 +226,43 @@ QUERIES = {
     "list_membership": q_list_membership,
     "split_counts": q_split_counts,
     "order": q_order,
+    "codify": q_codify,
+    "profile": q_profile,
+    "scan_many": q_scan_many,
 }
 
+
+def _codify_sql(col: str, table_name: str, kind: str) -> str:
+    if kind != "string":
+        return f"select '{col}' as field, '{kind}' as type, cast(null as bigint) as size from {table_name}"
+    v = f"nullif(trim({col}), '')"
+    return f"""select '{col}' as field, case
+          when count({v}) = 0 then 'text'
+          when count(try_cast(replace({v}, ',', '') as bigint)) = count({v}) then 'integer'
+          when count(try_cast(replace({v}, ',', '') as double)) = count({v}) then 'number'
+          when count(case when lower({v}) in ('true', 'false') then 1 end) = count({v}) then 'boolean'
+          when max(length({col})) <= 64 and not bool_or(regexp_matches({col}, '\\s')) then 'keyword'
+          else 'text' end as type,
+        case when count({v}) > 0 then max(length({col})) end as size from {table_name}"""
+
+
+def _codify_oracle() -> str:
+    cols = [("p_partkey", "integer"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+            ("p_size", "integer"), ("p_retailprice", "number")]
+    sel = [_codify_sql(c, "part", k) + (" limit 1" if k != "string" else "") for c, k in cols]
+    return "\nunion all\n".join(f"({q})" for q in sel)
+
+
+def _profile_oracle() -> str:
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    return "\nunion all\n".join(
+        f"select '{c}' as field, count(*) as n_rows, count(*) - count({c}) as n_null, "
+        f"cast(max(length(cast({c} as varchar))) as bigint) as max_len from customer" for c in cols)
+
+
+_SCANNED = ["benchmark", "conversations", "customer", "embeddings", "events", "labels", "lineitem", "nation",
+            "orders", "part", "region", "supplier"]
+
 ORACLE = {
     "filter_match_drop": """select o_orderkey, o_totalprice from orders
         where o_orderpriority = '3-MEDIUM' and not coalesce(o_totalprice > 100000 and o_totalprice < 150000, false)""",
@@ -261,4 +315,7 @@ ORACLE = {
     "list_membership": """select c_custkey from customer where list_contains(string_split(c_name, '#'), 'Customer')""",
     "split_counts": """select l_linestatus, count(*) as n from lineitem group by l_linestatus""",
     "order": """select s_suppkey, s_nationkey, s_acctbal from supplier where s_acctbal > 0""",
+    "codify": _codify_oracle(),
+    "profile": _profile_oracle(),
+    "scan_many": "\nunion all\n".join(f"select '{t}' as schema, count(*) as n from {t}" for t in _SCANNED),
 }
