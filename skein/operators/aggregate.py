@@ -35,13 +35,41 @@ def _arg(df: DataFrame, a) -> Column:
 
 
 def aggregate(df: DataFrame, by: list | None = None, aggs: dict | None = None) -> DataFrame:
-    """``aggs = {"n": ("count", "*"), "q": ("sum", "l_quantity"), ...}``; ``by`` optional."""
-    exprs = [_FUNCS[fn](_arg(df, arg)).alias(out) for out, (fn, arg) in (aggs or {}).items()]
-    if not exprs:
-        exprs = [F.count(F.lit(1)).alias("count")]
-    if by:
-        return df.groupBy(*[col_path(b, df).alias(b) for b in by]).agg(*exprs)
-    return df.agg(*exprs)
+    """``aggs = {"n": ("count", "*"), "q": ("sum", "l_quantity"), ...}``; ``by`` optional.
+
+    A distinct count next to other summaries is planned as two partial aggregates -- first by
+    the groups plus the distinct field, then by the groups -- instead of Spark's ``Expand``
+    rewrite, which copies every input row once per distinct/non-distinct branch before the
+    shuffle. Result names and types are those of the one-level aggregate.
+    """
+    aggs = aggs or {"count": ("count", "*")}
+    keys = [col_path(b, df).alias(b) for b in (by or [])]
+    exprs = [_FUNCS[fn](_arg(df, arg)).alias(out) for out, (fn, arg) in aggs.items()]
+    plain = df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
+    distinct = {out for out, (fn, _) in aggs.items() if fn == "count_distinct"}
+    if len(distinct) != 1 or len(aggs) == 1:
+        return plain
+    return _two_level(df, keys, aggs, distinct.pop(), plain.schema)
+
+
+def _two_level(df: DataFrame, keys, aggs: dict, dout: str, schema) -> DataFrame:
+    names = [f.name for f in schema.fields][: len(keys)]
+    dcol = "__d"
+    inner, outer = [], []
+    for out, (fn, arg) in aggs.items():
+        a = _arg(df, arg)
+        if out == dout:
+            outer.append(F.count(F.col(dcol)).alias(out))
+        elif fn == "avg":
+            inner += [F.sum(a).alias(f"{out}__s"), F.count(a).alias(f"{out}__n")]
+            outer.append((F.sum(f"{out}__s") / F.sum(f"{out}__n")).alias(out))
+        else:
+            inner.append(_FUNCS[fn](a).alias(out))
+            comb = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn]
+            outer.append(comb(F.col(out)).alias(out))
+    level1 = df.groupBy(*keys, _arg(df, aggs[dout][1]).alias(dcol)).agg(*inner)
+    level2 = level1.groupBy(*names).agg(*outer) if names else level1.agg(*outer)
+    return level2.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def high_water(df: DataFrame, field: str) -> Column:

@@ -27,7 +27,8 @@ def sync_increment(src: DataFrame, dst: DataFrame, field: str) -> DataFrame:
     """
     mark = dst.select(F.max(col_path(field, dst))).scalar()
     c = col_path(field, src)
-    return src.where(F.when(mark.isNull(), c.isNotNull()).otherwise(c > mark))
+    # one reference to the subquery: a null mark (empty destination) makes the comparison null
+    return src.where(F.coalesce(c > mark, c.isNotNull()))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:

@@ -51,8 +51,13 @@ def search_predicate(c: Column, text: str) -> Column:
     toks = search_tokens(text)
     if not toks:
         return F.lit(False)
+    low = F.lower(c.cast("string"))
+    # plain substring tests first: most rows fail them and never reach the regex engine
+    maybe = low.contains(toks[0])
+    for t in toks[1:]:
+        maybe = maybe | low.contains(t)
     alt = "|".join(re.escape(t) for t in toks)
-    return F.lower(c.cast("string")).rlike(r"(?<![\p{L}\p{N}])(?:" + alt + r")(?![\p{L}\p{N}])")
+    return maybe & low.rlike(r"(?<![\p{L}\p{N}])(?:" + alt + r")(?![\p{L}\p{N}])")
 
 
 def wildcard_like(pattern: str) -> str:
@@ -143,10 +148,14 @@ def predicate(df: DataFrame, spec) -> Column:
 
 
 def match(df: DataFrame, spec) -> DataFrame:
-    """Keep rows satisfying the pattern (null comparisons are false)."""
+    """Keep rows satisfying the pattern (null comparisons are false).
+
+    A WHERE clause already drops rows whose predicate is null, so the predicate is used as is:
+    wrapping it (e.g. in ``coalesce``) would stop Catalyst from pushing it into the scan.
+    """
     if spec is None or spec == "*" or spec == {}:
         return df
-    return df.where(F.coalesce(predicate(df, spec), F.lit(False)))
+    return df.where(predicate(df, spec))
 
 
 def drop(df: DataFrame, spec) -> DataFrame:

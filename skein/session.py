@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 # Settings every skein job relies on: AQE re-plans joins and coalesces partitions from the
 # real shuffle sizes, which is where broadcast decisions get their proven size bound.
 _BASE_CONF = {
+    # Broadcast joins are chosen only by AQE from the *measured* size of a finished shuffle
+    # stage, never from planner estimates of unknown accuracy.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
