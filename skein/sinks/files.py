@@ -122,3 +122,23 @@ def tee(df: DataFrame, side_steps, side_sink) -> DataFrame:
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     side_sink(side_steps(cached) if side_steps else cached)
     return cached
+
+
+def dull_path(spark, path: str, pattern, fmt: str = "parquet") -> int:
+    """Delete the rows matching ``pattern`` from a file dataset; returns how many were deleted.
+
+    Survivors are written completely to a staging table under the shared checkpoint folder and
+    then copied over the target; the count is an observation on the same pass, not a second job.
+    """
+    from pyspark.sql import Observation
+
+    from ..operators.pattern import predicate
+
+    current = spark.read.format(fmt).load(path)
+    hit = F.coalesce(predicate(current, pattern), F.lit(False))
+    obs = Observation("dull")
+    kept = current.observe(obs, F.sum(F.when(hit, 1).otherwise(0)).alias("deleted")).where(~hit)
+    stage = scratch_path(spark, f"dull-{uuid.uuid4().hex}")
+    kept.write.format(fmt).mode("overwrite").save(stage)
+    spark.read.format(fmt).load(stage).write.format(fmt).mode("overwrite").save(path)
+    return int(obs.get.get("deleted") or 0)

@@ -164,3 +164,14 @@ def test_archive_members(spark, tmp):
     assert lines.count() == 9
     parsed = lines.where(F.col("line_no") > 0).select(F.from_csv("line", "Foo string, Bar string").alias("r"))
     assert parsed.where(F.col("r.Foo") == "first").count() == 1
+
+
+def test_dull_and_upsert_on_file_dataset(spark, tmp):
+    from skein.sinks.files import dull_path, upsert_path
+
+    path = tmp + "/ds"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string").write.parquet(path)
+    assert dull_path(spark, path, {"v": "b"}) == 1
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 3]
+    upsert_path(spark.createDataFrame([(3, "C"), (4, "d")], "k int, v string"), path, ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "C"), (4, "d")]
