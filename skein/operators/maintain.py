@@ -34,22 +34,32 @@ def sync_increment(src: DataFrame, dst: DataFrame, field: str) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Keyed store: one row per key, the ``source`` row replacing the ``target`` row.
 
-    With ``order`` (version columns) the row with the largest version wins and ``source`` breaks
-    ties. Implemented as ``max(struct(version, priority, row))`` per key -- a partial aggregate,
-    so a hot key is combined map-side instead of landing whole in one task. Rows with a null key
-    cannot be addressed and are kept as they are.
+    Without ``order``: the source is deduplicated on its own (a partial aggregate over the
+    change set only) and the target keeps the rows whose key is not in it -- a left anti join,
+    which AQE turns into a broadcast when the change set is measured small, so the large target
+    is never shuffled. With ``order`` (version columns) the row with the largest version wins,
+    ``source`` breaking ties, via ``max(struct(version, priority, row))`` per key -- also a partial
+    aggregate, so a hot key is combined map-side. Rows with a null key cannot be addressed and
+    are kept as they are.
     """
-    cols = [c for c in target.columns]
-    source = source.select(*[quote_part(c) for c in cols])
-    order = order or []
-    tagged = (target.withColumn("__prio", F.lit(0)).unionByName(source.withColumn("__prio", F.lit(1))))
+    cols = list(target.columns)
+    qcols = [quote_part(c) for c in cols]
+    source = source.select(*qcols)
     key_ok = F.lit(True)
     for k in keys:
         key_ok = key_ok & F.col(quote_part(k)).isNotNull()
     rest = [c for c in cols if c not in keys]
-    best = F.max(F.struct(*[F.col(quote_part(o)).alias(f"__o{i}") for i, o in enumerate(order)],
-                          F.col("__prio"), *[F.col(quote_part(c)) for c in rest])).alias("__best")
-    merged = (tagged.where(key_ok).groupBy(*[quote_part(k) for k in keys]).agg(best)
-              .select(*[quote_part(k) for k in keys], *[F.col("__best").getField(c).alias(c) for c in rest]))
-    nullkey = tagged.where(~key_ok).drop("__prio")
-    return merged.select(*[quote_part(c) for c in cols]).unionByName(nullkey)
+    qkeys = [quote_part(k) for k in keys]
+
+    def latest(df: DataFrame, extra: list) -> DataFrame:
+        best = F.max(F.struct(*extra, *[F.col(quote_part(c)) for c in rest])).alias("__best")
+        return (df.where(key_ok).groupBy(*qkeys).agg(best)
+                .select(*qkeys, *[F.col("__best").getField(c).alias(c) for c in rest]).select(*qcols))
+
+    if not order:
+        changes = latest(source, [])
+        kept = target.join(changes.select(*qkeys), on=keys, how="left_anti")
+        return kept.unionByName(changes).unionByName(source.where(~key_ok))
+    tagged = target.withColumn("__prio", F.lit(0)).unionByName(source.withColumn("__prio", F.lit(1)))
+    extra = [F.col(quote_part(o)).alias(f"__o{i}") for i, o in enumerate(order)] + [F.col("__prio")]
+    return latest(tagged, extra).unionByName(tagged.where(~key_ok).drop("__prio"))

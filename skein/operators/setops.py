@@ -15,11 +15,44 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# Copies of one row are generated level by level from arrays of at most this many elements,
+# so even a row repeated billions of times never materialises a large array.
+_FANOUT = 4096
+_LEVELS = 4
+
+
+def replicate(df: DataFrame, count: str) -> DataFrame:
+    """Emit each row ``count`` times (``count`` >= 0), streaming the copies.
+
+    ``explode(sequence(1, n))`` would build an n-element array per row; here the copies are
+    split into ranges over ``_LEVELS`` nested explodes of at most ``_FANOUT`` elements each.
+    """
+    cols = [quote_part(c) for c in df.columns if c != count]
+    cur = df.where(F.col(count) > 0).withColumn("__r", F.col(count).cast("long"))
+    for level in range(_LEVELS - 1, 0, -1):
+        size = _FANOUT ** level
+        cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                         F.floor((F.col("__r") - 1) / F.lit(size)).cast("long"))))
+        cur = cur.withColumn("__r", F.least(F.lit(size).cast("long"), F.col("__r") - F.col("__c") * F.lit(size)))
+    cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__r"))))
+    return cur.select(*cols)
+
+
 def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side") -> DataFrame:
     """Rows of ``expected`` missing from ``actual`` and rows of ``actual`` not expected, with
-    multiplicity (bag difference both ways, like ``EXCEPT ALL``)."""
-    return (expected.exceptAll(actual).withColumn(side_col, F.lit("expected_only"))
-            .unionByName(actual.exceptAll(expected).withColumn(side_col, F.lit("actual_only"))))
+    multiplicity (bag difference both ways, like ``EXCEPT ALL`` in each direction).
+
+    One partial aggregate over the tagged union -- a single shuffle for both directions, where
+    two ``exceptAll`` calls would shuffle everything twice -- then the surplus copies of each
+    differing row are regenerated on the side that has them.
+    """
+    cols = [quote_part(c) for c in expected.columns]
+    tagged = (expected.select(*cols, F.lit(1).alias("__d"))
+              .unionByName(actual.select(*cols, F.lit(-1).alias("__d"))))
+    diff = tagged.groupBy(*cols).agg(F.sum("__d").alias("__n")).where(F.col("__n") != 0)
+    sided = diff.select(*cols, F.when(F.col("__n") > 0, F.lit("expected_only")).otherwise(F.lit("actual_only"))
+                        .alias(side_col), F.abs("__n").alias("__n"))
+    return replicate(sided, "__n")
 
 
 def compare_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:

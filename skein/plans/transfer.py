@@ -206,11 +206,14 @@ def _t_select(df, spec, ctx):
 
 
 def _t_tee(df, spec, ctx):
-    """Side output: the side branch runs its own transforms and terminal; rows pass on."""
+    """Side output: the side branch (``fiber`` or inline) runs its own transforms and terminal;
+    rows pass on unchanged."""
+    side = spec.get("fiber", spec)
+
     def side_steps(x):
-        return run_transforms(x, spec.get("transforms", []), ctx)
+        return run_transforms(x, side.get("transforms", []), ctx)
 
-    out = sinks.tee(df, side_steps, lambda x: write_terminal(x, spec["terminal"]))
+    out = sinks.tee(df, side_steps, lambda x: write_terminal(x, side["terminal"]))
     ctx.setdefault("persisted", []).append(out)
     return out
 

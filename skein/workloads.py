@@ -109,8 +109,14 @@ def q_compare(spark, d):
 
 
 def q_json_path(spark, d):
-    ev = table(spark, d, "events")
-    return ev.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    # the JSON text column is typed by an encoding (a nested map field), then read by dotted path
+    from .plans.engram import apply_engram
+
+    ev = apply_engram(table(spark, d, "events"), {"fields": [
+        {"name": "event_id", "type": "integer"},
+        {"name": "props", "type": "map", "fields": [{"name": "k", "type": "integer"}]}]})
+    return mutate.mutate(ev, map={"event_id": "=event_id", "k": "=props.k"}).select(
+        "event_id", F.col("k").cast("int").alias("k"))
 
 
 def q_regex(spark, d):
