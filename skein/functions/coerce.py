@@ -18,6 +18,9 @@ FALSE_WORDS = ["false", "f", "no", "n", "0"]
 INFER_TRUE_WORDS = ["true"]
 INFER_FALSE_WORDS = ["false"]
 
+# two-digit years from this value on belong to the previous century
+YY_PIVOT = 2050
+
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 _ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
 _US_DATE_4 = r"^\d{1,2}/\d{1,2}/\d{4}$"
@@ -77,16 +80,22 @@ def to_timestamp(c: Column) -> Column:
     return F.when(s.rlike(r"^\d"), _parse_date_shapes(s))
 
 
+def _two_digit_year(ts: Column) -> Column:
+    """Two-digit years 50-99 are 1950-1999 and 00-49 are 2000-2049 (the pattern ``yy`` alone
+    would put every one in 20xx)."""
+    return F.when(F.year(ts) >= YY_PIVOT, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
+
+
 def _parse_date_shapes(s: Column) -> Column:
     return (
         F.when(s.rlike(_ISO_DATE), F.try_to_timestamp(F.concat(s, F.lit("T00:00:00Z")),
                                                       F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
         .when(s.rlike(_ISO_DATETIME), s.try_cast("timestamp"))
         .when(s.rlike(_US_DATE_4), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
-        .when(s.rlike(_US_DATE_2), F.try_to_timestamp(F.regexp_replace(s, "-", "/"), F.lit("M/d/yy")))
-        .when(s.rlike(_DD_MON_YY), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy")))
+        .when(s.rlike(_US_DATE_2), _two_digit_year(F.try_to_timestamp(F.regexp_replace(s, "-", "/"), F.lit("M/d/yy"))))
+        .when(s.rlike(_DD_MON_YY), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy"))))
         .when(s.rlike(_DD_MON_YYYY), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yyyy")))
-        .when(s.rlike(_DD_MON_YY_TIME), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy H:mm:ss")))
+        .when(s.rlike(_DD_MON_YY_TIME), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy H:mm:ss"))))
     )
 
 

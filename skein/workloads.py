@@ -205,6 +205,66 @@ def q_scan_many(spark, d):
     return many.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_template(spark, d):
+    o = table(spark, d, "orders")
+    return mutate.mutate(o, map={"o_orderkey": "=o_orderkey",
+                                 "url": "https://orders.example/${o_custkey}/${o_orderkey}?p=${o_orderpriority}"})
+
+
+def q_rename_flatten(spark, d):
+    c = table(spark, d, "customer")
+    nested = mutate.rename(c, {"c_custkey": "id", "c_name": "info.name", "c_mktsegment": "info.segment",
+                               "c_nationkey": "info.nation"})
+    return mutate.flatten(nested)
+
+
+def q_codify_nested(spark, d):
+    from .operators.codify import codify_frame
+
+    o = mutate.compose(table(spark, d, "orders"))
+    return codify_frame(o).select("field", "type", "size")
+
+
+def q_coerce_encoding(spark, d):
+    # lineitem rendered as text the way loose files carry it, then typed back by an encoding
+    from .plans.engram import apply_engram
+
+    li = table(spark, d, "lineitem")
+    txt = li.select(
+        F.concat(F.lit(" "), F.col("l_orderkey").cast("string")).alias("l_orderkey"),
+        F.col("l_linenumber").cast("string").alias("l_linenumber"),
+        F.expr("format_number(l_extendedprice, '#,##0.##########')").alias("l_extendedprice"),
+        F.date_format("l_shipdate", "M/d/yy").alias("l_shipdate"),
+        F.when(F.col("l_returnflag") == "R", F.lit("Y")).otherwise(F.lit("n")).alias("returned"))
+    typed = apply_engram(txt, {"fields": [
+        {"name": "l_orderkey", "type": "integer"}, {"name": "l_linenumber", "type": "integer"},
+        {"name": "l_extendedprice", "type": "number"}, {"name": "l_shipdate", "type": "date"},
+        {"name": "returned", "type": "boolean"}]})
+    return typed.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def q_adjoin_ordered(spark, d):
+    # several orders per customer: the earliest (then lowest key) is injected, row count kept
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    o = table(spark, d, "orders")
+    return joins.adjoin(c, o, lookup={"o_custkey": "=c_custkey"}, inject=["o_orderkey", "o_totalprice"],
+                        order=["o_orderdate", "o_orderkey"])
+
+
+def q_adjoin_lineitem(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = table(spark, d, "part")
+    return joins.adjoin(li, p, lookup={"p_partkey": "=l_partkey"}, inject=["p_brand", "p_size"]) \
+        .drop("l_partkey")
+
+
+def q_retrieve(spark, d):
+    docs = table(spark, d, "documents")
+    return pattern.retrieve(docs, {"match": {"lang": "en", "text": {"search": "the"}},
+                                   "fields": ["doc_id", "n_chars"],
+                                   "order": {"n_chars": "desc", "doc_id": "asc"}, "count": 20})
+
+
 QUERIES = {
     "filter_match_drop": q_filter_match_drop,
     "mutate": q_mutate,
@@ -235,6 +295,13 @@ QUERIES = {
     "codify": q_codify,
     "profile": q_profile,
     "scan_many": q_scan_many,
+    "template": q_template,
+    "rename_flatten": q_rename_flatten,
+    "codify_nested": q_codify_nested,
+    "coerce_encoding": q_coerce_encoding,
+    "adjoin_ordered": q_adjoin_ordered,
+    "adjoin_lineitem": q_adjoin_lineitem,
+    "retrieve": q_retrieve,
 }
 
 
@@ -266,6 +333,16 @@ def _profile_oracle() -> str:
         f"cast(max(length(cast({c} as varchar))) as bigint) as max_len from customer" for c in cols)
 
 
+def _codify_nested_oracle() -> str:
+    cols = [("orderkey", "integer"), ("custkey", "integer"), ("orderstatus", "string"), ("totalprice", "number"),
+            ("orderdate", "date"), ("orderpriority", "string")]
+    parts = ["select 'o' as field, 'map' as type, cast(null as bigint) as size"]
+    for c, k in cols:
+        q = _codify_sql(f"o_{c}", "orders", k).replace(f"select 'o_{c}' as field", f"select 'o.{c}' as field")
+        parts.append(q + (" limit 1" if k != "string" else ""))
+    return "\nunion all\n".join(f"({q})" for q in parts)
+
+
 _SCANNED = ["benchmark", "conversations", "customer", "embeddings", "events", "labels", "lineitem", "nation",
             "orders", "part", "region", "supplier"]
 
@@ -324,4 +401,20 @@ ORACLE = {
     "codify": _codify_oracle(),
     "profile": _profile_oracle(),
     "scan_many": "\nunion all\n".join(f"select '{t}' as schema, count(*) as n from {t}" for t in _SCANNED),
+    "template": """select o_orderkey, 'https://orders.example/' || cast(o_custkey as varchar) || '/'
+        || cast(o_orderkey as varchar) || '?p=' || o_orderpriority as url from orders""",
+    "rename_flatten": """select c_custkey as id, c_name as info_name, c_mktsegment as info_segment,
+        c_nationkey as info_nation from customer""",
+    "codify_nested": _codify_nested_oracle(),
+    "coerce_encoding": """select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_extendedprice,
+        strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate, l_returnflag = 'R' as returned from lineitem""",
+    "adjoin_ordered": """select c_custkey, c_name, o_orderkey, o_totalprice from customer left join (
+          select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (
+            partition by o_custkey order by o_orderdate, o_orderkey) rn from orders) where rn = 1) o
+        on o.o_custkey = c_custkey""",
+    "adjoin_lineitem": """select l_orderkey, l_linenumber, p_brand, p_size from lineitem
+        left join part on p_partkey = l_partkey""",
+    "retrieve": """select doc_id, n_chars from documents where lang = 'en'
+        and list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['the'])
+        order by n_chars desc, doc_id limit 20""",
 }

@@ -81,3 +81,9 @@ def test_month_first_short_dates(spark):
     df = spark.createDataFrame([("10-08-18",), ("10/08/18",)], "s string")
     got = [r[0] for r in df.select(coerce.iso_utc(coerce.to_timestamp(F.col("s")))).collect()]
     assert got == ["2018-10-08T05:00:00.000Z"] * 2
+
+
+def test_two_digit_year_pivot(spark):
+    df = spark.createDataFrame([("10/18/95",), ("01-JAN-49",), ("10-18-50",)], "s string")
+    got = [r[0] for r in df.select(coerce.iso_utc(coerce.to_timestamp(F.col("s")))).collect()]
+    assert got == ["1995-10-18T05:00:00.000Z", "2049-01-01T06:00:00.000Z", "1950-10-18T06:00:00.000Z"]
