@@ -35,8 +35,9 @@ def _text(c: Column) -> Column:
 
 
 def _numeric_text(c: Column) -> Column:
-    """Trim and drop thousands separators: ``" 1,000,000"`` -> ``1000000``."""
-    return F.regexp_replace(_text(c), ",", "")
+    """Trim and drop thousands separators: ``" 1,000,000"`` -> ``1000000`` (a character
+    deletion, not a regex)."""
+    return F.translate(_text(c), ",", "")
 
 
 # Shapes checked before casting. Under ANSI mode a failing try_cast raises and catches an
@@ -82,20 +83,27 @@ def to_timestamp(c: Column) -> Column:
 
 def _two_digit_year(ts: Column) -> Column:
     """Two-digit years 50-99 are 1950-1999 and 00-49 are 2000-2049 (the pattern ``yy`` alone
-    would put every one in 20xx)."""
+    would put every one in 20xx). Measured faster than rewriting the text before parsing."""
     return F.when(F.year(ts) >= YY_PIVOT, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
 
 
 def _parse_date_shapes(s: Column) -> Column:
+    # Cheap character tests pick the shape family first (AND short-circuits in generated code),
+    # so a value is matched against the regexes of its own family only.
+    iso = F.substring(s, 5, 1) == "-"
+    slash = F.instr(s, "/") > 0
+    month_name = F.substring(s, 3, 1).rlike("[A-Za-z]") | F.substring(s, 4, 1).rlike("[A-Za-z]")
     return (
-        F.when(s.rlike(_ISO_DATE), F.try_to_timestamp(F.concat(s, F.lit("T00:00:00Z")),
-                                                      F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-        .when(s.rlike(_ISO_DATETIME), s.try_cast("timestamp"))
-        .when(s.rlike(_US_DATE_4), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
-        .when(s.rlike(_US_DATE_2), _two_digit_year(F.try_to_timestamp(F.regexp_replace(s, "-", "/"), F.lit("M/d/yy"))))
-        .when(s.rlike(_DD_MON_YY), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy"))))
-        .when(s.rlike(_DD_MON_YYYY), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yyyy")))
-        .when(s.rlike(_DD_MON_YY_TIME), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy H:mm:ss"))))
+        F.when(iso & s.rlike(_ISO_DATE), F.try_to_timestamp(F.concat(s, F.lit("T00:00:00Z")),
+                                                            F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+        .when(iso & s.rlike(_ISO_DATETIME), s.try_cast("timestamp"))
+        .when(slash & s.rlike(_US_DATE_4), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
+        .when(~month_name & s.rlike(_US_DATE_2),
+              _two_digit_year(F.try_to_timestamp(F.translate(s, "-", "/"), F.lit("M/d/yy"))))
+        .when(month_name & s.rlike(_DD_MON_YY), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy"))))
+        .when(month_name & s.rlike(_DD_MON_YYYY), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yyyy")))
+        .when(month_name & s.rlike(_DD_MON_YY_TIME),
+              _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy H:mm:ss"))))
     )
 
 
