@@ -240,9 +240,15 @@ def run_transforms(df: DataFrame, transforms, ctx: dict) -> DataFrame:
 
 
 def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets: dict | None = None,
-             codify: bool = False):
+             codify: bool = False, stats: dict | None = None):
     """Run one pipeline. Returns the final DataFrame when there is no terminal; with an array of
-    terminals the result is persisted once and written to each."""
+    terminals the result is persisted once and written to each.
+
+    When a ``stats`` dict is given it receives ``count``, ``elapsed`` (s) and ``rows_per_sec`` of
+    the write -- counted by an observation on the written data, not by an extra pass.
+    """
+    import time
+
     ctx = {"spark": spark, "datasets": datasets or {}}
     df = run_transforms(open_origin(spark, origin, datasets), transforms, ctx)
     if codify:
@@ -250,11 +256,17 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
     try:
         if terminal is None:
             return df
+        observed, obs = agg_ops.with_metrics(df, f"transfer_{id(df)}")
+        t0 = time.perf_counter()
         terms = terminal if isinstance(terminal, list) else [terminal]
         if len(terms) == 1:
-            write_terminal(df, terms[0])
+            write_terminal(observed, terms[0])
         else:
-            sinks.tee_write(df, [lambda x, t=t: write_terminal(x, t) for t in terms])
+            sinks.tee_write(observed, [lambda x, t=t: write_terminal(x, t) for t in terms])
+        if stats is not None:
+            elapsed = time.perf_counter() - t0
+            n = int(obs.get.get("count") or 0)
+            stats.update({"count": n, "elapsed": elapsed, "rows_per_sec": n / elapsed if elapsed > 0 else None})
         return df
     finally:
         if terminal is not None:

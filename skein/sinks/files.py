@@ -95,11 +95,18 @@ def upsert_path(df: DataFrame, path: str, keys: list[str], order: list[str] | No
     spark.read.format(fmt).load(stage).write.format(fmt).mode("overwrite").save(path)
 
 
-def write_split(df: DataFrame, path: str, split_on: str | list[str], fmt: str = "json", mode: str = "overwrite"):
-    """One output per value of ``split_on`` (directory ``split_on=value``). Rows are clustered
-    by the split key first so each value is written by few tasks instead of every task."""
+def write_split(df: DataFrame, path: str, split_on: str | list[str], fmt: str = "json", mode: str = "overwrite",
+                files_per_value: int = 8):
+    """One output per value of ``split_on`` (directory ``split_on=value``).
+
+    Rows are clustered by the split key plus a deterministic row-hash salt, so each value is
+    written by at most ``files_per_value`` tasks: few files per value, yet a value holding a third
+    of all rows is still spread over several tasks. The salt is a hash of the row (not a random
+    number), so a retried task sends every row to the same place again.
+    """
     cols = [split_on] if isinstance(split_on, str) else list(split_on)
-    out = df.repartition(*[F.col(quote_part(c)) for c in cols])
+    salt = F.pmod(F.xxhash64(*[F.col(quote_part(c)) for c in df.columns]), F.lit(int(files_per_value)))
+    out = df.repartition(*[F.col(quote_part(c)) for c in cols], salt)
     if fmt == "json":
         out = json_ready(out)
     out.write.mode(mode).partitionBy(*cols).format(fmt).option("ignoreNullFields", False).save(path)

@@ -216,3 +216,12 @@ def scan_memory(spark: SparkSession, rows, schema=None, name: str | None = None)
     if name:
         df.createOrReplaceTempView(name)
     return df
+
+
+def list_catalog_tables(spark: SparkSession, like: str = "*", database: str | None = None) -> DataFrame:
+    """Tables of the session catalog whose names match a wildcard (``foo*``), as a DataFrame."""
+    from ..operators.pattern import wildcard_like
+
+    q = f"SHOW TABLES IN {database}" if database else "SHOW TABLES"
+    return spark.sql(q).where(F.col("tableName").like(wildcard_like(like))).select(
+        F.col("tableName").alias("name"), F.col("namespace").alias("database"), "isTemporary")

@@ -88,3 +88,28 @@ def test_stream_equals_batch(spark, tmp):
     q.awaitTermination(120)
     assert spark.read.parquet(tmp + "/out").count() == 2
     time.sleep(0)
+
+
+def test_foreach_batch_fanout_is_idempotent(spark, tmp):
+    from skein.sinks.files import upsert_path
+    from skein.streaming.stream import foreach_batch, read_stream
+
+    os.makedirs(tmp + "/in")
+    write(tmp + "/in", "a.json", "\n".join(json.dumps(r) for r in FOOFILE_JSON))
+    src = read_stream(spark, tmp + "/in", "json", engram=FOO_SCHEMA)
+    seen = []
+
+    def to_store(batch, batch_id):
+        upsert_path(batch.select("Foo", "Baz"), tmp + "/store", ["Foo"])
+
+    def to_log(batch, batch_id):
+        seen.append((batch_id, batch.count()))
+
+    q = foreach_batch(src, [to_store, to_log], tmp + "/ck")
+    q.awaitTermination(120)
+    write(tmp + "/in", "b.json", json.dumps({"Foo": "first", "Baz": "999"}))
+    q = foreach_batch(src, [to_store, to_log], tmp + "/ck")
+    q.awaitTermination(120)
+    store = {r.Foo: r.Baz for r in spark.read.parquet(tmp + "/store").collect()}
+    assert len(store) == 8 and store["first"] == 999
+    assert [n for _, n in seen] == [8, 1]

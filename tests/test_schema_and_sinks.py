@@ -175,3 +175,47 @@ def test_dull_and_upsert_on_file_dataset(spark, tmp):
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 3]
     upsert_path(spark.createDataFrame([(3, "C"), (4, "d")], "k int, v string"), path, ["k"])
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "C"), (4, "d")]
+
+
+def test_gzip_input_and_catalog_listing(spark, tmp):
+    import gzip
+
+    from skein.sources.files import list_catalog_tables
+
+    with gzip.open(tmp + "/foofile.csv.gz", "wt") as fh:
+        fh.write(FOOFILE_CSV)
+    assert scan_csv(spark, tmp + "/foofile.csv.gz", engram=FOO_SCHEMA).count() == 8
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("foo_listing_view")
+    names = [r.name for r in list_catalog_tables(spark, "foo_listing*").collect()]
+    assert names == ["foo_listing_view"]
+
+
+def test_transform_csv_terminal_and_stats(spark, tmp):
+    from fixtures import FOO_SCHEMA as ENG
+
+    from skein.plans.transfer import transfer
+
+    write(tmp, "foofile.json", FOOFILE_JSON)
+    stats = {}
+    transfer(spark, {"smt": f"json|{tmp}|foofile.json|*", "options": {"encoding": ENG}}, [
+        {"transform": "filter", "match": {"Bar": "row"}, "drop": {"Baz": 456}},
+        {"transform": "mutate", "default": {"fie": "where's fum?"},
+         "map": {"foo": "=Foo", "bar": "=Bar", "baz": "=Baz", "fobe": "=Fobe", "dt_test": "=Dt Test"},
+         "remove": ["fobe"], "assign": {"state": "unknown"}},
+    ], terminal={"smt": f"csv|{tmp}|transform_csv|*", "options": {"addHeader": True}}, stats=stats)
+    text = "".join(open(p).read() for p in sorted(glob.glob(tmp + "/transform_csv/part-*")))
+    assert text == '"fie","foo","bar","baz","dt_test","state"\n"where\'s fum?","first","row",123,2018-10-07,"unknown"\n'
+    assert stats["count"] == 1 and stats["elapsed"] > 0
+
+
+def test_split_writer_spreads_a_hot_value(spark, tmp):
+    df = spark.range(0, 2000).select(F.when(F.col("id") < 1500, "hot").otherwise("cold").alias("k"), "id")
+    # AQE would merge this tiny shuffle into one partition; at scale partitions stay large
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_split(df, tmp + "/hot", "k", fmt="parquet", files_per_value=4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot_files = glob.glob(tmp + "/hot/k=hot/part-*")
+    assert 1 < len(hot_files) <= 4
+    assert spark.read.parquet(tmp + "/hot").count() == 2000
