@@ -22,6 +22,7 @@ from ..plans.engram import normalize_fields, type_name
 KEYWORD_MAX = 64
 
 _STAT_NAMES = ["n", "n_int", "n_num", "n_bool", "n_date", "max_len", "n_ws"]
+_FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
 def _getter(name: str):
@@ -64,7 +65,17 @@ def _stats(leaf: _Leaf, missing: str | None) -> list[Column]:
         "n_ws": lambda x: x.rlike(r"\s"),
     }
     out = []
+    is_fraction = isinstance(leaf.dtype, _FRACTIONAL)
     for name in _STAT_NAMES:
+        if name == "n_int" and is_fraction:
+            # JSON numbers carry no integer/float distinction: whole values count as integers
+            whole = lambda x: x == F.floor(x)
+            if leaf.multi:
+                e = F.sum(F.coalesce(F.size(F.filter(leaf.value, whole)), F.lit(0)))
+            else:
+                e = F.count(F.when(whole(leaf.value), F.lit(1)))
+            out.append(e)
+            continue
         if name == "max_len":
             if leaf.multi:
                 e = F.max(F.array_max(F.transform(leaf.value, lambda x: F.length(x.cast("string")))))
@@ -93,6 +104,10 @@ def _element_test(p, is_text: bool, missing: str | None):
 def _decide(leaf: _Leaf, stats: Column, keyword_max: int) -> tuple[Column, Column]:
     """(type, size) Columns from a struct of the leaf's counters."""
     g = stats.getField
+    if isinstance(leaf.dtype, _FRACTIONAL):
+        n = g("n")
+        t = F.when((n > 0) & (g("n_int") == n), F.lit("integer")).otherwise(F.lit("number"))
+        return t, F.lit(None).cast("bigint")
     if not isinstance(leaf.dtype, T.StringType):
         return F.lit(type_name(leaf.dtype)), F.lit(None).cast("bigint")
     n = g("n")

@@ -20,7 +20,9 @@ from ..functions.paths import quote_part
 _MARK = "\u0000__rows__\u0000"
 
 
-def _split_template(template: dict, store_to: str, params: dict | None) -> tuple[str, str]:
+def _split_template(template, store_to: str | None, params: dict | None) -> tuple[str, str]:
+    if store_to is None:  # the rows are the whole document: a top-level array
+        return "[", "]"
     doc = json.loads(json.dumps(template))
     node = doc
     parts = store_to.split(".")

@@ -32,8 +32,19 @@ def json_ready(df: DataFrame) -> DataFrame:
     return df.select(*[_json_ready(F.col(quote_part(f.name)), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None):
-    """JSON Lines with explicit nulls and ISO UTC timestamps, one part file per task."""
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None,
+               array: bool = False):
+    """JSON Lines with explicit nulls and ISO UTC timestamps, one part file per task.
+
+    ``array=True`` writes one JSON array document instead: its part files, concatenated in name
+    order, are ``[row, row, ...]`` (built by the template-document sink, never in one task).
+    """
+    if array:
+        from .documents import to_documents, write_documents
+
+        ready = json_ready(df)
+        body = F.to_json(F.struct(*[F.col(quote_part(c)) for c in ready.columns]), {"ignoreNullFields": "false"})
+        return write_documents(to_documents(ready, None, None, row_json=body), path)
     w = json_ready(df).write.mode(mode).option("ignoreNullFields", False)
     if compression:
         w = w.option("compression", compression)

@@ -112,23 +112,33 @@ def scan_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return apply_engram(df, engram, missing) if engram is not None else df
 
 
-def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
+def scan_geojson(spark: SparkSession, path: str, properties=None) -> DataFrame:
     """FeatureCollection -> one row per feature ``{type, properties, geometry}``.
 
     ``coordinates`` is read as raw JSON text (Polygon and MultiPolygon nest differently) and
     normalised to MultiPolygon; ``properties.FID`` is the feature's position in its file.
+    ``properties`` (an encoding or StructType) types the feature attributes; without it they are
+    a string map.
     """
+    if properties is not None and not isinstance(properties, T.StructType):
+        properties = to_struct(load_engram(properties))
+    prop_type = properties if properties is not None else T.MapType(T.StringType(), T.StringType())
     schema = T.StructType([
         T.StructField("features", T.ArrayType(T.StructType([
             T.StructField("type", T.StringType()),
-            T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("properties", prop_type),
             T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
                                                     T.StructField("coordinates", T.StringType())])),
         ])))])
     fc = spark.read.option("multiLine", True).schema(schema).json(path)
     feats = fc.select(F.posexplode("features").alias("fid", "f"))
-    props = F.map_concat(F.coalesce(F.col("f.properties"), F.create_map().cast("map<string,string>")),
-                         F.create_map(F.lit("FID"), F.col("fid").cast("string")))
+    if properties is not None:
+        base = F.coalesce(F.col("f.properties"), F.struct(*[F.lit(None).cast(f.dataType).alias(f.name)
+                                                             for f in properties.fields]))
+        props = base.withField("FID", F.col("fid").cast("long"))
+    else:
+        props = F.map_concat(F.coalesce(F.col("f.properties"), F.create_map().cast("map<string,string>")),
+                             F.create_map(F.lit("FID"), F.col("fid").cast("string")))
     return feats.select(F.col("f.type").alias("type"), props.alias("properties"),
                         normalize_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
 

@@ -306,6 +306,10 @@ QUERIES = {
 
 
 def _codify_sql(col: str, table_name: str, kind: str) -> str:
+    if kind == "number":  # whole values of a fractional column count as integers
+        return (f"select '{col}' as field, case when count({col}) > 0 and count(case when {col} = floor({col}) "
+                f"then 1 end) = count({col}) then 'integer' else 'number' end as type, "
+                f"cast(null as bigint) as size from {table_name}")
     if kind != "string":
         return f"select '{col}' as field, '{kind}' as type, cast(null as bigint) as size from {table_name}"
     v = f"nullif(trim({col}), '')"
@@ -322,7 +326,7 @@ def _codify_sql(col: str, table_name: str, kind: str) -> str:
 def _codify_oracle() -> str:
     cols = [("p_partkey", "integer"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
             ("p_size", "integer"), ("p_retailprice", "number")]
-    sel = [_codify_sql(c, "part", k) + (" limit 1" if k != "string" else "") for c, k in cols]
+    sel = [_codify_sql(c, "part", k) + (" limit 1" if k not in ("string", "number") else "") for c, k in cols]
     return "\nunion all\n".join(f"({q})" for q in sel)
 
 
@@ -339,7 +343,7 @@ def _codify_nested_oracle() -> str:
     parts = ["select 'o' as field, 'map' as type, cast(null as bigint) as size"]
     for c, k in cols:
         q = _codify_sql(f"o_{c}", "orders", k).replace(f"select 'o_{c}' as field", f"select 'o.{c}' as field")
-        parts.append(q + (" limit 1" if k != "string" else ""))
+        parts.append(q + (" limit 1" if k not in ("string", "number") else ""))
     return "\nunion all\n".join(f"({q})" for q in parts)
 
 

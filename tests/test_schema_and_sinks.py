@@ -219,3 +219,27 @@ def test_split_writer_spreads_a_hot_value(spark, tmp):
     hot_files = glob.glob(tmp + "/hot/k=hot/part-*")
     assert 1 < len(hot_files) <= 4
     assert spark.read.parquet(tmp + "/hot").count() == 2000
+
+
+def test_codify_polygons_golden(spark, tmp):
+    g = scan_geojson(spark, write(tmp, "polygons.json", POLYGONS), properties={"fields": []})
+    got = codify(g)["fields"]
+    lst = {"name": "_list", "type": "integer"}
+    for _ in range(3):
+        lst = {"name": "_list", "type": "list", "_list": lst}
+    assert got == [
+        {"name": "type", "type": "keyword", "size": 7},
+        {"name": "properties", "type": "map", "fields": [{"name": "FID", "type": "integer"}]},
+        {"name": "geometry", "type": "map", "fields": [{"name": "type", "type": "keyword", "size": 12},
+                                                       {"name": "coordinates", "type": "list", "_list": lst}]},
+    ]
+
+
+def test_json_array_output(spark, tmp):
+    p = write(tmp, "foofile.json", FOOFILE_JSON)
+    df = scan_json(spark, p, engram=FOO_SCHEMA)
+    write_json(df, tmp + "/arr", array=True)
+    text = "".join(open(x).read() for x in sorted(glob.glob(tmp + "/arr/part-*")))
+    rows = json.loads(text)
+    assert len(rows) == 8 and rows[5] == {"Foo": "sixth", "Bar": None, "Baz": None, "Fobe": None,
+                                          "Dt Test": None, "enabled": None}
