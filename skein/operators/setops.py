@@ -66,3 +66,21 @@ def compare_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
               .unionByName(actual.select(*cols, F.lit(0).alias("__e"), F.lit(1).alias("__a"))))
     return (tagged.groupBy(*cols).agg(F.sum("__e").alias("n_expected"), F.sum("__a").alias("n_actual"))
             .where(F.col("n_expected") != F.col("n_actual")))
+
+
+def compare_files(spark, expected_path: str, actual_path: str, fmt: str = "json", pick: str | None = None,
+                  options: dict | None = None) -> DataFrame:
+    """Compare two stored datasets (optionally the array at a ``pick`` path inside each); fields
+    are aligned by name on the expected side's columns."""
+    from ..sources.files import pick as pick_path
+
+    def load(p):
+        df = spark.read.format(fmt).options(**(options or {})).load(p)
+        return pick_path(df, pick) if pick else df
+
+    exp, act = load(expected_path), load(actual_path)
+    cols = [quote_part(c) for c in exp.columns]
+    missing = [c for c in exp.columns if c not in act.columns]
+    for c in missing:
+        act = act.withColumn(c, F.lit(None).cast(exp.schema[c].dataType))
+    return compare(exp.select(*cols), act.select(*cols))

@@ -46,6 +46,19 @@ def get_spark(master: str | None = None, app: str = "skein", shuffle_partitions:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256 << 20) -> int:
+    """Size the first shuffle for the input at hand; AQE then coalesces small partitions.
+
+    AQE can merge partitions after a shuffle but cannot split them (outside skew joins), so the
+    initial partition count must be large enough for the biggest stage: about one per
+    ``target_bytes`` of input (100 TB -> ~400k). Returns the number set.
+    """
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(input_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(int(target_bytes), 256 << 20)))
+    return n
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -80,10 +80,19 @@ def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",", mo
 
 
 def load_table(df: DataFrame, table: str, append: bool = True, fmt: str = "parquet"):
-    """Create the table unless it exists, then append. Never overwrites existing rows."""
+    """Create the table unless it exists, then append. Never overwrites existing rows.
+
+    A failure to create (e.g. a concurrent creator won the race) is logged and the load goes on
+    with the append, which fails loudly if the table really is unusable.
+    """
+    import logging
+
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.limit(0).write.format(fmt).saveAsTable(table)
+        try:
+            df.limit(0).write.format(fmt).saveAsTable(table)
+        except Exception as err:  # noqa: BLE001 - logged, the append decides
+            logging.getLogger("skein").warning("create %s failed: %s", table, err)
     df.write.format(fmt).mode("append" if append else "overwrite").saveAsTable(table)
 
 

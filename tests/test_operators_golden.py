@@ -176,3 +176,23 @@ def test_aggregate(spark):
     observed, obs = with_metrics(df)
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get["count"] == 3
+
+
+def test_compare_files_with_pick(spark, tmp):
+    import json as _json
+
+    from skein.operators.setops import compare_files
+
+    write(tmp, "exp.json", _json.dumps({"results": [{"id": 1}, {"id": 2}]}))
+    write(tmp, "act.json", _json.dumps({"results": [{"id": 2}, {"id": 3}]}))
+    got = compare_files(spark, tmp + "/exp.json", tmp + "/act.json", pick="results", options={"multiLine": True})
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "expected_only"), (3, "actual_only")]
+
+
+def test_size_shuffles(spark):
+    from skein.session import size_shuffles
+
+    n = size_shuffles(spark, 100 * (1 << 40))
+    assert n == 409600
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "409600"
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
