@@ -122,9 +122,15 @@ def _decide(leaf: _Leaf, stats: Column, keyword_max: int) -> tuple[Column, Colum
     return t, size
 
 
-def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = KEYWORD_MAX) -> DataFrame:
+def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = KEYWORD_MAX,
+                 by: list[str] | None = None) -> DataFrame:
     """One row per leaf field: ``field`` (dotted path, ``_list`` for array elements), ``type``,
-    ``size``. Containers appear as ``map`` / ``list`` rows before their members."""
+    ``size``. Containers appear as ``map`` / ``list`` rows before their members.
+
+    With ``by`` the same counters are computed per group in the one aggregate (e.g. per file of a
+    many-file scan), giving one encoding per group plus ``n`` (values present) so fields a group
+    never has can be told apart."""
+    by = list(by or [])
     leaves: list[_Leaf] = []
     containers: list[tuple[list[str], str]] = []
 
@@ -143,21 +149,25 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
             leaves.append(_Leaf(path, value, multi, dtype))
 
     for f in df.schema.fields:
-        walk(f.dataType, F.col(quote_part(f.name)), [f.name], False)
+        if f.name not in by:
+            walk(f.dataType, F.col(quote_part(f.name)), [f.name], False)
     aggs = [F.struct(*[e.alias(s) for e, s in zip(_stats(l, missing), _STAT_NAMES)]).alias(f"__s{i}")
             for i, l in enumerate(leaves)]
-    prof = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__none"))
+    if not aggs:
+        aggs = [F.count(F.lit(1)).alias("__none")]
+    prof = df.groupBy(*[quote_part(b) for b in by]).agg(*aggs) if by else df.agg(*aggs)
     order = {tuple(p): i for i, p in enumerate(sorted([p for p, _ in containers] + [l.path for l in leaves],
                                                       key=lambda p: _position(df.schema, p)))}
     rows = []
     for p, kind in containers:
         rows.append(F.struct(F.lit(".".join(p)).alias("field"), F.lit(kind).alias("type"),
-                             F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(p)]).alias("pos")))
+                             F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(p)]).alias("pos"),
+                             F.lit(None).cast("bigint").alias("n")))
     for i, l in enumerate(leaves):
         t, size = _decide(l, F.col(f"__s{i}"), keyword_max)
         rows.append(F.struct(F.lit(".".join(l.path)).alias("field"), t.alias("type"), size.alias("size"),
-                             F.lit(order[tuple(l.path)]).alias("pos")))
-    return prof.select(F.inline(F.array(*rows)))
+                             F.lit(order[tuple(l.path)]).alias("pos"), F.col(f"__s{i}.n").alias("n")))
+    return prof.select(*[quote_part(b) for b in by], F.inline(F.array(*rows)))
 
 
 def _position(schema: T.StructType, path: list[str]) -> tuple:
@@ -190,6 +200,31 @@ def codify(df: DataFrame, missing: str | None = None, format: str | None = None,
     return format_engram(eng, format)
 
 
+def codify_each(df: DataFrame, by: str = "schema", missing: str | None = None,
+                keyword_max: int = KEYWORD_MAX) -> dict:
+    """One encoding per value of ``by`` (e.g. per dataset of :func:`scan_many`), from a single
+    grouped aggregate; leaf fields a group has no values for are left out of its encoding.
+    Only the result rows (groups x fields) reach the driver."""
+    rows = codify_frame(df, missing, keyword_max, by=[by]).collect()
+    out: dict = {}
+    for key in sorted({r[by] for r in rows}, key=str):
+        mine = sorted((r for r in rows if r[by] == key and (r["n"] is None or r["n"] > 0)), key=lambda r: r["pos"])
+        out[key] = {"name": str(key), "type": "engram", "fields": _prune(_tree(mine))}
+    return out
+
+
+def _prune(fields: list[dict]) -> list[dict]:
+    """Drop containers left without members."""
+    out = []
+    for f in fields:
+        if f["type"] == "map" and "fields" in f:
+            f["fields"] = _prune(f["fields"])
+            if not f["fields"]:
+                continue
+        out.append(f)
+    return out
+
+
 def _tree(rows) -> list[dict]:
     root: list[dict] = []
     index: dict[str, dict] = {}

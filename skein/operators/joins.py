@@ -16,13 +16,13 @@ from ..functions.expr import compile_value
 from ..functions.paths import col_path, quote_part
 
 
-def _key_pairs(left: DataFrame, right: DataFrame, lookup: dict) -> list[tuple[Column, Column, str]]:
-    """``{right_field: expr over the left row}`` -> (left expr, right column, right field)."""
-    pairs = []
-    for rf, lv in lookup.items():
-        lexpr = compile_value(lv if isinstance(lv, (str, Column)) else lv, left)
-        pairs.append((lexpr, col_path(rf, right), rf))
-    return pairs
+def _equi(left_names: list[str], right_names: list[str]) -> Column:
+    """AND of ``left = right`` over uniquely named key columns (null never matches)."""
+    cond = None
+    for lk, rk in zip(left_names, right_names):
+        e = F.col(lk) == F.col(rk)
+        cond = e if cond is None else cond & e
+    return cond
 
 
 def _check_collisions(left: DataFrame, names: list[str], prefix: str | None):
@@ -73,11 +73,7 @@ def adjoin(df: DataFrame, other: DataFrame, lookup: dict, inject: list[str] | No
     r = r.select(*right_keys, *[F.col(quote_part(c)).alias((prefix or "") + c) for c in inject])
     left_keys = [f"__lk{i}" for i in range(len(keys))]
     left = df.withColumns({lk: compile_value(v, df) for lk, v in zip(left_keys, lookup.values())})
-    cond = None
-    for lk, rk in zip(left_keys, right_keys):
-        e = F.col(lk) == F.col(rk)
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, "left").select(*[F.col(quote_part(c)) for c in df.columns],
+    return left.join(r, _equi(left_keys, right_keys), "left").select(*[F.col(quote_part(c)) for c in df.columns],
                                              *[F.col(quote_part((prefix or "") + c)) for c in inject])
 
 
@@ -109,11 +105,7 @@ def conjoin(df: DataFrame, other: DataFrame, on: dict, fields: list[str] | None
     left = df.withColumns({lk: compile_value(v, df) for lk, v in zip(lkeys, on.values())})
     right = other.select(*[col_path(rf, other).alias(rk) for rf, rk in zip(on.keys(), rkeys)],
                          *[col_path(c, other).alias((prefix or "") + c) for c in fields])
-    cond = None
-    for lk, rk in zip(lkeys, rkeys):
-        e = F.col(lk) == F.col(rk)
-        cond = e if cond is None else cond & e
-    return left.join(right, cond, "inner").select(*[F.col(quote_part(c)) for c in df.columns],
+    return left.join(right, _equi(lkeys, rkeys), "inner").select(*[F.col(quote_part(c)) for c in df.columns],
                                                   *[F.col(quote_part((prefix or "") + c)) for c in fields])
 
 
@@ -126,8 +118,5 @@ def foreach_join(driver: DataFrame, facts: DataFrame, on: dict) -> DataFrame:
     params = driver.select(*[compile_value(v, driver).alias(f"__p{i}") for i, v in enumerate(on.values())])
     keyed = facts.select(*[col_path(rf, facts).alias(f"__f{i}") for i, rf in enumerate(on.keys())],
                          *[F.col(quote_part(c)) for c in facts.columns])
-    cond = None
-    for i in range(len(on)):
-        e = F.col(f"__p{i}") == F.col(f"__f{i}")
-        cond = e if cond is None else cond & e
-    return params.join(keyed, cond, "inner").select(*[F.col(quote_part(c)) for c in facts.columns])
+    pk, fk = [f"__p{i}" for i in range(len(on))], [f"__f{i}" for i in range(len(on))]
+    return params.join(keyed, _equi(pk, fk), "inner").select(*[F.col(quote_part(c)) for c in facts.columns])

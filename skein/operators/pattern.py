@@ -1,8 +1,8 @@
 """The pattern language: ``match`` / ``drop`` predicates, ``order`` and ``count``.
 
 A pattern is a dict ``{field: condition}``; conditions on several fields are AND-ed, and several
-operators on one field form a range (also AND). Comparison with null is false everywhere, so
-``match`` keeps and ``drop`` never removes a row whose field is null. Every predicate is a plain
+operators on one field form a range (also AND). Comparison with null is false everywhere, so a
+row whose field is null is neither matched nor dropped (``{"f": None}`` asks for nulls explicitly). Every predicate is a plain
 Column expression: it stays in codegen and Catalyst pushes comparisons into the parquet scan.
 """
 

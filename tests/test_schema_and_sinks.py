@@ -243,3 +243,18 @@ def test_json_array_output(spark, tmp):
     rows = json.loads(text)
     assert len(rows) == 8 and rows[5] == {"Foo": "sixth", "Bar": None, "Baz": None, "Fobe": None,
                                           "Dt Test": None, "enabled": None}
+
+
+def test_codify_each_file_in_one_job(spark, tmp):
+    from skein.operators.codify import codify_each, merge_engram
+
+    os.makedirs(tmp + "/m")
+    write(tmp + "/m", "a.json", '{"x": "1", "y": "alpha"}\n{"x": "2", "y": "beta"}\n')
+    write(tmp + "/m", "b.json", '{"x": "2.5", "z": "true"}\n')
+    many = scan_many(spark, tmp + "/m", "*.json", fmt="json", merge_schema=False, options={"primitivesAsString": True})
+    each = codify_each(many.drop("name", "rpath"), by="schema")
+    assert each["a"]["fields"] == [{"name": "x", "type": "integer"}, {"name": "y", "type": "keyword", "size": 5}]
+    assert each["b"]["fields"] == [{"name": "x", "type": "number"}, {"name": "z", "type": "boolean"}]
+    merged = merge_engram(each["a"], each["b"])["fields"]
+    assert merged == [{"name": "x", "type": "number"}, {"name": "y", "type": "keyword", "size": 5},
+                      {"name": "z", "type": "boolean"}]
