@@ -143,21 +143,32 @@ def scan_geojson(spark: SparkSession, path: str, properties=None) -> DataFrame:
                         normalize_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
 
 
-def pick(df: DataFrame, path: str) -> DataFrame:
+def pick(df: DataFrame, path: str, keep: list[str] | None = None, position: str | None = None) -> DataFrame:
     """Take the array found at a dotted path as the record set (one row per element); arrays met
-    on the way are expanded, struct elements become columns."""
-    cur = df.select(col_path(path.split(".")[0], df).alias("__v"))
-    for part in path.split(".")[1:] + [None]:
-        dt = cur.schema["__v"].dataType
-        if isinstance(dt, T.ArrayType):
-            cur = cur.select(F.explode("__v").alias("__v"))
-            dt = cur.schema["__v"].dataType
+    on the way are expanded, struct elements become columns, scalar elements a ``value`` column.
+
+    ``keep`` carries fields of the enclosing record along; ``position`` names a column for the
+    element's index in its innermost array.
+    """
+    keep = list(keep or [])
+    carried = [col_path(k, df).alias(k) for k in keep]
+    cur = df.select(*carried, col_path(path.split(".")[0], df).alias("__v"))
+    kept = [F.col(quote_part(k)) for k in keep]
+    parts = path.split(".")[1:]
+    for i, part in enumerate(parts + [None]):
+        if isinstance(cur.schema["__v"].dataType, T.ArrayType):
+            last = part is None
+            if last and position:
+                cur = cur.select(*kept, F.posexplode("__v").alias(position, "__v"))
+                kept = kept + [F.col(quote_part(position))]
+            else:
+                cur = cur.select(*kept, F.explode("__v").alias("__v"))
         if part is None:
             break
-        cur = cur.select(F.col("__v").getField(part).alias("__v"))
+        cur = cur.select(*kept, F.col("__v").getField(part).alias("__v"))
     if isinstance(cur.schema["__v"].dataType, T.StructType):
-        return cur.select("__v.*")
-    return cur
+        return cur.select(*kept, "__v.*")
+    return cur.select(*kept, F.col("__v").alias("value"))
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:

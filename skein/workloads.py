@@ -265,6 +265,14 @@ def q_retrieve(spark, d):
                                    "order": {"n_chars": "desc", "doc_id": "asc"}, "count": 20})
 
 
+def q_pick(spark, d):
+    from .sources.files import pick
+
+    e = table(spark, d, "embeddings")
+    out = pick(e, "embedding", keep=["vec_id"], position="pos")
+    return out.select("vec_id", "pos", F.col("value").cast("double").alias("value"))
+
+
 QUERIES = {
     "filter_match_drop": q_filter_match_drop,
     "mutate": q_mutate,
@@ -302,6 +310,7 @@ QUERIES = {
     "adjoin_ordered": q_adjoin_ordered,
     "adjoin_lineitem": q_adjoin_lineitem,
     "retrieve": q_retrieve,
+    "pick": q_pick,
 }
 
 
@@ -421,4 +430,6 @@ ORACLE = {
     "retrieve": """select doc_id, n_chars from documents where lang = 'en'
         and list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['the'])
         order by n_chars desc, doc_id limit 20""",
+    "pick": """select vec_id, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as value
+        from embeddings""",
 }
