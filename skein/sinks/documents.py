@@ -2,9 +2,14 @@
 
 A document may hold any number of rows, so it is never built in one row or one task. The
 operator emits the document as ordered *parts* -- head, one part per element, tail -- and the
-writer range-partitions them by (group, part, seq), so the concatenation of the part files of a
-group, in file-name order, is the document. The only per-group state is ``min(seq)`` and the row
-count, both partial aggregates.
+writer range-partitions them by (group, part, seq, sub), so the concatenation of the part files
+of a group, in file-name order, is the document.
+
+Everything is derived from row content, so a recomputed task (after a lost executor) produces
+exactly the same parts: identical elements are collapsed to one row with a count (a partial
+aggregate), elements are ordered by the optional ``order`` fields and then a content hash, the
+first element of a document (the one without a leading comma) is the ``min`` of that order, and
+duplicate copies are regenerated by a streamed replicate.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import template_expr
-from ..functions.paths import quote_part
+from ..functions.paths import col_path, quote_part
 
 _MARK = "\u0000__rows__\u0000"
 
@@ -36,29 +41,43 @@ def _split_template(template, store_to: str | None, params: dict | None) -> tupl
     return head + "[", "]" + tail
 
 
-def to_documents(df: DataFrame, template: dict, store_to: str, by: list[str] | None = None,
-                 params: dict | None = None, row_json=None) -> DataFrame:
-    """Document parts: columns ``by..., part (0 head / 1 element / 2 tail), seq, text``.
+def to_documents(df: DataFrame, template, store_to: str | None, by: list[str] | None = None,
+                 params: dict | None = None, row_json=None, order: list[str] | None = None) -> DataFrame:
+    """Document parts: columns ``by..., part (0 head / 1 element / 2 tail), seq, sub, text``.
 
     ``${name}`` in the template is replaced from ``params`` (constants) or, per document, from the
-    ``by`` columns. ``row_json`` overrides the element text (default ``to_json(struct(*))``).
+    ``by`` columns. ``row_json`` overrides the element text (default ``to_json(struct(*))``);
+    ``order`` lists fields that order the elements (otherwise the order is by content).
+    ``store_to=None`` makes the document a bare JSON array.
     """
+    from ..operators.setops import replicate
+
     by = by or []
+    qby = [quote_part(b) for b in by]
     head, tail = _split_template(template, store_to, params)
-    keys = [F.col(quote_part(b)) for b in by]
     body = row_json if row_json is not None else F.to_json(F.struct(*[F.col(quote_part(c)) for c in df.columns]))
-    rows = df.select(*keys, body.alias("__j"), F.monotonically_increasing_id().alias("seq"))
-    groups = rows.groupBy(*[quote_part(b) for b in by]).agg(F.min("seq").alias("__first"))
-    # with no grouping the first sequence number is a scalar subquery rather than a join
-    elems = (rows.join(groups, by, "inner") if by
-             else rows.withColumn("__first", rows.select(F.min("seq")).scalar()))
-    elems = elems.select(*[quote_part(b) for b in by], F.lit(1).alias("part"), F.col("seq"),
-                         F.when(F.col("seq") == F.col("__first"), F.col("__j"))
-                         .otherwise(F.concat(F.lit(","), F.col("__j"))).alias("text"))
-    g = groups.select(*[quote_part(b) for b in by])
-    heads = g.select(*[quote_part(b) for b in by], F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("seq"),
+    okey = F.struct(*[col_path(o, df).alias(f"o{i}") for i, o in enumerate(order)]) if order else F.lit(0)
+    rows = df.select(*qby, okey.alias("__o"), body.alias("__j"))
+    # identical elements of one document become one row with a count
+    dup = rows.groupBy(*qby, "__o", "__j").agg(F.count(F.lit(1)).alias("__k"))
+    dup = dup.withColumn("seq", F.struct(F.col("__o").alias("o"), F.xxhash64("__j").alias("h"), F.col("__j").alias("j")))
+    if by:
+        firsts = dup.groupBy(*qby).agg(F.min("seq").alias("__first"))
+        dup = dup.join(firsts, by, "inner")
+    else:
+        dup = dup.withColumn("__first", dup.select(F.min("seq")).scalar())
+    is_first = F.col("seq") == F.col("__first")
+    first = dup.where(is_first).select(*qby, F.lit(1).alias("part"), "seq", F.lit(0).alias("sub"),
+                                       F.col("__j").alias("text"))
+    rest = dup.select(*qby, F.lit(1).alias("part"), "seq", F.lit(1).alias("sub"),
+                      F.concat(F.lit(","), F.col("__j")).alias("text"),
+                      F.when(is_first, F.col("__k") - 1).otherwise(F.col("__k")).alias("__n"))
+    elems = first.unionByName(replicate(rest, "__n"))
+    no_seq = F.lit(None).cast(dup.schema["seq"].dataType)
+    g = dup.select(*qby).distinct() if by else dup.agg(F.count(F.lit(1)).alias("__c")).select()
+    heads = g.select(*qby, F.lit(0).alias("part"), no_seq.alias("seq"), F.lit(0).alias("sub"),
                      template_expr(head, g).alias("text"))
-    tails = g.select(*[quote_part(b) for b in by], F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("seq"),
+    tails = g.select(*qby, F.lit(2).alias("part"), no_seq.alias("seq"), F.lit(0).alias("sub"),
                      template_expr(tail, g).alias("text"))
     return heads.unionByName(elems).unionByName(tails)
 
@@ -66,7 +85,7 @@ def to_documents(df: DataFrame, template: dict, store_to: str, by: list[str] | N
 def write_documents(parts: DataFrame, path: str, by: list[str] | None = None, num_partitions: int | None = None):
     """Write parts so that each group's files, concatenated in name order, form its document."""
     by = by or []
-    order = [quote_part(b) for b in by] + ["part", "seq"]
+    order = [quote_part(b) for b in by] + ["part", "seq", "sub"]
     n = num_partitions or parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     out = parts.repartitionByRange(int(n), *order).sortWithinPartitions(*order).select(*[quote_part(b) for b in by], "text")
     w = out.write.mode("overwrite")  # parts end in newlines: JSON whitespace
