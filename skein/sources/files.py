@@ -41,9 +41,7 @@ def json_key_order(spark: SparkSession, path: str, lines: bool, records: int = 1
     if lines:
         raw = [r[0] for r in spark.read.text(path).limit(records).collect()]
     else:
-        arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
-        raw = [r[0] for r in spark.read.text(path, wholetext=True).limit(1)
-               .select(F.explode(F.slice(arr, 1, records))).collect()]
+        raw = _leading_records(spark, path, records)
     tree: dict = {}
 
     def add(node: dict, obj):
@@ -62,6 +60,36 @@ def json_key_order(spark: SparkSession, path: str, lines: bool, records: int = 1
     return tree
 
 
+def _leading_records(spark: SparkSession, path: str, records: int, chunks_per_record: int = 20) -> list[str]:
+    """The first records of a JSON array file, read as a bounded streamed prefix.
+
+    The text reader splits the file at ``}`` (so no whole file becomes one value); a bounded
+    number of leading pieces is joined on the driver and decoded record by record.
+    """
+    import json
+
+    pieces = [r[0] for r in spark.read.option("lineSep", "}").text(path).limit(records * chunks_per_record).collect()]
+    text = "}".join(pieces)
+    dec = json.JSONDecoder()
+    pos = len(text) - len(text.lstrip())
+    if text[pos:pos + 1] == "{":  # a file holding one object
+        try:
+            return [json.dumps(dec.raw_decode(text, pos)[0])]
+        except ValueError:
+            return []
+    pos = text.find("[") + 1
+    out: list[str] = []
+    while pos > 0 and len(out) < records:
+        while pos < len(text) and text[pos] in " \t\r\n,":
+            pos += 1
+        try:
+            obj, pos = dec.raw_decode(text, pos)
+        except ValueError:
+            break
+        out.append(json.dumps(obj))
+    return out
+
+
 def _ordered(c, dt: T.DataType, tree: dict):
     """Rebuild structs (also inside arrays) with members in ``tree`` order."""
     if isinstance(dt, T.StructType) and tree:
