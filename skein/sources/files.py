@@ -140,14 +140,20 @@ def scan_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return apply_engram(df, engram, missing) if engram is not None else df
 
 
-def scan_geojson(spark: SparkSession, path: str, properties=None) -> DataFrame:
+def scan_geojson(spark: SparkSession, path: str, properties=None, lines: bool = False) -> DataFrame:
     """FeatureCollection -> one row per feature ``{type, properties, geometry}``.
 
     ``coordinates`` is read as raw JSON text (Polygon and MultiPolygon nest differently) and
     normalised to MultiPolygon; ``properties.FID`` is the feature's position in its file.
     ``properties`` (an encoding or StructType) types the feature attributes; without it they are
     a string map.
+
+    A FeatureCollection is one JSON document, so each file is parsed by one task. For large
+    layers use ``lines=True``: newline-delimited features (GeoJSON text sequences), which Spark
+    splits across tasks; features then keep their own ``FID`` property (no file position exists).
     """
+    if lines:
+        return _scan_feature_lines(spark, path, properties)
     if properties is not None and not isinstance(properties, T.StructType):
         properties = to_struct(load_engram(properties))
     prop_type = properties if properties is not None else T.MapType(T.StringType(), T.StringType())
@@ -171,6 +177,21 @@ def scan_geojson(spark: SparkSession, path: str, properties=None) -> DataFrame:
                         normalize_geometry(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
 
 
+def _scan_feature_lines(spark: SparkSession, path: str, properties=None) -> DataFrame:
+    if properties is not None and not isinstance(properties, T.StructType):
+        properties = to_struct(load_engram(properties))
+    prop_type = properties if properties is not None else T.MapType(T.StringType(), T.StringType())
+    schema = T.StructType([
+        T.StructField("type", T.StringType()),
+        T.StructField("properties", prop_type),
+        T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
+                                                T.StructField("coordinates", T.StringType())])),
+    ])
+    f = spark.read.schema(schema).json(path)
+    return f.select("type", "properties",
+                    normalize_geometry(F.col("geometry.type"), F.col("geometry.coordinates")).alias("geometry"))
+
+
 def pick(df: DataFrame, path: str, keep: list[str] | None = None, position: str | None = None) -> DataFrame:
     """Take the array found at a dotted path as the record set (one row per element); arrays met
     on the way are expanded, struct elements become columns, scalar elements a ``value`` column.

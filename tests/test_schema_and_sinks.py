@@ -275,3 +275,11 @@ def test_template_document_with_duplicate_rows_and_order(spark, tmp):
     empty = spark.createDataFrame([], "v string")
     write_documents(to_documents(empty, None, None), tmp + "/empty")
     assert json.loads("".join(open(p).read() for p in sorted(glob.glob(tmp + "/empty/part-*")))) == []
+
+
+def test_geojson_feature_lines(spark, tmp):
+    feats = [dict(f, properties={"FID": i}) for i, f in enumerate(POLYGONS["features"])]
+    p = write(tmp, "features.jsonl", "\n".join(json.dumps(f) for f in feats))
+    g = scan_geojson(spark, p, properties={"fields": [{"name": "FID", "type": "integer"}]}, lines=True)
+    hit = match(g, {"geometry": {"contains": [2.5, 2.5]}})
+    assert [r["properties"]["FID"] for r in hit.collect()] == [2]
