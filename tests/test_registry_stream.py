@@ -113,3 +113,29 @@ def test_foreach_batch_fanout_is_idempotent(spark, tmp):
     store = {r.Foo: r.Baz for r in spark.read.parquet(tmp + "/store").collect()}
     assert len(store) == 8 and store["first"] == 999
     assert [n for _, n in seen] == [8, 1]
+
+
+def test_stream_adjoin_static_lookup(spark, tmp):
+    from skein.streaming.stream import transfer_stream
+
+    os.makedirs(tmp + "/in")
+    write(tmp + "/in", "p1.json", "\n".join(json.dumps(r) for r in FOOFILE_JSON))
+    spark.createDataFrame([("first", "gold"), ("second", "silver")], "Foo string, tier string") \
+        .createOrReplaceTempView("tiers")
+    steps = [{"transform": "adjoin", "smt": "memory||tiers|*", "lookup": {"Foo": "=Foo"}, "inject": ["tier"]},
+             {"transform": "mutate", "select": ["Foo", "tier"]}]
+    q = transfer_stream(spark, tmp + "/in", steps, tmp + "/out", tmp + "/ck", fmt="json", engram=FOO_SCHEMA)
+    q.awaitTermination(120)
+    got = {r.Foo: r.tier for r in spark.read.parquet(tmp + "/out").collect()}
+    assert len(got) == 8 and got["first"] == "gold" and got["third"] is None
+
+
+def test_sync_stream_appends_only_new_files(spark, tmp):
+    from skein.streaming.stream import sync_stream
+
+    os.makedirs(tmp + "/src")
+    spark.createDataFrame([(1,), (2,)], "x int").write.mode("append").parquet(tmp + "/src")
+    sync_stream(spark, tmp + "/src", tmp + "/dst", tmp + "/ck").awaitTermination(120)
+    spark.createDataFrame([(3,)], "x int").write.mode("append").parquet(tmp + "/src")
+    sync_stream(spark, tmp + "/src", tmp + "/dst", tmp + "/ck").awaitTermination(120)
+    assert sorted(r.x for r in spark.read.parquet(tmp + "/dst").collect()) == [1, 2, 3]
