@@ -15,8 +15,17 @@ from .operators import joins, maintain, mutate, pattern, setops
 from .sinks.documents import to_documents
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table as a lazy DataFrame, resolved once per session like a catalog entry: the file
+    listing and footer read happen on first use, later queries reuse the resolved relation."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def q_filter_match_drop(spark, d):
