@@ -107,8 +107,11 @@ def _field_condition(df: DataFrame, field: str, cond) -> Column:
     if isinstance(cond, dict):
         parts = []
         for op, v in cond.items():
-            if op in _COMPARE:
-                parts.append(F.array_contains(c, v) if (is_array and op == "eq") else _COMPARE[op](c, F.lit(v)))
+            if op in _COMPARE and is_array and op in ("eq", "neq"):
+                # on a list field equality means membership
+                parts.append(F.array_contains(c, v) if op == "eq" else ~F.array_contains(c, v))
+            elif op in _COMPARE:
+                parts.append(_COMPARE[op](c, F.lit(v)))
             elif op == "wc":
                 parts.append(c.cast("string").like(wildcard_like(v)))
             elif op == "search":

@@ -87,3 +87,16 @@ def test_two_digit_year_pivot(spark):
     df = spark.createDataFrame([("10/18/95",), ("01-JAN-49",), ("10-18-50",)], "s string")
     got = [r[0] for r in df.select(coerce.iso_utc(coerce.to_timestamp(F.col("s")))).collect()]
     assert got == ["1995-10-18T05:00:00.000Z", "2049-01-01T06:00:00.000Z", "1950-10-18T06:00:00.000Z"]
+
+
+def test_headerless_names_keep_leading_zeros(spark, tmp):
+    p = write(tmp, "foo_numbers.txt", "0001\n0020\n300\n")
+    df = scan_csv(spark, p, header=False, engram={"fields": [{"name": "filenum", "type": "keyword"}]})
+    assert [r.filenum for r in df.collect()] == ["0001", "0020", "300"]
+
+
+def test_yes_no_booleans_under_declared_boolean(spark, tmp):
+    p = write(tmp, "db_schema.csv", "COLUMN_NAME,NULLABLE\nID,N\nNAME,Y\nNOTE,\n")
+    eng = {"fields": [{"name": "COLUMN_NAME", "type": "keyword"}, {"name": "NULLABLE", "type": "boolean"}]}
+    assert [(r.COLUMN_NAME, r.NULLABLE) for r in scan_csv(spark, p, engram=eng).collect()] == \
+        [("ID", False), ("NAME", True), ("NOTE", None)]

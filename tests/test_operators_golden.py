@@ -61,6 +61,8 @@ def test_order_desc_and_topk(foo):
 def test_list_membership(spark):
     df = spark.createDataFrame([(1, ["foo", "bar"]), (2, ["baz"]), (3, None)], "id int, tags array<string>")
     assert [r.id for r in pattern.match(df, {"tags": "bar"}).collect()] == [1]
+    assert [r.id for r in pattern.match(df, {"tags": {"neq": "bar"}}).collect()] == [2]
+    assert sorted(r.id for r in pattern.match(df, {"tags": ["baz", "foo"]}).collect()) == [1, 2]
 
 
 def test_dull_nested_path(spark, tmp):
