@@ -63,10 +63,23 @@ def register_transform(name: str, fn):
     _TRANSFORMS[name] = fn
 
 
-def register_format(name: str, reader=None, writer=None):
+def register_format(name: str, reader=None, writer=None, spark: SparkSession | None = None):
     """Custom source/sink by model name: ``reader(spark, address, options) -> DataFrame`` and
-    ``writer(df, address, options)``."""
-    if reader:
+    ``writer(df, address, options)``.
+
+    ``reader`` may also be a Python Data Source class (``pyspark.sql.datasource.DataSource``):
+    it is registered with the session and read with ``spark.read.format(name)``, so its
+    partitions are planned and read by Spark like any built-in format.
+    """
+    from pyspark.sql.datasource import DataSource
+
+    if isinstance(reader, type) and issubclass(reader, DataSource):
+        session = spark or SparkSession.getActiveSession()
+        session.dataSource.register(reader)
+        fmt = reader.name()
+        _READERS[name] = lambda sp, addr, opts: sp.read.format(fmt).options(
+            **{k: str(v) for k, v in opts.items() if not isinstance(v, (dict, list))}).load(addr.path)
+    elif reader:
         _READERS[name] = reader
     if writer:
         _WRITERS[name] = writer
@@ -116,6 +129,18 @@ def open_origin(spark: SparkSession, origin, datasets: dict | None = None) -> Da
     if isinstance(origin, str) and datasets and origin in datasets:
         return datasets[origin]
     spec = origin if isinstance(origin, dict) else {"smt": origin}
+    if spec.get("source_fiber"):
+        # read-through: an origin without data is filled by its source pipeline, whose
+        # terminal writes the cache; the source result is used directly this time
+        src = spec["source_fiber"]
+        cached = open_origin(spark, {k: v for k, v in spec.items() if k != "source_fiber"}, datasets) \
+            if _exists(spark, spec) else None
+        fresh = run_transforms(open_origin(spark, src["origin"], datasets), src.get("transforms", []),
+                               {"spark": spark, "datasets": datasets or {}})
+        if cached is None:
+            return sources.read_through(spark.createDataFrame([], fresh.schema), fresh,
+                                        lambda d: write_terminal(d, src["terminal"]))
+        return sources.read_through(cached, fresh, lambda d: write_terminal(d, src["terminal"]))
     smt = spec.get("smt")
     if isinstance(smt, str) and datasets and smt in datasets:
         df = datasets[smt]
@@ -128,6 +153,15 @@ def open_origin(spark: SparkSession, origin, datasets: dict | None = None) -> Da
     return df
 
 
+def _exists(spark: SparkSession, spec: dict) -> bool:
+    """Whether the origin can be opened at all (a missing cache location is simply empty)."""
+    try:
+        _read(spark, Address.parse(spec.get("smt")), spec.get("options", {}) or {}).schema
+        return True
+    except Exception:  # noqa: BLE001 - missing path or table
+        return False
+
+
 # --- sinks ---------------------------------------------------------------------------------
 
 def write_terminal(df: DataFrame, terminal: dict):
@@ -251,6 +285,8 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
 
     ctx = {"spark": spark, "datasets": datasets or {}}
     df = run_transforms(open_origin(spark, origin, datasets), transforms, ctx)
+    if isinstance(origin, dict) and (origin.get("options") or {}).get("codify"):
+        codify = True
     if codify:
         df = apply_engram(df, codify_engram(df))
     try:

@@ -139,3 +139,50 @@ def test_sync_stream_appends_only_new_files(spark, tmp):
     spark.createDataFrame([(3,)], "x int").write.mode("append").parquet(tmp + "/src")
     sync_stream(spark, tmp + "/src", tmp + "/dst", tmp + "/ck").awaitTermination(120)
     assert sorted(r.x for r in spark.read.parquet(tmp + "/dst").collect()) == [1, 2, 3]
+
+
+def test_read_through_spec_fills_cache_once(spark, tmp):
+    write(tmp, "foofile.json", FOOFILE_JSON)
+    origin = {"smt": f"parquet|{tmp}|cache|*",
+              "source_fiber": {"origin": {"smt": f"json|{tmp}|foofile.json|*", "options": {"encoding": FOO_SCHEMA}},
+                               "transforms": [{"transform": "filter", "match": {"Bar": {"search": "row boat"}}}],
+                               "terminal": {"smt": f"parquet|{tmp}|cache|*"}}}
+    first = transfer(spark, origin)
+    assert first.count() == 4 and spark.read.parquet(tmp + "/cache").count() == 4
+    second = transfer(spark, origin)
+    assert second.count() == 4
+
+
+def test_codify_option_types_a_text_origin(spark, tmp):
+    write(tmp, "f.csv", "a,b\n1,x\n2,y\n")
+    out = transfer(spark, {"smt": f"csv|{tmp}|f.csv|*", "options": {"codify": True}})
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["bigint", "string"]
+
+
+def test_python_data_source_format(spark, tmp):
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    from skein.plans.transfer import register_format
+
+    class CountReader(DataSourceReader):
+        def __init__(self, options):
+            self.n = int(options.get("n", 3))
+
+        def read(self, partition):
+            for i in range(self.n):
+                yield (i, f"row{i}")
+
+    class CountSource(DataSource):
+        @classmethod
+        def name(cls):
+            return "skein_count_test"
+
+        def schema(self):
+            return "i int, label string"
+
+        def reader(self, schema):
+            return CountReader(self.options)
+
+    register_format("counter", reader=CountSource, spark=spark)
+    out = transfer(spark, {"smt": "counter|x|y|*", "options": {"n": 4}})
+    assert sorted(r.i for r in out.collect()) == [0, 1, 2, 3]
