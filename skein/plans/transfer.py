@@ -121,14 +121,21 @@ def _read(spark: SparkSession, addr: Address, options: dict) -> DataFrame:
     return df
 
 
-def open_origin(spark: SparkSession, origin, datasets: dict | None = None) -> DataFrame:
-    """Origin spec -> DataFrame. ``origin`` may be a DataFrame, a name in ``datasets``, or
+def open_origin(spark: SparkSession, origin, datasets: dict | None = None, registry: DataFrame | None = None) -> DataFrame:
+    """Origin spec -> DataFrame. ``origin`` may be a DataFrame, a name in ``datasets``, a registry
+    urn (``realm:name``, resolved through ``registry``), or
     ``{"smt": ..., "options": {...}, "pattern": {...}}`` (the pattern is pushed into the scan)."""
     if isinstance(origin, DataFrame):
         return origin
     if isinstance(origin, str) and datasets and origin in datasets:
         return datasets[origin]
     spec = origin if isinstance(origin, dict) else {"smt": origin}
+    smt = spec.get("smt")
+    if registry is not None and isinstance(smt, str) and "|" not in smt and ":" in smt:
+        from .registry import open_dataset
+
+        df = open_dataset(spark, registry, smt, datasets, **(spec.get("options") or {}))
+        return pattern.retrieve(df, spec["pattern"]) if spec.get("pattern") else df
     if spec.get("source_fiber"):
         # read-through: an origin without data is filled by its source pipeline, whose
         # terminal writes the cache; the source result is used directly this time
@@ -214,7 +221,7 @@ def _t_mutate(df, spec, ctx):
 def _lookup_frame(spec, ctx):
     other = spec.get("dataset") or spec.get("smt")
     return open_origin(ctx["spark"], {"smt": other, "options": spec.get("options", {}),
-                                      "pattern": spec.get("pattern")}, ctx.get("datasets"))
+                                      "pattern": spec.get("pattern")}, ctx.get("datasets"), ctx.get("registry"))
 
 
 def _t_adjoin(df, spec, ctx):
@@ -274,7 +281,7 @@ def run_transforms(df: DataFrame, transforms, ctx: dict) -> DataFrame:
 
 
 def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets: dict | None = None,
-             codify: bool = False, stats: dict | None = None):
+             codify: bool = False, stats: dict | None = None, registry: DataFrame | None = None):
     """Run one pipeline. Returns the final DataFrame when there is no terminal; with an array of
     terminals the result is persisted once and written to each.
 
@@ -283,8 +290,8 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
     """
     import time
 
-    ctx = {"spark": spark, "datasets": datasets or {}}
-    df = run_transforms(open_origin(spark, origin, datasets), transforms, ctx)
+    ctx = {"spark": spark, "datasets": datasets or {}, "registry": registry}
+    df = run_transforms(open_origin(spark, origin, datasets, registry), transforms, ctx)
     if isinstance(origin, dict) and (origin.get("options") or {}).get("codify"):
         codify = True
     if codify:

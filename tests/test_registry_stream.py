@@ -186,3 +186,25 @@ def test_python_data_source_format(spark, tmp):
     register_format("counter", reader=CountSource, spark=spark)
     out = transfer(spark, {"smt": "counter|x|y|*", "options": {"n": 4}})
     assert sorted(r.i for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_adjoin_spec_by_urns(spark, tmp):
+    from fixtures import WIDGETS
+
+    write(tmp, "foofile.json", FOOFILE_JSON)
+    write(tmp, "foo_widgets.json", WIDGETS)
+    widgets_fields = [{"name": "Foo", "type": "keyword"}, {"name": "Baz", "type": "integer"},
+                      {"name": "tags", "type": "list", "_list": {"type": "keyword"}},
+                      {"name": "widgets", "type": "list", "_list": {"type": "map", "fields": [
+                          {"name": "part", "type": "keyword"}, {"name": "count", "type": "integer"}]}}]
+    reg = R.registry_frame(spark, [
+        {"realm": "foo", "name": "jsonfile_foo_schema", "type": "engram", "smt": f"json|{tmp}|foofile.json|*",
+         "fields": FOO_SCHEMA["fields"]},
+        {"realm": "foo", "name": "json_widgets", "type": "engram", "smt": f"json|{tmp}|foo_widgets.json|*",
+         "fields": widgets_fields}])
+    out = transfer(spark, "foo:jsonfile_foo_schema", [
+        {"transform": "adjoin", "smt": "foo:json_widgets", "lookup": {"Baz": "=Baz", "Foo": "=Foo"},
+         "inject": ["tags", "widgets"]}], registry=reg)
+    rows = {r["Foo"]: r for r in out.collect()}
+    assert len(rows) == 8 and rows["first"]["tags"] == ["fun", "fast"] and rows["sixth"]["widgets"] is None
+    assert rows["seventh"]["widgets"][0]["part"] == "gear"
