@@ -282,6 +282,32 @@ def q_pick(spark, d):
     return out.select("vec_id", "pos", F.col("value").cast("double").alias("value"))
 
 
+def q_union_missing(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+                                           F.col("c_acctbal").alias("bal"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"),
+                                         F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return setops.union_all([c, s, n])
+
+
+def q_dull_search(spark, d):
+    docs = table(spark, d, "documents")
+    return maintain.dull(docs, {"text": {"search": "license token"}}).select("doc_id", "lang")
+
+
+def q_mutate_nested(spark, d):
+    o = mutate.compose(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    o = mutate.mutate(o, assign={"o.flag": "=o.orderstatus+'/'+o.orderkey"}, remove=["o.totalprice"])
+    return mutate.flatten(o)
+
+
+def q_compare_counts(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"))
+    return setops.compare_counts(c, s)
+
+
 QUERIES = {
     "filter_match_drop": q_filter_match_drop,
     "mutate": q_mutate,
@@ -320,6 +346,10 @@ QUERIES = {
     "adjoin_lineitem": q_adjoin_lineitem,
     "retrieve": q_retrieve,
     "pick": q_pick,
+    "union_missing": q_union_missing,
+    "dull_search": q_dull_search,
+    "mutate_nested": q_mutate_nested,
+    "compare_counts": q_compare_counts,
 }
 
 
@@ -441,4 +471,16 @@ ORACLE = {
         order by n_chars desc, doc_id limit 20""",
     "pick": """select vec_id, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as value
         from embeddings""",
+    "union_missing": """select c_custkey as key, c_name as name, c_acctbal as bal, cast(null as integer) as region
+          from customer
+        union all select s_suppkey, s_name, null, null from supplier
+        union all select n_nationkey, n_name, null, n_regionkey from nation""",
+    "dull_search": """select doc_id, lang from documents where not coalesce(
+        list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['license', 'token']), false)""",
+    "mutate_nested": """select o_orderkey as o_orderkey, o_orderstatus as o_orderstatus,
+        o_orderstatus || '/' || cast(o_orderkey as varchar) as o_flag from orders""",
+    "compare_counts": """select coalesce(e.k, a.k) as nationkey, coalesce(e.n, 0) as n_expected, coalesce(a.n, 0) as n_actual
+        from (select c_nationkey k, count(*) n from customer group by 1) e
+        full outer join (select s_nationkey k, count(*) n from supplier group by 1) a on e.k = a.k
+        where coalesce(e.n, 0) != coalesce(a.n, 0)""",
 }
