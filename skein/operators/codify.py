@@ -1,10 +1,10 @@
-"""Schema inference (``codify``) and field profiling, each one aggregate over all fields.
+"""Schema inference (``codify``) and field profiling, each one Spark job over all fields.
 
-Every leaf field -- including fields inside structs and elements of arrays -- contributes a few
-counters to a single ``agg``: how many values are present and how many parse as integer, number,
-boolean or date, the longest text and whether any text has whitespace. Arrays are summarised
-with higher-order functions in place (no ``explode``), so the job is one scan plus one tiny
-final aggregate regardless of the number of fields. Types follow a lattice:
+Every value -- including fields inside structs and elements of arrays -- is unpivoted into a
+``(field index, value)`` cell; one expression classifies each cell (integer, number, boolean,
+date, text) and a grouped partial aggregate counts the classes per field, with the longest text
+and whether any text has whitespace. The generated code stays the same size however many
+fields there are, and only a few rows per task are shuffled. Types follow a lattice:
 integer < number, and keyword < text for strings.
 """
 
@@ -21,7 +21,6 @@ from ..plans.engram import normalize_fields, type_name
 # The keyword/text border for inferred strings.
 KEYWORD_MAX = 64
 
-_STAT_NAMES = ["n", "n_int", "n_num", "n_bool", "n_date", "max_len", "n_ws"]
 _FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
@@ -29,24 +28,6 @@ def _getter(name: str):
     return lambda x: x.getField(name)
 
 
-class _Leaf:
-    def __init__(self, path: list[str], value, multi: bool, dtype: T.DataType):
-        self.path, self.value, self.multi, self.dtype = path, value, multi, dtype
-
-
-def _leaves(dtype: T.DataType, value: Column, path: list[str], multi: bool):
-    """Yield leaves; inside arrays ``value`` is an array of element values (flattened)."""
-    if isinstance(dtype, T.StructType):
-        for f in dtype.fields:
-            sub = F.transform(value, _getter(f.name)) if multi else value.getField(f.name)
-            yield from _leaves(f.dataType, sub, path + [f.name], multi)
-    elif isinstance(dtype, T.ArrayType):
-        arr = F.flatten(value) if multi else value
-        yield from _leaves(dtype.elementType, arr, path + ["_list"], True)
-    else:
-        yield _Leaf(path, value, multi, dtype)
-
-
 def _clean(v: Column, missing: str | None) -> Column:
     s = v.cast("string")
     if missing is not None:
@@ -54,120 +35,137 @@ def _clean(v: Column, missing: str | None) -> Column:
     return F.when(F.trim(s) == "", F.lit(None)).otherwise(s)
 
 
-def _stats(leaf: _Leaf, missing: str | None) -> list[Column]:
-    is_text = isinstance(leaf.dtype, T.StringType)
-    preds = {
-        "n": lambda x: x.isNotNull(),
-        "n_int": lambda x: coerce.to_integer(x).isNotNull(),
-        "n_num": lambda x: coerce.to_number(x).isNotNull(),
-        "n_bool": lambda x: coerce.to_boolean(x, coerce.INFER_TRUE_WORDS, coerce.INFER_FALSE_WORDS).isNotNull(),
-        "n_date": lambda x: coerce.to_timestamp(x).isNotNull(),
-        "n_ws": lambda x: x.rlike(r"\s"),
-    }
-    out = []
-    is_fraction = isinstance(leaf.dtype, _FRACTIONAL)
-    for name in _STAT_NAMES:
-        if name == "n_int" and is_fraction:
-            # JSON numbers carry no integer/float distinction: whole values count as integers
-            whole = lambda x: x == F.floor(x)
-            if leaf.multi:
-                e = F.sum(F.coalesce(F.size(F.filter(leaf.value, whole)), F.lit(0)))
-            else:
-                e = F.count(F.when(whole(leaf.value), F.lit(1)))
-            out.append(e)
-            continue
-        if name == "max_len":
-            if leaf.multi:
-                e = F.max(F.array_max(F.transform(leaf.value, lambda x: F.length(x.cast("string")))))
-            else:
-                e = F.max(F.length(leaf.value.cast("string")))
-        elif not is_text and name != "n":
-            e = F.lit(0).cast("bigint")
-        else:
-            p = preds[name]
-            if leaf.multi:
-                e = F.sum(F.coalesce(F.size(F.filter(leaf.value, _element_test(p, is_text, missing))), F.lit(0)))
-            else:
-                v = _clean(leaf.value, missing) if is_text else leaf.value
-                e = F.count(F.when(p(v), F.lit(1)))
-        out.append(e)
-    return out
+def _kind(x: Column, has_digit: Column) -> Column:
+    """Kind code of one cleaned text value, first match wins: ``i`` integer, ``n`` number,
+    ``b`` boolean, ``d`` date, ``s`` other text. The kinds are disjoint apart from integer being
+    a number, so one CASE per value replaces a separate parse per candidate type; values without
+    a digit skip the number and date parsers (the boolean words have none)."""
+    return (F.when(x.isNull(), F.lit(None))
+            .when(has_digit & coerce.to_integer(x).isNotNull(), F.lit("i"))
+            .when(has_digit & coerce.to_number(x).isNotNull(), F.lit("n"))
+            .when(~has_digit & coerce.to_boolean(x, coerce.INFER_TRUE_WORDS, coerce.INFER_FALSE_WORDS).isNotNull(),
+                  F.lit("b"))
+            .when(has_digit & coerce.to_timestamp(x).isNotNull(), F.lit("d"))
+            .otherwise(F.lit("s")))
 
 
-def _element_test(p, is_text: bool, missing: str | None):
-    """One-argument lambda for ``filter`` (PySpark picks the lambda form by arity)."""
-    if is_text:
-        return lambda x: p(_clean(x, missing))
-    return lambda x: x.isNotNull()
-
-
-def _decide(leaf: _Leaf, stats: Column, keyword_max: int) -> tuple[Column, Column]:
-    """(type, size) Columns from a struct of the leaf's counters."""
-    g = stats.getField
-    if isinstance(leaf.dtype, _FRACTIONAL):
-        n = g("n")
-        t = F.when((n > 0) & (g("n_int") == n), F.lit("integer")).otherwise(F.lit("number"))
-        return t, F.lit(None).cast("bigint")
-    if not isinstance(leaf.dtype, T.StringType):
-        return F.lit(type_name(leaf.dtype)), F.lit(None).cast("bigint")
-    n = g("n")
-    t = (F.when(n == 0, F.lit("text"))
-         .when(g("n_int") == n, F.lit("integer"))
-         .when(g("n_num") == n, F.lit("number"))
-         .when(g("n_bool") == n, F.lit("boolean"))
-         .when(g("n_date") == n, F.lit("date"))
-         .when((g("n_ws") == 0) & (g("max_len") <= keyword_max), F.lit("keyword"))
-         .otherwise(F.lit("text")))
-    size = F.when(t.isin("keyword", "text") & (n > 0), g("max_len").cast("bigint"))
-    return t, size
+# category codes of unpivoted cells
+_TEXT, _FRACTION, _TYPED, _MAP, _LIST = 0, 1, 2, 3, 4
+_CELL = T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("cat", T.IntegerType()),
+    T.StructField("t", T.StringType()), T.StructField("d", T.DoubleType()),
+    T.StructField("p", T.BooleanType()), T.StructField("len", T.IntegerType()),
+])
 
 
-def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = KEYWORD_MAX,
-                 by: list[str] | None = None) -> DataFrame:
-    """One row per leaf field: ``field`` (dotted path, ``_list`` for array elements), ``type``,
-    ``size``. Containers appear as ``map`` / ``list`` rows before their members.
+class _Entry:
+    """One field position in the schema: a leaf or a container, with how to reach its values."""
 
-    With ``by`` the same counters are computed per group in the one aggregate (e.g. per file of a
-    many-file scan), giving one encoding per group plus ``n`` (values present) so fields a group
-    never has can be told apart."""
-    by = list(by or [])
-    leaves: list[_Leaf] = []
-    containers: list[tuple[list[str], str]] = []
+    def __init__(self, path, cat, value, multi, dtype):
+        self.path, self.cat, self.value, self.multi, self.dtype = path, cat, value, multi, dtype
+
+
+def _entries(schema: T.StructType, skip: list[str]) -> list[_Entry]:
+    out: list[_Entry] = []
 
     def walk(dtype, value, path, multi):
         if isinstance(dtype, T.StructType):
-            containers.append((path, "map"))
+            out.append(_Entry(path, _MAP, value, multi, dtype))
             for f in dtype.fields:
                 sub = F.transform(value, _getter(f.name)) if multi else value.getField(f.name)
                 walk(f.dataType, sub, path + [f.name], multi)
         elif isinstance(dtype, T.ArrayType):
-            containers.append((path, "list"))
+            out.append(_Entry(path, _LIST, value, multi, dtype))
             walk(dtype.elementType, F.flatten(value) if multi else value, path + ["_list"], True)
         elif isinstance(dtype, T.MapType):
-            containers.append((path, "map"))
+            out.append(_Entry(path, _MAP, value, multi, dtype))
+        elif isinstance(dtype, T.StringType):
+            out.append(_Entry(path, _TEXT, value, multi, dtype))
+        elif isinstance(dtype, _FRACTIONAL):
+            out.append(_Entry(path, _FRACTION, value, multi, dtype))
         else:
-            leaves.append(_Leaf(path, value, multi, dtype))
+            out.append(_Entry(path, _TYPED, value, multi, dtype))
 
-    for f in df.schema.fields:
-        if f.name not in by:
+    for f in schema.fields:
+        if f.name not in skip:
             walk(f.dataType, F.col(quote_part(f.name)), [f.name], False)
-    aggs = [F.struct(*[e.alias(s) for e, s in zip(_stats(l, missing), _STAT_NAMES)]).alias(f"__s{i}")
-            for i, l in enumerate(leaves)]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("__none")]
-    prof = df.groupBy(*[quote_part(b) for b in by]).agg(*aggs) if by else df.agg(*aggs)
-    order = {tuple(p): i for i, p in enumerate(sorted([p for p, _ in containers] + [l.path for l in leaves],
-                                                      key=lambda p: _position(df.schema, p)))}
-    rows = []
-    for p, kind in containers:
-        rows.append(F.struct(F.lit(".".join(p)).alias("field"), F.lit(kind).alias("type"),
-                             F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(p)]).alias("pos"),
-                             F.lit(None).cast("bigint").alias("n")))
-    for i, l in enumerate(leaves):
-        t, size = _decide(l, F.col(f"__s{i}"), keyword_max)
-        rows.append(F.struct(F.lit(".".join(l.path)).alias("field"), t.alias("type"), size.alias("size"),
-                             F.lit(order[tuple(l.path)]).alias("pos"), F.col(f"__s{i}.n").alias("n")))
-    return prof.select(*[quote_part(b) for b in by], F.inline(F.array(*rows)))
+    return out
+
+
+def _cells(i: int, e: _Entry) -> Column:
+    """The values of one entry as an array of cells (one per value; arrays give one per element)."""
+
+    def cell(x):
+        return F.struct(
+            F.lit(i).alias("idx"), F.lit(e.cat).alias("cat"),
+            (x.cast("string") if e.cat == _TEXT else F.lit(None).cast("string")).alias("t"),
+            (x.cast("double") if e.cat == _FRACTION else F.lit(None).cast("double")).alias("d"),
+            x.isNotNull().alias("p"),
+            (F.length(x) if e.cat == _TEXT else F.lit(None).cast("int")).alias("len"))
+
+    if e.multi:
+        return F.coalesce(F.transform(e.value, cell), F.array().cast(T.ArrayType(_CELL)))
+    return F.array(cell(e.value))
+
+
+def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = KEYWORD_MAX,
+                 by: list[str] | None = None) -> DataFrame:
+    """One row per field: ``field`` (dotted path, ``_list`` for array elements), ``type``,
+    ``size``, ``pos`` (declaration order) and ``n`` (values present). Containers are ``map`` /
+    ``list`` rows before their members.
+
+    Every value is first unpivoted to a ``(field index, value)`` cell, so the type test is ONE
+    expression over one column whatever the number of fields (per-field expressions inlined
+    side by side outgrow the JVM's 64 KB method limit and drop out of generated code). Cells are
+    then counted per field by a partial aggregate: one job, a few rows per task shuffled.
+    With ``by`` the counters are kept per group (e.g. per file of a many-file scan).
+    """
+    by = list(by or [])
+    qby = [quote_part(b) for b in by]
+    entries = _entries(df.schema, by)
+    if not entries:
+        return df.sparkSession.createDataFrame([], "field string, type string, size bigint, pos int, n bigint")
+    cells = df.select(*qby, F.inline(F.concat(*[_cells(i, e) for i, e in enumerate(entries)])))
+    # cleaned text and its digit test are columns of their own, so each is computed once per cell
+    cells = cells.withColumn("t", _clean(F.col("t"), missing))
+    cells = cells.withColumn("dig", F.translate(F.col("t"), "0123456789", "") != F.col("t"))
+    clean = F.col("t")
+    kind = (F.when(F.col("cat") == _TEXT, _kind(clean, F.col("dig")))
+            .when(F.col("cat") == _FRACTION,
+                  F.when(F.col("d").isNull(), F.lit(None)).when(F.col("d") == F.floor("d"), F.lit("i"))
+                  .otherwise(F.lit("n")))
+            .when(F.col("p"), F.lit("x")))
+    # the kind is computed once per cell in a projection; the counters only compare codes
+    coded = cells.select(*qby, "idx", "cat", kind.alias("k"),
+                         F.when(F.col("cat") == _TEXT, clean.rlike(r"\s")).alias("w"), "len")
+    k = F.col("k")
+    stats = coded.groupBy(*qby, "idx", "cat").agg(
+        F.count(k).alias("n"),
+        F.count(F.when(k == "i", F.lit(1))).alias("n_int"),
+        F.count(F.when(k.isin("i", "n"), F.lit(1))).alias("n_num"),
+        F.count(F.when(k == "b", F.lit(1))).alias("n_bool"),
+        F.count(F.when(k == "d", F.lit(1))).alias("n_date"),
+        F.max("len").alias("max_len"),
+        F.count(F.when(F.col("w"), F.lit(1))).alias("n_ws"))
+    order = {tuple(p): j for j, p in enumerate(sorted([e.path for e in entries], key=lambda p: _position(df.schema, p)))}
+    lookup = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("idx") + 1)
+    names = lookup([".".join(e.path) for e in entries])
+    typed = lookup([type_name(e.dtype) for e in entries])
+    pos = lookup([order[tuple(e.path)] for e in entries])
+    n, cat = F.col("n"), F.col("cat")
+    text_type = (F.when(n == 0, F.lit("text"))
+                 .when(F.col("n_int") == n, F.lit("integer"))
+                 .when(F.col("n_num") == n, F.lit("number"))
+                 .when(F.col("n_bool") == n, F.lit("boolean"))
+                 .when(F.col("n_date") == n, F.lit("date"))
+                 .when((F.col("n_ws") == 0) & (F.col("max_len") <= keyword_max), F.lit("keyword"))
+                 .otherwise(F.lit("text")))
+    ftype = (F.when(cat == _MAP, F.lit("map")).when(cat == _LIST, F.lit("list")).when(cat == _TYPED, typed)
+             .when(cat == _FRACTION, F.when((n > 0) & (F.col("n_int") == n), F.lit("integer")).otherwise(F.lit("number")))
+             .otherwise(text_type))
+    size = F.when((cat == _TEXT) & (n > 0) & ftype.isin("keyword", "text"), F.col("max_len").cast("bigint"))
+    return stats.select(*qby, names.alias("field"), ftype.alias("type"), size.alias("size"), pos.alias("pos"),
+                        n.alias("n"))
 
 
 def _position(schema: T.StructType, path: list[str]) -> tuple:
@@ -244,9 +242,6 @@ def _tree(rows) -> list[dict]:
     return root
 
 
-_RANK = {"integer": 1, "number": 2}
-
-
 def merge_type(a: str, b: str) -> str:
     if a == b:
         return a

@@ -15,6 +15,9 @@ _BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; larger whole-stage
+    # functions fall back to per-expression code that is split into compilable methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
