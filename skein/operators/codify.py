@@ -55,6 +55,7 @@ _CELL = T.StructType([
     T.StructField("idx", T.IntegerType()), T.StructField("cat", T.IntegerType()),
     T.StructField("t", T.StringType()), T.StructField("d", T.DoubleType()),
     T.StructField("p", T.BooleanType()), T.StructField("len", T.IntegerType()),
+    T.StructField("pc", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -101,23 +102,33 @@ def _cells(i: int, e: _Entry) -> Column:
             (x.cast("string") if e.cat == _TEXT else F.lit(None).cast("string")).alias("t"),
             (x.cast("double") if e.cat == _FRACTION else F.lit(None).cast("double")).alias("d"),
             x.isNotNull().alias("p"),
-            (F.length(x) if e.cat == _TEXT else F.lit(None).cast("int")).alias("len"))
+            (F.length(x) if e.cat == _TEXT else F.lit(None).cast("int")).alias("len"),
+            F.lit(None).cast("array<int>").alias("pc"))
 
     if e.multi:
         return F.coalesce(F.transform(e.value, cell), F.array().cast(T.ArrayType(_CELL)))
     return F.array(cell(e.value))
 
 
+def _presence(e: _Entry) -> Column:
+    """How many values of a presence-only entry this row holds (array elements count singly)."""
+    if e.multi:
+        return F.coalesce(F.size(F.filter(e.value, lambda x: x.isNotNull())), F.lit(0))
+    return F.when(e.value.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+
+
 def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = KEYWORD_MAX,
                  by: list[str] | None = None) -> DataFrame:
     """One row per field: ``field`` (dotted path, ``_list`` for array elements), ``type``,
     ``size``, ``pos`` (declaration order) and ``n`` (values present). Containers are ``map`` /
     ``list`` rows before their members.
 
-    Every value is first unpivoted to a ``(field index, value)`` cell, so the type test is ONE
-    expression over one column whatever the number of fields (per-field expressions inlined
-    side by side outgrow the JVM's 64 KB method limit and drop out of generated code). Cells are
-    then counted per field by a partial aggregate: one job, a few rows per task shuffled.
+    Every text or fractional value is first unpivoted to a ``(field index, value)`` cell, so the
+    type test is ONE expression over one column whatever the number of fields (per-field
+    expressions inlined side by side outgrow the JVM's 64 KB method limit and drop out of
+    generated code). Fields whose type is already known (integers, dates, containers) only need
+    a presence count: they ride along as one array of counts on a single extra cell per row.
+    Cells are counted per field by a partial aggregate: one job, a few rows per task shuffled.
     With ``by`` the counters are kept per group (e.g. per file of a many-file scan).
     """
     by = list(by or [])
@@ -125,7 +136,15 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
     entries = _entries(df.schema, by)
     if not entries:
         return df.sparkSession.createDataFrame([], "field string, type string, size bigint, pos int, n bigint")
-    cells = df.select(*qby, F.inline(F.concat(*[_cells(i, e) for i, e in enumerate(entries)])))
+    valued = [(i, e) for i, e in enumerate(entries) if e.cat in (_TEXT, _FRACTION)]
+    counted = [(i, e) for i, e in enumerate(entries) if e.cat not in (_TEXT, _FRACTION)]
+    arrays = [_cells(i, e) for i, e in valued]
+    if counted:
+        arrays.append(F.array(F.struct(
+            F.lit(-1).alias("idx"), F.lit(-1).alias("cat"), F.lit(None).cast("string").alias("t"),
+            F.lit(None).cast("double").alias("d"), F.lit(True).alias("p"), F.lit(None).cast("int").alias("len"),
+            F.array(*[_presence(e) for _, e in counted]).alias("pc"))))
+    cells = df.select(*qby, F.inline(F.concat(*arrays)))
     # cleaned text and its digit test are columns of their own, so each is computed once per cell
     cells = cells.withColumn("t", _clean(F.col("t"), missing))
     cells = cells.withColumn("dig", F.translate(F.col("t"), "0123456789", "") != F.col("t"))
@@ -137,7 +156,7 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
             .when(F.col("p"), F.lit("x")))
     # the kind is computed once per cell in a projection; the counters only compare codes
     coded = cells.select(*qby, "idx", "cat", kind.alias("k"),
-                         F.when(F.col("cat") == _TEXT, clean.rlike(r"\s")).alias("w"), "len")
+                         F.when(F.col("cat") == _TEXT, clean.rlike(r"\s")).alias("w"), "len", "pc")
     k = F.col("k")
     stats = coded.groupBy(*qby, "idx", "cat").agg(
         F.count(k).alias("n"),
@@ -146,7 +165,8 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
         F.count(F.when(k == "b", F.lit(1))).alias("n_bool"),
         F.count(F.when(k == "d", F.lit(1))).alias("n_date"),
         F.max("len").alias("max_len"),
-        F.count(F.when(F.col("w"), F.lit(1))).alias("n_ws"))
+        F.count(F.when(F.col("w"), F.lit(1))).alias("n_ws"),
+        *[F.sum(F.col("pc")[j]).alias(f"__pc{j}") for j in range(len(counted))])
     order = {tuple(p): j for j, p in enumerate(sorted([e.path for e in entries], key=lambda p: _position(df.schema, p)))}
     lookup = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("idx") + 1)
     names = lookup([".".join(e.path) for e in entries])
@@ -164,8 +184,16 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
              .when(cat == _FRACTION, F.when((n > 0) & (F.col("n_int") == n), F.lit("integer")).otherwise(F.lit("number")))
              .otherwise(text_type))
     size = F.when((cat == _TEXT) & (n > 0) & ftype.isin("keyword", "text"), F.col("max_len").cast("bigint"))
-    return stats.select(*qby, names.alias("field"), ftype.alias("type"), size.alias("size"), pos.alias("pos"),
-                        n.alias("n"))
+    out = stats.where(F.col("idx") >= 0).select(*qby, names.alias("field"), ftype.alias("type"),
+                                                 size.alias("size"), pos.alias("pos"), n.alias("n"))
+    if counted:
+        kinds = {_MAP: "map", _LIST: "list"}
+        rows = [F.struct(F.lit(".".join(e.path)).alias("field"), F.lit(kinds.get(e.cat, type_name(e.dtype))).alias("type"),
+                         F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(e.path)]).alias("pos"),
+                         F.col(f"__pc{j}").cast("bigint").alias("n"))
+                for j, (_, e) in enumerate(counted)]
+        out = out.unionByName(stats.where(F.col("idx") == -1).select(*qby, F.inline(F.array(*rows))))
+    return out
 
 
 def _position(schema: T.StructType, path: list[str]) -> tuple:
