@@ -64,8 +64,10 @@ def to_documents(df: DataFrame, template, store_to: str | None, by: list[str] |
     if by:
         firsts = dup.groupBy(*qby).agg(F.min("seq").alias("__first"))
         dup = dup.join(firsts, by, "inner")
+        g = firsts.select(*qby)  # one row per document
     else:
         dup = dup.withColumn("__first", dup.select(F.min("seq")).scalar())
+        g = dup.agg(F.count(F.lit(1)).alias("__c")).select()  # exactly one row, even with no data
     is_first = F.col("seq") == F.col("__first")
     first = dup.where(is_first).select(*qby, F.lit(1).alias("part"), "seq", F.lit(0).alias("sub"),
                                        F.col("__j").alias("text"))
@@ -74,7 +76,6 @@ def to_documents(df: DataFrame, template, store_to: str | None, by: list[str] |
                       F.when(is_first, F.col("__k") - 1).otherwise(F.col("__k")).alias("__n"))
     elems = first.unionByName(replicate(rest, "__n"))
     no_seq = F.lit(None).cast(dup.schema["seq"].dataType)
-    g = dup.select(*qby).distinct() if by else dup.agg(F.count(F.lit(1)).alias("__c")).select()
     heads = g.select(*qby, F.lit(0).alias("part"), no_seq.alias("seq"), F.lit(0).alias("sub"),
                      template_expr(head, g).alias("text"))
     tails = g.select(*qby, F.lit(2).alias("part"), no_seq.alias("seq"), F.lit(0).alias("sub"),
