@@ -109,10 +109,14 @@ def reorder_like(df: DataFrame, tree: dict) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, path: str, lines: bool = False, engram=None, missing: str | None = None,
-              keep_order: bool = True) -> DataFrame:
+              keep_order: bool = True, sampling_ratio: float | None = None) -> DataFrame:
     """JSON scan: ``lines=False`` reads files holding one array of objects, ``lines=True``
-    JSON Lines / concatenated objects. With an encoding the values are coerced to it."""
+    JSON Lines / concatenated objects. With an encoding the values are coerced to it and no
+    inference pass runs; without one, Spark infers the schema from all records, or from the
+    fraction ``sampling_ratio`` of them on very large inputs."""
     reader = spark.read.option("multiLine", not lines)
+    if sampling_ratio is not None and engram is None:
+        reader = reader.option("samplingRatio", float(sampling_ratio))
     if engram is not None:
         st = to_struct(load_engram(engram))
         df = reader.schema(text_schema(st)).json(path)

@@ -208,3 +208,17 @@ def test_adjoin_spec_by_urns(spark, tmp):
     rows = {r["Foo"]: r for r in out.collect()}
     assert len(rows) == 8 and rows["first"]["tags"] == ["fun", "fast"] and rows["sixth"]["widgets"] is None
     assert rows["seventh"]["widgets"][0]["part"] == "gear"
+
+
+def test_tee_data_golden_order_and_fanout(spark, tmp):
+    import glob
+
+    write(tmp, "foofile.json", FOOFILE_JSON)
+    origin = {"smt": f"json|{tmp}|foofile.json|*", "options": {"encoding": FOO_SCHEMA},
+              "pattern": {"match": {"Bar": {"search": "row boat"}}, "order": {"Foo": "asc"}}}
+    transfer(spark, origin, terminal=[{"smt": f"parquet|{tmp}|foo_cache|*"}, {"smt": f"json|{tmp}|tee_data|*"}])
+    rows = [json.loads(line) for p in sorted(glob.glob(tmp + "/tee_data/part-*")) for line in open(p)]
+    assert [r["Foo"] for r in rows] == ["first", "fourth", "second", "third"]
+    assert rows[1] == {"Foo": "fourth", "Bar": " boat ", "Baz": 0, "Fobe": 4.3,
+                       "Dt Test": "2018-10-10T14:13:30.500Z", "enabled": False}
+    assert spark.read.parquet(tmp + "/foo_cache").count() == 4
