@@ -232,7 +232,8 @@ def _t_adjoin(df, spec, ctx):
 def _t_conjoin(df, spec, ctx):
     other = _lookup_frame(spec, ctx)
     if spec.get("options", {}).get("pick"):
-        other = sources.pick(other, spec["options"]["pick"])
+        # the join fields live on the enclosing record, so they are carried through the pick
+        other = sources.pick(other, spec["options"]["pick"], keep=list(spec["on"].keys()))
     return joins.conjoin(df, other, spec["on"], spec.get("fields"), spec.get("prefix"))
 
 

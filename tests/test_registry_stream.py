@@ -222,3 +222,15 @@ def test_tee_data_golden_order_and_fanout(spark, tmp):
     assert rows[1] == {"Foo": "fourth", "Bar": " boat ", "Baz": 0, "Fobe": 4.3,
                        "Dt Test": "2018-10-10T14:13:30.500Z", "enabled": False}
     assert spark.read.parquet(tmp + "/foo_cache").count() == 4
+
+
+def test_conjoin_spec_with_pick(spark, tmp):
+    forecasts = [{"cwa": "TOP", "periods": [{"number": 1, "name": "Today"}, {"number": 2, "name": "Tonight"}]},
+                 {"cwa": "LSX", "periods": [{"number": 1, "name": "Today"}]}]
+    write(tmp, "forecast.json", forecasts)
+    spark.createDataFrame([("TOP", 31), ("DMX", 7)], "cwa string, gridX int").createOrReplaceTempView("points")
+    out = transfer(spark, "points", [{"transform": "conjoin", "smt": f"json|{tmp}|forecast.json|*",
+                                      "options": {"pick": "periods"}, "on": {"cwa": "=cwa"}}],
+                   datasets={"points": spark.table("points")})
+    assert out.columns == ["cwa", "gridX", "number", "name"]
+    assert sorted((r.cwa, r.number, r.name) for r in out.collect()) == [("TOP", "1", "Today"), ("TOP", "2", "Tonight")]
