@@ -15,27 +15,31 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-# Copies of one row are generated level by level from arrays of at most this many elements,
-# so even a row repeated billions of times never materialises a large array.
+# Copies of one row are generated level by level from arrays of at most this many elements.
 _FANOUT = 4096
 _LEVELS = 4
 
 
 def replicate(df: DataFrame, count: str) -> DataFrame:
-    """Emit each row ``count`` times (``count`` >= 0), streaming the copies.
+    """Emit each row ``count`` times (``count`` >= 0).
 
-    ``explode(sequence(1, n))`` would build an n-element array per row; here the copies are
-    split into ranges over ``_LEVELS`` nested explodes of at most ``_FANOUT`` elements each.
+    Counts up to ``_FANOUT`` take one ``explode(sequence(1, n))``; larger counts are split into
+    ranges over ``_LEVELS`` nested explodes of at most ``_FANOUT`` elements each, so no large
+    array is built. As with Spark's own ``EXCEPT ALL``, all copies of one input row are produced
+    by one task and, under whole-stage codegen, buffered before a writer consumes them: the
+    copies of a single row must fit in a task's memory.
     """
     cols = [quote_part(c) for c in df.columns if c != count]
-    cur = df.where(F.col(count) > 0).withColumn("__r", F.col(count).cast("long"))
+    n = F.col(count).cast("long")
+    small = df.where((n > 0) & (n <= _FANOUT)).withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    cur = df.where(n > _FANOUT).withColumn("__r", n)
     for level in range(_LEVELS - 1, 0, -1):
         size = _FANOUT ** level
         cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"),
                                                          F.floor((F.col("__r") - 1) / F.lit(size)).cast("long"))))
         cur = cur.withColumn("__r", F.least(F.lit(size).cast("long"), F.col("__r") - F.col("__c") * F.lit(size)))
     cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__r"))))
-    return cur.select(*cols)
+    return small.select(*cols).unionByName(cur.select(*cols))
 
 
 def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side") -> DataFrame:

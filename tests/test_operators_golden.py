@@ -198,3 +198,11 @@ def test_size_shuffles(spark):
     assert n == 409600
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "409600"
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
+def test_replicate_small_and_nested_paths(spark):
+    from skein.operators.setops import replicate
+
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3), ("d", 4096), ("e", 4096 * 5 + 17)], "k string, n long")
+    got = {r.k: r.c for r in replicate(df, "n").groupBy("k").agg(F.count("*").alias("c")).collect()}
+    assert got == {"b": 1, "c": 3, "d": 4096, "e": 4096 * 5 + 17}
