@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,11 +29,12 @@ def get_spark(master: str | None = None, app: str = "skein", shuffle_partitions:
               time_zone: str | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators expect.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to ``local[*]``.
+    ``master`` is set only when given: on a cluster it comes from spark-submit, and a plain
+    ``python`` run falls back to Spark's own local default.
     """
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        b = b.master(master or "local[*]")
+    if master:
+        b = b.master(master)
     for k, v in _BASE_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
