@@ -234,3 +234,20 @@ def test_conjoin_spec_with_pick(spark, tmp):
                    datasets={"points": spark.table("points")})
     assert out.columns == ["cwa", "gridX", "number", "name"]
     assert sorted((r.cwa, r.number, r.name) for r in out.collect()) == [("TOP", "1", "Today"), ("TOP", "2", "Tonight")]
+
+
+def test_registry_save_and_load(spark, tmp):
+    reg = _reg(spark)
+    R.save_registry(reg, tmp + "/registry")
+    again = R.load_registry(spark, tmp + "/registry")
+    assert sorted(r.urn for r in again.collect()) == sorted(r.urn for r in reg.collect())
+    # saving a registry derived from what is stored at the same path goes through staging
+    R.save_registry(R.registry_dull(again, "foo:foo_alias"), tmp + "/registry")
+    assert R.load_registry(spark, tmp + "/registry").count() == 3
+    assert R.load_registry(spark, tmp + "/missing").count() == 0
+
+
+def test_jdbc_column_types_from_sizes():
+    from skein.sources.jdbc import varchar_columns
+
+    assert varchar_columns(FOO_SCHEMA) == "`Foo` VARCHAR(64), `Bar` VARCHAR(256)"
