@@ -413,7 +413,7 @@ ORACLE = {
     "conjoin": """select n_name, c_custkey, c_name from nation join customer on n_nationkey = c_nationkey""",
     "foreach": """select o_orderkey, o_custkey, o_totalprice from customer join orders on o_custkey = c_custkey
         where c_mktsegment = 'FURNITURE'""",
-    "aggregate": """select l_returnflag, l_linestatus, count(*) as n, sum(cast(l_quantity as decimal(18,2))) as q,
+    "aggregate": """select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as decimal(28,2)) as q,
         min(l_extendedprice) as mn, max(l_extendedprice) as mx, count(distinct l_suppkey) as ds
         from lineitem group by l_returnflag, l_linestatus""",
     "search": """select doc_id, lang from documents
@@ -441,8 +441,9 @@ ORACLE = {
     "union": """select c_custkey as key, c_name as name from customer
         union all select s_suppkey as key, s_name as name from supplier""",
     "documents": """select c_nationkey, count(*) as n_items,
-        length('{"name":"nation-' || cast(c_nationkey as varchar) || '","data":[') + sum(length(to_json({'c_custkey': c_custkey, 'c_name': c_name})))
-          + count(*) - 1 + length(']}') as doc_chars
+        cast(length('{"name":"nation-' || cast(c_nationkey as varchar) || '","data":[')
+          + sum(length(to_json({'c_custkey': c_custkey, 'c_name': c_name}))) + count(*) - 1 + length(']}') as bigint)
+          as doc_chars
         from customer group by c_nationkey""",
     "dull": """select l_orderkey, l_linenumber from lineitem
         where not coalesce(l_returnflag = 'R' and l_discount >= 0.05, false)""",
@@ -469,7 +470,7 @@ ORACLE = {
     "retrieve": """select doc_id, n_chars from documents where lang = 'en'
         and list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['the'])
         order by n_chars desc, doc_id limit 20""",
-    "pick": """select vec_id, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as value
+    "pick": """select vec_id, cast(unnest(range(len(embedding))) as integer) as pos, cast(unnest(embedding) as double) as value
         from embeddings""",
     "union_missing": """select c_custkey as key, c_name as name, c_acctbal as bal, cast(null as integer) as region
           from customer

@@ -23,6 +23,15 @@ def _norm(v):
     return v
 
 
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT": "float",
+          "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+
+
+def _duck_type(t):
+    t = str(t)
+    return t.lower().replace(" ", "") if t.startswith("DECIMAL") else _TYPES.get(t, t)
+
+
 def _canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
@@ -47,6 +56,8 @@ def test_query_matches_oracle(spark, con, name):
         res = con.execute(E.oracle_sql()[name])
         cols = [d[0] for d in res.description]
         assert sorted(cols) == sorted(df.columns)
+        spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        assert {d[0]: _duck_type(d[1]) for d in res.description} == spark_types
         assert _canon(df.columns, rows) == _canon(cols, res.fetchall())
     finally:
         spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
