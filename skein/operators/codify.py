@@ -184,16 +184,19 @@ def codify_frame(df: DataFrame, missing: str | None = None, keyword_max: int = K
              .when(cat == _FRACTION, F.when((n > 0) & (F.col("n_int") == n), F.lit("integer")).otherwise(F.lit("number")))
              .otherwise(text_type))
     size = F.when((cat == _TEXT) & (n > 0) & ftype.isin("keyword", "text"), F.col("max_len").cast("bigint"))
-    out = stats.where(F.col("idx") >= 0).select(*qby, names.alias("field"), ftype.alias("type"),
-                                                 size.alias("size"), pos.alias("pos"), n.alias("n"))
-    if counted:
-        kinds = {_MAP: "map", _LIST: "list"}
-        rows = [F.struct(F.lit(".".join(e.path)).alias("field"), F.lit(kinds.get(e.cat, type_name(e.dtype))).alias("type"),
-                         F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(e.path)]).alias("pos"),
-                         F.col(f"__pc{j}").cast("bigint").alias("n"))
-                for j, (_, e) in enumerate(counted)]
-        out = out.unionByName(stats.where(F.col("idx") == -1).select(*qby, F.inline(F.array(*rows))))
-    return out
+    value_row = F.struct(names.alias("field"), ftype.alias("type"), size.alias("size"), pos.cast("int").alias("pos"),
+                         n.alias("n"))
+    if not counted:
+        return stats.select(*qby, F.inline(F.array(value_row)))
+    kinds = {_MAP: "map", _LIST: "list"}
+    presence_rows = [F.struct(F.lit(".".join(e.path)).alias("field"), F.lit(kinds.get(e.cat, type_name(e.dtype))).alias("type"),
+                              F.lit(None).cast("bigint").alias("size"), F.lit(order[tuple(e.path)]).cast("int").alias("pos"),
+                              F.col(f"__pc{j}").cast("bigint").alias("n"))
+                     for j, (_, e) in enumerate(counted)]
+    # both kinds of output rows come from the one aggregate (a union of filtered branches would
+    # have the filters pushed below the aggregate and scan the input twice)
+    rows = F.when(F.col("idx") >= 0, F.array(value_row)).otherwise(F.array(*presence_rows))
+    return stats.select(*qby, F.inline(rows))
 
 
 def _position(schema: T.StructType, path: list[str]) -> tuple:
