@@ -316,3 +316,20 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
         if terminal is not None:
             for p in ctx.get("persisted", []):
                 p.unpersist()
+
+
+def scan_transfer(spark: SparkSession, path: str, glob: str = "*", exclude: list[str] | None = None,
+                  transforms=(), out_path: str | None = None, fmt: str = "json", out_fmt: str = "json",
+                  read_options: dict | None = None, recursive: bool = False) -> DataFrame:
+    """The ``scan`` action: the same sub-pipeline over every matching dataset at a location.
+
+    Instead of one job per file, all matching files are read at once (``scan_many``: ``name``,
+    ``rpath`` and ``schema`` say where each row came from), the transforms run once over the
+    union, and the output is split per source dataset (``schema=<name>`` directories).
+    """
+    many = sources.scan_many(spark, path, glob, exclude, fmt=fmt, recursive=recursive,
+                             merge_schema=fmt == "parquet", options=read_options)
+    out = run_transforms(many.drop("name", "rpath"), transforms, {"spark": spark, "datasets": {}})
+    if out_path is not None and "schema" in out.columns:
+        sinks.write_split(out, out_path, "schema", fmt=out_fmt)
+    return out

@@ -251,3 +251,21 @@ def test_jdbc_column_types_from_sizes():
     from skein.sources.jdbc import varchar_columns
 
     assert varchar_columns(FOO_SCHEMA) == "`Foo` VARCHAR(64), `Bar` VARCHAR(256)"
+
+
+def test_scan_transfer_runs_one_pipeline_per_dataset(spark, tmp):
+    import glob as g
+
+    from skein.plans.transfer import scan_transfer
+
+    os.makedirs(tmp + "/many")
+    write(tmp + "/many", "one.json", "\n".join(json.dumps(r) for r in FOOFILE_JSON[:4]))
+    write(tmp + "/many", "two.json", "\n".join(json.dumps(r) for r in FOOFILE_JSON[4:]))
+    write(tmp + "/many", "skip.json", json.dumps(FOOFILE_JSON[0]))
+    out = scan_transfer(spark, tmp + "/many", "*.json", exclude=["skip*"],
+                        transforms=[{"transform": "filter", "match": {"Bar": {"search": "row boat data"}}}],
+                        out_path=tmp + "/split", read_options={"primitivesAsString": True})
+    assert sorted((r.schema, r.Foo) for r in out.collect()) == [
+        ("one", "first"), ("one", "fourth"), ("one", "second"), ("one", "third"), ("two", "eighth"),
+        ("two", "seventh")]
+    assert sorted(os.path.basename(p) for p in g.glob(tmp + "/split/schema=*")) == ["schema=one", "schema=two"]
