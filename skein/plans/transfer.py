@@ -333,3 +333,48 @@ def scan_transfer(spark: SparkSession, path: str, glob: str = "*", exclude: list
     if out_path is not None and "schema" in out.columns:
         sinks.write_split(out, out_path, "schema", fmt=out_fmt)
     return out
+
+
+def _substitute(spec, params: dict):
+    """``"=${name}"`` becomes the parameter itself (any type); ``${name}`` inside text is replaced."""
+    import re
+
+    if isinstance(spec, dict):
+        return {k: _substitute(v, params) for k, v in spec.items()}
+    if isinstance(spec, list):
+        return [_substitute(v, params) for v in spec]
+    if isinstance(spec, str):
+        whole = re.fullmatch(r"=\$\{([^}]+)\}", spec)
+        if whole:
+            return params.get(whole.group(1))
+        return re.sub(r"\$\{([^}]+)\}", lambda m: str(params.get(m.group(1), "")), spec)
+    return spec
+
+
+def foreach(spark: SparkSession, driver: DataFrame, fiber: dict, terminal=None, datasets: dict | None = None,
+            registry: DataFrame | None = None) -> DataFrame:
+    """The ``foreach`` action over a list of datasets: each driving row (e.g. a registry entry)
+    parameterises the sub-pipeline ``fiber`` (``{"origin": ..., "transforms": [...]}``) through
+    ``${field}`` references, and all results go to one output.
+
+    The driving rows describe datasets (metadata, one per dataset), so they are read on the driver;
+    every sub-pipeline stays a lazy plan and their union runs as ONE job. For rows that are data
+    parameterising a lookup, use :func:`skein.operators.joins.foreach_join` instead.
+    """
+    from ..operators.setops import union_all
+    from .registry import ENTRY_SCHEMA, entry_dict
+
+    is_registry = set(ENTRY_SCHEMA.fieldNames()) <= set(driver.columns)
+    frames = []
+    for row in driver.collect():
+        params = entry_dict(row) if is_registry else row.asDict(recursive=True)
+        spec = _substitute(fiber, params)
+        ctx = {"spark": spark, "datasets": datasets or {}, "registry": registry}
+        frames.append(run_transforms(open_origin(spark, spec["origin"], datasets, registry),
+                                     spec.get("transforms", []), ctx))
+    if not frames:
+        raise ValueError("foreach: the driving dataset is empty")
+    out = union_all(frames)
+    if terminal is not None:
+        write_terminal(out, terminal)
+    return out

@@ -269,3 +269,24 @@ def test_scan_transfer_runs_one_pipeline_per_dataset(spark, tmp):
         ("one", "first"), ("one", "fourth"), ("one", "second"), ("one", "third"), ("two", "eighth"),
         ("two", "seventh")]
     assert sorted(os.path.basename(p) for p in g.glob(tmp + "/split/schema=*")) == ["schema=one", "schema=two"]
+
+
+def test_foreach_over_registry_entries(spark, tmp):
+    from fixtures import FOOFILE_CSV
+
+    from skein.plans.transfer import foreach
+
+    write(tmp, "foofile.json", FOOFILE_JSON)
+    write(tmp, "foofile.csv", FOOFILE_CSV)
+    reg = R.registry_frame(spark, [
+        {"realm": "foo", "name": "json_foo", "type": "engram", "tags": ["bar"], "smt": f"json|{tmp}|foofile.json|*",
+         "fields": FOO_SCHEMA["fields"]},
+        {"realm": "foo", "name": "csv_foo", "type": "engram", "tags": ["bar"], "smt": f"csv|{tmp}|foofile.csv|*",
+         "fields": FOO_SCHEMA["fields"]},
+        {"realm": "foo", "name": "other", "type": "engram", "tags": ["baz"], "smt": f"json|{tmp}|missing.json|*"}])
+    driving = R.registry_retrieve(reg, {"match": {"tags": "bar"}})
+    fiber = {"origin": {"smt": "=${smt}", "options": {"encoding": {"fields": "=${fields}"}},
+                        "pattern": {"match": {"Foo": "second"}}}}
+    out = foreach(spark, driving, fiber, terminal={"smt": f"json|{tmp}|foreach_out|*"})
+    assert [(r.Foo, r.Baz) for r in out.collect()] == [("second", 456), ("second", 456)]
+    assert spark.read.json(tmp + "/foreach_out").count() == 2
