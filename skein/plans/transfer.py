@@ -378,3 +378,52 @@ def foreach(spark: SparkSession, driver: DataFrame, fiber: dict, terminal=None,
     if terminal is not None:
         write_terminal(out, terminal)
     return out
+
+
+def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, registry: DataFrame | None = None):
+    """Run one fiber spec by its ``action`` (default ``transfer``) and return its result:
+
+    * ``transfer`` / ``retrieve`` -> the output DataFrame (written to ``terminal`` when given);
+    * ``codify`` -> the inferred encoding (``origin.options.count`` samples, ``missingValue``,
+      ``encoding_format``);
+    * ``dull`` -> ``{"deleted": n}`` for a parquet origin (rewritten in place through staging);
+    * ``list`` -> the inventory DataFrame; ``scan`` -> the combined result of ``scan_transfer``;
+    * ``foreach`` -> the union of the sub-fiber over the driving rows.
+    """
+    from ..operators.codify import codify as codify_engram
+    from ..sinks.files import dull_path
+
+    action = fiber.get("action", "transfer")
+    origin = fiber.get("origin")
+    terminal = fiber.get("terminal")
+    if isinstance(terminal, dict) and not terminal.get("smt"):
+        terminal = None  # an output-only terminal names a comparison file of the reference tests
+    if action in ("transfer", "retrieve"):
+        return transfer(spark, origin, fiber.get("transforms", []), terminal, datasets, registry=registry)
+    if action == "codify":
+        opts = (origin or {}).get("options", {}) or {}
+        src = open_origin(spark, {k: v for k, v in origin.items() if k != "options"} | {"options": {
+            k: v for k, v in opts.items() if k not in ("count", "encoding_format")}}, datasets, registry)
+        src = run_transforms(src, fiber.get("transforms", []), {"spark": spark, "datasets": datasets or {},
+                                                                  "registry": registry})
+        return codify_engram(src, missing=fiber.get("missingValue"), format=opts.get("encoding_format"),
+                             name=fiber.get("name"), sample=opts.get("count"))
+    if action == "dull":
+        addr = Address.parse(origin["smt"])
+        return {"deleted": dull_path(spark, addr.path, (origin.get("pattern") or {}).get("match", "*"),
+                                     fmt=addr.model if addr.model != "*" else "parquet")}
+    if action == "list":
+        addr = Address.parse(origin["smt"])
+        opts = origin.get("options", {}) or {}
+        return sources.inventory(spark, addr.locus, addr.schema or "*", bool(opts.get("recursive")))
+    if action == "scan":
+        addr = Address.parse(origin["smt"])
+        opts = origin.get("options", {}) or {}
+        return scan_transfer(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber.get("transforms", []),
+                             Address.parse(terminal["smt"]).path if terminal else None, fmt=addr.model)
+    if action == "foreach":
+        driver = open_origin(spark, origin, datasets, registry) if not (
+            isinstance(origin, dict) and origin.get("smt") in ("$:engrams", "$:tracts") and registry is not None) \
+            else pattern.retrieve(registry, origin.get("pattern") or {})
+        return foreach(spark, driver, fiber["fibers"][0], terminal, datasets, registry)
+    raise ValueError(f"unknown action {action!r}")

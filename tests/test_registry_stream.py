@@ -290,3 +290,24 @@ def test_foreach_over_registry_entries(spark, tmp):
     out = foreach(spark, driving, fiber, terminal={"smt": f"json|{tmp}|foreach_out|*"})
     assert [(r.Foo, r.Baz) for r in out.collect()] == [("second", 456), ("second", 456)]
     assert spark.read.json(tmp + "/foreach_out").count() == 2
+
+
+def test_run_fiber_actions(spark, tmp):
+    from fixtures import FOOFILE_CSV
+
+    from skein.plans.transfer import run_fiber
+
+    write(tmp, "foofile.csv", FOOFILE_CSV)
+    out = run_fiber(spark, {"action": "transfer",
+                            "origin": {"smt": f"csv|{tmp}|foofile.csv|*", "options": {"encoding": FOO_SCHEMA, "hasHeader": True}},
+                            "transforms": [{"transform": "filter", "match": {"Bar": "row"}, "drop": {"Baz": 456}}],
+                            "terminal": {"output": "ignored.json"}})
+    assert [r.Foo for r in out.collect()] == ["first"]
+    eng = run_fiber(spark, {"action": "codify", "name": "codify csv",
+                            "origin": {"smt": f"csv|{tmp}|foofile.csv|*", "options": {"hasHeader": True}}})
+    assert [f["type"] for f in eng["fields"]] == ["keyword", "text", "integer", "number", "date", "boolean"]
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(tmp + "/ds")
+    assert run_fiber(spark, {"action": "dull", "origin": {"smt": f"parquet|{tmp}|ds|*",
+                                                          "pattern": {"match": {"v": "a"}}}}) == {"deleted": 1}
+    listing = run_fiber(spark, {"action": "list", "origin": {"smt": f"csv|{tmp}|*.csv|*"}})
+    assert [r.name for r in listing.collect()] == ["foofile.csv"]
