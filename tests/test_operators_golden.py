@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from fixtures import FOO_SCHEMA, FOOFILE_CSV, FOOFILE_JSON, SUBOBJ1, WIDGETS, rows_as_json, write
 from pyspark.sql import functions as F

@@ -4,11 +4,10 @@ import json
 import os
 import zipfile
 
-from fixtures import FOO_MISSING_CSV, FOO_SCHEMA, FOOFILE_CSV, FOOFILE_JSON, POLYGONS, rows_as_json, write
+from fixtures import FOO_MISSING_CSV, FOO_SCHEMA, FOOFILE_CSV, FOOFILE_JSON, POLYGONS, write
 from pyspark.sql import functions as F
 
 from skein.operators.codify import codify, codify_frame, merge_engram, profile
-from skein.operators.geometry import contains_point
 from skein.operators.pattern import match
 from skein.plans.engram import from_struct, normalize_fields, to_struct
 from skein.sinks.documents import to_documents, write_documents
