@@ -44,10 +44,15 @@ def transfer_stream(spark: SparkSession, path: str, steps, sink_path: str, check
     return w.start()
 
 
-def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bool = True):
+def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bool = True,
+                  output_mode: str = "append"):
     """Streaming tee / upsert: each micro-batch is persisted once and handed to every sink as
     ``sink(batch_df, batch_id)``; sinks should be idempotent per ``batch_id`` (e.g. a keyed
-    upsert), so a replayed batch after a failure does not duplicate rows."""
+    upsert), so a replayed batch after a failure does not duplicate rows.
+
+    ``output_mode="complete"`` (or ``"update"``) lets an ``aggregate`` step run over the stream:
+    Spark keeps the running groups in its checkpointed state store and hands each batch the
+    current totals (complete) or the changed groups (update)."""
     def run(batch: DataFrame, batch_id: int):
         b = batch.persist()
         try:
@@ -56,7 +61,7 @@ def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bo
         finally:
             b.unpersist()
 
-    w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode(output_mode)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 

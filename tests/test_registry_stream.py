@@ -311,3 +311,28 @@ def test_run_fiber_actions(spark, tmp):
                                                           "pattern": {"match": {"v": "a"}}}}) == {"deleted": 1}
     listing = run_fiber(spark, {"action": "list", "origin": {"smt": f"csv|{tmp}|*.csv|*"}})
     assert [r.name for r in listing.collect()] == ["foofile.csv"]
+
+
+def test_streaming_aggregate_equals_batch(spark, tmp):
+    from skein.operators.aggregate import aggregate
+    from skein.streaming.stream import foreach_batch, read_stream
+
+    os.makedirs(tmp + "/in")
+    rows = [{"category": c, "cost": str(v)} for c, v in [("a", 1), ("b", 2), ("a", 3)]]
+    write(tmp + "/in", "p1.json", "\n".join(json.dumps(r) for r in rows))
+    eng = {"fields": [{"name": "category", "type": "keyword"}, {"name": "cost", "type": "number"}]}
+    spec = {"n": ("count", "*"), "total": ("sum", "cost")}
+
+    def totals_sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(tmp + "/totals")  # complete mode: full current totals
+
+    def run():
+        src = read_stream(spark, tmp + "/in", "json", engram=eng)
+        foreach_batch(aggregate(src, ["category"], spec), [totals_sink], tmp + "/ck",
+                      output_mode="complete").awaitTermination(120)
+
+    run()
+    write(tmp + "/in", "p2.json", json.dumps({"category": "b", "cost": "5"}))
+    run()
+    got = {r.category: (r.n, r.total) for r in spark.read.parquet(tmp + "/totals").collect()}
+    assert got == {"a": (2, 4.0), "b": (2, 7.0)}
