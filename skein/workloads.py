@@ -308,6 +308,21 @@ def q_compare_counts(spark, d):
     return setops.compare_counts(c, s)
 
 
+def q_page_domains(spark, d):
+    pages = table(spark, d, "pages")
+    hosts = mutate.mutate(pages, map={"domain": ["url", "^[a-z]+://([^/?#]+).*$", "$1"]})
+    return agg_ops.aggregate(hosts, by=["domain"], aggs={"n": ("count", "*")})
+
+
+def q_labels_by_lang(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    labels = table(spark, d, "labels")
+    joined = joins.adjoin(docs, labels, lookup={"doc_id": "=doc_id"}, inject=["quality", "toxic"])
+    return agg_ops.aggregate(joined, by=["lang"], aggs={
+        "n_docs": ("count", "*"), "n_labelled": ("count", "quality"),
+        "n_quality": ("sum", "quality"), "n_toxic": ("sum", "toxic")})
+
+
 QUERIES = {
     "filter_match_drop": q_filter_match_drop,
     "mutate": q_mutate,
@@ -350,6 +365,8 @@ QUERIES = {
     "dull_search": q_dull_search,
     "mutate_nested": q_mutate_nested,
     "compare_counts": q_compare_counts,
+    "page_domains": q_page_domains,
+    "labels_by_lang": q_labels_by_lang,
 }
 
 
@@ -484,4 +501,9 @@ ORACLE = {
         from (select c_nationkey k, count(*) n from customer group by 1) e
         full outer join (select s_nationkey k, count(*) n from supplier group by 1) a on e.k = a.k
         where coalesce(e.n, 0) != coalesce(a.n, 0)""",
+    "page_domains": """select regexp_replace(url, '^[a-z]+://([^/?#]+).*$', '\\1') as domain, count(*) as n
+        from pages group by 1""",
+    "labels_by_lang": """select lang, count(*) as n_docs, count(quality) as n_labelled,
+        cast(sum(quality) as bigint) as n_quality, cast(sum(toxic) as bigint) as n_toxic
+        from documents left join labels using (doc_id) group by lang""",
 }
