@@ -77,8 +77,10 @@ def high_water(df: DataFrame, field: str) -> Column:
     return df.select(F.max(col_path(field, df))).scalar()
 
 
-def with_metrics(df: DataFrame, name: str = "transfer") -> tuple[DataFrame, Observation]:
+def with_metrics(df: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
     """Attach a row-count observation; it is filled by whatever action consumes ``df``, so the
-    count costs no extra pass over the data."""
-    obs = Observation(name)
+    count costs no extra pass over the data. Each call gets its own observation name."""
+    import uuid
+
+    obs = Observation(name or f"metrics_{uuid.uuid4().hex[:12]}")
     return df.observe(obs, F.count(F.lit(1)).alias("count")), obs

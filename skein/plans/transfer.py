@@ -300,7 +300,7 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
     try:
         if terminal is None:
             return df
-        observed, obs = agg_ops.with_metrics(df, f"transfer_{id(df)}")
+        observed, obs = agg_ops.with_metrics(df)
         t0 = time.perf_counter()
         terms = terminal if isinstance(terminal, list) else [terminal]
         if len(terms) == 1:
