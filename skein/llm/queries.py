@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import op2_toxicity, op9_language_id, op10_token_counts
+from . import op2_toxicity, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
 from .common import held_out_bucket, ship_package, table
 
 
@@ -27,6 +27,19 @@ def op2_toxicity_scores(spark, d):
     return op2_toxicity.predict(op2_toxicity.score(docs, model)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_packing_query(spark, d):
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    return op6_packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"), source)
+
+
+def op7_decontamination_query(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return op7_decontamination.decontaminate(docs, table(spark, d, "benchmark").select("item_id", "text")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_language_id_query(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     held = held_out_bucket("doc_id", 3) == 1
@@ -42,6 +55,8 @@ def op10_token_counts_query(spark, d):
 
 _OWN = {
     "op2_toxicity": op2_toxicity_scores,
+    "op6_packing": op6_packing_query,
+    "op7_decontamination": op7_decontamination_query,
     "op9_language_id": op9_language_id_query,
     "op10_token_counts": op10_token_counts_query,
 }
@@ -59,4 +74,29 @@ def _query(fn):
 
 QUERIES = {name: _query(fn) for name, fn in _OWN.items()}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_decontamination": r"""
+        with low as (
+            select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        docs as (
+            select doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from low),
+        items as (
+            select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from benchmark where item_id is not null),
+        windows as (
+            select distinct item_id, least(10, len(w)) as n, array_to_string(w[q:q + least(10, len(w)) - 1], ' ') as phrase
+            from items, unnest(range(1, greatest(1, len(w) - 9) + 1)) as u(q) where len(w) > 0),
+        sizes as (select distinct n from windows),
+        spots as (
+            select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as phrase
+            from docs, sizes, unnest(range(1, len(w) - n + 2)) as u(p)),
+        found as (select doc_id, item_id, p, n from spots join windows using (n, phrase)),
+        covered as (select doc_id, count(distinct p + k) as n_hit from found, unnest(range(0, n)) as u(k) group by doc_id),
+        named as (
+            select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as h
+            from found group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from docs left join covered using (doc_id) left join named using (doc_id)""",
+}
