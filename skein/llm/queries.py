@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import op2_toxicity, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
+from . import op2_toxicity, op3_ann, op5_pii, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
 from .common import held_out_bucket, ship_package, table
 
 
@@ -27,6 +27,16 @@ def op2_toxicity_scores(spark, d):
     return op2_toxicity.predict(op2_toxicity.score(docs, model)).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_nearest_neighbours(spark, d):
+    found = op3_ann.nearest(table(spark, d, "embeddings").select("vec_id", "embedding"), lambda i: F.pmod(i, F.lit(50)) == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op5_pii_pseudonyms(spark, d):
+    docs = op5_pii.pseudonymize(table(spark, d, "documents"), count_col="n_replaced")
+    return docs.select("doc_id", "text", "n_replaced")
+
+
 def op6_packing_query(spark, d):
     with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         source = f.read()
@@ -55,6 +65,8 @@ def op10_token_counts_query(spark, d):
 
 _OWN = {
     "op2_toxicity": op2_toxicity_scores,
+    "op3_ann": op3_nearest_neighbours,
+    "op5_pii": op5_pii_pseudonyms,
     "op6_packing": op6_packing_query,
     "op7_decontamination": op7_decontamination_query,
     "op9_language_id": op9_language_id_query,
