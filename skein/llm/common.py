@@ -119,6 +119,20 @@ def held_out_bucket(doc_id, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+#: bits of the tables that pick rows while reading, whatever the size of the data
+TABLE_BITS = 24
+
+
+def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
+    """Marks of the top TABLE_BITS of 64-bit hashes. What is collected is bounded by the table's size."""
+    got = hashes.select(F.shiftrightunsigned(F.col(col), 64 - TABLE_BITS).alias("slot")) \
+        .select(F.expr("int(shiftright(slot, 5))").alias("k"), F.expr("shiftleft(1L, int(slot % 32))").alias("v")) \
+        .groupBy("k").agg(F.bit_or("v").alias("v")).toPandas()
+    bits = np.zeros(1 << TABLE_BITS - 5, np.uint32)
+    bits[got["k"]] = got["v"].to_numpy().astype(np.uint32)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
 def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the first bytes of all characters, and their code points (valid UTF-8)."""
     lead = np.flatnonzero((raw & 0xC0) != 0x80)

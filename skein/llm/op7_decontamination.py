@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_buffers
+from .common import TABLE_BITS, bit_table, slices, staged, text_buffers
 from .words import alphanumeric, word_hashes
 
 WINDOW = 10
-TABLE_BITS = 24  # the bit table that picks words while reading has 2 ** 24 bits, whatever the size of the benchmark
 _WORD = alphanumeric()
 
 
@@ -49,16 +48,6 @@ def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return part.mapInArrow(run, "item string, words array<bigint>").where(F.size("words") > 0).distinct()
 
 
-def bit_table(words: DataFrame, col: str) -> np.ndarray:
-    """Bits at the top TABLE_BITS of each hash. What is collected is bounded by the table's size."""
-    got = words.select(F.shiftrightunsigned(F.col(col), 64 - TABLE_BITS).alias("slot")) \
-        .select(F.expr("int(shiftright(slot, 5))").alias("k"), F.expr("shiftleft(1L, int(slot % 32))").alias("v")) \
-        .groupBy("k").agg(F.bit_or("v").alias("v")).toPandas()
-    bits = np.zeros(1 << TABLE_BITS - 5, np.uint32)
-    bits[got["k"]] = got["v"].to_numpy().astype(np.uint32)
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _picked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
 

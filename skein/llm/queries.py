@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import op2_toxicity, op3_ann, op5_pii, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
+from . import op2_toxicity, op3_ann, op4_near_dedup, op5_pii, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
 from .common import held_out_bucket, ship_package, table
 
 
@@ -32,6 +32,10 @@ def op3_nearest_neighbours(spark, d):
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_near_duplicates(spark, d):
+    return op4_near_dedup.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op5_pii_pseudonyms(spark, d):
     docs = op5_pii.pseudonymize(table(spark, d, "documents"), count_col="n_replaced")
     return docs.select("doc_id", "text", "n_replaced")
@@ -66,6 +70,7 @@ def op10_token_counts_query(spark, d):
 _OWN = {
     "op2_toxicity": op2_toxicity_scores,
     "op3_ann": op3_nearest_neighbours,
+    "op4_near_dedup": op4_near_duplicates,
     "op5_pii": op5_pii_pseudonyms,
     "op6_packing": op6_packing_query,
     "op7_decontamination": op7_decontamination_query,
