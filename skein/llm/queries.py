@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import op2_toxicity, op3_ann, op4_near_dedup, op5_pii, op6_packing, op7_decontamination, op9_language_id, op10_token_counts
+from . import op2_toxicity, op3_ann, op4_near_dedup, op5_pii, op6_packing, op7_decontamination, op8_substring_dedup, op9_language_id, op10_token_counts
 from .common import held_out_bucket, ship_package, table
 
 
@@ -54,6 +54,10 @@ def op7_decontamination_query(spark, d):
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_repeated_passages(spark, d):
+    return op8_substring_dedup.repeated_passages(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op9_language_id_query(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     held = held_out_bucket("doc_id", 3) == 1
@@ -74,6 +78,7 @@ _OWN = {
     "op5_pii": op5_pii_pseudonyms,
     "op6_packing": op6_packing_query,
     "op7_decontamination": op7_decontamination_query,
+    "op8_substring_dedup": op8_repeated_passages,
     "op9_language_id": op9_language_id_query,
     "op10_token_counts": op10_token_counts_query,
 }
