@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -99,17 +100,19 @@ def map_texts(df: DataFrame, text_col: str, out_fields: str, fn: Callable, keep:
     ``fn(raw, offsets) -> dict of arrays`` gets the flat bytes of some rows and returns one value
     per row for each name in ``out_fields`` (a DDL string). ``keep`` columns are carried along.
     """
-    part = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1]), out_fields])
+    at = keep.index(text_col) if text_col in keep and dict(df.dtypes)[text_col] == "string" else len(keep)
+    extra = [F.col(f"`{text_col}`").cast("string").alias("__text")] if at == len(keep) else []
+    part = df.select(*[F.col(f"`{c}`") for c in keep], *extra)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:len(keep)]), out_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(batch.num_columns - 1))
+            raw, offsets = text_buffers(batch.column(at))
             for i, j in slices(offsets):
                 out = fn(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
+                cols = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()]
-                yield pa.RecordBatch.from_arrays([*cols, *arrays], names=[*batch.schema.names[:-1], *out])
+                yield pa.RecordBatch.from_arrays([*cols, *arrays], names=[*batch.schema.names[:len(keep)], *out])
 
     return part.mapInArrow(run, schema)
 
@@ -133,6 +136,19 @@ def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
+def split_by_table(df: DataFrame, key, rows: DataFrame, row_key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose 64-bit ``key`` may be among ``rows[row_key]``, and rows for which
+    it surely isn't. Only the first part then needs a join on the key, so the rest isn't shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bit_table(rows, row_key)))
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        slot = h.to_numpy().view(np.uint64) >> np.uint64(64 - TABLE_BITS)
+        return pd.Series(np.unpackbits(shared.value[(slot >> np.uint64(3)).astype(np.int64)][:, None], axis=1)[np.arange(len(h)), (slot & np.uint64(7)).astype(np.int64)].astype(bool))
+
+    return df.where(may_be(key)), df.where(~may_be(key))
+
+
 def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the first bytes of all characters, and their code points (valid UTF-8)."""
     lead = np.flatnonzero((raw & 0xC0) != 0x80)

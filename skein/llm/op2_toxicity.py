@@ -185,17 +185,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"weights": weights, "bias": float(fitted["bias"])}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple = ("doc_id",), name: str = "score") -> DataFrame:
+    """The ``keep`` columns and the score (0 to 1) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(raw, offsets):
         w, bias, seen = shared.value["weights"], shared.value["bias"], Presence()
         used = w != 0
         total = np.array([w[seen.distinct(x[used[x]])].sum(dtype=float) for x in each_text(raw, offsets)])
-        return {"score": 1 / (1 + np.exp(-np.clip(total + bias, -500, 500)))}
+        return {name: 1 / (1 + np.exp(-np.clip(total + bias, -500, 500)))}
 
-    return map_texts(docs, text_col, "score double", fn, [id_col])
+    return map_texts(docs, text_col, f"`{name}` double", fn, list(keep))
 
 
 def predict(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_BITS, bit_table, slices, staged, text_buffers
+from .common import TABLE_BITS, bit_table, slices, split_by_table, staged, text_buffers
 from .words import alphanumeric, word_hashes
 
 WINDOW = 10
@@ -196,3 +196,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         .select("d.id", "d.text_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                 F.coalesce("spans", F.array().cast("array<struct<first: bigint, last: bigint, item: string>>")).alias("spans"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a window of an item."""
+    found = decontaminate(docs, items, window, id_col, text_col, item_id, item_text).where("n_hit > 0")
+    bad = staged(found.select(F.col("id").alias("__id"), F.col("text_id").alias("__text_id")).distinct().withColumn("__h", F.xxhash64("__id", "__text_id")), "contaminated")
+    text_id = F.xxhash64(F.col(text_col).cast("string"))
+    hit, clear = split_by_table(docs, F.xxhash64(F.col(id_col), text_id), bad, "__h")
+    clean = hit.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (text_id == F.col("__text_id")), "left_anti")
+    return clear.unionByName(clean)

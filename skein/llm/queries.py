@@ -6,7 +6,18 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import op2_toxicity, op3_ann, op4_near_dedup, op5_pii, op6_packing, op7_decontamination, op8_substring_dedup, op9_language_id, op10_token_counts
+from . import (
+    op1_license_scan,
+    op2_toxicity,
+    op3_ann,
+    op4_near_dedup,
+    op5_pii,
+    op6_packing,
+    op7_decontamination,
+    op8_substring_dedup,
+    op9_language_id,
+    op10_token_counts,
+)
 from .common import held_out_bucket, ship_package, table
 
 
@@ -20,6 +31,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_matches(spark, d):
+    return op1_license_scan.scan(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op2_toxicity_scores(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "toxic")
     held = held_out_bucket("doc_id", 4) == 2
@@ -72,6 +87,7 @@ def op10_token_counts_query(spark, d):
 
 
 _OWN = {
+    "op1_license_scan": op1_license_matches,
     "op2_toxicity": op2_toxicity_scores,
     "op3_ann": op3_nearest_neighbours,
     "op4_near_dedup": op4_near_duplicates,
