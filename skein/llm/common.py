@@ -136,6 +136,14 @@ def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until none of the frames has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_by_table(df: DataFrame, key, rows: DataFrame, row_key: str) -> tuple[DataFrame, DataFrame]:
     """``df`` in two parts: rows whose 64-bit ``key`` may be among ``rows[row_key]``, and rows for which
     it surely isn't. Only the first part then needs a join on the key, so the rest isn't shuffled."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, drop_staged, map_texts, slices, split_by_table, staged, text_buffers
+from .common import bit_table, drop_staged, fresh, map_texts, slices, split_by_table, staged, text_buffers
 from .components import connected_components
 from .words import mixed, non_blank, shingles, word_hashes
 
@@ -219,12 +219,13 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     """``docs`` with one document of each group: the one whose id names the component. Of rows that
     repeat an id the smallest stays. Rows without an id stay."""
     found = near_duplicates(docs, words, percent, id_col, text_col).where(F.col(id_col).isNotNull())
-    touched = found.groupBy(F.col(id_col).alias("__id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n")) \
-        .where(~F.col("__kept") | (F.col("__n") > 1))
-    touched = staged(touched.withColumn("__h", F.xxhash64("__id")), "touched")
-    hit, clear = split_by_table(docs, F.xxhash64(id_col), touched, "__h")
-    joined = hit.join(touched.drop("__h"), F.col(id_col) == F.col("__id"), "left")
+    own, stays = fresh("touched_id", docs), fresh("touched_kept", docs)
+    touched = found.groupBy(F.col(id_col).alias(own)).agg(F.bool_and("kept").alias(stays), F.count("*").alias("n")) \
+        .where(~F.col(stays) | (F.col("n") > 1)).select(own, stays, F.xxhash64(own).alias("h"))
+    touched = staged(touched, "touched")
+    hit, clear = split_by_table(docs, F.xxhash64(F.col(f"`{id_col}`")), touched, "h")
+    joined = hit.join(touched.drop("h"), F.col(id_col) == F.col(own), "left")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    alone = joined.where(F.col("__id").isNull()).select(*names)
-    repeated = joined.where(F.col("__kept")).groupBy("__id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    alone = joined.where(F.col(own).isNull()).select(*names)
+    repeated = joined.where(F.col(stays)).groupBy(own).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
     return clear.unionByName(alone).unionByName(repeated)

@@ -36,7 +36,9 @@ CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
 PHONE = r"\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
-EMAIL = r"[\p{L}\d](?:[\p{L}\d._%+-]*[\p{L}\d_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+#: a match can only begin at a run's start and has RFC lengths, so long runs without an @ cost one look each
+EMAIL = (r"(?<![\p{L}\d._%+-])[\p{L}\d](?:[\p{L}\d._%+-]{0,62}[\p{L}\d_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+         r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?){1,8}")
 DATE = r"(?<![\d./-])(?:\d{4}([./-])\d{2}\1\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
 _ANY = "|".join([EMAIL, PHONE, SSN, IPV4, DATE, CARD])
 _FIRST_DAY, _DAYS, _ROWS = "1900-01-01", 73049, 17  # 73,049 days = 17 x 4,297

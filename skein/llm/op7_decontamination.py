@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_BITS, bit_table, slices, split_by_table, staged, text_buffers
+from .common import TABLE_BITS, bit_table, fresh, slices, split_by_table, staged, text_buffers
 from .words import alphanumeric, word_hashes
 
 WINDOW = 10
@@ -202,8 +202,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_c
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
     found = decontaminate(docs, items, window, id_col, text_col, item_id, item_text).where("n_hit > 0")
-    bad = staged(found.select(F.col("id").alias("__id"), F.col("text_id").alias("__text_id")).distinct().withColumn("__h", F.xxhash64("__id", "__text_id")), "contaminated")
-    text_id = F.xxhash64(F.col(text_col).cast("string"))
-    hit, clear = split_by_table(docs, F.xxhash64(F.col(id_col), text_id), bad, "__h")
-    clean = hit.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (text_id == F.col("__text_id")), "left_anti")
+    own, own_text = fresh("bad_id", docs), fresh("bad_text", docs)
+    bad = found.select(F.col("id").alias(own), F.col("text_id").alias(own_text)).distinct().withColumn("h", F.xxhash64(own, own_text))
+    bad = staged(bad, "contaminated")
+    text_id = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    hit, clear = split_by_table(docs, F.xxhash64(F.col(f"`{id_col}`"), text_id), bad, "h")
+    clean = hit.join(bad.drop("h"), F.col(id_col).eqNullSafe(F.col(own)) & (text_id == F.col(own_text)), "left_anti")
     return clear.unionByName(clean)

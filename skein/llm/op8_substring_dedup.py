@@ -36,9 +36,9 @@ from .words import mixed, non_blank, rolled, shingles, word_hashes
 
 WORDS = 5
 PERCENT = 80
-REACH = 5
+REACH = 4
 PARAGRAPH = 24     # words from which a paragraph is banded
-MIN_WORDS = 20     # words of a stretch that is returned
+MIN_WORDS = 16     # words of a stretch that is returned
 ROWS, BANDS = 2, 6
 _WORD = non_blank()
 _RNG = np.random.default_rng(8)
