@@ -6,8 +6,8 @@ coordinates are chosen by a hash of the node alone; every class of the node goes
 choice, named by its own minwise values there. Sets of high similarity share many of these paths,
 others soon part:
 
-* a node of at most SMALL classes is compared exhaustively;
-* in a larger node one pivot is compared with all, then the node branches; it is done as soon as all
+* a node of at most SMALL classes (SMALL_BELOW under the first level) is compared exhaustively;
+* in a larger node one pivot, another one at each level, is compared with all, then the node branches; it is done as soon as all
   its classes are known to be in one component, as groups of near copies soon are.
 
 Comparing means: the 64-bit sketches (one bit per minwise value) may differ in SKETCH_BITS bits at
@@ -42,6 +42,7 @@ TREES = 8
 CHILDREN = 2       # choices of a node, of CHOSEN minwise values each
 CHOSEN = 2
 SMALL = 12
+SMALL_BELOW = 48
 LEVELS = 10
 SKETCH_BITS = 20
 _WORD = non_blank()
@@ -159,17 +160,20 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
     labels = connected_components(extra) if extra.limit(1).count() else None
     rows = branched(classes, 0)
     for level in range(LEVELS + 1):
+        small_size = SMALL if level == 0 else SMALL_BELOW
+        # at the first level a group has the same pivot in all its nodes (few pairs); below, others get their turn
+        turn = F.xxhash64("rep") if level == 0 else F.xxhash64("rep", "node")
         rows = staged(rows if labels is None else rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left"), "nodes")
         rows = rows.select("node", "rep", "sketch", (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("label"))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last"),
-                                         F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "sketch", "label")).alias("pivot"))
+                                         F.min(F.struct(turn.alias("h"), "rep", "sketch", "label")).alias("pivot"))
         mixed_nodes = staged(nodes.where("first != last").drop("first", "last"), "mixed")
         if not mixed_nodes.limit(1).count():
             drop_staged(rows, mixed_nodes)
             break
         live = rows.join(mixed_nodes, "node")
         last = level == LEVELS
-        small = live.where(F.lit(False) if last else F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("xs"))
+        small = live.where(F.lit(False) if last else F.col("n") <= small_size).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("xs"))
         inside = small.select(F.explode(F.expr(
             "flatten(transform(xs, x -> transform(filter(xs, y -> y.rep > x.rep and y.label != x.label and "
             + close_sketches("x.sketch", "y.sketch") + "), y -> struct(x.rep as a, y.rep as b))))")).alias("p")).select("p.*")
@@ -178,7 +182,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             star = live.select("node", "rep", "sketch", "label").join(other, "node") \
                 .where("rep < b and label != l and " + close_sketches("sketch", "s")).select(F.col("rep").alias("a"), "b")
         else:
-            star = live.where((F.col("n") > SMALL) & F.expr("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch"))) \
+            star = live.where((F.col("n") > small_size) & F.expr("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch"))) \
                 .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
         pairs = staged(inside.union(star).distinct(), "pairs")
         if pairs.limit(1).count():
@@ -186,7 +190,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             if links.limit(1).count():
                 labels = connected_components(links, labels)
             drop_staged(links)
-        old, large = rows, mixed_nodes.where(F.col("n") > SMALL).select("node")
+        old, large = rows, mixed_nodes.where(F.col("n") > small_size).select("node")
         rows = old.join(large, "node", "left_semi").select("node", "rep", "sketch").join(classes.select("rep", "low"), "rep")
         rows = staged(branched(rows, level + 1), "branches") if not last else rows
         drop_staged(pairs, mixed_nodes, old)
