@@ -9,7 +9,6 @@ queried, joined and written like any dataset.
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import urn as make_urn
 from ..operators import maintain, pattern
-from ..session import scratch_path
+from ..storage import dataset_exists, replace
 from .engram import from_struct, load_engram, to_struct
 
 # Entry types each registry accepts.
@@ -36,6 +35,8 @@ ENTRY_SCHEMA = T.StructType([
     T.StructField("smt", T.StringType()),
     T.StructField("options", T.StringType()),
     T.StructField("body", T.StringType()),
+    T.StructField("notes", T.StringType()),
+    T.StructField("footnote", T.StringType()),
 ])
 
 
@@ -55,6 +56,8 @@ def entry_row(e: dict) -> dict:
         "smt": json.dumps(e["smt"]) if isinstance(e.get("smt"), dict) else e.get("smt"),
         "options": json.dumps(e.get("options")) if e.get("options") is not None else None,
         "body": json.dumps(body) if body else None,
+        "notes": json.dumps(e["notes"]) if e.get("notes") is not None else None,
+        "footnote": json.dumps(e["footnote"]) if e.get("footnote") is not None else None,
     }
 
 
@@ -72,9 +75,10 @@ def registry_store(reg: DataFrame, entries: DataFrame, types=ENGRAM_TYPES) -> tu
 
 def resolve_alias(reg: DataFrame) -> DataFrame:
     """Replace each ``alias`` entry by the entry its ``source`` names -- one hop only -- keeping
-    the alias's urn. A left self-join on ``source = urn``."""
+    the alias's urn. A left self-join on ``source = urn``; a source without a realm is ``:name``."""
     t = reg.select(*[F.col(c).alias(f"t_{c}") for c in reg.columns])
-    j = reg.join(t, (reg["type"] == "alias") & (reg["source"] == t["t_urn"]), "left")
+    source = F.when(reg["source"].contains(":"), reg["source"]).otherwise(F.concat(F.lit(":"), reg["source"]))
+    j = reg.join(t, (reg["type"] == "alias") & (source == t["t_urn"]), "left")
     hit = F.col("t_urn").isNotNull()
     return j.select(reg["urn"], *[F.when(hit, F.col(f"t_{c}")).otherwise(reg[c]).alias(c)
                                   for c in reg.columns if c != "urn"])
@@ -99,11 +103,12 @@ def registry_dull(reg: DataFrame, urn: str) -> DataFrame:
 
 def entry_dict(row) -> dict:
     d = row.asDict()
-    out = {k: v for k, v in d.items() if v is not None and k not in ("smt", "options", "body")}
+    out = {k: v for k, v in d.items() if v is not None and k not in ("smt", "options", "body", "notes", "footnote")}
     if d.get("smt"):
         out["smt"] = json.loads(d["smt"]) if d["smt"].lstrip().startswith("{") else d["smt"]
-    if d.get("options"):
-        out["options"] = json.loads(d["options"])
+    for k in ("options", "notes", "footnote"):
+        if d.get(k):
+            out[k] = json.loads(d[k])
     if d.get("body"):
         out.update(json.loads(d["body"]))
     return out
@@ -128,18 +133,15 @@ def open_dataset(spark: SparkSession, reg: DataFrame, urn: str, datasets: dict |
 
 
 def save_registry(reg: DataFrame, path: str):
-    """Write through a staging table (a registry is usually derived from what is at ``path``)."""
-    spark = reg.sparkSession
-    stage = scratch_path(spark, f"registry-{uuid.uuid4().hex}")
-    reg.write.mode("overwrite").parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").parquet(path)
+    """Write beside the saved one, then take its place (a registry is usually derived from what is at ``path``)."""
+    replace(reg, path)
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(ENTRY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no registry yet
+    """The saved registry; an empty one only if nothing was saved at ``path`` (read errors are raised)."""
+    if not dataset_exists(spark, path):
         return spark.createDataFrame([], ENTRY_SCHEMA)
+    return spark.read.schema(ENTRY_SCHEMA).parquet(path)
 
 
 # --- catalog schema operations ------------------------------------------------------------

@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 # Settings every skein job relies on: AQE re-plans joins and coalesces partitions from the
 # real shuffle sizes, which is where broadcast decisions get their proven size bound.
 _BASE_CONF = {
-    # Broadcast joins are chosen only by AQE from the *measured* size of a finished shuffle
-    # stage, never from planner estimates of unknown accuracy.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # Static broadcasts only below 10 MB: the planner knows the size of a file scan from its
+    # listing. Everything else is left to AQE, which measures a finished shuffle stage first.
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; larger whole-stage
@@ -45,7 +45,8 @@ def get_spark(master: str | None = None, app: str = "skein", shuffle_partitions:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -65,11 +66,15 @@ def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 256
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object store) folder there; it is used as is. Only when the
-    setting is unset -- local runs and tests -- a private folder is created.
+    A cluster names a shared (HDFS/object store) folder there; it is used as is. Only a local
+    master (driver and executors in one process, as in tests) may go without: it gets a private
+    folder. On a cluster a machine-local folder would lose data, so the setting is required.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="skein-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -80,3 +85,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for materialised intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/skein/{name}"
+
+
+def staged(df, name: str):
+    """Write ``df`` under the shared checkpoint folder and read it back: its size is then known to the
+    planner, and nothing before it is computed again."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coerce
-from ..functions.paths import quote_part
+from ..functions.paths import comparable, quote_part
 from ..operators.maintain import upsert
-from ..session import scratch_path
+from ..storage import dataset_exists, replace
 
 
 def _json_ready(c: Column, dt: T.DataType) -> Column:
@@ -53,7 +53,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite", compression: s
 
 def _csv_text(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
-        return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return coerce.iso_utc_short(c)
     if isinstance(dt, (T.DoubleType, T.FloatType)):
@@ -61,7 +61,7 @@ def _csv_text(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("true")).when(~c, F.lit("false"))
     if isinstance(dt, (T.StructType, T.ArrayType, T.MapType)):
-        return F.concat(F.lit('"'), F.regexp_replace(F.to_json(c), '"', '""'), F.lit('"'))
+        return F.concat(F.lit('"'), F.replace(F.to_json(c), F.lit('"'), F.lit('""')), F.lit('"'))
     return c.cast("string")
 
 
@@ -73,10 +73,22 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",", mode: str = "overwrite"):
-    """CSV with per-type quoting (cells are rendered by :func:`csv_ready`, so the writer itself
-    must not quote again)."""
-    (csv_ready(df).write.mode(mode).option("header", header).option("sep", sep)
-     .option("quote", "").option("escapeQuotes", False).option("emptyValue", "").csv(path))
+    """CSV with per-type quoting: text is always quoted (quotes doubled), numbers, dates and
+    booleans are bare, null is an empty cell.
+
+    Cells are rendered by :func:`csv_ready` and joined to whole lines, which the text writer stores
+    as they are. With ``header`` every part file begins with the header line, as Spark's own CSV
+    writer does.
+    """
+    cells = csv_ready(df)
+    names = cells.columns
+    line = F.concat_ws(sep, *[F.coalesce(F.col(quote_part(c)), F.lit("")) for c in names])
+    lines = cells.select(line.alias("value"))
+    if header:
+        # the first row of a partition carries the header line before its own
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(sep.join(names) + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    lines.write.mode(mode).text(path)
 
 
 def load_table(df: DataFrame, table: str, append: bool = True, fmt: str = "parquet"):
@@ -99,37 +111,53 @@ def load_table(df: DataFrame, table: str, append: bool = True, fmt: str = "parqu
 def upsert_path(df: DataFrame, path: str, keys: list[str], order: list[str] | None = None, fmt: str = "parquet"):
     """Keyed store on a file dataset: merge ``df`` into what is at ``path``.
 
-    The merged result is first written completely to a staging table under the shared
-    checkpoint folder (Spark cannot overwrite a path it is reading), then copied over the
-    target, so a lost executor or a failed job never leaves a half-merged target.
+    The merged result is written completely beside the target and then takes its place
+    (:mod:`skein.storage`), so a failed job leaves the target as it was. A target that exists but
+    can't be read raises; only a target that doesn't exist counts as empty.
     """
     spark = df.sparkSession
-    try:
-        current = spark.read.format(fmt).load(path)
-    except Exception:  # noqa: BLE001 - no dataset yet
-        df.write.format(fmt).mode("overwrite").save(path)
+    if not dataset_exists(spark, path):
+        replace(upsert(df.limit(0), df, keys, order), path, fmt)
         return
-    merged = upsert(current, df, keys, order)
-    stage = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
-    merged.write.format(fmt).mode("overwrite").save(stage)
-    spark.read.format(fmt).load(stage).write.format(fmt).mode("overwrite").save(path)
+    current = spark.read.format(fmt).load(path)
+    replace(upsert(current, df, keys, order), path, fmt)
+
+
+def upsert_table(df: DataFrame, table: str, keys: list[str], order: list[str] | None = None, fmt: str = "parquet"):
+    """Keyed store on a catalog table: the merged rows become a new table that takes the old one's name."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        upsert(df.limit(0), df, keys, order).write.format(fmt).saveAsTable(table)
+        return
+    fresh = f"{table}_{uuid.uuid4().hex[:8]}"
+    upsert(spark.table(table), df, keys, order).write.format(fmt).saveAsTable(fresh)
+    old = f"{table}_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {old}")
 
 
 def write_split(df: DataFrame, path: str, split_on: str | list[str], fmt: str = "json", mode: str = "overwrite",
-                files_per_value: int = 8):
+                rows_per_file: int = 1_000_000):
     """One output per value of ``split_on`` (directory ``split_on=value``).
 
-    Rows are clustered by the split key plus a deterministic row-hash salt, so each value is
-    written by at most ``files_per_value`` tasks: few files per value, yet a value holding a third
-    of all rows is still spread over several tasks. The salt is a hash of the row (not a random
-    number), so a retried task sends every row to the same place again.
+    Rows are clustered by ranges of (value, row hash). Range bounds are cut where the rows are, so
+    a rare value shares a task with its neighbours and a value that holds a third of all rows spans
+    a third of the tasks; nothing limits how many. The hash is of the row (not a random number), so
+    a retried task sends every row to the same place again. Files hold ``rows_per_file`` rows at most.
     """
     cols = [split_on] if isinstance(split_on, str) else list(split_on)
-    salt = F.pmod(F.xxhash64(*[F.col(quote_part(c)) for c in df.columns]), F.lit(int(files_per_value)))
-    out = df.repartition(*[F.col(quote_part(c)) for c in cols], salt)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(n, *[F.col(quote_part(c)) for c in cols], row_hash(df))
     if fmt == "json":
         out = json_ready(out)
-    out.write.mode(mode).partitionBy(*cols).format(fmt).option("ignoreNullFields", False).save(path)
+    (out.write.mode(mode).partitionBy(*cols).format(fmt).option("ignoreNullFields", False)
+     .option("maxRecordsPerFile", rows_per_file).save(path))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no order, are hashed by their sorted entries."""
+    return F.xxhash64(*[comparable(F.col(quote_part(f.name)), f.dataType) for f in df.schema.fields])
 
 
 def tee_write(df: DataFrame, sinks: list, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
@@ -154,8 +182,8 @@ def tee(df: DataFrame, side_steps, side_sink) -> DataFrame:
 def dull_path(spark, path: str, pattern, fmt: str = "parquet") -> int:
     """Delete the rows matching ``pattern`` from a file dataset; returns how many were deleted.
 
-    Survivors are written completely to a staging table under the shared checkpoint folder and
-    then copied over the target; the count is an observation on the same pass, not a second job.
+    Survivors are written beside the target and then take its place (:mod:`skein.storage`); the count
+    is an observation on the same pass, not a second job.
     """
     from pyspark.sql import Observation
 
@@ -163,9 +191,7 @@ def dull_path(spark, path: str, pattern, fmt: str = "parquet") -> int:
 
     current = spark.read.format(fmt).load(path)
     hit = F.coalesce(predicate(current, pattern), F.lit(False))
-    obs = Observation("dull")
+    obs = Observation(f"dull_{uuid.uuid4().hex[:12]}")
     kept = current.observe(obs, F.sum(F.when(hit, 1).otherwise(0)).alias("deleted")).where(~hit)
-    stage = scratch_path(spark, f"dull-{uuid.uuid4().hex}")
-    kept.write.format(fmt).mode("overwrite").save(stage)
-    spark.read.format(fmt).load(stage).write.format(fmt).mode("overwrite").save(path)
+    replace(kept, path, fmt)
     return int(obs.get.get("deleted") or 0)
