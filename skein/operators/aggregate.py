@@ -66,7 +66,9 @@ def _two_level(df: DataFrame, keys, aggs: dict, dout: str, schema) -> DataFrame:
         else:
             inner.append(_FUNCS[fn](a).alias(out))
             comb = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn]
-            outer.append(comb(F.col(out)).alias(out))
+            total = comb(F.col(out))
+            # a global count over no rows is 0, as in the one-level form
+            outer.append((F.coalesce(total, F.lit(0)) if fn == "count" else total).alias(out))
     level1 = df.groupBy(*keys, _arg(df, aggs[dout][1]).alias(dcol)).agg(*inner)
     level2 = level1.groupBy(*names).agg(*outer) if names else level1.agg(*outer)
     return level2.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

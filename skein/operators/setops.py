@@ -15,31 +15,30 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-# Copies of one row are generated level by level from arrays of at most this many elements.
-_FANOUT = 4096
-_LEVELS = 4
+#: copies that one chunk row stands for
+CHUNK = 100_000
 
 
 def replicate(df: DataFrame, count: str) -> DataFrame:
     """Emit each row ``count`` times (``count`` >= 0).
 
-    Counts up to ``_FANOUT`` take one ``explode(sequence(1, n))``; larger counts are split into
-    ranges over ``_LEVELS`` nested explodes of at most ``_FANOUT`` elements each, so no large
-    array is built. As with Spark's own ``EXCEPT ALL``, all copies of one input row are produced
-    by one task and, under whole-stage codegen, buffered before a writer consumes them: the
-    copies of a single row must fit in a task's memory.
+    Every row becomes chunk rows of at most CHUNK copies each, chunks are dealt out over all tasks by
+    (row, chunk number) and then exploded there: the copies of one row, however many, come from many
+    tasks, and no task holds more than a chunk of them at a time. Chunk numbers are ranges of ranges,
+    so the rows that name the chunks are few wherever the copies are few.
     """
-    cols = [quote_part(c) for c in df.columns if c != count]
-    n = F.col(count).cast("long")
-    small = df.where((n > 0) & (n <= _FANOUT)).withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-    cur = df.where(n > _FANOUT).withColumn("__r", n)
-    for level in range(_LEVELS - 1, 0, -1):
-        size = _FANOUT ** level
-        cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                         F.floor((F.col("__r") - 1) / F.lit(size)).cast("long"))))
-        cur = cur.withColumn("__r", F.least(F.lit(size).cast("long"), F.col("__r") - F.col("__c") * F.lit(size)))
-    cur = cur.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__r"))))
-    return small.select(*cols).unionByName(cur.select(*cols))
+    from ..functions.paths import comparable
+
+    names = [c for c in df.columns if c != count]
+    cols = [quote_part(c) for c in names]
+    n = F.col(quote_part(count)).cast("bigint")
+    spread = F.xxhash64(*[comparable(F.col(quote_part(f.name)), f.dataType) for f in df.schema.fields if f.name != count], F.col("__chunk"))
+    chunks = df.where(n > 0).select(*cols, n.alias("__n")) \
+        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / F.lit(CHUNK)))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(parts, spread)
+    own = F.least(F.lit(CHUNK).cast("bigint"), F.col("__n") - F.col("__chunk") * F.lit(CHUNK))
+    return dealt.select(*cols, F.explode(F.array_repeat(F.lit(True), own.cast("int"))).alias("__copy")).select(*cols)
 
 
 def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side") -> DataFrame:
