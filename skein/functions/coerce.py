@@ -21,13 +21,7 @@ INFER_FALSE_WORDS = ["false"]
 # two-digit years from this value on belong to the previous century
 YY_PIVOT = 2050
 
-_ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 _ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
-_US_DATE_4 = r"^\d{1,2}/\d{1,2}/\d{4}$"
-_US_DATE_2 = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2}$"
-_DD_MON_YY = r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"
-_DD_MON_YY_TIME = r"^\d{1,2}-[A-Za-z]{3}-\d{2} \d{1,2}:\d{2}:\d{2}$"
-_DD_MON_YYYY = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
 
 
 def _text(c: Column) -> Column:
@@ -43,8 +37,8 @@ def _numeric_text(c: Column) -> Column:
 # Shapes checked before casting. Under ANSI mode a failing try_cast raises and catches an
 # exception per row, which is ~50x slower than a regex test, so text that cannot parse must
 # never reach the cast.
-_INT_TEXT = r"^[+-]?\d{1,19}$"
-_WHOLE_DECIMAL_TEXT = r"^[+-]?\d{1,19}\.0*$"
+_INT_TEXT = r"^[+-]?0*\d{1,19}$"
+_WHOLE_DECIMAL_TEXT = r"^[+-]?0*\d{1,19}\.0*$"
 _NUM_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -87,24 +81,35 @@ def _two_digit_year(ts: Column) -> Column:
     return F.when(F.year(ts) >= YY_PIVOT, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
 
 
+# what a character class string of a date looks like (digits 9, letters A) -> parser; fixed values
+_SHAPES = {
+    "us4": ("9/9/9999", "99/9/9999", "9/99/9999", "99/99/9999"),
+    "us2": ("9/9/99", "99/9/99", "9/99/99", "99/99/99", "9-9-99", "99-9-99", "9-99-99", "99-99-99"),
+    "mon2": ("9-AAA-99", "99-AAA-99"),
+    "mon4": ("9-AAA-9999", "99-AAA-9999"),
+    "mon2t": ("9-AAA-99 9:99:99", "99-AAA-99 9:99:99", "9-AAA-99 99:99:99", "99-AAA-99 99:99:99"),
+}
+_FROM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TO = "9" * 10 + "A" * 52
+
+
 def _parse_date_shapes(s: Column) -> Column:
-    # Cheap character tests pick the shape family first (AND short-circuits in generated code),
-    # so a value is matched against the regexes of its own family only.
-    iso = F.substring(s, 5, 1) == "-"
-    slash = F.instr(s, "/") > 0
-    month_name = F.substring(s, 3, 1).rlike("[A-Za-z]") | F.substring(s, 4, 1).rlike("[A-Za-z]")
-    return (
-        F.when(iso & s.rlike(_ISO_DATE), F.try_to_timestamp(F.concat(s, F.lit("T00:00:00Z")),
-                                                            F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-        .when(iso & s.rlike(_ISO_DATETIME), s.try_cast("timestamp"))
-        .when(slash & s.rlike(_US_DATE_4), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
-        .when(~month_name & s.rlike(_US_DATE_2),
-              _two_digit_year(F.try_to_timestamp(F.translate(s, "-", "/"), F.lit("M/d/yy"))))
-        .when(month_name & s.rlike(_DD_MON_YY), _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy"))))
-        .when(month_name & s.rlike(_DD_MON_YYYY), F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yyyy")))
-        .when(month_name & s.rlike(_DD_MON_YY_TIME),
-              _two_digit_year(F.try_to_timestamp(F.initcap(s), F.lit("d-MMM-yy H:mm:ss"))))
-    )
+    """The shape is computed once, by one character translation, and compared as a whole; only the
+    parser of that shape then runs."""
+    shape = F.translate(F.substring(s, 1, 40), _FROM, _TO)
+
+    def parse(x: Column, kind: Column) -> Column:
+        return (
+            F.when(kind.isin(*_SHAPES["us2"]), _two_digit_year(F.try_to_timestamp(F.translate(x, "-", "/"), F.lit("M/d/yy"))))
+            .when(kind.isin(*_SHAPES["us4"]), F.try_to_timestamp(x, F.lit("M/d/yyyy")))
+            .when(kind == "9999-99-99", F.try_to_timestamp(F.concat(x, F.lit("T00:00:00Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+            .when(kind.isin(*_SHAPES["mon2"]), _two_digit_year(F.try_to_timestamp(F.initcap(x), F.lit("d-MMM-yy"))))
+            .when(kind.isin(*_SHAPES["mon4"]), F.try_to_timestamp(F.initcap(x), F.lit("d-MMM-yyyy")))
+            .when(kind.isin(*_SHAPES["mon2t"]), _two_digit_year(F.try_to_timestamp(F.initcap(x), F.lit("d-MMM-yy H:mm:ss"))))
+            .when((F.substring(kind, 1, 10) == "9999-99-99") & x.rlike(_ISO_DATETIME), x.try_cast("timestamp"))
+        )
+
+    return parse(s, shape)
 
 
 def missing_to_null(c: Column, token: str | None) -> Column:
@@ -135,5 +140,10 @@ def iso_utc_short(ts: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Doubles print without a trailing ``.0`` when whole (``1.0`` -> ``1``)."""
-    return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    """Doubles print without a trailing ``.0`` when whole (``1.0`` -> ``1``) and without exponent
+    (``12345678.5``, not ``1.23456785E7``) while 17 digits show them; beyond that as Spark prints them."""
+    plain = F.abs(c) < F.lit(1e15)
+    whole = F.when(plain & (c == F.floor(c)), c.cast("decimal(20,0)").cast("string"))
+    small = plain & (F.abs(c) >= F.lit(1e-3))
+    return F.coalesce(whole, F.when(small & F.contains(c.cast("string"), F.lit("E")),
+                                    F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"0+$", "")), c.cast("string"))

@@ -15,8 +15,10 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from .paths import col_path
+from . import coerce
+from .paths import col_path, has_path, path_type
 
 _TEMPLATE = re.compile(r"\$\{([^}]+)\}")
 
@@ -41,12 +43,12 @@ def _split_terms(body: str) -> list[str]:
     return [t.strip() for t in terms if t.strip() != ""]
 
 
-def _term(term: str, df: DataFrame | None) -> Column:
+def _term(term: str, df: DataFrame | None, text: bool = False) -> Column:
     if len(term) >= 2 and term[0] == term[-1] and term[0] in ("'", '"'):
         return F.lit(term[1:-1])
     if term.startswith("${") and term.endswith("}"):
         term = term[2:-1]
-    return col_path(term, df)
+    return text_path(term, df) if text else col_path(term, df)
 
 
 def concat_skip_nulls(parts: list[Column]) -> Column:
@@ -54,12 +56,20 @@ def concat_skip_nulls(parts: list[Column]) -> Column:
     return F.concat_ws("", *[p.cast("string") for p in parts])
 
 
+def text_path(path: str, df: DataFrame | None) -> Column:
+    """A field as text: doubles print as numbers do in JSON (``3``, ``12345678``), not ``3.0`` or ``1.2345678E7``."""
+    c = col_path(path, df)
+    if df is not None and has_path(df, path) and isinstance(path_type(df, path), (DoubleType, FloatType)):
+        return coerce.number_text(c)
+    return c.cast("string")
+
+
 def field_expr(body: str, df: DataFrame | None = None) -> Column:
     """Compile the body of an ``=`` or ``!`` expression."""
     terms = _split_terms(body)
     if len(terms) == 1:
         return _term(terms[0], df)
-    return concat_skip_nulls([_term(t, df) for t in terms])
+    return concat_skip_nulls([_term(t, df, text=True) for t in terms])
 
 
 def template_expr(text: str, df: DataFrame | None = None) -> Column:
@@ -69,7 +79,7 @@ def template_expr(text: str, df: DataFrame | None = None) -> Column:
     for m in _TEMPLATE.finditer(text):
         if m.start() > pos:
             parts.append(F.lit(text[pos:m.start()]))
-        parts.append(col_path(m.group(1), df).cast("string"))
+        parts.append(text_path(m.group(1), df))
         pos = m.end()
     if pos < len(text):
         parts.append(F.lit(text[pos:]))
@@ -80,13 +90,16 @@ def template_expr(text: str, df: DataFrame | None = None) -> Column:
 
 def regex_replace_first(c: Column, pattern: str, replacement: str) -> Column:
     """Replace only the first match of ``pattern`` (Java ``$n`` group references)."""
-    s = c.cast("string")
-    pos = F.regexp_instr(s, F.lit(pattern))
-    hit = F.regexp_extract(s, pattern, 0)
-    rep = F.regexp_replace(hit, F.lit(pattern), F.lit(replacement))
-    before = s.substr(F.lit(1), pos - F.lit(1))
-    after = s.substr(pos + F.length(hit), F.length(s) + F.lit(1))
-    return F.when(pos > 0, F.concat(before, rep, after)).otherwise(s)
+    # one pass from the text's start: the prefix is matched lazily and put back, so the pattern sees
+    # its real context (look-around, word boundaries) and nothing after the first match is touched;
+    # group 1 is the prefix, group 2 the whole match, the pattern's own groups follow
+    shifted = re.sub(r"\\.|\$(\d+)", lambda m: m.group(0) if m.group(1) is None else f"${int(m.group(1)) + 2}", replacement)
+    return F.regexp_replace(c.cast("string"), F.lit(r"\A((?s:.*?))((?:" + _shift_references(pattern) + "))"), F.lit("$1" + shifted))
+
+
+def _shift_references(pattern: str) -> str:
+    """``\\1`` in a pattern whose groups move by two becomes ``\\3``."""
+    return re.sub(r"\\(.)", lambda m: "\\" + (str(int(m.group(1)) + 2) if m.group(1) in "123456789" else m.group(1)), pattern, flags=re.S)
 
 
 def compile_value(value, df: DataFrame | None = None) -> Column:

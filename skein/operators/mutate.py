@@ -29,8 +29,10 @@ def _nest(named: list[tuple[str, Column]]) -> list[Column]:
         items = groups[head]
         if len(items) == 1 and items[0][0] == "":
             out.append(items[0][1].alias(head))
+        elif any(not rest for rest, _ in items):
+            raise ValueError(f"field {head!r} is given both as a value and as a group of fields, or twice")
         else:
-            out.append(F.struct(*_nest([(r, c) for r, c in items if r])).alias(head))
+            out.append(F.struct(*_nest(items)).alias(head))
     return out
 
 
@@ -121,5 +123,16 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
 
 
 def compose(df: DataFrame, sep: str = "_") -> DataFrame:
-    """Inverse of :func:`flatten`: columns named ``a{sep}b`` become nested struct ``a.b``."""
-    return df.select(*_nest([(f.replace(sep, "."), F.col(quote_part(f))) for f in df.columns]))
+    """Inverse of :func:`flatten`: columns named ``a{sep}b`` become nested struct ``a.b``.
+
+    Separators at a name's ends don't split it (``_id`` stays). A column that is both a value and a
+    group (``a`` beside ``a{sep}b``) raises, as one of them would be lost.
+    """
+    def path(name: str) -> str:
+        body = name.strip(sep)
+        if not body:
+            return name
+        at = name.index(body)
+        return name[:at] + body.replace(sep, ".") + name[at + len(body):]
+
+    return df.select(*_nest([(path(f), F.col(quote_part(f))) for f in df.columns]))

@@ -54,6 +54,7 @@ def normalize_fields(fields) -> list[dict]:
         f = dict(f)
         if name is not None:
             f.setdefault("name", name)
+        f.setdefault("name", f"_c{len(out)}")  # a list of bare types names its fields by position
         f["type"] = str(f.get("type", "unknown")).lower()
         if "isKey" in f and "key" not in f:
             f["key"] = 1 if f.pop("isKey") else 0
@@ -137,6 +138,17 @@ def from_struct(st: T.StructType, name: str | None = None) -> dict:
 
 # --- applying an encoding ------------------------------------------------------------------
 
+def text_shape(dt: T.DataType) -> T.DataType:
+    """The same shape with every scalar as text."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, text_shape(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(text_shape(dt.elementType))
+    if isinstance(dt, T.MapType):
+        return T.MapType(T.StringType(), text_shape(dt.valueType))
+    return T.StringType()
+
+
 def coerce_to(c: Column, src: T.DataType, f: dict) -> Column:
     """Convert a column of type ``src`` to field ``f``'s type with tolerant parsing."""
     t = f["type"]
@@ -145,10 +157,11 @@ def coerce_to(c: Column, src: T.DataType, f: dict) -> Column:
             return F.to_json(c)
         if isinstance(src, (T.TimestampType, T.TimestampNTZType)):
             return coerce.iso_utc(c)
-        return c.cast("string")
+        return coerce.number_text(c) if isinstance(src, (T.DoubleType, T.FloatType)) else c.cast("string")
     if t == "integer":
-        return c.cast("bigint") if isinstance(src, (T.NumericType, T.BooleanType)) and not isinstance(
-            src, (T.DoubleType, T.FloatType, T.DecimalType)) else coerce.to_integer(c)
+        if isinstance(src, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return F.when(c == F.floor(c), c.try_cast("bigint"))  # whole values only, at any size
+        return c.cast("bigint") if isinstance(src, (T.NumericType, T.BooleanType)) else coerce.to_integer(c)
     if t == "number":
         return c.cast("double") if isinstance(src, T.NumericType) else coerce.to_number(c)
     if t == "boolean":
@@ -162,7 +175,9 @@ def coerce_to(c: Column, src: T.DataType, f: dict) -> Column:
         return coerce.to_timestamp(c)
     if t == "map" and f.get("fields"):
         if isinstance(src, T.StringType):
-            return F.from_json(c, to_struct(f["fields"]))
+            # read as text first, so that tolerant parsing applies inside as it does outside
+            shape = text_shape(to_struct(f["fields"]))
+            return coerce_to(F.from_json(c, shape), shape, f)
         if isinstance(src, T.StructType):
             names = src.fieldNames()
             parts = []
@@ -176,7 +191,8 @@ def coerce_to(c: Column, src: T.DataType, f: dict) -> Column:
         if isinstance(src, T.ArrayType):
             return F.transform(c, lambda x: coerce_to(x, src.elementType, f["_list"]))
         if isinstance(src, T.StringType):
-            return F.from_json(c, field_type(f))
+            shape = text_shape(field_type(f))
+            return coerce_to(F.from_json(c, shape), shape, f)
     if t == "geometry":
         return c
     return c.cast(field_type(f))
