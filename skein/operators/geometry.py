@@ -1,7 +1,9 @@
 """Point-in-polygon for GeoJSON-like geometry structs.
 
-Geometry columns are normalised to ``struct<type:string, coordinates:array<array<array<array<double>>>>>``
-(every Polygon becomes a one-polygon MultiPolygon) so one expression serves both kinds. The test
+Geometry columns are normalised to ``struct<type:string, coordinates:array<array<array<array<double>>>>>``:
+every Polygon becomes a one-polygon MultiPolygon, and points and lines are nested to the same depth
+(a Point is one ring of one position, a LineString one ring), so their coordinates are kept; ``type``
+tells them apart and only polygons contain anything. The test
 is an even-odd ray cast over all rings, written with higher-order functions so it runs inside
 the JVM per row; a bounding-box test on the outer rings short-circuits most rows first.
 """
@@ -21,8 +23,12 @@ GEOMETRY = StructType([StructField("type", StringType()), StructField("coordinat
 def normalize_geometry(type_col: Column, coordinates_json: Column) -> Column:
     """Build the normalised geometry from a type name and the coordinates as JSON text."""
     t = F.lower(type_col)
+    position = "array<double>"
     coords = (F.when(t == "polygon", F.array(F.from_json(coordinates_json, POLYGON)))
-              .when(t == "multipolygon", F.from_json(coordinates_json, MULTIPOLYGON)))
+              .when(t == "multipolygon", F.from_json(coordinates_json, MULTIPOLYGON))
+              .when(t == "point", F.array(F.array(F.array(F.from_json(coordinates_json, position)))))
+              .when(t.isin("multipoint", "linestring"), F.array(F.array(F.from_json(coordinates_json, RING))))
+              .when(t == "multilinestring", F.array(F.from_json(coordinates_json, POLYGON))))
     return F.struct(type_col.alias("type"), coords.alias("coordinates"))
 
 
@@ -48,4 +54,5 @@ def contains_point(geom: Column, x: float, y: float) -> Column:
     ys = F.transform(outer_pts, lambda p: p[1])
     in_box = (F.array_min(xs) <= px) & (px <= F.array_max(xs)) & (F.array_min(ys) <= py) & (py <= F.array_max(ys))
     n = F.aggregate(rings, F.lit(0), lambda acc, r: acc + _crossings(r, px, py))
-    return F.when(in_box, (n % 2) == 1).otherwise(F.lit(False))
+    area = F.lower(geom["type"]).isin("polygon", "multipolygon")
+    return F.when(area & in_box, (n % 2) == 1).otherwise(F.lit(False))

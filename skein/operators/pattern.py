@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, NumericType, StringType
 
 from ..functions.paths import col_path, has_path, path_type
 
@@ -32,13 +32,10 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def search_tokens(text: str) -> list[str]:
     """Lower-cased tokens of a query string, split on non letters/digits (order kept, unique)."""
-    import regex
+    import unicodedata
 
-    out: list[str] = []
-    for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()):
-        if t and t not in out:
-            out.append(t)
-    return out
+    letters = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text.lower())
+    return list(dict.fromkeys(letters.split()))
 
 
 def search_predicate(c: Column, text: str) -> Column:
@@ -111,7 +108,7 @@ def _field_condition(df: DataFrame, field: str, cond) -> Column:
                 # on a list field equality means membership
                 parts.append(F.array_contains(c, v) if op == "eq" else ~F.array_contains(c, v))
             elif op in _COMPARE:
-                parts.append(_COMPARE[op](c, F.lit(v)))
+                parts.append(_COMPARE[op](*_alike(df, field, c, v)))
             elif op == "wc":
                 parts.append(c.cast("string").like(wildcard_like(v)))
             elif op == "search":
@@ -134,7 +131,18 @@ def _field_condition(df: DataFrame, field: str, cond) -> Column:
         return c.isNull()
     if is_array:
         return F.array_contains(c, cond)
-    return c == F.lit(cond)
+    a, b = _alike(df, field, c, cond)
+    return a == b
+
+
+def _alike(df: DataFrame, field: str, c: Column, v):
+    """Both sides of a comparison in one type. A number field compared with text takes the text as a
+    number; text that is none makes the comparison null instead of failing the job."""
+    if isinstance(v, str) and has_path(df, field) and isinstance(path_type(df, field), NumericType):
+        return c, F.lit(v).try_cast("double") if not re.fullmatch(r"\s*[+-]?\d{1,18}\s*", v) else F.lit(int(v))
+    if isinstance(v, (int, float)) and not isinstance(v, bool) and has_path(df, field) and isinstance(path_type(df, field), StringType):
+        return c.try_cast("double"), F.lit(float(v))
+    return c, F.lit(v)
 
 
 def predicate(df: DataFrame, spec) -> Column:

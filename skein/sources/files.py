@@ -8,6 +8,8 @@ avoids Spark's schema-inference pass over the data.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,65 +31,54 @@ def text_schema(dt: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def json_key_order(spark: SparkSession, path: str, lines: bool, records: int = 100) -> dict:
-    """Field order as written in the files, as a nested ``{name: {child: ...}}`` tree.
-
-    Spark's JSON inference sorts names alphabetically. Only the column *order* comes from the
-    first ``records`` raw records (bounded metadata on the driver); every field of the inferred
-    schema is kept and names not seen there go last.
-    """
-    import json
-
+def _records(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """The raw JSON text of every record (``value``)."""
     if lines:
-        raw = [r[0] for r in spark.read.text(path).limit(records).collect()]
-    else:
-        raw = _leading_records(spark, path, records)
-    tree: dict = {}
+        return spark.read.text(path).where(F.trim("value") != "")
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.explode(F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
+                                  .otherwise(F.array("value"))).alias("value"))
+
+
+def _member_places(text, dt: T.DataType, path: list[str]) -> list:
+    """Arrays of (path, name, place) of the members of JSON objects of type ``dt`` in the text column."""
+    names = F.json_object_keys(text)
+    at = F.lit("\u0000".join(path))
+    own = F.transform(names, lambda n, i: F.struct(at.alias("path"), n.alias("name"), i.alias("place")))
+    out = [F.coalesce(own, F.array().cast("array<struct<path:string,name:string,place:int>>"))]
+    for f in dt.fields:
+        if "'" in f.name:
+            continue  # not addressable in a JSON path; such members keep Spark's order inside
+        inner = F.get_json_object(text, f"$['{f.name}']")
+        if isinstance(f.dataType, T.StructType):
+            out += _member_places(inner, f.dataType, [*path, f.name])
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            element = f.dataType.elementType
+            found = F.transform(F.from_json(inner, "array<string>"), _element_places(element, [*path, f.name]))
+            out.append(F.coalesce(F.flatten(found), F.array().cast("array<struct<path:string,name:string,place:int>>")))
+    return out
 
-    def add(node: dict, obj):
-        if isinstance(obj, list):
-            for x in obj:
-                add(node, x)
-        elif isinstance(obj, dict):
-            for k, v in obj.items():
-                add(node.setdefault(k, {}), v)
-
-    for line in raw:
-        try:
-            add(tree, json.loads(line))
-        except ValueError:
-            continue
-    return tree
 
+def _element_places(element: T.StructType, path: list[str]):
+    return lambda x: F.concat(*_member_places(x, element, path))
 
-def _leading_records(spark: SparkSession, path: str, records: int, chunks_per_record: int = 20) -> list[str]:
-    """The first records of a JSON array file, read as a bounded streamed prefix.
 
-    The text reader splits the file at ``}`` (so no whole file becomes one value); a bounded
-    number of leading pieces is joined on the driver and decoded record by record.
+def json_key_order(spark: SparkSession, path: str, lines: bool, schema: T.StructType) -> dict:
+    """Field order as written in the files, as a nested ``{name: {child: ...}}`` tree.
+
+    Spark's JSON inference sorts names alphabetically. The order comes from one aggregate over all
+    records: the smallest place of each member path, ties by name; what reaches the driver is one row
+    per field of the schema.
     """
-    import json
-
-    pieces = [r[0] for r in spark.read.option("lineSep", "}").text(path).limit(records * chunks_per_record).collect()]
-    text = "}".join(pieces)
-    dec = json.JSONDecoder()
-    pos = len(text) - len(text.lstrip())
-    if text[pos:pos + 1] == "{":  # a file holding one object
-        try:
-            return [json.dumps(dec.raw_decode(text, pos)[0])]
-        except ValueError:
-            return []
-    pos = text.find("[") + 1
-    out: list[str] = []
-    while pos > 0 and len(out) < records:
-        while pos < len(text) and text[pos] in " \t\r\n,":
-            pos += 1
-        try:
-            obj, pos = dec.raw_decode(text, pos)
-        except ValueError:
-            break
-        out.append(json.dumps(obj))
-    return out
+    places = _records(spark, path, lines).select(F.explode(F.concat(*_member_places(F.col("value"), schema, []))).alias("m")) \
+        .groupBy("m.path", "m.name").agg(F.min("m.place").alias("place"))
+    tree: dict = {}
+    for row in sorted(places.collect(), key=lambda r: (r["path"].count("\u0000") + bool(r["path"]), r["path"], r["place"], r["name"])):
+        node = tree
+        for part in row["path"].split("\u0000") if row["path"] else []:
+            node = node.setdefault(part, {})
+        node.setdefault(row["name"], {})
+    return tree
 
 
 def _ordered(c, dt: T.DataType, tree: dict):
@@ -123,27 +114,74 @@ def scan_json(spark: SparkSession, path: str, lines: bool = False, engram=None,
         return apply_engram(df, engram, missing)
     df = reader.option("primitivesAsString", True).json(path)
     if keep_order:
-        df = reorder_like(df, json_key_order(spark, path, lines))
+        df = reorder_like(df, json_key_order(spark, path, lines, df.schema))
     return df
 
 
 def scan_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", names: list[str] | None = None,
-             engram=None, missing: str | None = None, encoding_names_from_engram: bool = True) -> DataFrame:
+             engram=None, missing: str | None = None, multi_line: bool = True) -> DataFrame:
     """Delimited text, all values as text; blanks around values are kept (trimmed only when a
-    number/boolean/date is parsed). Header-less files take names from ``names`` or the encoding."""
-    r = (spark.read.option("header", header).option("sep", sep)
+    number/boolean/date is parsed). Quotes inside quoted values are doubled.
+
+    Files with a header are read by their own header, so files of one folder may order their columns
+    differently or lack some. Header-less files take names from ``names`` or the encoding.
+    ``multi_line=False`` lets Spark split large files, for data whose values hold no line breaks.
+    """
+    r = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("mode", "PERMISSIVE"))
+         .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("inferSchema", False))
     if engram is not None and not header:
-        st = to_struct(load_engram(engram))
-        df = r.schema(text_schema(st)).csv(path)
+        df = r.schema(text_schema(to_struct(load_engram(engram)))).csv(path)
+    elif header:
+        df = _by_header(spark, r, path)
     else:
-        df = r.option("inferSchema", False).csv(path)
+        df = r.csv(path)
         if names:
             df = df.toDF(*names)
     return apply_engram(df, engram, missing) if engram is not None else df
 
 
+def _by_header(spark: SparkSession, reader, path: str) -> DataFrame:
+    """One read per distinct header line; columns are matched by name."""
+    groups: dict[str, list[str]] = {}
+    for file, line in header_lines(spark, path):
+        groups.setdefault(line, []).append(file)
+    if len(groups) <= 1:
+        return reader.csv(path)
+    frames = [reader.csv(files) for files in groups.values()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def header_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of every non-empty file at ``path``; only first lines leave the files."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    found, todo = [], [fs.Path(path)]
+    conf = spark._jsc.hadoopConfiguration()
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    java = spark._jvm.java.io
+    while todo:
+        p = todo.pop()
+        system = p.getFileSystem(conf)
+        for status in sorted(system.globStatus(p) or [], key=lambda s: s.getPath().toString()):
+            q = status.getPath()
+            if q.getName().startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                todo += [s.getPath() for s in system.listStatus(q)]
+                continue
+            stream = system.open(q)
+            codec = codecs.getCodec(q)
+            lines = java.BufferedReader(java.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+            line = lines.readLine()
+            lines.close()
+            if line is not None:
+                found.append((q.toString(), line))
+    return found
+
+
 def scan_geojson(spark: SparkSession, path: str, properties=None, lines: bool = False) -> DataFrame:
     """FeatureCollection -> one row per feature ``{type, properties, geometry}``.
 
@@ -238,8 +276,6 @@ def inventory(spark: SparkSession, path: str, glob: str = "*", recursive: bool =
 
 
 def _escape_regex(s: str) -> str:
-    import re
-
     return re.escape(s)
 
 
@@ -256,10 +292,10 @@ def scan_many(spark: SparkSession, path: str, glob: str = "*", exclude: list[str
         r = r.option("recursiveFileLookup", True)
     if fmt == "parquet" and merge_schema:
         r = r.option("mergeSchema", True)
-    df = r.load(path)
+    files = [f for f in _file_names(spark, path, glob, recursive) if not any(re.match(glob_regex(g), f[1]) for g in exclude or [])] if exclude else None
+    # excluded files are left out before any footer is read
+    df = r.load(path) if files is None else spark.read.format(fmt).options(**(options or {})).option("mergeSchema", bool(fmt == "parquet" and merge_schema)).load([f[0] for f in files])
     name = F.col("_metadata.file_name")
-    for g in exclude or []:
-        df = df.where(~name.rlike(glob_regex(g)))
     return df.withColumns({
         "name": name,
         "rpath": F.col("_metadata.file_path"),
@@ -267,16 +303,34 @@ def scan_many(spark: SparkSession, path: str, glob: str = "*", exclude: list[str
     })
 
 
-def read_through(cached: DataFrame, source: DataFrame, write_cache=None) -> DataFrame:
-    """Use ``cached`` when it has data; otherwise compute ``source`` once, fill the cache with it
-    (``write_cache(df)``) and return it. The emptiness probe reads at most one row."""
-    if not cached.isEmpty():
+def _file_names(spark: SparkSession, path: str, glob: str, recursive: bool) -> list[tuple[str, str]]:
+    """(path, name) of the files or dataset folders at a location, from the listing alone."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    out, todo = [], [fs.Path(path)]
+    while todo:
+        p = todo.pop()
+        for status in p.getFileSystem(conf).listStatus(p):
+            q = status.getPath()
+            if q.getName().startswith(("_", ".")):
+                continue
+            if status.isDirectory() and recursive:
+                todo.append(q)
+            elif re.match(glob_regex(glob), q.getName()):
+                out.append((q.toString(), q.getName()))
+    return sorted(out)
+
+
+def read_through(cached: DataFrame | None, source: DataFrame, write_cache=None, reopen=None) -> DataFrame:
+    """Use ``cached`` when it has data; otherwise fill the cache with ``source`` (``write_cache(df)``)
+    and return what ``reopen()`` then reads from it, so the source is computed once and nothing
+    stays persisted. The emptiness probe reads at most one row."""
+    if cached is not None and not cached.isEmpty():
         return cached
     if write_cache is None:
         return source
-    src = source.persist()
-    write_cache(src)
-    return src
+    write_cache(source)
+    return reopen() if reopen is not None else source
 
 
 def sample_head(df: DataFrame, n: int = 100) -> DataFrame:
