@@ -1,4 +1,4 @@
-"""Pipelines: origin -> transforms -> terminal(s), from the same JSON specs the reference uses.
+"""Pipelines: origin -> transforms -> terminal(s), written as JSON specs.
 
 A spec is only a convenient way to build a DataFrame plan: each transform maps to a
 DataFrame -> DataFrame function and each terminal to a write. Nothing is executed until a
@@ -16,8 +16,10 @@ from ..operators import joins, mutate, pattern
 from ..operators.codify import codify as codify_engram
 from ..sinks import files as sinks
 from ..sinks.documents import to_documents, write_documents
+from ..functions.paths import quote_part
 from ..sources import files as sources
-from .engram import apply_engram, load_engram
+from ..storage import dataset_exists, swap_folder
+from .engram import apply_engram, from_struct, load_engram
 
 
 @dataclass
@@ -140,14 +142,13 @@ def open_origin(spark: SparkSession, origin, datasets: dict | None = None, regis
         # read-through: an origin without data is filled by its source pipeline, whose
         # terminal writes the cache; the source result is used directly this time
         src = spec["source_fiber"]
-        cached = open_origin(spark, {k: v for k, v in spec.items() if k != "source_fiber"}, datasets) \
-            if _exists(spark, spec) else None
+        def reopen():
+            return open_origin(spark, {k: v for k, v in spec.items() if k != "source_fiber"}, datasets)
+
+        cached = reopen() if _exists(spark, spec) else None
         fresh = run_transforms(open_origin(spark, src["origin"], datasets), src.get("transforms", []),
                                {"spark": spark, "datasets": datasets or {}})
-        if cached is None:
-            return sources.read_through(spark.createDataFrame([], fresh.schema), fresh,
-                                        lambda d: write_terminal(d, src["terminal"]))
-        return sources.read_through(cached, fresh, lambda d: write_terminal(d, src["terminal"]))
+        return sources.read_through(cached, fresh, lambda d: write_terminal(d, src["terminal"]), reopen)
     smt = spec.get("smt")
     if isinstance(smt, str) and datasets and smt in datasets:
         df = datasets[smt]
@@ -161,12 +162,14 @@ def open_origin(spark: SparkSession, origin, datasets: dict | None = None, regis
 
 
 def _exists(spark: SparkSession, spec: dict) -> bool:
-    """Whether the origin can be opened at all (a missing cache location is simply empty)."""
-    try:
-        _read(spark, Address.parse(spec.get("smt")), spec.get("options", {}) or {}).schema
+    """Whether anything is stored at the origin. Only absence counts as empty; other errors are raised."""
+    addr = Address.parse(spec.get("smt"))
+    m = addr.model.lower()
+    if m in ("memory", "table"):
+        return spark.catalog.tableExists(addr.schema)
+    if m in _READERS or m in ("jdbc", "mysql", "mssql", "oracledb", "postgresql"):
         return True
-    except Exception:  # noqa: BLE001 - missing path or table
-        return False
+    return dataset_exists(spark, addr.path)
 
 
 # --- sinks ---------------------------------------------------------------------------------
@@ -183,8 +186,17 @@ def write_terminal(df: DataFrame, terminal: dict):
         return _WRITERS[m](df, addr, opts)
     if opts.get("splitOn"):
         return sinks.write_split(df, addr.path, opts["splitOn"], fmt="json" if m.startswith("json") else m)
-    if addr.key_fields and m == "parquet":
-        return sinks.upsert_path(df, addr.path, addr.key_fields)
+    if addr.key_fields:
+        # a keyed terminal is a keyed store: rows of the same key are replaced, others stay
+        order = opts.get("order")
+        if m == "parquet":
+            return sinks.upsert_path(df, addr.path, addr.key_fields, order)
+        if m == "table":
+            return sinks.upsert_table(df, addr.schema, addr.key_fields, order)
+        if m in ("json", "jsonl", "jsons", "csv", "txt"):
+            return _upsert_text(df, addr, opts, order)
+        if m not in ("memory", "template"):
+            raise ValueError(f"a terminal of model {addr.model!r} can't store by key {addr.key!r}")
     if m in ("json", "jsonl", "jsons"):
         return sinks.write_json(df, addr.path, mode=mode)
     if m in ("csv", "txt"):
@@ -207,6 +219,33 @@ def write_terminal(df: DataFrame, terminal: dict):
     raise ValueError(f"no writer for model {addr.model!r}")
 
 
+def _upsert_text(df: DataFrame, addr: Address, opts: dict, order=None):
+    """Keyed store in JSON or CSV files: what is there is read as typed as ``df`` is, merged, and written
+    as a whole to a new folder that then takes the old one's place by rename."""
+    from ..operators.maintain import upsert
+
+    spark, m = df.sparkSession, addr.model.lower()
+    text = sinks.json_ready(df) if m.startswith("json") else df
+    if dataset_exists(spark, addr.path):
+        if m.startswith("json"):
+            old = spark.read.schema(text.schema).json(addr.path)
+        else:
+            sep = opts.get("separator", "," if m == "csv" else "\t")
+            header = bool(opts.get("addHeader"))
+            old = sources.scan_csv(spark, addr.path, header=header, sep=sep, names=None if header else df.columns)
+            old = apply_engram(old, from_struct(df.schema))
+        text = upsert(old.select(*[quote_part(c) for c in text.columns]), text, addr.key_fields, order)
+    else:
+        text = upsert(text.limit(0), text, addr.key_fields, order)
+
+    def write(path):
+        if m.startswith("json"):
+            return sinks.write_json(text, path)
+        return sinks.write_csv(text, path, header=bool(opts.get("addHeader")), sep=opts.get("separator", "," if m == "csv" else "\t"))
+
+    return swap_folder(spark, addr.path, write)
+
+
 # --- transforms ----------------------------------------------------------------------------
 
 def _t_filter(df, spec, ctx):
@@ -318,6 +357,32 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
                 p.unpersist()
 
 
+def scan_fibers(spark: SparkSession, path: str, glob: str, exclude: list[str] | None, fibers: list[dict], fmt: str = "json",
+                read_options: dict | None = None, recursive: bool = False, datasets: dict | None = None) -> list[DataFrame]:
+    """The ``scan`` action with several sub-fibers: all matching files are read once, every sub-fiber
+    works on that read, with ``name``, ``rpath`` and ``schema`` as fields, and writes to its own terminal.
+
+    ``${schema}``, ``${name}`` or ``${rpath}`` in a terminal's address mean one output per source dataset:
+    the rows are split by it.
+    """
+    many = sources.scan_many(spark, path, glob, exclude, fmt=fmt, recursive=recursive, merge_schema=fmt == "parquet", options=read_options)
+    outs = []
+    for fiber in fibers:
+        out = run_transforms(many, fiber.get("transforms", []), {"spark": spark, "datasets": datasets or {}})
+        outs.append(out)
+        terminal = fiber.get("terminal")
+        if not terminal or not terminal.get("smt"):
+            continue
+        addr = Address.parse(terminal["smt"])
+        named = [f for f in ("schema", "name", "rpath") if "${" + f + "}" in addr.path]
+        if named and named[0] in out.columns:
+            base = addr.path[:addr.path.index("${")].rsplit("/", 1)[0]
+            sinks.write_split(out, base, named, fmt="json" if addr.model.lower().startswith("json") else addr.model.lower())
+        else:
+            write_terminal(out, terminal)
+    return outs
+
+
 def scan_transfer(spark: SparkSession, path: str, glob: str = "*", exclude: list[str] | None = None,
                   transforms=(), out_path: str | None = None, fmt: str = "json", out_fmt: str = "json",
                   read_options: dict | None = None, recursive: bool = False) -> DataFrame:
@@ -351,22 +416,29 @@ def _substitute(spec, params: dict):
     return spec
 
 
+#: datasets that one foreach may name: each is a branch of the plan
+MAX_DATASETS = 10_000
+
+
 def foreach(spark: SparkSession, driver: DataFrame, fiber: dict, terminal=None, datasets: dict | None = None,
             registry: DataFrame | None = None) -> DataFrame:
     """The ``foreach`` action over a list of datasets: each driving row (e.g. a registry entry)
     parameterises the sub-pipeline ``fiber`` (``{"origin": ..., "transforms": [...]}``) through
     ``${field}`` references, and all results go to one output.
 
-    The driving rows describe datasets (metadata, one per dataset), so they are read on the driver;
-    every sub-pipeline stays a lazy plan and their union runs as ONE job. For rows that are data
-    parameterising a lookup, use :func:`skein.operators.joins.foreach_join` instead.
+    The driving rows describe datasets (metadata, one per dataset): each becomes a branch of ONE job's
+    plan, so they are read on the driver, and more than MAX_DATASETS of them raise. Rows that are data
+    parameterising a lookup go through :func:`skein.operators.joins.foreach_join`, a join.
     """
     from ..operators.setops import union_all
     from .registry import ENTRY_SCHEMA, entry_dict
 
     is_registry = set(ENTRY_SCHEMA.fieldNames()) <= set(driver.columns)
     frames = []
-    for row in driver.collect():
+    rows = driver.limit(MAX_DATASETS + 1).collect()
+    if len(rows) > MAX_DATASETS:
+        raise ValueError(f"foreach over more than {MAX_DATASETS} datasets: use foreach_join for rows of data")
+    for row in rows:
         params = entry_dict(row) if is_registry else row.asDict(recursive=True)
         spec = _substitute(fiber, params)
         ctx = {"spark": spark, "datasets": datasets or {}, "registry": registry}
@@ -380,6 +452,20 @@ def foreach(spark: SparkSession, driver: DataFrame, fiber: dict, terminal=None,
     return out
 
 
+def _schema_action(spark: SparkSession, fiber: dict, origin, terminal, datasets, registry) -> dict:
+    """``schema`` with ``method`` create, encoding or dull: the catalog operations, as a fiber."""
+    from . import registry as reg
+
+    method = fiber.get("method") or (fiber.get("schema") or {}).get("method") or "encoding"
+    addr = Address.parse((origin or terminal)["smt"])
+    if method in ("create", "createSchema"):
+        enc = ((origin or terminal).get("options") or {}).get("encoding") or fiber.get("encoding")
+        return reg.schema_create(spark, addr.schema, enc)
+    if method in ("dull", "dullSchema", "drop"):
+        return reg.schema_dull(spark, addr.schema)
+    return reg.schema_encoding(spark, addr.schema)
+
+
 def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, registry: DataFrame | None = None):
     """Run one fiber spec by its ``action`` (default ``transfer``) and return its result:
 
@@ -388,26 +474,37 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
       ``encoding_format``);
     * ``dull`` -> ``{"deleted": n}`` for a parquet origin (rewritten in place through staging);
     * ``list`` -> the inventory DataFrame; ``scan`` -> the combined result of ``scan_transfer``;
-    * ``foreach`` -> the union of the sub-fiber over the driving rows.
+    * ``foreach`` -> the union of all sub-fibers over the driving rows; ``schema`` -> a status dict.
     """
     from ..operators.codify import codify as codify_engram
+    from ..operators.setops import union_all
     from ..sinks.files import dull_path
 
     action = fiber.get("action", "transfer")
     origin = fiber.get("origin")
     terminal = fiber.get("terminal")
     if isinstance(terminal, dict) and not terminal.get("smt"):
-        terminal = None  # an output-only terminal names a comparison file of the reference tests
+        terminal = None  # an output-only terminal names a file to compare with
     if action in ("transfer", "retrieve"):
         return transfer(spark, origin, fiber.get("transforms", []), terminal, datasets, registry=registry)
     if action == "codify":
         opts = (origin or {}).get("options", {}) or {}
         src = open_origin(spark, {k: v for k, v in origin.items() if k != "options"} | {"options": {
-            k: v for k, v in opts.items() if k not in ("count", "encoding_format")}}, datasets, registry)
+            k: v for k, v in opts.items() if k not in ("count", "encoding_format", "encoding")}}, datasets, registry)
         src = run_transforms(src, fiber.get("transforms", []), {"spark": spark, "datasets": datasets or {},
                                                                   "registry": registry})
-        return codify_engram(src, missing=fiber.get("missingValue"), format=opts.get("encoding_format"),
-                             name=fiber.get("name"), sample=opts.get("count"))
+        found = codify_engram(src, missing=fiber.get("missingValue"), format=None if opts.get("encoding") else opts.get("encoding_format"),
+                              name=fiber.get("name"), sample=opts.get("count"))
+        if opts.get("encoding"):  # primed: what the given encoding says comes first
+            from ..operators.codify import format_engram, merge_engram
+
+            found = format_engram(merge_engram(load_engram(opts["encoding"]), found), opts.get("encoding_format"))
+        if terminal is not None:
+            import json
+
+            text = spark.createDataFrame([(json.dumps(found, ensure_ascii=False),)], "value string")
+            text.coalesce(1).write.mode("overwrite").text(Address.parse(terminal["smt"]).path)
+        return found
     if action == "dull":
         addr = Address.parse(origin["smt"])
         return {"deleted": dull_path(spark, addr.path, (origin.get("pattern") or {}).get("match", "*"),
@@ -419,11 +516,21 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
     if action == "scan":
         addr = Address.parse(origin["smt"])
         opts = origin.get("options", {}) or {}
+        if fiber.get("fibers"):
+            return union_all(scan_fibers(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber["fibers"],
+                                         fmt="json" if addr.model.lower().startswith("json") else addr.model,
+                                         recursive=bool(opts.get("recursive")), datasets=datasets))
         return scan_transfer(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber.get("transforms", []),
                              Address.parse(terminal["smt"]).path if terminal else None, fmt=addr.model)
     if action == "foreach":
         driver = open_origin(spark, origin, datasets, registry) if not (
             isinstance(origin, dict) and origin.get("smt") in ("$:engrams", "$:tracts") and registry is not None) \
             else pattern.retrieve(registry, origin.get("pattern") or {})
-        return foreach(spark, driver, fiber["fibers"][0], terminal, datasets, registry)
+        outs = [foreach(spark, driver, sub, None, datasets, registry) for sub in fiber["fibers"]]
+        out = union_all(outs)
+        if terminal is not None:
+            write_terminal(out, terminal)
+        return out
+    if action == "schema":
+        return _schema_action(spark, fiber, origin, terminal, datasets, registry)
     raise ValueError(f"unknown action {action!r}")
