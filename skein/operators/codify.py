@@ -229,12 +229,20 @@ def codify(df: DataFrame, missing: str | None = None, format: str | None = None,
     return format_engram(eng, format)
 
 
+#: datasets whose encodings codify_each makes at once
+MAX_GROUPS = 10_000
+
+
 def codify_each(df: DataFrame, by: str = "schema", missing: str | None = None,
                 keyword_max: int = KEYWORD_MAX) -> dict:
     """One encoding per value of ``by`` (e.g. per dataset of :func:`scan_many`), from a single
     grouped aggregate; leaf fields a group has no values for are left out of its encoding.
-    Only the result rows (groups x fields) reach the driver."""
-    rows = codify_frame(df, missing, keyword_max, by=[by]).collect()
+    Groups are datasets, as of a scan: the encodings (groups x fields rows) are made on the driver, and
+    more than MAX_GROUPS groups raise; for values of data use ``codify_frame(by=)``, a DataFrame."""
+    found = codify_frame(df, missing, keyword_max, by=[by])
+    if found.select(by).distinct().limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"codify_each over more than {MAX_GROUPS} groups: use codify_frame(by=...)")
+    rows = found.collect()
     out: dict = {}
     for key in sorted({r[by] for r in rows}, key=str):
         mine = sorted((r for r in rows if r[by] == key and (r["n"] is None or r["n"] > 0)), key=lambda r: r["pos"])

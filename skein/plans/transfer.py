@@ -19,7 +19,7 @@ from ..sinks.documents import to_documents, write_documents
 from ..functions.paths import quote_part
 from ..sources import files as sources
 from ..storage import dataset_exists, swap_folder
-from .engram import apply_engram, from_struct, load_engram
+from .engram import apply_engram, from_struct, key_fields, load_engram
 
 
 @dataclass
@@ -264,8 +264,11 @@ def _lookup_frame(spec, ctx):
 
 
 def _t_adjoin(df, spec, ctx):
+    enc = (spec.get("options") or {}).get("encoding")
+    # an encoding that declares the looked-up fields as the key says that they are unique
+    unique = bool(spec.get("unique")) or enc is not None and bool(key_fields(enc)) and set(key_fields(enc)) <= set(spec["lookup"])
     return joins.adjoin(df, _lookup_frame(spec, ctx), spec["lookup"], spec.get("inject"), spec.get("order"),
-                        spec.get("prefix"))
+                        spec.get("prefix"), unique=unique)
 
 
 def _t_conjoin(df, spec, ctx):

@@ -32,7 +32,7 @@ def read_stream(spark: SparkSession, path: str, fmt: str = "json", engram=None,
 
 def transfer_stream(spark: SparkSession, path: str, steps, sink_path: str, checkpoint: str, fmt: str = "json",
                     engram=None, schema=None, sink_fmt: str = "parquet", read_options: dict | None = None,
-                    available_now: bool = True):
+                    available_now: bool = True, interval: str = "10 seconds"):
     """Origin files -> transforms -> file sink, exactly once per file (checkpointed)."""
     df = read_stream(spark, path, fmt, engram, schema, read_options)
     df = run_transforms(df, steps, {"spark": spark, "datasets": {}})
@@ -40,12 +40,12 @@ def transfer_stream(spark: SparkSession, path: str, steps, sink_path: str, check
         df = json_ready(df)
     w = (df.writeStream.format(sink_fmt).option("path", sink_path).option("checkpointLocation", checkpoint)
          .outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
 def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bool = True,
-                  output_mode: str = "append"):
+                  output_mode: str = "append", interval: str = "10 seconds"):
     """Streaming tee / upsert: each micro-batch is persisted once and handed to every sink as
     ``sink(batch_df, batch_id)``; sinks should be idempotent per ``batch_id`` (e.g. a keyed
     upsert), so a replayed batch after a failure does not duplicate rows.
@@ -62,7 +62,7 @@ def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bo
             b.unpersist()
 
     w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode(output_mode)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 

@@ -1,4 +1,7 @@
-"""Small fixture inputs and expected outputs (values transcribed from the golden test data)."""
+"""Small fixture inputs and expected outputs.
+
+Fixed values: the inputs and outputs below must equal the golden ones for the results to be right.
+"""
 
 import json
 import os
