@@ -41,7 +41,24 @@ def replicate(df: DataFrame, count: str) -> DataFrame:
     return dealt.select(*cols, F.explode(F.array_repeat(F.lit(True), own.cast("int"))).alias("__copy")).select(*cols)
 
 
-def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side") -> DataFrame:
+#: how much of a value is compared (our own definition of the levels)
+NAMES, TYPES, VALUES = 0, 1, 2
+
+
+def at_level(df: DataFrame, level: int) -> DataFrame:
+    """Rows as far as a comparison looks at them: which fields are present (NAMES), with the type of
+    present ones (TYPES), or the values themselves (VALUES)."""
+    if level >= VALUES:
+        return df
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(quote_part(f.name))
+        seen = F.lit("present") if level == NAMES else F.lit(f.dataType.simpleString())
+        cells.append(F.when(c.isNotNull(), seen).otherwise(F.lit("missing")).alias(f.name))
+    return df.select(*cells)
+
+
+def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side", level: int = VALUES) -> DataFrame:
     """Rows of ``expected`` missing from ``actual`` and rows of ``actual`` not expected, with
     multiplicity (bag difference both ways, like ``EXCEPT ALL`` in each direction).
 
@@ -49,6 +66,7 @@ def compare(expected: DataFrame, actual: DataFrame, side_col: str = "side") -> D
     two ``exceptAll`` calls would shuffle everything twice -- then the surplus copies of each
     differing row are regenerated on the side that has them.
     """
+    expected, actual = at_level(expected, level), at_level(actual, level)
     cols = [quote_part(c) for c in expected.columns]
     tagged = (expected.select(*cols, F.lit(1).alias("__d"))
               .unionByName(actual.select(*cols, F.lit(-1).alias("__d"))))
@@ -72,9 +90,9 @@ def compare_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def compare_files(spark, expected_path: str, actual_path: str, fmt: str = "json", pick: str | None = None,
-                  options: dict | None = None) -> DataFrame:
+                  options: dict | None = None, level: int = VALUES) -> DataFrame:
     """Compare two stored datasets (optionally the array at a ``pick`` path inside each); fields
-    are aligned by name on the expected side's columns."""
+    are aligned by name on the expected side's columns, ``level`` says how closely."""
     from ..sources.files import pick as pick_path
 
     def load(p):
@@ -86,4 +104,4 @@ def compare_files(spark, expected_path: str, actual_path: str, fmt: str = "json"
     missing = [c for c in exp.columns if c not in act.columns]
     for c in missing:
         act = act.withColumn(c, F.lit(None).cast(exp.schema[c].dataType))
-    return compare(exp.select(*cols), act.select(*cols))
+    return compare(exp.select(*cols), act.select(*cols), level=level)

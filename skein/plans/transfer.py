@@ -477,7 +477,8 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
       ``encoding_format``);
     * ``dull`` -> ``{"deleted": n}`` for a parquet origin (rewritten in place through staging);
     * ``list`` -> the inventory DataFrame; ``scan`` -> the combined result of ``scan_transfer``;
-    * ``foreach`` -> the union of all sub-fibers over the driving rows; ``schema`` -> a status dict.
+    * ``foreach`` -> the union of all sub-fibers over the driving rows; ``schema`` -> a status dict;
+      ``compare`` -> the differing rows of two stored datasets, at a level (``compareValues``).
     """
     from ..operators.codify import codify as codify_engram
     from ..operators.setops import union_all
@@ -534,6 +535,12 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
         if terminal is not None:
             write_terminal(out, terminal)
         return out
+    if action == "compare":
+        from ..operators.setops import VALUES, compare_files
+
+        fmt = fiber.get("model") or ("csv" if str(fiber["expected"]).split(".gz")[0].endswith((".csv", ".txt")) else "json")
+        options = {"header": True} if fmt == "csv" else {"multiLine": True, "primitivesAsString": True}
+        return compare_files(spark, fiber["expected"], fiber["output"], fmt, fiber.get("pick"), options, int(fiber.get("compareValues", VALUES)))
     if action == "schema":
         return _schema_action(spark, fiber, origin, terminal, datasets, registry)
     raise ValueError(f"unknown action {action!r}")

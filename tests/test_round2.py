@@ -174,3 +174,13 @@ def test_long_zero_padded_integers_and_types_only(spark):
     df = spark.createDataFrame([("0" * 30 + "42",), ("-" + "0" * 25 + "7.0",)], "v string")
     assert [r[0] for r in df.select(coerce.to_integer(F.col("v"))).collect()] == [42, -7]
     assert [f["name"] for f in normalize_fields(["integer", "text"])] == ["_c0", "_c1"]
+
+
+def test_compare_levels(spark, tmp):
+    for name, rows in (("a", [{"n": 1, "s": "x"}, {"n": 2, "s": None}]), ("b", [{"n": 9, "s": "y"}, {"n": 2, "s": None}])):
+        with open(f"{tmp}/{name}.json", "w") as f:
+            json.dump(rows, f)
+    fiber = {"action": "compare", "expected": tmp + "/a.json", "output": tmp + "/b.json"}
+    assert run_fiber(spark, fiber).count() == 2
+    assert run_fiber(spark, fiber | {"compareValues": 1}).count() == 0
+    assert run_fiber(spark, fiber | {"compareValues": 0}).count() == 0
