@@ -130,9 +130,9 @@ def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
     """Marks of the top TABLE_BITS of 64-bit hashes. What is collected is bounded by the table's size."""
     got = hashes.select(F.shiftrightunsigned(F.col(col), 64 - TABLE_BITS).alias("slot")) \
         .select(F.expr("int(shiftright(slot, 5))").alias("k"), F.expr("shiftleft(1L, int(slot % 32))").alias("v")) \
-        .groupBy("k").agg(F.bit_or("v").alias("v")).toPandas()
+        .groupBy("k").agg(F.bit_or("v").alias("v")).toArrow()
     bits = np.zeros(1 << TABLE_BITS - 5, np.uint32)
-    bits[got["k"]] = got["v"].to_numpy().astype(np.uint32)
+    bits[got["k"].to_numpy()] = got["v"].to_numpy().astype(np.uint32)
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 

@@ -126,9 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(have[1, at]), pa.array(have[0, at])], names=["f", "pos", "neg"])
 
     got = rows.select("text", "y").mapInArrow(counts, "f bigint, pos bigint, neg bigint") \
-        .groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most 2 ** BITS + 1 rows
+        .groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()  # at most 2 ** BITS + 1 rows
     pos, neg = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    pos[got["f"]], neg[got["f"]] = got["pos"], got["neg"]
+    at = got["f"].to_numpy()
+    pos[at], neg[at] = got["pos"].to_numpy(), got["neg"].to_numpy()
     n_pos, n_neg = pos[-1], neg[-1]
     weights = np.zeros(1 << BITS, np.float32)
     if not n_pos or not n_neg:
