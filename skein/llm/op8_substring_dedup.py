@@ -229,6 +229,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = staged(found, "places")
     # a component of one document only is no repeat across documents
     across = found.groupBy("component_id").agg(F.min(F.struct("id", "start")).alias("origin"), F.max("id").alias("high")).where("origin.id != high")
+    across = staged(across, "components")  # joined as a scan, so that the places of a large component can be split
     found = found.join(across, "component_id").withColumn("kept", F.expr("origin.id = id and origin.start = start")).withColumn("first_id", F.col("origin.id"))
     # stretches: units that touch or overlap and are all kept or all removed
     by_place = Window.partitionBy("id", "kept").orderBy("first", F.desc("last"), "component_id")
