@@ -6,9 +6,11 @@ coordinates are chosen by a hash of the node alone; every class of the node goes
 choice, named by its own minwise values there. Sets of high similarity share many of these paths,
 others soon part:
 
-* a node of at most SMALL classes (SMALL_BELOW under the first level) is compared exhaustively;
-* in a larger node one pivot, another one at each level, is compared with all, then the node branches; it is done as soon as all
-  its classes are known to be in one component, as groups of near copies soon are.
+* in a node whose classes are all but FEW (FEW_BELOW under the first level) in one component so far,
+  these few are compared with all of the node; small nodes are compared exhaustively that way, and
+  so are the stragglers of a large group of near copies;
+* in any other node one pivot, another one at each level, is compared with all, then the node branches;
+* a node whose classes are all in one component is done.
 
 Comparing means: the 64-bit sketches (one bit per minwise value) may differ in SKETCH_BITS bits at
 most, which a linked pair exceeds with a chance of about 1e-7; then the link is confirmed on the full
@@ -41,8 +43,8 @@ COORDINATES = 64
 TREES = 8
 CHILDREN = 2       # choices of a node, of CHOSEN minwise values each
 CHOSEN = 2
-SMALL = 12
-SMALL_BELOW = 48
+FEW = 12
+FEW_BELOW = 48
 LEVELS = 10
 SKETCH_BITS = 20
 _WORD = non_blank()
@@ -160,29 +162,32 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
     labels = connected_components(extra) if extra.limit(1).count() else None
     rows = branched(classes, 0)
     for level in range(LEVELS + 1):
-        small_size = SMALL if level == 0 else SMALL_BELOW
-        # at the first level a group has the same pivot in all its nodes (few pairs); below, others get their turn
-        turn = F.xxhash64("rep") if level == 0 else F.xxhash64("rep", "node")
+        few = FEW if level == 0 else FEW_BELOW
         rows = staged(rows if labels is None else rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left"), "nodes")
         rows = rows.select("node", "rep", "sketch", (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("label"))
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last"),
-                                         F.min(F.struct(turn.alias("h"), "rep", "sketch", "label")).alias("pivot"))
-        mixed_nodes = staged(nodes.where("first != last").drop("first", "last"), "mixed")
-        if not mixed_nodes.limit(1).count():
-            drop_staged(rows, mixed_nodes)
+        # per node: its largest component so far, how many classes are outside of it, and a pivot
+        turn = F.xxhash64("rep") if level == 0 else F.xxhash64("rep", "node")
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("h"), "rep", "sketch", "label")).alias("pivot"))
+        nodes = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.min("pivot").alias("pivot"))
+        nodes = nodes.select("node", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("outside"), "pivot").where("outside > 0")
+        open_nodes = staged(nodes, "mixed")
+        if not open_nodes.limit(1).count():
+            drop_staged(rows, open_nodes)
             break
-        live = rows.join(mixed_nodes, "node")
         last = level == LEVELS
-        small = live.where(F.lit(False) if last else F.col("n") <= small_size).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("xs"))
-        inside = small.select(F.explode(F.expr(
-            "flatten(transform(xs, x -> transform(filter(xs, y -> y.rep > x.rep and y.label != x.label and "
-            + close_sketches("x.sketch", "y.sketch") + "), y -> struct(x.rep as a, y.rep as b))))")).alias("p")).select("p.*")
-        if last:  # the exact way for nodes that never became small
-            other = rows.join(mixed_nodes.select("node"), "node", "left_semi").withColumnsRenamed({"rep": "b", "sketch": "s", "label": "l"})
-            star = live.select("node", "rep", "sketch", "label").join(other, "node") \
+        # classes outside of the largest component, few of them, meet all of their node
+        light = open_nodes.where(F.lit(False) if last else F.col("outside") <= few).select("node", "major")
+        others = staged(rows.join(light, "node").where("label != major").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("ys")), "outside")
+        met = rows.join(others, "node").select("rep", F.explode(F.expr(
+            "filter(ys, y -> y.rep != rep and y.label != label and " + close_sketches("y.sketch", "sketch") + ")")).alias("y"))
+        inside = met.select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b"))
+        heavy = open_nodes.where(F.lit(True) if last else F.col("outside") > few)
+        if last:  # the exact way for nodes that never became light
+            left = rows.join(heavy.select("node"), "node", "left_semi")
+            star = left.join(left.withColumnsRenamed({"rep": "b", "sketch": "s", "label": "l"}), "node") \
                 .where("rep < b and label != l and " + close_sketches("sketch", "s")).select(F.col("rep").alias("a"), "b")
         else:
-            star = live.where((F.col("n") > small_size) & F.expr("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch"))) \
+            star = rows.join(heavy.select("node", "pivot"), "node").where("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch")) \
                 .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
         pairs = staged(inside.union(star).distinct(), "pairs")
         if pairs.limit(1).count():
@@ -190,10 +195,10 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             if links.limit(1).count():
                 labels = connected_components(links, labels)
             drop_staged(links)
-        old, large = rows, mixed_nodes.where(F.col("n") > small_size).select("node")
-        rows = old.join(large, "node", "left_semi").select("node", "rep", "sketch").join(classes.select("rep", "low"), "rep")
+        old = rows
+        rows = old.join(heavy.select("node"), "node", "left_semi").select("node", "rep", "sketch").join(classes.select("rep", "low"), "rep")
         rows = staged(branched(rows, level + 1), "branches") if not last else rows
-        drop_staged(pairs, mixed_nodes, old)
+        drop_staged(pairs, others, open_nodes, old)
     return labels
 
 
