@@ -7,11 +7,13 @@ five-word shingles; units of the same set are one class.
 
 Classes of paragraphs with PARAGRAPH words or more are banded: BANDS bands of ROWS minwise values, tuned
 for a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998 that two paragraphs of similarity 0.8 collide.
-In a bucket every class is paired with the smallest and the largest class of it, which links all
-members that are similar to either (a bucket's members share ROWS five-word phrases); pairs are
-verified by exact Jaccard similarity, or, for paragraphs of few shingles, by edit distance of the
-words. Verified links are clustered by connected components. Shorter units count as repeated when
-their sets are equal.
+In a bucket every class is paired with the smallest and the largest class of it; pairs are verified by
+exact Jaccard similarity, or, for paragraphs of few shingles, by edit distance of the words. That is
+all pairs of a bucket of three. The classes of larger buckets that are still in several components
+(paragraphs made from a template) are finished exactly: a prefix filter pairs each with all others of
+them that share one of its rarest shingles, which similar sets must (``finished``). So every similar
+pair that shares a bucket ends in one component. Verified links are clustered by connected
+components. Shorter units count as repeated when their sets are equal.
 
 Neighbouring repeated units are joined; stretches of MIN_WORDS words or more are returned with the
 component of their longest unit. The first place of a component (smallest id, then position) is kept,
@@ -40,6 +42,9 @@ REACH = 4
 PARAGRAPH = 24     # words from which a paragraph is banded
 MIN_WORDS = 16     # words of a stretch that is returned
 ROWS, BANDS = 2, 6
+SHORT = 40         # words up to which edit distance counts
+SLOTS = 20         # bits of the table of shingle counts that orders shingles
+GROUP = 1024       # members of a shingle that are compared at once; larger groups are pairs of such parts
 _WORD = non_blank()
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 1 << 62, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,8 +155,110 @@ def edit_distance(x: list[int], y: list[int], most: int) -> int:
     return row[-1]
 
 
+def edits(words: int, percent: int) -> int:
+    """Edits that a paragraph of up to SHORT words may have."""
+    return words * (100 - percent) // 400
+
+
+def prefix_length(n_words: int, n_shingles: int, percent: int) -> int:
+    """How many of its first shingles, in any order that is common to all, meet those of every similar paragraph.
+
+    Jaccard similarity needs percent of the shingles in common; an edit touches at most WORDS of them.
+    """
+    far = n_shingles + (-percent * n_shingles // 100)
+    if n_words <= SHORT:
+        far = max(far, WORDS * edits(min(SHORT, n_words + edits(SHORT, percent)), percent))
+    return min(n_shingles, far + 1)
+
+
+def merging_links(cls: np.ndarray, label: np.ndarray, texts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of a group that join two components; members of one component aren't compared."""
+    n = len(cls)
+    sets = [np.unique(rolled(x, WORDS)) for x in texts]
+    size, length = np.array([len(s) for s in sets]), np.array([len(x) for x in texts])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    holders = owner[np.argsort(code, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(code))])
+    _, part = np.unique(label, return_inverse=True)
+    out = []
+    for i in range(n - 1):
+        if not (part[i + 1:] != part[i]).any():
+            continue
+        both = np.bincount(np.concatenate([holders[at[c]:at[c + 1]] for c in code[ends[i]:ends[i + 1]]]), minlength=n)
+        most = edits(np.maximum(length, length[i]), percent)
+        near = 100 * both >= percent * (size + size[i] - both)
+        may = near | ((np.maximum(length, length[i]) <= SHORT) & (both >= np.maximum(size, size[i]) - WORDS * most))
+        for j in (i + 1 + np.flatnonzero(may[i + 1:] & (part[i + 1:] != part[i]))).tolist():
+            if part[j] != part[i] and (near[j] or edit_distance(texts[i].tolist(), texts[j].tolist(), int(most[j])) <= most[j]):
+                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+                part[part == part[j]] = part[i]
+    return out
+
+
+def finished(left: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join components, from an exact similarity join of ``left`` (cls, label, words).
+
+    Shingles are ordered by how often they occur (counted in a table of fixed size), then by their hash.
+    Similar classes share one of the first ``prefix_length`` shingles of both. Shingles with the same
+    classes are one group; groups of one component are dropped; the others are compared in full.
+    """
+    spark = left.sparkSession
+    slot = np.uint64(64 - SLOTS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(2):
+                s, n = np.unique(np.unique(rolled(np.frombuffer(x.as_py(), "<u8").astype(np.uint64), WORDS)) >> slot, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    got = left.mapInArrow(counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << SLOTS, np.int64)
+    often[got["slot"].to_numpy()] = got["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, label, x in zip(batch.column(0), batch.column(1), batch.column(2)):
+                x = np.frombuffer(x.as_py(), "<u8").astype(np.uint64)
+                s = np.unique(rolled(x, WORDS))
+                s = s[np.lexsort((s, shared.value[(s >> slot).astype(np.int64)]))][:prefix_length(len(x), len(s), percent)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), cls.as_py())), pa.array(np.full(len(s), label.as_py()))],
+                                                 names=["shingle", "cls", "label"])
+
+    held = staged(left.mapInArrow(prefixes, "shingle bigint, cls bigint, label bigint"), "prefixes")
+    groups = held.groupBy("shingle").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cls))").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")) \
+        .where("low != high").groupBy("n", "all").agg(F.min("shingle").alias("shingle")).select("shingle", F.expr(f"int(ceil(n / {GROUP}))").alias("k"))
+    groups = staged(groups, "shingle-groups")
+    own = F.pmod(F.xxhash64("cls", "shingle"), F.col("k")).cast("int")
+    parts = held.join(groups, "shingle").withColumn("own", own) \
+        .withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("shingle", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cls")
+    parts = parts.join(left, "cls").select("shingle", "p", "q", "cls", "label", "words")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows):
+            got = merging_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]),
+                                [np.frombuffer(r[2], "<u8").astype(np.uint64) for r in rows], percent) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        key, rows = None, []
+        for batch in batches:
+            for *now, cls, label, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != key:
+                    yield links(rows)
+                    key, rows = now, []
+                rows.append((cls, label, words))
+        yield links(rows)
+
+    links = parts.repartition("shingle", "p", "q").sortWithinPartitions("shingle", "p", "q").mapInArrow(compared, "a bigint, b bigint").distinct()
+    links = staged(links, "finishing-links")
+    drop_staged(held, groups)
+    return links
+
+
 def near_links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links between classes of paragraphs that aren't equal."""
+    """a, b: verified links between classes of paragraphs that aren't equal, enough for their components."""
     spark = rows.sparkSession
     buckets = _mapped(rows, "bucket bigint, cls bigint", lambda u, ids: {
         "bucket": bands(u).ravel().view(np.int64), "cls": np.repeat(u.cls[u.banded], BANDS).view(np.int64)}) \
@@ -164,7 +271,7 @@ def near_links(rows: DataFrame, percent: int) -> DataFrame:
         at = _marked(np.unpackbits(live.value).astype(bool), b)
         return {"bucket": b[at].view(np.int64), "cls": cls[at].view(np.int64)}
 
-    met = _mapped(rows, "bucket bigint, cls bigint", members).distinct().join(buckets, "bucket")
+    met = staged(_mapped(rows, "bucket bigint, cls bigint", members).distinct().join(buckets, "bucket"), "bucket-members")
     pairs = met.select(F.explode(F.array(F.struct(F.least("cls", "low").alias("a"), F.greatest("cls", "low").alias("b")),
                                          F.struct(F.least("cls", "high").alias("a"), F.greatest("cls", "high").alias("b")))).alias("p")) \
         .select("p.*").where("a != b").distinct()
@@ -191,15 +298,24 @@ def near_links(rows: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     keep.append(k)
-                elif max(len(x), len(y)) <= 40:  # of few shingles, one edit already touches a fifth
-                    most = max(len(x), len(y)) * (100 - percent) // 400
+                elif max(len(x), len(y)) <= SHORT:  # of few shingles, one edit already touches a fifth
+                    most = edits(max(len(x), len(y)), percent)
                     if edit_distance(x.tolist(), y.tolist(), most) <= most:
                         keep.append(k)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     joined = pairs.join(texts.withColumnsRenamed({"cls": "a", "words": "x"}), "a").join(texts.withColumnsRenamed({"cls": "b", "words": "y"}), "b")
     links = staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint"), "paragraph-links")
-    drop_staged(buckets, pairs, named, texts)
+    # buckets of more than three classes in several components: their other pairs are still to be compared
+    labels = connected_components(links) if links.limit(1).count() else None
+    label = F.col("cls") if labels is None else F.coalesce("label", "cls")
+    placed = met if labels is None else met.join(labels.withColumnRenamed("v", "cls"), "cls", "left")
+    placed = staged(placed.select("bucket", "cls", label.alias("label")), "bucket-labels")
+    mixed_buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last")).where("n > 3 and first != last")
+    left = staged(placed.join(mixed_buckets.select("bucket"), "bucket", "left_semi").select("cls", "label").distinct().join(texts, "cls"), "left")
+    if left.limit(1).count():
+        links = staged(links.union(finished(left, percent)), "all-links")
+    drop_staged(buckets, met, pairs, named, texts, placed, left)
     return links
 
 

@@ -161,6 +161,29 @@ def test_repeated_passages(spark, none):
     assert op8_substring_dedup.repeated_passages(none).collect() == []
 
 
+def test_template_paragraphs_equal_brute_force(spark):
+    """A large group that shares a template: every member has one similar other, which is no extreme of a bucket."""
+    rng = random.Random(21)
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(100_000)}" for _ in range(n)]
+
+    template, rows = words(36), []
+    for _ in range(400):
+        own = template + words(24)
+        copy = list(own)
+        copy[rng.randrange(40, 56)] = "edited"
+        rows += [own, copy]
+    for _ in range(50):  # short ones, similar by edit distance only
+        own = template[:14] + words(14)
+        copy = list(own)
+        copy[20] = "edited"
+        rows += [own, copy]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "id bigint, t string").repartition(3)
+    found = connected_components(op8_substring_dedup.near_links(df, 80)).groupBy("label").count().collect()
+    assert sorted(r["count"] for r in found) == [2] * 450
+
+
 def test_edit_distance():
     assert op8_substring_dedup.edit_distance([1, 2, 3], [1, 3, 3, 4], 5) == 2
     assert op8_substring_dedup.edit_distance([1, 2, 3], [4, 5, 6], 1) == 2
