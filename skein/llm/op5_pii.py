@@ -4,8 +4,10 @@ What is found, and what makes it valid:
 
 * payment card numbers: 13 to 19 digits, alone or in blocks parted by blanks or hyphens, with a right
   Luhn digit. The digits before it are permuted, the Luhn digit is computed anew: still a valid card.
-* telephone numbers: ``+C (AAA) BBB-DDDD`` and the like; the ten digits are permuted, country code and
-  marks stay.
+  In a longer run of blocks every sequence of whole blocks is tried: first those written like cards
+  (one block, 4-4-4-4, 4-6-5, 4-6-4), then the longest, and again beside them. Part of a block is no card.
+* telephone numbers: ``+C (AAA) BBB-DDDD`` and the like, ``(AAA) BBB-DDDD``, ``AAA-BBB-DDDD`` and
+  ``AAA.BBB.DDDD``, also after ``1``; the ten digits are permuted, country code and marks stay.
 * social security numbers ``AAA-BB-CCCC`` with area, group and serial in their ranges.
 * IPv4 addresses with octets up to 255: the 32 bits are permuted.
 * e-mail addresses: letters of the local part are permuted as letters, digits as digits; its other
@@ -32,15 +34,20 @@ ROUNDS = 8
 KEY = "change-me"
 
 #: one pattern for everything that may be personal; which kind a match is, is decided per match
-CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
 PHONE = r"\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d{4}(?!\d)"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 #: a match can only begin at a run's start and has RFC lengths, so long runs without an @ cost one look each
 EMAIL = (r"(?<![\p{L}\d._%+-])[\p{L}\d](?:[\p{L}\d._%+-]{0,62}[\p{L}\d_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
          r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?){1,8}")
-DATE = r"(?<![\d./-])(?:\d{4}([./-])\d{2}\1\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
-_ANY = "|".join([EMAIL, PHONE, SSN, IPV4, DATE, CARD])
+_MM, _DD = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+DATE = (rf"(?<![\d./-])(?:(?:19|20)\d{{2}}(?:-{_MM}-|/{_MM}/|\.{_MM}\.){_DD}|{_DD}\.{_MM}\.(?:19|20)\d{{2}}|{_MM}/{_DD}/(?:19|20)\d{{2}})"
+        r"(?![\d/-]|\.\d)")
+LOCAL_PHONE = r"(?<![\d.+-])(?:1[ -])?(?:\(\d{3}\)[ -]?\d{3}[ .-]|\d{3}-\d{3}-|\d{3}\.\d{3}\.)\d{4}(?![\d-]|\.\d)"
+#: a run of digit blocks that ends before any other kind, a decimal or a name with @; its tail bars the last block
+_OTHER = "|".join(p.replace(r"(?<![\d.+-])", "").replace(r"(?<![\d-])", "").replace(r"(?<![\d./-])", "") for p in (SSN, DATE, LOCAL_PHONE))
+CARD = rf"(?<![\d.+-])\d(?:(?:[ -](?!{_OTHER}|\d++\.\d|\d[\p{{L}}\d._%+-]{{0,63}}@))?\d){{12,}}+(?:-|\.\d)?"
+_ANY = "|".join([EMAIL, PHONE, SSN, IPV4, DATE, LOCAL_PHONE, CARD])
 _FIRST_DAY, _DAYS, _ROWS = "1900-01-01", 73049, 17  # 73,049 days = 17 x 4,297
 
 
@@ -124,11 +131,60 @@ def _luhn_part(d: Column, double: Column) -> Column:
 
 
 def _card(x: Column, key: str, reverse: bool) -> Column:
-    digits = digits_of(x)
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = let(permute_digits(payload, key, "card", reverse), lambda n: F.concat(n, luhn_digit(n)))
-    ok = F.length(digits).between(13, 19) & (luhn_digit(payload) == F.substring(digits, F.length(digits), F.lit(1)))
-    return F.when(ok, refill(x, new)).otherwise(x)
+    """All cards in a run of digit blocks; blocks of no card stay."""
+    tail = F.regexp_extract(x, r"(-|\.\d)$", 1)
+    core = F.substring(x, F.lit(1), F.length(x) - F.length(tail))
+    return let(F.struct(core.alias("core"), tail.alias("tail"), F.split(core, "[ -]").alias("blocks"), digits_of(core).alias("digits")),
+               lambda r: F.concat(_cards(r, key, reverse), r["tail"]))
+
+
+def _cards(r: Column, key: str, reverse: bool) -> Column:
+    digits, n = r["digits"], F.size(r["blocks"])
+    # where each block begins, and where the last ends
+    ends = F.aggregate(r["blocks"], F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(b))))
+
+    def of(start, size):
+        return F.substring(digits, start + 1, size)
+
+    def whole(at):
+        def ending(i):
+            # the sequences of 1 to 19 blocks from block i on, as (order, start, size)
+            def one(e, k):
+                start = F.element_at(at, i)
+                size = e - start
+                widths = F.array_join(F.transform(F.slice(r["blocks"], i, k + 1), lambda b: F.length(b).cast("string")), "-")
+                shaped = (k == 0) | widths.isin("4-4-4-4", "4-6-5", "4-6-4")
+                return F.struct(F.when(shaped, 0).otherwise(1).alias("order"), (-size).alias("less"), start.alias("start"), size.alias("size"),
+                                (i + k == n).alias("last"))
+
+            return F.filter(F.transform(F.slice(at, i + 1, F.lit(19)), one), lambda c: c["size"].between(13, 19) & ~(c["last"] & (r["tail"] != "")))
+
+        found = F.flatten(F.transform(F.sequence(F.lit(1), n), ending))
+        return F.filter(found, lambda c: luhn_digit(of(c["start"], c["size"] - 1)) == of(c["start"] + c["size"] - 1, F.lit(1)))
+
+    def apart(chosen, c):
+        clash = F.exists(chosen, lambda o: (o["start"] < c["start"] + c["size"]) & (c["start"] < o["start"] + o["size"]))
+        return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(F.struct(c["start"].alias("start"), c["size"].alias("size")))))
+
+    def replaced(chosen):
+        def put(acc, c):
+            payload = of(c["start"], c["size"] - 1)
+            new = let(permute_digits(payload, key, "card", reverse), lambda v: F.concat(v, luhn_digit(v)))
+            return F.struct((c["start"] + c["size"]).alias("at"), F.concat(acc["out"], of(acc["at"], c["start"] - acc["at"]), new).alias("out"))
+
+        return F.aggregate(F.array_sort(chosen), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put,
+                           lambda acc: F.concat(acc["out"], of(acc["at"], F.length(digits))))
+
+    def marked(new):
+        """The new digits in the old blocks, with the old marks."""
+        return let(ends, lambda at: F.array_join(F.zip_with(
+            F.transform(r["blocks"], lambda b, k: F.substring(new, F.get(at, k) + 1, F.length(b))),
+            F.regexp_extract_all(r["core"], F.lit("[ -]"), F.lit(0)), lambda b, mark: F.concat(b, F.coalesce(mark, F.lit("")))), ""))
+
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    valid = let(ends, whole)
+    chosen = F.aggregate(F.array_sort(valid), none, apart)
+    return let(chosen, lambda c: F.when(F.size(c) > 0, let(replaced(c), marked)).otherwise(r["core"]))
 
 
 def _phone(x: Column, key: str, reverse: bool) -> Column:
@@ -224,7 +280,7 @@ def _kind(x: Column) -> Column:
     def only(p):
         return x.rlike("^(?:" + p.replace(r"(?<![\d.+-])", "").replace(r"(?<![\d-])", "").replace(r"(?<![\d.])", "").replace(r"(?<![\d./-])", "") + ")$")
 
-    return F.when(x.contains("@"), "email").when(x.startswith("+"), "phone").when(only(SSN), "ssn").when(only(IPV4), "ipv4") \
+    return F.when(x.contains("@"), "email").when(x.startswith("+") | only(LOCAL_PHONE), "phone").when(only(SSN), "ssn").when(only(IPV4), "ipv4") \
         .when(only(DATE), "date").otherwise("card")
 
 

@@ -200,6 +200,30 @@ def test_pseudonyms(spark):
     assert op5_pii.pseudonymize(df.limit(0)).collect() == []
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [card, spaced, f"{spaced} 123", f"{card} 12/27", f"no 12 {card}", "7 2001-02-03 1234 5678", "2001-02-03", "12 078-05-1120 5555", "078-05-1120",
+             f"{card} 03.04.2001", "03.04.2001", f"{card} 10.0.0.1", "10.0.0.1", f"{card} {card}", f"12-{card}", f"{card}-x", "call (743) 555-3824 now", "743-555-3824", "+1 (743) 555-3824",
+             "1234 5678 9012 3456", "1 " * 3000 + "1", f"{card} 12ab@x.org", "12ab@x.org", "9" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
+    out = op5_pii.pseudonymize(df)
+    new = {texts[r.k]: r.text for r in out.collect()}
+    fresh, blocks, day = new[card], new[spaced], new["2001-02-03"]
+    assert fresh != card and blocks.replace(" ", "") == fresh and luhn(fresh)
+    assert new[f"{spaced} 123"] == f"{blocks} 123" and new[f"{card} 12/27"] == f"{fresh} 12/27" and new[f"no 12 {card}"] == f"no 12 {fresh}"
+    assert day != "2001-02-03" and new["7 2001-02-03 1234 5678"] == f"7 {day} 1234 5678"
+    assert new["12 078-05-1120 5555"] == f"12 {new['078-05-1120']} 5555" and new["078-05-1120"] != "078-05-1120"
+    assert new[f"{card} 03.04.2001"] == f"{fresh} {new['03.04.2001']}" and new[f"{card} 10.0.0.1"] == f"{fresh} {new['10.0.0.1']}"
+    assert new[f"{card} {card}"] == f"{fresh} {fresh}" and new[f"12-{card}"] == f"12-{fresh}" and new[f"{card}-x"] == f"{card}-x"
+    assert new[f"{card} 12ab@x.org"] == f"{fresh} {new['12ab@x.org']}"
+    phone = new["+1 (743) 555-3824"][3:]
+    assert phone != "(743) 555-3824" and new["call (743) 555-3824 now"] == f"call {phone} now" and new["743-555-3824"] == phone[1:4] + "-" + phone[6:]
+    assert new["1234 5678 9012 3456"] == "1234 5678 9012 3456" and new["9" * 40] == "9" * 40
+    skip = "1 " * 3000 + "1"  # which of its many blocks are taken depends on what they become
+    back = {texts[r.k]: r.text for r in op5_pii.pseudonymize(out, reverse=True).collect()}
+    assert all(back[t] == t for t in texts if t != skip)
+
+
 def test_dates_are_permuted_one_to_one(spark):
     days = spark.sql("select date_format(date_add(date'1900-01-01', int(id)), 'yyyy-MM-dd') as text from range(73049)")
     out = op5_pii.pseudonymize(days, "k")
