@@ -1,22 +1,25 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Documents are sets of word shingles. Those with the same set are one class first, so copies, however
-many, are one vertex from then on. Classes enter TREES independent trees. At a node a few minwise
-coordinates are chosen by a hash of the node alone; every class of the node goes to one child per
-choice, named by its own minwise values there. Sets of high similarity share many of these paths,
-others soon part:
-
-* in a node whose classes are all but FEW (FEW_BELOW under the first level) in one component so far,
-  these few are compared with all of the node; small nodes are compared exhaustively that way, and
-  so are the stragglers of a large group of near copies;
-* in any other node one pivot, another one at each level, is compared with all, then the node branches;
+many, are one vertex from then on. Every class goes to CHILDREN nodes of each of TREES trees, named by
+CHOSEN of its minwise values; no two nodes of a class use the same value, so they are independent.
+Sets of high similarity share many nodes, others few. Nodes are not split further, so that what shares
+a node is compared in the end; in turns:
+
+* in a node whose classes are all but FEW in one component so far, these few are compared with all of
+  the node; small nodes are compared exhaustively that way, and so are the stragglers of a large
+  group of near copies;
+* in any other node one pivot, in later turns up to PIVOTS of different components, other ones each
+  turn, are compared with all;
 * a node whose classes are all in one component is done.
 
+Nodes that are still mixed after TURNS turns are compared in full, pair by pair on the sketches, so
+that no cap drops links.
+
 Comparing means: the 64-bit sketches (one bit per minwise value) may differ in SKETCH_BITS bits at
 most, which a linked pair exceeds with a chance of about 1e-7; then the link is confirmed on the full
-sets. A pair at the threshold meets in one of the first level's CHILDREN x TREES nodes but for a
-chance of 0.36 ** 16 = 8e-8. Nodes that are still large and mixed after LEVELS levels are compared in
-full, pair by pair on the sketches, so that no cap drops links.
+sets. A pair at the threshold meets in one of the CHILDREN x TREES nodes but for a chance of
+0.36 ** 16 = 8e-8, however large the group is that it is in.
 
 Null, empty and word-less texts have no shingles and are linked with nothing. Rows without an id are
 linked with nothing either: their component is null and they are kept. Rows of the same id are the
@@ -43,9 +46,10 @@ COORDINATES = 64
 TREES = 8
 CHILDREN = 2       # choices of a node, of CHOSEN minwise values each
 CHOSEN = 2
-FEW = 12
-FEW_BELOW = 48
-LEVELS = 10
+FEW = 12           # in the first turn
+FEW_LATER = 48
+PIVOTS = 8
+TURNS = 5
 SKETCH_BITS = 20
 _WORD = non_blank()
 _RNG = np.random.default_rng(4)
@@ -87,26 +91,20 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, "n_shingles bigint, fp1 bigint, fp2 bigint, low binary, sketch bigint", fn, ["id"])
 
 
-def branched(rows: DataFrame, level: int) -> DataFrame:
-    """node, rep, sketch of the children; ``rows`` has rep, sketch, low and, below the root, node."""
-    roots = TREES if level == 0 else 1
-
+def branched(rows: DataFrame) -> DataFrame:
+    """node, rep, sketch of all nodes of the classes; ``rows`` has rep, sketch and low."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, -1).astype(np.uint64)
             with np.errstate(over="ignore"):
-                for tree in range(roots):
-                    parent = np.full(n, tree, np.uint64) if level == 0 else np.asarray(batch.column(3)).view(np.uint64)
-                    for child in range(CHILDREN):
-                        key = mixed(parent * _A[0] + np.uint64(child + 1))
-                        node = key
-                        for c in range(CHOSEN):
-                            pick = (mixed(key + _B[c + 1]) % np.uint64(COORDINATES)).astype(np.int64)
-                            node = mixed(node * _A[1] + low[np.arange(n), pick] * np.uint64(COORDINATES) + pick.astype(np.uint64))
-                        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], names=["node", "rep", "sketch"])
+                for child in range(TREES * CHILDREN):
+                    node = np.full(n, child + 1, np.uint64)
+                    for pick in range(child * CHOSEN, (child + 1) * CHOSEN):
+                        node = mixed(node * _A[1] + low[:, pick])
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], names=["node", "rep", "sketch"])
 
-    return rows.select("rep", "sketch", "low", *(["node"] if level else [])).mapInArrow(run, "node bigint, rep bigint, sketch bigint")
+    return rows.select("rep", "sketch", "low").mapInArrow(run, "node bigint, rep bigint, sketch bigint")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -160,34 +158,36 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
                       extra: DataFrame) -> DataFrame | None:
     """v and label of all classes that are linked with another; ``extra``: links known from the start."""
     labels = connected_components(extra) if extra.limit(1).count() else None
-    rows = branched(classes, 0)
-    for level in range(LEVELS + 1):
-        few = FEW if level == 0 else FEW_BELOW
-        rows = staged(rows if labels is None else rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left"), "nodes")
+    nodes = branched(classes)
+    for turn in range(TURNS + 1):
+        few, pivots, last = FEW if turn == 0 else FEW_LATER, 1 if turn == 0 else PIVOTS, turn == TURNS
+        rows = staged(nodes if labels is None else nodes.join(labels.withColumnRenamed("v", "rep"), "rep", "left"), "nodes")
+        if turn:
+            drop_staged(nodes)
         rows = rows.select("node", "rep", "sketch", (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("label"))
-        # per node: its largest component so far, how many classes are outside of it, and a pivot
-        turn = F.xxhash64("rep") if level == 0 else F.xxhash64("rep", "node")
-        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("h"), "rep", "sketch", "label")).alias("pivot"))
-        nodes = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.min("pivot").alias("pivot"))
-        nodes = nodes.select("node", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("outside"), "pivot").where("outside > 0")
-        open_nodes = staged(nodes, "mixed")
+        # per node: its largest component so far and how many classes are outside of it
+        order = F.xxhash64("rep") if turn == 0 else F.xxhash64("rep", "node", F.lit(turn))
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), "rep", "sketch", "label")).alias("pivot"))
+        parts = staged(parts, "parts")
+        open_nodes = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+        open_nodes = staged(open_nodes.select("node", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("outside")).where("outside > 0"), "mixed")
         if not open_nodes.limit(1).count():
-            drop_staged(rows, open_nodes)
+            drop_staged(rows, parts, open_nodes)
             break
-        last = level == LEVELS
         # classes outside of the largest component, few of them, meet all of their node
         light = open_nodes.where(F.lit(False) if last else F.col("outside") <= few).select("node", "major")
         others = staged(rows.join(light, "node").where("label != major").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("ys")), "outside")
         met = rows.join(others, "node").select("rep", F.explode(F.expr(
             "filter(ys, y -> y.rep != rep and y.label != label and " + close_sketches("y.sketch", "sketch") + ")")).alias("y"))
         inside = met.select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b"))
-        heavy = open_nodes.where(F.lit(True) if last else F.col("outside") > few)
+        heavy = open_nodes.where(F.lit(True) if last else F.col("outside") > few).select("node")
+        left = staged(rows.join(heavy, "node", "left_semi"), "heavy")
         if last:  # the exact way for nodes that never became light
-            left = rows.join(heavy.select("node"), "node", "left_semi")
             star = left.join(left.withColumnsRenamed({"rep": "b", "sketch": "s", "label": "l"}), "node") \
                 .where("rep < b and label != l and " + close_sketches("sketch", "s")).select(F.col("rep").alias("a"), "b")
         else:
-            star = rows.join(heavy.select("node", "pivot"), "node").where("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch")) \
+            chosen = parts.join(heavy, "node", "left_semi").groupBy("node", F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(pivots)).alias("slot")).agg(F.min("pivot").alias("pivot"))
+            star = left.join(chosen, "node").where("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch")) \
                 .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
         pairs = staged(inside.union(star).distinct(), "pairs")
         if pairs.limit(1).count():
@@ -195,10 +195,10 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             if links.limit(1).count():
                 labels = connected_components(links, labels)
             drop_staged(links)
-        old = rows
-        rows = old.join(heavy.select("node"), "node", "left_semi").select("node", "rep", "sketch").join(classes.select("rep", "low"), "rep")
-        rows = staged(branched(rows, level + 1), "branches") if not last else rows
-        drop_staged(pairs, others, open_nodes, old)
+        drop_staged(pairs, others, open_nodes, parts, rows)
+        nodes = left.select("node", "rep", "sketch")
+    else:
+        drop_staged(nodes)
     return labels
 
 

@@ -77,6 +77,19 @@ def test_large_groups_of_near_copies(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_nodes_of_a_pair_are_independent(spark):
+    """Pairs whose minwise values agree by half miss all nodes as often as independent nodes say."""
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 1 << 32, (20_000, op4_near_dedup.COORDINATES), dtype=np.uint32)
+    other = np.where(rng.random(low.shape) < 0.5, low, rng.integers(0, 1 << 32, low.shape, dtype=np.uint32))
+    rows = [(i + half * 100_000, 0, bytearray(x.astype("<u4").tobytes())) for half, side in enumerate((low, other)) for i, x in enumerate(side)]
+    nodes = op4_near_dedup.branched(spark.createDataFrame(rows, "rep bigint, sketch bigint, low binary"))
+    met = nodes.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("b - a = 100000").select("a").distinct().count()
+    nodes_of = op4_near_dedup.TREES * op4_near_dedup.CHILDREN
+    want = 20_000 * (1 - 0.5 ** op4_near_dedup.CHOSEN) ** nodes_of
+    assert nodes_of == 16 and abs(20_000 - met - want) < 4 * want ** 0.5
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     edges = spark.createDataFrame(chain, "a bigint, b bigint")
