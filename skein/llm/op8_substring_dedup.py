@@ -13,7 +13,8 @@ all pairs of a bucket of three. The classes of larger buckets that are still in
 (paragraphs made from a template) are finished exactly: a prefix filter pairs each with all others of
 them that share one of its rarest shingles, which similar sets must (``finished``). So every similar
 pair that shares a bucket ends in one component. Verified links are clustered by connected
-components. Shorter units count as repeated when their sets are equal.
+components. Paragraphs of up to SHORT words also have a bucket by each of their ends, so that one edited
+word is always found. Shorter units count as repeated when their sets are equal.
 
 Neighbouring repeated units are joined; stretches of MIN_WORDS words or more are returned with the
 component of their longest unit. The first place of a component (smallest id, then position) is kept,
@@ -39,9 +40,10 @@ from .words import mixed, non_blank, rolled, shingles, word_hashes
 WORDS = 5
 PERCENT = 80
 REACH = 4
-PARAGRAPH = 24     # words from which a paragraph is banded
+PARAGRAPH = 16     # words from which a paragraph is banded
 MIN_WORDS = 16     # words of a stretch that is returned
 ROWS, BANDS = 2, 6
+HALF = 8           # words of an end; of PARAGRAPH words and one edit, one end is whole
 SHORT = 40         # words up to which edit distance counts
 SLOTS = 20         # bits of the table of shingle counts that orders shingles
 GROUP = 1024       # members of a shingle that are compared at once; larger groups are pairs of such parts
@@ -106,8 +108,11 @@ class Units:
         return out[self.banded]
 
 
-def bands(units: Units) -> np.ndarray:
-    """Bucket of each banded unit in each band."""
+def bands(units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and class of each banded unit in each band, and for short ones by the first and the last HALF words.
+
+    A short paragraph with one edited word shares few shingles with the other, but one of its ends.
+    """
     low = units.low()
     with np.errstate(over="ignore"):
         out = np.zeros((len(low), BANDS), np.uint64)
@@ -116,7 +121,11 @@ def bands(units: Units) -> np.ndarray:
             for r in range(ROWS):
                 key = mixed(key * _A[0] + low[:, b * ROWS + r])
             out[:, b] = key
-    return out
+        cls, first, last = units.cls[units.banded], units.first[units.banded], units.last[units.banded]
+        short = np.flatnonzero(last - first <= SHORT)
+        ends = rolled(units.words, HALF)
+        tips = [mixed(ends[at[short]] + np.uint64(k + 1)) for k, at in enumerate((first, last - HALF))] if len(short) else []
+    return np.concatenate([out.ravel(), *tips]), np.concatenate([np.repeat(cls, BANDS), *(cls[short] for _ in tips)])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,7 +166,7 @@ def edit_distance(x: list[int], y: list[int], most: int) -> int:
 
 def edits(words: int, percent: int) -> int:
     """Edits that a paragraph of up to SHORT words may have."""
-    return words * (100 - percent) // 400
+    return np.maximum(1, words * (100 - percent) // 400)
 
 
 def prefix_length(n_words: int, n_shingles: int, percent: int) -> int:
@@ -261,13 +270,13 @@ def near_links(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: verified links between classes of paragraphs that aren't equal, enough for their components."""
     spark = rows.sparkSession
     buckets = _mapped(rows, "bucket bigint, cls bigint", lambda u, ids: {
-        "bucket": bands(u).ravel().view(np.int64), "cls": np.repeat(u.cls[u.banded], BANDS).view(np.int64)}) \
+        k: v.view(np.int64) for k, v in zip(("bucket", "cls"), bands(u))}) \
         .groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
     buckets = staged(buckets, "buckets")
     live = spark.sparkContext.broadcast(np.packbits(bit_table(buckets, "bucket")))
 
     def members(u, ids):
-        b, cls = bands(u).ravel(), np.repeat(u.cls[u.banded], BANDS)
+        b, cls = bands(u)
         at = _marked(np.unpackbits(live.value).astype(bool), b)
         return {"bucket": b[at].view(np.int64), "cls": cls[at].view(np.int64)}
 

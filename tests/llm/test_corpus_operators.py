@@ -197,6 +197,18 @@ def test_template_paragraphs_equal_brute_force(spark):
     assert sorted(r["count"] for r in found) == [2] * 450
 
 
+def test_short_paragraphs_with_one_edit(spark):
+    rng = random.Random(22)
+    rows = []
+    for n in range(16, 24):
+        own = [f"{rng.choice('abcdefgh')}{rng.randrange(100_000)}" for _ in range(n)]
+        rows += [own] + [own[:k] + ["edited"] + own[k + 1:] for k in (2, n // 2, n - 3)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    got = op8_substring_dedup.repeated_passages(df).collect()
+    firsts = {r.doc_id: r.first_id for r in got if r.n_words == len(rows[r.doc_id])}
+    assert firsts == {i: i - i % 4 for i in range(len(rows))}
+
+
 def test_edit_distance():
     assert op8_substring_dedup.edit_distance([1, 2, 3], [1, 3, 3, 4], 5) == 2
     assert op8_substring_dedup.edit_distance([1, 2, 3], [4, 5, 6], 1) == 2
