@@ -17,8 +17,10 @@ from . import (
     op8_substring_dedup,
     op9_language_id,
     op10_token_counts,
+    op11_hard_negatives,
+    op12_mixing,
 )
-from .common import held_out_bucket, ship_package, table
+from .common import held_out_bucket, ship_package, staged, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,6 +88,24 @@ def op10_token_counts_query(spark, d):
     return op10_token_counts.count_tokens(table(spark, d, "documents").select("doc_id", "text"), source)
 
 
+def op11_hard_negatives_query(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.floor(x.cast("double") * 256)))
+    rows = table(spark, d, "embeddings").select("vec_id", label.alias("label"), whole.alias("vector"))
+    return op11_hard_negatives.hard_negatives(rows, lambda i: i % 100 == 0)
+
+
+def op12_mixing_query(spark, d):
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    docs = staged(table(spark, d, "documents").select("doc_id", "source", F.coalesce(words, F.lit(0)).cast("bigint").alias("size")), "sized")
+    sizes = op12_mixing.ranked_sources(docs.groupBy("source").agg(F.sum("size").alias("size")))
+    targets = staged(op12_mixing.weighted_targets(staged(sizes.withColumn("weight", F.col("rank") % 3 + 1), "weights")), "targets")
+    mixed, _ = op12_mixing.mix(docs.withColumn("sources", F.array("source")), targets)
+    own = targets.select(F.col("source").alias("name"), F.col("size").alias("source_size"), "target")
+    return mixed.join(own, F.col("sources")[0].eqNullSafe(F.col("name"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 _OWN = {
     "op1_license_scan": op1_license_matches,
     "op2_toxicity": op2_toxicity_scores,
@@ -97,6 +117,8 @@ _OWN = {
     "op8_substring_dedup": op8_repeated_passages,
     "op9_language_id": op9_language_id_query,
     "op10_token_counts": op10_token_counts_query,
+    "op11_hard_negatives": op11_hard_negatives_query,
+    "op12_mixing": op12_mixing_query,
 }
 
 
@@ -113,6 +135,24 @@ def _query(fn):
 QUERIES = {name: _query(fn) for name, fn in _OWN.items()}
 
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)) as q
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.q, v.q)::bigint as score
+            from v as a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0),
+        positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank,
+               s.vec_id as negative_id, positive_score, s.score as negative_score
+        from positives join s using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+        qualify rank <= 5""",
     "op7_decontamination": r"""
         with low as (
             select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
