@@ -19,6 +19,7 @@ from . import (
     op10_token_counts,
     op11_hard_negatives,
     op12_mixing,
+    op13_alignment,
 )
 from .common import held_out_bucket, ship_package, staged, table
 
@@ -106,6 +107,12 @@ def op12_mixing_query(spark, d):
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op13_alignment_query(spark, d):
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f, open(tokenizer_path("piece_bpe_32k.model"), "rb") as g:
+        source, model = f.read(), g.read()
+    return op13_alignment.align(table(spark, d, "documents").select("doc_id", "text"), source, model)
+
+
 _OWN = {
     "op1_license_scan": op1_license_matches,
     "op2_toxicity": op2_toxicity_scores,
@@ -119,6 +126,7 @@ _OWN = {
     "op10_token_counts": op10_token_counts_query,
     "op11_hard_negatives": op11_hard_negatives_query,
     "op12_mixing": op12_mixing_query,
+    "op13_alignment": op13_alignment_query,
 }
 
 
