@@ -12,7 +12,8 @@ its own, and nothing is solved on the driver.
 The flow tells how many words of a pattern to take: whole passes over it and a rest. The rest is
 spread over the histogram of its document sizes, largest first, each size getting its share of the
 rest; what rounding leaves over goes to the next smaller size, so the sum misses its quota by less
-than the size of a small document. Which documents of a size are taken is decided by a seeded hash of
+than the size of a small document (a pattern whose words lie in a few huge documents: by less than one of
+these). Which documents of a size are taken is decided by a seeded hash of
 their ids: those of the k smallest hashes. The k-th one is found from counts of hash ranges, and only
 the one range that it falls in is ranked, so a pattern or a size may hold any share of all rows.
 
