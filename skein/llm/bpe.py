@@ -19,7 +19,9 @@ import tokenizers
 RUN = 256            # symbols after which a run of pretokens is cut at the next pretoken
 FEW = 32             # a prefix of at most so many longer tokens has its contexts merged
 MANY = "many"
-MAX_STATES = 100_000  # states kept; beyond that compilation starts anew (results stay the same)
+MAX_STATES = 100_000  # states kept; beyond that, or beyond TABLE_BYTES, compilation starts anew (results stay the same)
+TABLE_BYTES = 80 << 20
+COLUMNS = 32         # the transition table grows by so many columns: one per symbol that texts have
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
@@ -69,7 +71,10 @@ class Merger:
 
     def __init__(self, vocab: dict[str, int], merges: dict[tuple[int, int], tuple[int, int]]):
         self.vocab, self.merges = vocab, merges
-        self.width = 512 if any(ord(t[-1]) > 255 for t in vocab) else 256
+        #: the table's column of each symbol, -1 for symbols that no text had yet, and the symbol of each column
+        self.column = np.full(512 if any(ord(t[-1]) > 255 for t in vocab) else 256, -1, np.int32)
+        self.symbols: list[int] = []
+        self.width = COLUMNS
         self.spell = {i: t for t, i in vocab.items()}
         self.size = np.zeros(max(self.spell) + 1, np.int32)
         for i, t in self.spell.items():
@@ -181,7 +186,22 @@ class Merger:
             first = next((k for k, a in enumerate(alive) if a is not None), len(text))
             state = self.state(text[first:], (*alive[first:], token),
                                (*(None if alive[k] is None else rel[k] - now for k in range(first, len(text))), 0))
-        self.table[s, symbol] = state << 8 | now + 128
+        self.table[s, self.column[symbol]] = state << 8 | now + 128
+
+    def columns(self, symbols: np.ndarray) -> np.ndarray:
+        """The column of each symbol; symbols that are new get one."""
+        got = self.column[symbols]
+        new = np.unique(symbols[got < 0])
+        if len(new):
+            self.column[new] = np.arange(len(self.symbols), len(self.symbols) + len(new))
+            self.symbols += new.tolist()
+            if len(self.symbols) > self.width:
+                self.width = -(-len(self.symbols) // COLUMNS) * COLUMNS
+                wider = np.full((len(self.table), self.width), -1, np.int32)
+                wider[:, :self.table.shape[1]] = self.table
+                self.table = wider
+            got = self.column[symbols]
+        return got
 
     def walk(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray, carry: np.ndarray | None = None,
              states: np.ndarray | None = None) -> np.ndarray:
@@ -190,8 +210,9 @@ class Merger:
         ``carry`` is 0 at symbols that begin a pretoken and 1 elsewhere (with word ends it isn't
         needed); ``states`` receives the state after each symbol. A run begins with a pretoken.
         """
-        if len(self.info) > MAX_STATES:
+        if len(self.info) > MAX_STATES or self.table.nbytes > TABLE_BYTES:
             self.reset()
+        symbols = self.columns(symbols)
         order = np.argsort(start - stop, kind="stable")
         first, size = start[order], (stop - start)[order]
         total, s = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
@@ -208,7 +229,7 @@ class Merger:
             to = flat[key]
             if to.min() < 0:
                 for k in np.unique(key[to < 0]).tolist():
-                    self.compile(k // self.width, k % self.width)
+                    self.compile(k // self.width, self.symbols[k % self.width])
                 flat = self.table.ravel()
                 to = flat[key]
             total[:n] += to & 255

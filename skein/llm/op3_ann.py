@@ -8,9 +8,11 @@ are rounded to QUERY_BITS bits per coordinate, so <u, q> comes from AND and popc
 bits. A block's candidates whose upper bound lies under the k-th best exact value are skipped; the
 others are reranked by their exact cosine in double precision.
 
-All candidates are indexed and estimated for each query, in blocks: query blocks meet candidate
-blocks in an equi-join on the query block, so no task holds more than one block of either, and only k
-rows per query and block leave it.
+All candidates are indexed and estimated for each query. Rows are coded in blocks where they are read;
+queries come to them, QUERY_BLOCK at a time at most, as a broadcast, so no candidate is shuffled, and the
+number of tasks follows the candidates. A task keeps the k best of each query from block to block: the
+k-th best is the bar that a later candidate's bound must reach to be reranked. Only k rows per query and
+task leave it.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, and so do rows
 without an id; vectors of another length than the most common are left out too. Rows that repeat an
@@ -23,14 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 BLOCK = 4096         # candidates of a block
-QUERY_BLOCK = 1024   # queries of a block
+QUERY_BLOCK = 8192   # queries that are broadcast at once
 QUERY_BITS = 6
 EPSILON = 3.0        # width of the error bound in standard deviations, about
 SEED = 11
@@ -57,8 +58,9 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Query:
     """A query's rounded coordinates as bit planes."""
 
-    def __init__(self, vector: np.ndarray, turn: np.ndarray):
-        q = vector @ turn
+    def __init__(self, number: int, vector: np.ndarray, turn: np.ndarray):
+        self.id, self.vector, self.norm = number, vector, np.linalg.norm(vector)
+        q = vector / self.norm @ turn
         d = len(q)
         low, high = q.min(), q.max()
         self.step = max((high - low) / ((1 << QUERY_BITS) - 1), 1e-12)
@@ -84,31 +86,27 @@ class Query:
         return along / correction, bound
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, norms: np.ndarray,
-           packed: np.ndarray, correction: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest rows of a block for every query: (query id, id, cosine)."""
-    out = []
-    for q, qid in zip(queries, query_ids.tolist()):
-        q_norm = np.linalg.norm(q)
-        about, bound = Query(q / q_norm, turn).estimates(packed, correction)
+def search(queries: list[Query], block: dict, best: list[list[tuple[float, int]]], k: int) -> None:
+    """Brings the k nearest of every query (minus cosine, id) up to date with the rows of a block."""
+    for number, q in enumerate(queries):
+        about, bound = q.estimates(block["codes"], block["corrections"])
         upper = about + bound
-        upper[ids == qid] = -np.inf
+        own = best[number]
+        left = np.flatnonzero((block["ids"] != q.id) & (upper >= (-own[-1][0] if len(own) == k else -np.inf)))
         # rerank in growing runs of the highest upper bounds until no bound reaches the k-th best
-        best: list[tuple[float, int]] = []
-        left, size = np.flatnonzero(upper > -np.inf), 64
+        size = 64
         while len(left):
             if len(left) > size:
                 part = np.argpartition(-upper[left], size)
                 run, left = left[part[:size]], left[part[size:]]
             else:
                 run, left = left, left[:0]
-            exact = vectors[run] @ q / (norms[run] * q_norm)
-            best = sorted([*best, *zip((-exact).tolist(), ids[run].tolist())])[:k]
-            if len(best) == k:
-                left = left[upper[left] >= -best[-1][0]]
+            exact = block["vectors"][run] @ q.vector / (block["norms"][run] * q.norm)
+            own = sorted([*own, *zip((-exact).tolist(), block["ids"][run].tolist())])[:k]
+            if len(own) == k:
+                left = left[upper[left] >= -own[-1][0]]
             size *= 2
-        out += [(qid, i, -s) for s, i in best]
-    return out
+        best[number] = own
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -120,19 +118,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == F.lit(sizes["d"] if sizes else 0))
 
 
-def blocks(rows: DataFrame, size: int, coded: bool, prefix: str) -> DataFrame:
-    """Rows packed into blocks: one row holds ``size`` ids and vectors, and the codes of candidates."""
-    names = [f"{prefix}_{n}" for n in (("ids", "vectors", "codes", "corrections") if coded else ("ids", "vectors"))]
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows coded in blocks: one row holds up to ``size`` ids, vectors, codes and correction scalars."""
+    names = ["ids", "vectors", "codes", "corrections"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(ids, v):
-            cols = [ids.astype("<i8").tobytes(), v.astype("<f8").tobytes()]
-            if coded:
-                packed, correction = encode(v / np.linalg.norm(v, axis=1, keepdims=True), rotation(v.shape[1]))
-                cols += [packed.tobytes(), correction.tobytes()]
-            return pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cols), pa.array([task], pa.int32())], names=[*names, "part"])
-
-        task = TaskContext.get().partitionId()
+            packed, correction = encode(v / np.linalg.norm(v, axis=1, keepdims=True), rotation(v.shape[1]))
+            held = (ids.astype("<i8"), v.astype("<f8"), packed, correction)
+            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in held], names=names)
 
         ids, v = np.zeros(0, np.int64), None
         for batch in batches:
@@ -146,7 +140,7 @@ def blocks(rows: DataFrame, size: int, coded: bool, prefix: str) -> DataFrame:
         if len(ids):
             yield emit(ids, v)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names) + ", part int")
+    return rows.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 def nearest(df: DataFrame, is_query: Callable, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,28 +149,37 @@ def nearest(df: DataFrame, is_query: Callable, k: int = 5, id_col: str = "vec_id
     ``is_query`` makes of the id column the condition that picks the queries; an id that repeats
     among them asks once, by its smallest vector.
     """
-    rows = usable(df, id_col, vector_col)
+    spark, rows = df.sparkSession, usable(df, id_col, vector_col)
     asked = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))  # as many blocks as the queries fill
-    query_blocks = staged(blocks(asked.repartition(parts), QUERY_BLOCK, False, "q"), "ann-queries")
-    last = query_blocks.agg(F.max("part")).first()[0]
-    meets = F.explode(F.sequence(F.lit(0), F.lit(last))) if last is not None else F.lit(-1)
-    candidate_blocks = blocks(rows, BLOCK, True, "c").withColumn("part", meets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["c_ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                vectors = np.frombuffer(row["c_vectors"], "<f8").reshape(len(ids), -1)
-                queries = np.frombuffer(row["q_vectors"], "<f8").reshape(len(query_ids), -1)
-                codes = np.frombuffer(row["c_codes"], "<u8").reshape(len(ids), -1)
-                got = search(queries, query_ids, vectors, ids, np.linalg.norm(vectors, axis=1), codes,
-                             np.frombuffer(row["c_corrections"], "<f8"), rotation(vectors.shape[1]), k)
-                q, i, s = zip(*got) if got else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                                                 names=["query_id", "id", "score"])
-
-    found = candidate_blocks.join(query_blocks, "part").select("c_ids", "c_vectors", "c_codes", "c_corrections", "q_ids", "q_vectors") \
-        .mapInArrow(run, "query_id bigint, id bigint, score double")
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = staged(asked.repartition(parts).withColumn("part", F.spark_partition_id()), "ann-queries")
+    index = blocks(rows, BLOCK)
+    if parts > 1:  # each block of queries reads it
+        index = staged(index, "ann-index")
+
+    def found_by(part: int) -> DataFrame:
+        got = asked.where(F.col("part") == part).select("id", "v").toArrow()  # QUERY_BLOCK rows at most
+        shared = spark.sparkContext.broadcast((got["id"].to_numpy(), np.array(got["v"].to_pylist(), np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            turn = rotation(vectors.shape[1]) if len(ids) else None
+            queries = [Query(i, v, turn) for i, v in zip(ids.tolist(), vectors)]
+            best: list[list[tuple[float, int]]] = [[] for _ in queries]
+            for batch in batches:
+                for row in batch.to_pylist():
+                    of = np.frombuffer(row["ids"], "<i8")
+                    own = np.frombuffer(row["vectors"], "<f8").reshape(len(of), -1)
+                    search(queries, {"ids": of, "vectors": own, "norms": np.linalg.norm(own, axis=1), "codes": np.frombuffer(row["codes"], "<u8").reshape(len(of), -1),
+                                     "corrections": np.frombuffer(row["corrections"], "<f8")}, best, k)
+            rows_out = [(q.id, i, -s) for q, own in zip(queries, best) for s, i in own]
+            q, i, s = zip(*rows_out) if rows_out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+        return index.mapInArrow(run, "query_id bigint, id bigint, score double")
+
+    found = found_by(0)
+    for part in range(1, parts):
+        found = found.union(found_by(part))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

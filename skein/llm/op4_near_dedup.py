@@ -1,30 +1,34 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Documents are sets of word shingles. Those with the same set are one class first, so copies, however
-many, are one vertex from then on. Every class goes to CHILDREN nodes of each of TREES trees, named by
-CHOSEN of its minwise values; no two nodes of a class use the same value, so they are independent.
-Sets of high similarity share many nodes, others few. Nodes are not split further, so that what shares
-a node is compared in the end; in turns:
-
-* in a node whose classes are all but FEW in one component so far, these few are compared with all of
-  the node; small nodes are compared exhaustively that way, and so are the stragglers of a large
-  group of near copies;
-* in any other node one pivot, in later turns up to PIVOTS of different components, other ones each
-  turn, are compared with all;
-* a node whose classes are all in one component is done.
-
-Nodes that are still mixed after TURNS turns are compared in full, pair by pair on the sketches, so
-that no cap drops links.
-
-Comparing means: the 64-bit sketches (one bit per minwise value) may differ in SKETCH_BITS bits at
-most, which a linked pair exceeds with a chance of about 1e-7; then the link is confirmed on the full
-sets. A pair at the threshold meets in one of the CHILDREN x TREES nodes but for a chance of
-0.36 ** 16 = 8e-8, however large the group is that it is in.
+many, are one vertex from then on. A class has COORDINATES minwise tokens. TREES independent trees branch
+the classes: a class goes to CHILDREN children of every node that it is in, each named by freshly
+drawn coordinates and the class's tokens there (the root's children by two tokens, deeper ones by
+one). The draw depends on the tree and on the path so far, so no two nodes decide alike.
+
+* A node of at most SMALL classes is compared exhaustively.
+* A larger node of which all but SMALL / 2 classes are in one component already needs only these few
+  compared with all of it: they go along with every part of the rest.
+* Any other node is branched on, until its children are small. On the way its classes are dealt into
+  parts of SMALL by chance, which are compared too: this links most of a large group of near
+  copies early, so that its nodes become one component and are done.
+* What is still large and mixed after DEPTH levels (large families just below the threshold, which no
+  branching takes apart) is compared exhaustively, part by part.
+
+Comparing means: the 2-bit sketches of the minwise tokens must agree well enough (ALIKE), and the pair must be in
+different components. Of a node's pairs first only a forest is taken, the closest first, and of these
+the best of each class, PICKS of them; in the turns from EXHAUSTIVE on all pairs that were not tested yet. Links are
+confirmed on the full sets, which are fetched once per class. So every pair that shares a small node is
+in one component in the end, or was tested, or its sketches differ too much.
+
+Two sets at the threshold share a child of a tree's root or its descendants with a chance of 0.84 or
+more at any depth, hence a small node of some tree but for 0.16 ** 8 = 4e-7; their sketches
+fail the test with a chance of about 1e-5.
 
 Null, empty and word-less texts have no shingles and are linked with nothing. Rows without an id are
 linked with nothing either: their component is null and they are kept. Rows of the same id are the
 same document: texts that are linked with either are linked. Other columns, of any name, are not
-read.
+read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,21 +44,21 @@ from .common import bit_table, drop_staged, fresh, map_texts, slices, split_by_t
 from .components import connected_components
 from .words import mixed, non_blank, shingles, word_hashes
 
-WORDS = 2
+WORDS = 5
 PERCENT = 80
-COORDINATES = 64
+COORDINATES = 128
 TREES = 8
-CHILDREN = 2       # choices of a node, of CHOSEN minwise values each
-CHOSEN = 2
-FEW = 12           # in the first turn
-FEW_LATER = 48
-PIVOTS = 8
-TURNS = 5
-SKETCH_BITS = 20
+CHILDREN = 2
+SMALL = 128
+DEPTH = 6
+PICKS = (2, 4)     # of each class in the turns before all pairs
+EXHAUSTIVE = 2
+ALIKE = 89         # agreeing 2-bit sketches of 128: of sets at the threshold fewer agree with a chance of about 1e-5
 _WORD = non_blank()
 _RNG = np.random.default_rng(4)
 _A = _RNG.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_ODD = np.uint64(0x5555555555555555)
 
 
 def each_set(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -65,8 +69,18 @@ def each_set(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.nd
         yield np.unique(s[ends[i]:ends[i + 1]])
 
 
+def fixed(values: np.ndarray) -> pa.Array:
+    """Rows of a contiguous matrix as binary values."""
+    values = np.ascontiguousarray(values)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(values.shape[1] * values.itemsize), len(values), [None, pa.py_buffer(values)]).cast(pa.binary())
+
+
+def matrix(column: pa.Array, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
+
+
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, two fingerprints of the set, 64 minwise values (32 bits each) and their sketch."""
+    """id, n_shingles, two fingerprints of the set, its minwise tokens (32 bits each) and 2 more bits of each."""
     def fn(raw, offsets):
         n = len(offsets) - 1
         size, fp = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
@@ -78,44 +92,122 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     m = mixed(s)
                     fp[0, i], fp[1, i] = m.sum(), mixed(m ^ _B[0]).sum()
                     best = None
-                    for at in range(0, len(s), 4096):
-                        part = (s[at:at + 4096, None] * _A + _B).min(axis=0)
+                    for at in range(0, len(s), 2048):
+                        part = (s[at:at + 2048, None] * _A + _B).min(axis=0)
                         best = part if best is None else np.minimum(best, part)
                     low[i] = best
         low = mixed(low)
-        sketch = np.packbits((low & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
-        values = np.ascontiguousarray((low >> np.uint64(32)).astype("<u4"))
-        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), n, [None, pa.py_buffer(values)]).cast(pa.binary())
-        return {"n_shingles": size, "fp1": fp[0].view(np.int64), "fp2": fp[1].view(np.int64), "low": held, "sketch": sketch}
+        bits = np.stack([low & np.uint64(1), low >> np.uint64(1) & np.uint64(1)], axis=2).reshape(n, -1).astype(np.uint8)
+        return {"n_shingles": size, "fp1": fp[0].view(np.int64), "fp2": fp[1].view(np.int64),
+                "low": fixed((low >> np.uint64(32)).astype("<u4")), "sketch": fixed(np.packbits(bits, axis=1, bitorder="little"))}
+
+    return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, "n_shingles bigint, fp1 bigint, fp2 bigint, low binary, sketch binary", fn, ["id"])
 
-    return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, "n_shingles bigint, fp1 bigint, fp2 bigint, low binary, sketch bigint", fn, ["id"])
 
+def children(rows: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """node, rep and sketch of all children; ``rows`` has rep, sketch, low and the parent ``node`` (null at the roots).
+
+    ``keep`` (node): only children that may be among these, by a table of bits of fixed size.
+    """
+    shared = None if keep is None else rows.sparkSession.sparkContext.broadcast(np.packbits(bit_table(keep, "node")))
 
-def branched(rows: DataFrame) -> DataFrame:
-    """node, rep, sketch of all nodes of the classes; ``rows`` has rep, sketch and low."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if shared is None else np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             n = batch.num_rows
-            low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, -1).astype(np.uint64)
+            if not n:
+                continue
+            low, every = matrix(batch.column(2), "<u4", COORDINATES), np.arange(n)
+            root = batch.column(3).null_count == n
+            parent = np.zeros(n, np.uint64) if root else np.asarray(batch.column(3)).view(np.uint64)
             with np.errstate(over="ignore"):
-                for child in range(TREES * CHILDREN):
-                    node = np.full(n, child + 1, np.uint64)
-                    for pick in range(child * CHOSEN, (child + 1) * CHOSEN):
-                        node = mixed(node * _A[1] + low[:, pick])
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), batch.column(1)], names=["node", "rep", "sketch"])
-
-    return rows.select("rep", "sketch", "low").mapInArrow(run, "node bigint, rep bigint, sketch bigint")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
-
-    Sets are made of the texts of documents that are in a pair; these are picked while reading by a
-    bit table of fixed size, and the join drops what it lets through by chance.
+                for tree in range(TREES if root else 1):
+                    for child in range(CHILDREN):
+                        node = mixed(parent + np.uint64(tree * CHILDREN + child + 1) * _A[0])
+                        for _ in range(2 if root else 1):
+                            drawn = (node >> np.uint64(40)) % np.uint64(COORDINATES)
+                            node = mixed(node * _A[1] + low[every, drawn.astype(np.int64)])
+                        at = every if table is None else np.flatnonzero(table[(node >> np.uint64(40)).astype(np.int64)])
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[at]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
+                                                             names=["node", "rep", "sketch"])
+
+    return rows.select("rep", "sketch", "low", "node").mapInArrow(run, "node bigint, rep bigint, sketch binary")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """node, rep, sketch of the children of ``rows`` that at least two classes share, written to the shared folder."""
+    shared = staged(children(rows).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared-nodes")
+    out = staged(children(rows, shared).join(shared, "node", "left_semi"), "nodes")
+    drop_staged(shared)
+    return out
+
+
+def compared(groups: DataFrame, forest: bool) -> DataFrame:
+    """a, b and how many sketches agree, of the pairs of a group that are alike and in different components.
+
+    ``groups`` has ``members`` (rep, label, sketch, role, tested). Role 0 meets all; roles 1 and 2 meet
+    only each other and role 0; role 3 meets role 0 only. Pairs in ``tested`` are left out. ``forest``: only
+    pairs that join parts not joined by closer ones.
     """
-    spark = docs.sparkSession
-    named = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("h", F.xxhash64("rep")), "reps")
-    shared = spark.sparkContext.broadcast(np.packbits(bit_table(named, "h")))
+    def alike_pairs(size, rep, label, role, sketch):
+        """group, both places and agreement of the pairs that count, groups of equal size at once."""
+        start, out = np.cumsum(size) - size, []
+        for n in np.unique(size).tolist():
+            i, j = np.triu_indices(n, 1)
+            same = np.flatnonzero(size == n)
+            for at in range(0, len(same), max(1, (1 << 19) // max(len(i), 1))):
+                group = same[at:at + max(1, (1 << 19) // max(len(i), 1))]
+                x, y = (start[group][:, None] + i).ravel(), (start[group][:, None] + j).ravel()
+                p, q = role[x], role[y]
+                ok = np.flatnonzero((label[x] != label[y]) & ((p == 0) | (q == 0) | (p + q == 3) & (p != q) & (p != 3) & (q != 3)))
+                x, y = x[ok], y[ok]
+                differ = sketch[x] ^ sketch[y]
+                k = COORDINATES - np.bitwise_count((differ | differ >> np.uint64(1)) & _ODD).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(k >= ALIKE)
+                out.append((np.repeat(group, len(i))[ok[near]], x[near], y[near], k[near]))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            members = batch.column(0).flatten()
+            rep, label, tested = np.asarray(members.field("rep")), np.asarray(members.field("label")), members.field("tested")
+            group, x, y, k = alike_pairs(np.asarray(batch.column(0).value_lengths()), rep, label, np.asarray(members.field("role")), matrix(members.field("sketch"), "<u8", COORDINATES // 32))
+            if forest or tested.null_count < len(tested):
+                has = np.asarray(tested.is_valid())
+                done = {int(v): set(tested[int(v)].as_py()) for v in np.unique(np.concatenate([x, y])).tolist() if has[v]}
+                keep, up, last = [], {}, -1
+
+                def root(v):
+                    while up.get(v, v) != v:
+                        up[v] = up.get(up[v], up[v])
+                        v = up[v]
+                    return v
+
+                for at in np.lexsort((-k, group)).tolist():
+                    p, q = int(x[at]), int(y[at])
+                    if int(rep[q]) in done.get(p, ()) or int(rep[p]) in done.get(q, ()):
+                        continue
+                    if forest:
+                        if group[at] != last:
+                            up, last = {}, group[at]
+                        a, b = root(int(label[p])), root(int(label[q]))
+                        if a == b:
+                            continue
+                        up[a] = b
+                    keep.append(at)
+                x, y, k = x[keep], y[keep], k[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(k.astype(np.int32))], names=["a", "b", "alike"])
+
+    return groups.select("members").mapInArrow(run, "a bigint, b bigint, alike int")
+
+
+def fetched(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """rep and set (40 bits of each shingle's hash, sorted) of ``reps``; documents are picked while they
+    are read, by a table of bits of fixed size, and the join drops what it lets through by chance."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_table(reps, "h")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value).astype(bool)
@@ -124,82 +216,125 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
             batch = batch.take(pa.array(np.flatnonzero(table[(h >> np.uint64(40)).astype(np.int64)])))
             raw, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets):
-                own = [s.astype("<u8").tobytes() for s in each_set(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], words)]
+                own = []
+                for s in each_set(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], words):
+                    s = s >> np.uint64(24)
+                    own.append((s >> np.uint64(32)).astype(np.uint8).tobytes() + s.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], names=["rep", "set"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("t")) \
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("t")) \
         .where(F.col("rep").isNotNull()).withColumn("h", F.xxhash64("rep"))
-    have = rows.mapInArrow(sets, "rep bigint, set binary").join(named.select("rep"), "rep", "left_semi")
+    return staged(rows.mapInArrow(sets, "rep bigint, set binary").join(reps.select("rep"), "rep", "left_semi"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs whose full sets are similar enough."""
+    def shingles_of(held: bytes) -> np.ndarray:
+        n = len(held) // 5
+        return np.frombuffer(held, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(held, "<u4", n, n)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                x, y = x.as_py(), y.as_py()
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
+                x, y = shingles_of(x), shingles_of(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(k)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    sets_of = staged(have, "sets")
-    joined = pairs.join(sets_of.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets_of.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
-    links = staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint").distinct(), "links")
-    drop_staged(named, sets_of)
-    return links
+    joined = pairs.select("a", "b").join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
+    return staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint").distinct(), "links")
 
 
-def close_sketches(a: str, b: str) -> str:
-    return f"bit_count({a} ^ {b}) <= {SKETCH_BITS}"
+class Turns:
+    """The state between turns: components so far, tested pairs, sets that were fetched."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, labels: DataFrame | None):
+        self.docs, self.words, self.percent, self.id_col, self.text_col = docs, words, percent, id_col, text_col
+        self.labels, self.sets, self.tested = labels, None, None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn("label", F.col("rep"))
+        return rows.join(self.labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+    def test(self, pairs: DataFrame) -> bool:
+        """Confirms pairs and merges components; whether any pair was given."""
+        if not pairs.limit(1).count():
+            return False
+        reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        new = reps if self.sets is None else reps.join(self.sets.select("rep"), "rep", "left_anti")
+        new = staged(new.withColumn("h", F.xxhash64("rep")), "reps")
+        got = fetched(new, self.docs, self.words, self.id_col, self.text_col)
+        self.sets = got if self.sets is None else self.sets.unionByName(got)
+        links = confirmed(pairs, self.sets, self.percent)
+        if links.limit(1).count():
+            self.labels = connected_components(links, self.labels)
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        drop_staged(new, links)
+        return True
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str,
                       extra: DataFrame) -> DataFrame | None:
     """v and label of all classes that are linked with another; ``extra``: links known from the start."""
-    labels = connected_components(extra) if extra.limit(1).count() else None
-    nodes = branched(classes)
-    for turn in range(TURNS + 1):
-        few, pivots, last = FEW if turn == 0 else FEW_LATER, 1 if turn == 0 else PIVOTS, turn == TURNS
-        rows = staged(nodes if labels is None else nodes.join(labels.withColumnRenamed("v", "rep"), "rep", "left"), "nodes")
-        if turn:
-            drop_staged(nodes)
-        rows = rows.select("node", "rep", "sketch", (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("label"))
-        # per node: its largest component so far and how many classes are outside of it
-        order = F.xxhash64("rep") if turn == 0 else F.xxhash64("rep", "node", F.lit(turn))
-        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("h"), "rep", "sketch", "label")).alias("pivot"))
-        parts = staged(parts, "parts")
-        open_nodes = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
-        open_nodes = staged(open_nodes.select("node", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("outside")).where("outside > 0"), "mixed")
-        if not open_nodes.limit(1).count():
-            drop_staged(rows, parts, open_nodes)
+    state = Turns(docs, words, percent, id_col, text_col, connected_components(extra) if extra.limit(1).count() else None)
+    roots = classes.select("rep", "sketch", "low", F.lit(None).cast("bigint").alias("node"))
+    nodes, turn = meeting(roots), 0
+    while True:
+        rows = state.labelled(nodes)
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+        sized = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+        small, light = F.col("n") <= SMALL, F.col("n") - F.col("most.n") <= SMALL // 2
+        kind = F.when(small, "small").when(light, "light").when(F.lit(turn + 1 >= DEPTH), "whole").otherwise("heavy")
+        open_nodes = staged(sized.where("labels > 1").select("node", kind.alias("kind"), F.col("most.label").alias("major"),
+                                                             F.ceil(F.col("n") / F.lit(SMALL)).cast("int").alias("parts")), "open-nodes")
+        kinds = {r["kind"] for r in open_nodes.select("kind").distinct().collect()}  # four at most
+        if not kinds:
             break
-        # classes outside of the largest component, few of them, meet all of their node
-        light = open_nodes.where(F.lit(False) if last else F.col("outside") <= few).select("node", "major")
-        others = staged(rows.join(light, "node").where("label != major").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "label")).alias("ys")), "outside")
-        met = rows.join(others, "node").select("rep", F.explode(F.expr(
-            "filter(ys, y -> y.rep != rep and y.label != label and " + close_sketches("y.sketch", "sketch") + ")")).alias("y"))
-        inside = met.select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b"))
-        heavy = open_nodes.where(F.lit(True) if last else F.col("outside") > few).select("node")
-        left = staged(rows.join(heavy, "node", "left_semi"), "heavy")
-        if last:  # the exact way for nodes that never became light
-            star = left.join(left.withColumnsRenamed({"rep": "b", "sketch": "s", "label": "l"}), "node") \
-                .where("rep < b and label != l and " + close_sketches("sketch", "s")).select(F.col("rep").alias("a"), "b")
+        mixed_rows = staged(rows.join(open_nodes, "node"), "mixed")
+        # what meets: parts of a node; the few outside of its largest component go along with every part
+        part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        outside = (F.col("kind") == "light") & (F.col("label") != F.col("major"))
+        whole = F.col("kind") == "whole"
+        slot = "struct<x:int,y:int,role:int>"
+        places = F.when(outside, F.transform(every, lambda p: F.struct(p.alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("role")))) \
+            .when(whole, F.transform(every, lambda p: F.struct(F.least(p, part).alias("x"), F.greatest(p, part).alias("y"),
+                                                               F.when(p == part, 0).when(part < p, 1).otherwise(2).alias("role")))) \
+            .otherwise(F.array(F.struct(F.when(F.col("kind") == "small", 0).otherwise(part).alias("x"), F.lit(-1).alias("y"),
+                                        F.when(F.col("kind") == "light", 3).otherwise(0).alias("role")))).cast(f"array<{slot}>")
+        placed = mixed_rows.withColumn("place", F.explode(places))
+        if state.tested is not None:
+            tested = state.tested.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tested"))
+            placed = placed.join(tested, "rep", "left")
         else:
-            chosen = parts.join(heavy, "node", "left_semi").groupBy("node", F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(pivots)).alias("slot")).agg(F.min("pivot").alias("pivot"))
-            star = left.join(chosen, "node").where("rep != pivot.rep and label != pivot.label and " + close_sketches("sketch", "pivot.sketch")) \
-                .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-        pairs = staged(inside.union(star).distinct(), "pairs")
-        if pairs.limit(1).count():
-            links = confirmed(pairs, docs, words, percent, id_col, text_col)
-            if links.limit(1).count():
-                labels = connected_components(links, labels)
-            drop_staged(links)
-        drop_staged(pairs, others, open_nodes, parts, rows)
-        nodes = left.select("node", "rep", "sketch")
-    else:
-        drop_staged(nodes)
-    return labels
+            placed = placed.withColumn("tested", F.lit(None).cast("array<bigint>"))
+        groups = placed.groupBy("node", "place.x", "place.y").agg(F.collect_list(F.struct("rep", "label", "sketch", F.col("place.role").alias("role"), "tested")).alias("members")) \
+            .where(F.size("members") > 1)
+        forest = turn < EXHAUSTIVE
+        found = compared(groups, forest).groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        if forest:  # the best of each class
+            ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("rep"), F.struct(F.negative("alike").alias("d"), F.xxhash64("a", "b").alias("h"), "a", "b").alias("edge"))
+            best = ends.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("edge")), 1, PICKS[turn]).alias("best"))
+            found = best.select(F.explode("best").alias("e")).select("e.a", "e.b").distinct()
+        pairs = staged(found.select("a", "b"), "pairs")
+        more = state.test(pairs)
+        # nodes that stay: mixed ones until they are compared in full, and the children of heavy ones
+        after = None if not (forest and more) else mixed_rows.where("kind in ('small', 'light')").select("node", "rep", "sketch")
+        if "heavy" in kinds:
+            heavy = mixed_rows.where("kind = 'heavy'").select("node", "rep")
+            below = meeting(staged(heavy.join(classes, "rep").select("rep", "sketch", "low", "node"), "heavy"))
+            after = below if after is None else after.unionByName(below)
+        drop_staged(open_nodes)
+        if after is None:
+            break
+        nodes, turn = after, turn + 1
+    return state.labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,11 +27,14 @@ columns, whatever their names, are passed on as they are.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "change-me"
+#: session setting of the key (its name keeps it out of Spark's logs of settings)
+SECRET = "spark.skein.pii.secret"
 
 #: one pattern for everything that may be personal; which kind a match is, is decided per match
 PHONE = r"\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d{4}(?!\d)"
@@ -284,7 +287,7 @@ def _kind(x: Column) -> Column:
         .when(only(DATE), "date").otherwise("card")
 
 
-def pseudonym(x: Column, key: str = KEY, reverse: bool = False) -> Column:
+def pseudonym(x: Column, key: str, reverse: bool = False) -> Column:
     """The pseudonym of one match."""
     kind = _kind(x)
     return F.when(kind == "email", _email(x, key, reverse)).when(kind == "phone", _phone(x, key, reverse)).when(kind == "ssn", _ssn(x, key, reverse)) \
@@ -295,8 +298,24 @@ def matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", reverse: bool = False, count_col: str | None = None) -> DataFrame:
-    """``docs`` with all personal values in ``text_col`` replaced; ``count_col`` gets the number of replaced matches."""
+def secret_key(spark) -> str:
+    """The key named by the session setting SECRET; where it is unset a random one, kept in the session.
+
+    Whoever has the key can reverse the pseudonyms, so there is none in the code. Documents keep their
+    links across runs only under the same key: set it for data that is pseudonymised in several runs.
+    """
+    key = spark.conf.get(SECRET, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(SECRET, key)
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", reverse: bool = False, count_col: str | None = None) -> DataFrame:
+    """``docs`` with all personal values in ``text_col`` replaced under ``key``; ``count_col`` gets the number of
+    replaced matches."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     held = "found"
     while held in docs.columns:
         held += "_"

@@ -11,7 +11,8 @@ the word drops what the table lets through by chance.
 
 Words are compared by 64-bit hashes (neighbours: 32 bits each, all that lie in the window).
 
-Null and empty texts have no words. An item without words or without an id has no window. Repeated
+Null and empty texts have no words. An item without words has no window. Words inside a window of an item
+without an id are hit as others are; only the list of items can't name it. Repeated
 documents each get a row; repeated items count once by id. Documents of the same id but other text
 are kept apart. Other columns, of any name, are not read. Without items every document is clean.
 """
@@ -35,7 +36,7 @@ _WORD = alphanumeric()
 
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, place and hash of every word: used for the items."""
-    part = df.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("__text")).where(F.col("item").isNotNull())
+    part = df.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,13 +148,13 @@ def phrase_matches(indexed: DataFrame, looked_up: DataFrame, window: int) -> Dat
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text",
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, text_id, item, first, last: the shortest stretches of at most ``slop`` words that hold all words of an item, in any order.
+    """Items need an id here: it names what was found. id, text_id, item, first, last: the shortest stretches of at most ``slop`` words that hold all words of an item, in any order.
 
     Lists of all of an item's words are merged per document and item, beginning with documents that
     have its rarest word; the stretch that ends at a position begins at the earliest of the latest
     places of all words up to there.
     """
-    words = tokens(items, item_id, item_text).select("item", F.explode(F.array_distinct("words")).alias("word"))
+    words = tokens(items, item_id, item_text).where("item is not null").select("item", F.explode(F.array_distinct("words")).alias("word"))
     words = staged(words.distinct(), "proximity-words")
     counts = staged(corpus_counts(docs, text_col, words), "proximity-counts")
     ranked = words.join(counts, "word").withColumn("k", F.row_number().over(Window.partitionBy("item").orderBy("n", "word"))) \

@@ -6,10 +6,12 @@ text yields long phrases, hence few of them. With samples of N characters, c phr
 characters cost about c * log2(N) / n bits a character (cross-parsing estimate of the relative
 entropy); the language with the least wins, ties going to the smaller name.
 
-The automata are compiled to one transition table: a missing transition ends the phrase and starts
-the next one at the same character, so parsing is a walk with a counter. Texts are parsed in blocks
-of BLOCK characters, all blocks of a batch and all languages in lockstep; a phrase ends at a block's
-end, which adds less than one phrase per block to every language alike.
+The automata are compiled to transitions: a missing transition ends the phrase and starts the next
+one at the same character, so parsing is a walk with a counter. Every letter of the samples is a symbol
+of its own. The most frequent ones have columns in a dense table; transitions by all others, which in large
+scripts are most letters, are kept sparse, as sorted keys. Texts are parsed in blocks of BLOCK characters,
+all blocks of a batch and all languages in lockstep; a phrase ends at a block's end, which adds less
+than one phrase per block to every language alike.
 
 Texts that are null, empty or without a letter get ``und`` and score 0. Without any training text
 every text gets ``und``. Texts are read whole; repeated rows each give a row; other columns, of any
@@ -32,7 +34,7 @@ from .common import code_points, map_texts
 BLOCK = 512
 SAMPLE_CHARS = 40_000  # per language: the documented bound of the training sample
 PASSAGE = 1_000        # characters that one text adds to it at most
-SYMBOLS = 64           # 0: not a letter; the last: letters that no sample has
+SYMBOLS = 64           # columns of the dense table. 0: not a letter; the last: letters that no sample has
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -108,7 +110,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     sample = training_sample(docs, lang_col, text_col, id_col, chars)
     texts = {r["lang"]: r["sample"] for r in sample.groupBy("lang").applyInPandas(join_passages, "lang string, sample string").collect()}
     seen = Counter(c for t in texts.values() for c in t if c != " ")
-    symbols = {c: k + 1 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS - 2])}
+    # by falling frequency: 1 .. SYMBOLS - 2 are dense, from SYMBOLS on sparse
+    symbols = {c: k + 1 if k < SYMBOLS - 2 else k + 2 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
     return {"langs": sorted(texts), "symbols": symbols, "samples": texts}
 
 
@@ -118,20 +121,29 @@ class Parser:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         low, self.letter = lower_table()
-        sym = np.zeros(0x110000, np.uint8)
+        sym = np.zeros(0x110000, np.int32)
         sym[self.letter] = SYMBOLS - 1  # letters that the samples don't have
         for c, k in model["symbols"].items():
             sym[ord(c)] = k
         self.sym = sym[low]
+        self.codes = max([SYMBOLS, *(k + 1 for k in model["symbols"].values())])
         tables, self.roots, self.cost, base = [], [], [], 0
-        for lang in self.langs:
+        keys, to_of, self.rare_roots = [], [], np.zeros((len(self.langs), self.codes - SYMBOLS), np.int32)
+        for number, lang in enumerate(self.langs):
             text = model["samples"][lang]
             coded = [int(x) for x in self.sym[[ord(c) for c in text]]] if text else []
             auto = suffix_automaton(coded)
             t = np.full((len(auto), SYMBOLS), -1, np.int64)
+            self.rare_roots[number] = base
             for s, edges in enumerate(auto):
                 for c, to in edges.items():
-                    t[s, c] = to + base
+                    if c < SYMBOLS:
+                        t[s, c] = to + base
+                    else:
+                        keys.append((s + base) * self.codes + c)
+                        to_of.append(to + base)
+                        if s == 0:
+                            self.rare_roots[number, c - SYMBOLS] = to + base
             root = np.where(t[0] < 0, base, t[0])  # a character that no sample has is a phrase by itself
             missing = t < 0
             t = np.where(missing, root[None, :], t)
@@ -140,6 +152,9 @@ class Parser:
             self.cost.append(math.log2(max(2, len(text))))
             base += len(auto)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)  # the last is no transition
+        self.to_of = np.append(np.array(to_of, np.int32)[order], 0)
 
     def parse(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language (index, -1: none) and score of each text."""
@@ -157,11 +172,22 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         first, span = start[order], length[order]
         live = len(span) - np.searchsorted(span[::-1], np.arange(span[0] if len(span) else 0), side="right")
-        sym = self.sym[cp].astype(np.int32)
+        sym = self.sym[cp]
+        any_rare = bool(len(sym)) and int(sym.max()) >= SYMBOLS
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), 1)
         phrases = np.ones((len(self.langs), len(order)), np.int32)
         for p, m in enumerate(live.tolist()):
-            to = self.table[state[:, :m] * SYMBOLS + sym[first[:m] + p]]
+            c = sym[first[:m] + p]
+            rare = np.flatnonzero(c >= SYMBOLS) if any_rare else ()
+            if len(rare):
+                key = state[:, rare].astype(np.int64) * self.codes + c[rare]
+                at = np.searchsorted(self.keys, key)
+                known = self.keys[at] == key
+                after = np.where(known, self.to_of[at], self.rare_roots[:, c[rare] - SYMBOLS])
+                c = np.minimum(c, SYMBOLS - 1)
+            to = self.table[state[:, :m] * SYMBOLS + c]
+            if len(rare):
+                to[:, rare] = after << 1 | ~known
             phrases[:, :m] += to & 1
             state[:, :m] = to >> 1
         total = np.zeros((len(self.langs), n))

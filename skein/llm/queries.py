@@ -51,11 +51,11 @@ def op3_nearest_neighbours(spark, d):
 
 
 def op4_near_duplicates(spark, d):
-    return op4_near_dedup.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+    return op4_near_dedup.near_duplicates(table(spark, d, "documents").select("doc_id", "text"), words=2)
 
 
 def op5_pii_pseudonyms(spark, d):
-    docs = op5_pii.pseudonymize(table(spark, d, "documents"), count_col="n_replaced")
+    docs = op5_pii.pseudonymize(table(spark, d, "documents"), op5_pii.secret_key(spark), count_col="n_replaced")
     return docs.select("doc_id", "text", "n_replaced")
 
 
@@ -169,7 +169,7 @@ ORACLE: dict[str, str] = {
         items as (
             select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-            from benchmark where item_id is not null),
+            from benchmark),
         windows as (
             select distinct item_id, least(10, len(w)) as n, array_to_string(w[q:q + least(10, len(w)) - 1], ' ') as phrase
             from items, unnest(range(1, greatest(1, len(w) - 9) + 1)) as u(q) where len(w) > 0),

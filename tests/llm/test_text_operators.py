@@ -128,6 +128,30 @@ def test_language_held_out(docs, none, rows):
     assert op9_language_id.identify(none, model).collect() == []
 
 
+def test_languages_of_large_scripts(spark):
+    """Six languages, three of them with hundreds of letters of which two share theirs: told apart on held-out texts."""
+    rng = random.Random(7)
+    ideographs, kana, hangul = [chr(0x4E00 + 7 * k) for k in range(512)], [chr(0x3041 + k) for k in range(80)], [chr(0xAC00 + 20 * k) for k in range(512)]
+    letters = {"en": "etaoinshrdlucmfw", "ru": "оеаинтсрвлкмдпуя", "el": "αοιετσνηυρπκμλως", "zh": ideographs, "ja": ideographs[:300] + kana, "ko": hangul}
+    follow = {lang: {c: rng.sample(own, min(6, len(own))) for c in own} for lang, own in letters.items()}
+
+    def text(lang, n):
+        c, out = rng.choice(letters[lang]), []
+        for k in range(n):
+            out.append(c if rng.random() > 0.15 else c + " ")
+            c = rng.choice(follow[lang][c]) if rng.random() < 0.9 else rng.choice(letters[lang])
+        return "".join(out)
+
+    rows = [(i, text(lang, 400), lang) for i, lang in enumerate(list(letters) * 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = op9_language_id.fit(df.where("doc_id % 3 <> 1"))
+    assert len(model["symbols"]) > 1000  # every letter of the samples has its symbol
+    got = {r.doc_id: r.lang_pred for r in op9_language_id.identify(df, model).collect()}
+    for lang in letters:
+        held = [(got[i], own) for i, _, own in rows if own == lang and i % 3 == 1]
+        assert sum(a == b for a, b in held) >= 0.95 * len(held) and held
+
+
 def test_cross_parsing_equals_brute_force():
     samples = {"a": "abracadabra abrac", "b": "the cat sat on the mat"}
     symbols = {c: k + 1 for k, c in enumerate(sorted(set("".join(samples.values())) - {" "}))}
@@ -142,11 +166,15 @@ def test_cross_parsing_equals_brute_force():
                 n, at = n + 1, end
         return n
 
-    for text in ("abrac the cat", "cadabra", "matcat"):
+    # the same with dense and with sparse transitions
+    sparse = op9_language_id.Parser({"langs": ["a", "b"], "symbols": {c: k + op9_language_id.SYMBOLS for c, k in symbols.items()}, "samples": samples})
+    for text in ("abrac the cat", "cadabra", "matcat", "zzz the mat", "q", "brac abrac xyz"):
         raw, offsets = text_buffers(pa.array([text]))
-        best, _ = parser.parse(raw, offsets)
         bits = [phrases(text, samples[k]) * parser.cost[i] for i, k in enumerate("ab")]
-        assert best[0] == int(np.argmin(bits))
+        for own in (parser, sparse):
+            best, _ = own.parse(raw, offsets)
+            assert best[0] == int(np.argmin(bits))
+        assert np.array_equal(parser.parse(raw, offsets)[1], sparse.parse(raw, offsets)[1])
 
 
 def test_toxicity_held_out(spark, docs, none, rows):
@@ -197,7 +225,9 @@ def test_pseudonyms(spark):
     assert new[2] == texts[2] and new[8] == texts[8] and "300.1.1.1" in new[5] and "02/30/2001" in new[6] and "666-12-1234" in new[7]
     back = op5_pii.pseudonymize(out.drop("n_replaced"), "k", reverse=True).collect()
     assert {r.doc_id: r.text for r in back} == dict(enumerate(texts))
-    assert op5_pii.pseudonymize(df.limit(0)).collect() == []
+    assert op5_pii.pseudonymize(df.limit(0), "k").collect() == []
+    with pytest.raises(ValueError, match="key"):
+        op5_pii.pseudonymize(df, "")
 
 
 def test_pseudonyms_beside_other_numbers(spark):
@@ -206,7 +236,7 @@ def test_pseudonyms_beside_other_numbers(spark):
              f"{card} 03.04.2001", "03.04.2001", f"{card} 10.0.0.1", "10.0.0.1", f"{card} {card}", f"12-{card}", f"{card}-x", "call (743) 555-3824 now", "743-555-3824", "+1 (743) 555-3824",
              "1234 5678 9012 3456", "1 " * 3000 + "1", f"{card} 12ab@x.org", "12ab@x.org", "9" * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
-    out = op5_pii.pseudonymize(df)
+    out = op5_pii.pseudonymize(df, "another key")
     new = {texts[r.k]: r.text for r in out.collect()}
     fresh, blocks, day = new[card], new[spaced], new["2001-02-03"]
     assert fresh != card and blocks.replace(" ", "") == fresh and luhn(fresh)
@@ -220,7 +250,7 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert phone != "(743) 555-3824" and new["call (743) 555-3824 now"] == f"call {phone} now" and new["743-555-3824"] == phone[1:4] + "-" + phone[6:]
     assert new["1234 5678 9012 3456"] == "1234 5678 9012 3456" and new["9" * 40] == "9" * 40
     skip = "1 " * 3000 + "1"  # which of its many blocks are taken depends on what they become
-    back = {texts[r.k]: r.text for r in op5_pii.pseudonymize(out, reverse=True).collect()}
+    back = {texts[r.k]: r.text for r in op5_pii.pseudonymize(out, "another key", reverse=True).collect()}
     assert all(back[t] == t for t in texts if t != skip)
 
 
