@@ -44,9 +44,9 @@ def _crossings(ring: Column, px: Column, py: Column) -> Column:
     return F.size(F.filter(idx, crosses))
 
 
-def contains_point(geom: Column, x: float, y: float) -> Column:
+def contains_point(geom: Column, x: float | Column, y: float | Column) -> Column:
     """True when the geometry contains the point (holes excluded; edges undefined)."""
-    px, py = F.lit(float(x)), F.lit(float(y))
+    px, py = (c if isinstance(c, Column) else F.lit(float(c)) for c in (x, y))
     coords = geom["coordinates"]
     rings = F.flatten(coords)
     outer_pts = F.flatten(F.transform(coords, lambda poly: poly[0]))

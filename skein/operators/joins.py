@@ -18,6 +18,7 @@ from pyspark.sql.types import NumericType, StringType
 from ..functions.expr import compile_value
 from ..functions.paths import col_path, comparable, descending, path_type, quote_part
 from ..session import staged
+from .param_joins import param_join
 
 
 def _equi(left_names: list[str], right_names: list[str]) -> Column:
@@ -130,10 +131,13 @@ def conjoin(df: DataFrame, other: DataFrame, on: dict, fields: list[str] | None
     columns come first. Rows without a match are not emitted (inner join).
 
     ``on`` maps a field of ``other`` to an expression over the driving row, the row-level form of
-    a parameterised nested query (``{"cwa": "=cwa"}``).
+    a parameterised nested query (``{"cwa": "=cwa"}``), or to conditions other than equality
+    (``{"price": {"gte": "=low", "lt": "=high"}}``, see :func:`skein.operators.param_joins.param_join`).
     """
     fields = fields or [c for c in other.columns if c not in on]
     _check_collisions(df, fields, prefix)
+    if any(isinstance(v, dict) for v in on.values()):
+        return param_join(df, other, on, fields=fields, prefix=prefix)
     lkeys = [f"__lk{i}" for i in range(len(on))]
     rkeys = [f"__rk{i}" for i in range(len(on))]
     left = df.withColumns({lk: compile_value(v, df) for lk, v in zip(lkeys, on.values())})
@@ -149,7 +153,10 @@ def foreach_join(driver: DataFrame, facts: DataFrame, on: dict) -> DataFrame:
 
     Instead of one job per driving row this is one join: a driving row emits every fact row its
     parameters select, so duplicate driving rows repeat their results as separate runs would.
+    Conditions other than equality (ranges, wildcards, areas) are dicts, as in a pattern.
     """
+    if any(isinstance(v, dict) for v in on.values()):
+        return param_join(driver, facts, on, keep=[])
     params = driver.select(*[compile_value(v, driver).alias(f"__p{i}") for i, v in enumerate(on.values())])
     keyed = facts.select(*[col_path(rf, facts).alias(f"__f{i}") for i, rf in enumerate(on.keys())],
                          *[F.col(quote_part(c)) for c in facts.columns])

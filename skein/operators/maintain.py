@@ -49,6 +49,13 @@ def _below_all(dt):
     return None
 
 
+def _with_columns(df: DataFrame, names: list[str], other: DataFrame) -> DataFrame:
+    """``df`` with all of ``names``; those it lacks are null, in the other side's type."""
+    if list(df.columns) == names:
+        return df
+    return df.select(*[F.col(quote_part(c)) if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in names])
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Keyed store: one row per key, the ``source`` row replacing the ``target`` row.
 
@@ -59,10 +66,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[st
     changes take part: of them and the changes the row with the largest version wins, ``source``
     breaking ties (a partial aggregate, so a hot key is combined map-side); all other target rows
     pass through unshuffled. Rows with a null key cannot be addressed and are kept as they are.
+    The result has the columns of both sides, the target's first; a side that lacks one has nulls there.
     """
-    cols = list(target.columns)
+    cols = [*target.columns, *[c for c in source.columns if c not in target.columns]]
     qcols = [quote_part(c) for c in cols]
-    source = source.select(*qcols)
+    target, source = _with_columns(target, cols, source), _with_columns(source, cols, target)
     key_ok = F.lit(True)
     for k in keys:
         key_ok = key_ok & F.col(quote_part(k)).isNotNull()

@@ -58,7 +58,7 @@ def _remove(df: DataFrame, names) -> DataFrame:
 
 
 def mutate(df: DataFrame, default: dict | None = None, map: dict | None = None, select: list | None = None,
-           remove: list | None = None, assign: dict | None = None) -> DataFrame:
+           remove: list | None = None, assign: dict | None = None, keep: tuple = ()) -> DataFrame:
     """Apply ``default`` -> ``map``/``select`` -> ``remove`` -> ``assign``.
 
     * ``default``: value or expression used where the field is missing or null; default fields
@@ -67,6 +67,7 @@ def mutate(df: DataFrame, default: dict | None = None, map: dict | None = None,
     * ``select``: output holds only the defaults and the listed fields, in list order.
     * with neither, all input fields pass through.
     * ``remove`` drops fields; ``assign`` sets fields unconditionally (nested targets allowed).
+    * ``keep``: columns that pass through whatever ``map`` or ``select`` say.
     """
     if map and select:
         raise ValueError("mutate: give either map or select, not both")
@@ -79,7 +80,7 @@ def mutate(df: DataFrame, default: dict | None = None, map: dict | None = None,
         names = {n for n, _ in body}
         head = [(n, compile_value(v, df)) for n, v in default.items() if n not in names]
         body = [(n, F.coalesce(c, compile_value(default[n], df)) if n in default else c) for n, c in body]
-        out = df.select(*_nest(head + body))
+        out = df.select(*_nest(head + body), *_kept(df, keep))
     else:
         new = [(n, compile_value(v, df)) for n, v in default.items() if not has_path(df, n)]
         existing = {n: F.coalesce(col_path(n, df), compile_value(v, df)) for n, v in default.items() if has_path(df, n)}
@@ -96,15 +97,19 @@ def mutate(df: DataFrame, default: dict | None = None, map: dict | None = None,
     return out
 
 
-def select_fields(df: DataFrame, fields: list[str]) -> DataFrame:
+def _kept(df: DataFrame, keep) -> list[Column]:
+    return [F.col(quote_part(c)) for c in keep if c in df.columns]
+
+
+def select_fields(df: DataFrame, fields: list[str], keep: tuple = ()) -> DataFrame:
     """Keep the listed (possibly dotted) fields in order; prunes the scan."""
-    return df.select(*[col_path(f, df).alias(f) for f in fields])
+    return df.select(*[col_path(f, df).alias(f) for f in fields], *_kept(df, keep))
 
 
-def rename(df: DataFrame, fields: dict) -> DataFrame:
+def rename(df: DataFrame, fields: dict, keep: tuple = ()) -> DataFrame:
     """Legacy ``select.fields`` map ``{source: target}``; dotted sources read nested values and
-    dotted targets build nested structs. Only the mapped fields are kept."""
-    return df.select(*_nest([(t, col_path(s, df)) for s, t in fields.items()]))
+    dotted targets build nested structs. Only the mapped fields (and ``keep``) stay."""
+    return df.select(*_nest([(t, col_path(s, df)) for s, t in fields.items()]), *_kept(df, keep))
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
@@ -122,7 +127,7 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
                        for path in leaves(df.schema, [])])
 
 
-def compose(df: DataFrame, sep: str = "_") -> DataFrame:
+def compose(df: DataFrame, sep: str = "_", keep: tuple = ()) -> DataFrame:
     """Inverse of :func:`flatten`: columns named ``a{sep}b`` become nested struct ``a.b``.
 
     Separators at a name's ends don't split it (``_id`` stays). A column that is both a value and a
@@ -135,4 +140,4 @@ def compose(df: DataFrame, sep: str = "_") -> DataFrame:
         at = name.index(body)
         return name[:at] + body.replace(sep, ".") + name[at + len(body):]
 
-    return df.select(*_nest([(path(f), F.col(quote_part(f))) for f in df.columns]))
+    return df.select(*_nest([(path(f), F.col(quote_part(f))) for f in df.columns if f not in keep]), *_kept(df, keep))

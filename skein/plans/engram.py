@@ -198,9 +198,9 @@ def coerce_to(c: Column, src: T.DataType, f: dict) -> Column:
     return c.cast(field_type(f))
 
 
-def apply_engram(df: DataFrame, engram, missing_value: str | None = None) -> DataFrame:
+def apply_engram(df: DataFrame, engram, missing_value: str | None = None, keep: tuple = ()) -> DataFrame:
     """Cast every declared field, fill ``default``s, order columns as declared and keep only
-    declared fields. Absent fields become their default (or null). One projection, no UDF."""
+    declared fields (and ``keep``). Absent fields become their default (or null). One projection, no UDF."""
     eng = load_engram(engram) if not isinstance(engram, list) else {"fields": engram}
     fields = normalize_fields(eng["fields"])
     src = {f.name: f.dataType for f in df.schema.fields}
@@ -218,7 +218,7 @@ def apply_engram(df: DataFrame, engram, missing_value: str | None = None) -> Dat
             c = F.coalesce(c, F.lit(f["default"]).cast(target))
         cols.append(c.cast(target).alias(f["name"]) if not isinstance(target, (T.StructType, T.ArrayType, T.MapType))
                     else c.alias(f["name"]))
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(quote_part(c)) for c in keep if c in df.columns])
 
 
 def key_fields(engram) -> list[str]:

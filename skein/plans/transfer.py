@@ -7,19 +7,26 @@ terminal writes, and a pipeline with several terminals reads its origin once (pe
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..operators import aggregate as agg_ops
 from ..operators import joins, mutate, pattern
 from ..operators.codify import codify as codify_engram
+from ..operators.codify import codify_each, format_engram, merge_engram
+from ..session import scratch_path
 from ..sinks import files as sinks
 from ..sinks.documents import to_documents, write_documents
 from ..functions.paths import quote_part
 from ..sources import files as sources
 from ..storage import dataset_exists, swap_folder
-from .engram import apply_engram, from_struct, key_fields, load_engram
+from . import scan as scans
+from .engram import apply_engram, coerce_to, from_struct, key_fields, load_engram
 
 
 @dataclass
@@ -89,25 +96,29 @@ def register_format(name: str, reader=None, writer=None, spark: SparkSession | N
 
 # --- sources -------------------------------------------------------------------------------
 
-def _read(spark: SparkSession, addr: Address, options: dict) -> DataFrame:
+def _read(spark: SparkSession, addr: Address, options: dict, paths: list[str] | None = None, source: str | None = None) -> DataFrame:
+    """What is stored at an address; ``paths`` are read instead of its own path if given, and ``source``
+    names a column for the path of each row's file."""
     enc = options.get("encoding")
     missing = options.get("missingValue")
     m = addr.model.lower()
+    path = paths if paths is not None else addr.path
     if m in _READERS:
         df = _READERS[m](spark, addr, options)
     elif m == "json":
-        df = sources.scan_json(spark, addr.path, lines=False, engram=enc, missing=missing)
+        df = sources.scan_json(spark, path, lines=None, engram=enc, missing=missing, source=source)
         enc = None
     elif m in ("jsonl", "jsons", "jsonlines"):
-        df = sources.scan_json(spark, addr.path, lines=True, engram=enc, missing=missing)
+        df = sources.scan_json(spark, path, lines=True, engram=enc, missing=missing, source=source)
         enc = None
     elif m in ("csv", "txt", "text"):
         sep = options.get("separator", "," if m == "csv" else "\t")
-        header = options.get("hasHeader", m == "csv")
+        header = options.get("hasHeader", options.get("header", m == "csv"))
         names = [f["name"] for f in load_engram(enc)["fields"]] if (enc and not header) else None
-        df = sources.scan_csv(spark, addr.path, header=header, sep=sep, names=names)
+        df = sources.scan_csv(spark, path, header=header, sep=sep, names=names, source=source)
     elif m == "parquet":
-        df = spark.read.parquet(addr.path)
+        df = spark.read.option("mergeSchema", len(path) > 1).parquet(*path) if paths is not None else spark.read.parquet(addr.path)
+        df = df.withColumn(source, F.col("_metadata.file_path")) if source else df
     elif m in ("geojson", "shp", "shapefile"):
         df = sources.scan_geojson(spark, addr.path)
     elif m == "memory":
@@ -119,7 +130,7 @@ def _read(spark: SparkSession, addr: Address, options: dict) -> DataFrame:
     else:
         raise ValueError(f"no reader for model {addr.model!r}")
     if enc is not None:
-        df = apply_engram(df, enc, missing)
+        df = apply_engram(df, enc, missing, keep=(source,) if source else ())
     return df
 
 
@@ -219,31 +230,70 @@ def write_terminal(df: DataFrame, terminal: dict):
     raise ValueError(f"no writer for model {addr.model!r}")
 
 
+def _fitting(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with equal types in the columns that they share, and no value lost.
+
+    What is stored takes the type of the new rows if every value converts; else both become text. One
+    aggregate looks at the columns whose types differ.
+    """
+    from .engram import normalize_fields
+
+    shared = [f for f in new.schema.fields if f.name in old.columns and old.schema[f.name].dataType != f.dataType]
+    if not shared:
+        return old, new
+    made = {}
+    for f in shared:
+        field = normalize_fields(from_struct(StructType([f]))["fields"])[0]
+        made[f.name] = coerce_to(F.col(quote_part(f.name)), old.schema[f.name].dataType, field).cast(f.dataType)
+    blank = {f.name: F.trim(F.col(quote_part(f.name)).cast("string")) == "" if not isinstance(old.schema[f.name].dataType, (StructType, ArrayType, MapType)) else F.lit(False) for f in shared}
+    lost = old.agg(*[F.count(F.when(F.col(quote_part(n)).isNotNull() & ~blank[n] & c.isNull(), 1)).alias(f"l{i}") for i, (n, c) in enumerate(made.items())]).first()
+    for i, n in enumerate(list(made)):
+        if lost[i]:
+            if n in keys:
+                raise ValueError(f"key {n!r}: {lost[i]} stored values are no {new.schema[n].dataType.simpleString()}")
+            if isinstance(new.schema[n].dataType, (StructType, ArrayType, MapType)) or isinstance(old.schema[n].dataType, (StructType, ArrayType, MapType)):
+                raise ValueError(f"column {n!r} is {old.schema[n].dataType.simpleString()}, the change has {new.schema[n].dataType.simpleString()}")
+            made[n] = F.col(quote_part(n)).cast("string")
+            new = new.withColumn(n, coerce_to(F.col(quote_part(n)), new.schema[n].dataType, {"name": n, "type": "text"}))
+    return old.withColumns(made), new
+
+
 def _upsert_text(df: DataFrame, addr: Address, opts: dict, order=None):
-    """Keyed store in JSON or CSV files: what is there is read as typed as ``df`` is, merged, and written
-    as a whole to a new folder that then takes the old one's place by rename."""
+    """Keyed store in JSON or CSV files: what is there, read as any origin is, is merged with ``df`` and
+    written as a whole to a new folder that then takes the old one's place by rename.
+
+    Rows and columns that only one side has are kept. A stored record that can't be read raises.
+    """
     from ..operators.maintain import upsert
 
     spark, m = df.sparkSession, addr.model.lower()
     text = sinks.json_ready(df) if m.startswith("json") else df
+    sep, header = opts.get("separator", "," if m == "csv" else "\t"), bool(opts.get("addHeader"))
     if dataset_exists(spark, addr.path):
         if m.startswith("json"):
-            old = spark.read.schema(text.schema).json(addr.path)
+            kinds = sources.json_kinds(spark, addr.path)
+            parts = [spark.read.option("multiLine", k == "whole").option("mode", "FAILFAST").json(files) for k, files in sorted(kinds.items())]
+            old = parts[0] if parts else text.limit(0)
+            for more in parts[1:]:
+                more, old = _fitting(more, old, [])
+                old = old.unionByName(more, allowMissingColumns=True)
         else:
-            sep = opts.get("separator", "," if m == "csv" else "\t")
-            header = bool(opts.get("addHeader"))
-            old = sources.scan_csv(spark, addr.path, header=header, sep=sep, names=None if header else df.columns)
-            old = apply_engram(old, from_struct(df.schema))
-        text = upsert(old.select(*[quote_part(c) for c in text.columns]), text, addr.key_fields, order)
+            old = sources.scan_csv(spark, addr.path, header=header, sep=sep)
+            if not header and len(old.columns) != len(df.columns):
+                raise ValueError(f"{addr.path} has {len(old.columns)} columns without names, the change {len(df.columns)}")
+            old = old if header else old.toDF(*df.columns)
+        old, text = _fitting(old, text, addr.key_fields)
+        text = upsert(old, text, addr.key_fields, order)
     else:
         text = upsert(text.limit(0), text, addr.key_fields, order)
 
-    def write(path):
-        if m.startswith("json"):
-            return sinks.write_json(text, path)
-        return sinks.write_csv(text, path, header=bool(opts.get("addHeader")), sep=opts.get("separator", "," if m == "csv" else "\t"))
+    return swap_folder(spark, addr.path, lambda path: _write_text(text, path, m, opts))
+
 
-    return swap_folder(spark, addr.path, write)
+def _write_text(df: DataFrame, path: str, model: str, opts: dict):
+    if model.startswith("json"):
+        return sinks.write_json(df, path)
+    return sinks.write_csv(df, path, header=bool(opts.get("addHeader", opts.get("hasHeader", opts.get("header")))), sep=opts.get("separator", "," if model == "csv" else "\t"))
 
 
 # --- transforms ----------------------------------------------------------------------------
@@ -254,7 +304,7 @@ def _t_filter(df, spec, ctx):
 
 def _t_mutate(df, spec, ctx):
     return mutate.mutate(df, default=spec.get("default"), map=spec.get("map"), select=spec.get("select"),
-                         remove=spec.get("remove"), assign=spec.get("assign"))
+                         remove=spec.get("remove"), assign=spec.get("assign"), keep=ctx.get("carried", ()))
 
 
 def _lookup_frame(spec, ctx):
@@ -281,12 +331,16 @@ def _t_conjoin(df, spec, ctx):
 
 def _t_aggregate(df, spec, ctx):
     aggs = {k: tuple(v) if isinstance(v, (list, tuple)) else tuple(v.items())[0] for k, v in spec.get("aggs", {}).items()}
-    return agg_ops.aggregate(df, spec.get("by"), aggs)
+    by = spec.get("by")
+    if ctx.get("carried"):  # each dataset is aggregated by itself
+        by = [*([by] if isinstance(by, str) else by or []), *[c for c in ctx["carried"] if c in df.columns]]
+    return agg_ops.aggregate(df, by, aggs)
 
 
 def _t_select(df, spec, ctx):
-    return mutate.rename(df, spec["fields"]) if isinstance(spec.get("fields"), dict) else \
-        mutate.select_fields(df, spec["fields"])
+    keep = ctx.get("carried", ())
+    return mutate.rename(df, spec["fields"], keep) if isinstance(spec.get("fields"), dict) else \
+        mutate.select_fields(df, spec["fields"], keep)
 
 
 def _t_tee(df, spec, ctx):
@@ -297,7 +351,8 @@ def _t_tee(df, spec, ctx):
     def side_steps(x):
         return run_transforms(x, side.get("transforms", []), ctx)
 
-    out = sinks.tee(df, side_steps, lambda x: write_terminal(x, side["terminal"]))
+    write = ctx.get("write", write_terminal)
+    out = sinks.tee(df, side_steps, lambda x: write(x, side["terminal"]))
     ctx.setdefault("persisted", []).append(out)
     return out
 
@@ -309,8 +364,8 @@ register_transform("conjoin", _t_conjoin)
 register_transform("aggregate", _t_aggregate)
 register_transform("select", _t_select)
 register_transform("flatten", lambda df, spec, ctx: mutate.flatten(df, spec.get("separator", "_")))
-register_transform("compose", lambda df, spec, ctx: mutate.compose(df, spec.get("separator", "_")))
-register_transform("encoder", lambda df, spec, ctx: apply_engram(df, spec["encoding"]))
+register_transform("compose", lambda df, spec, ctx: mutate.compose(df, spec.get("separator", "_"), ctx.get("carried", ())))
+register_transform("encoder", lambda df, spec, ctx: apply_engram(df, spec["encoding"], keep=ctx.get("carried", ())))
 register_transform("tee", _t_tee)
 
 
@@ -320,6 +375,9 @@ def run_transforms(df: DataFrame, transforms, ctx: dict) -> DataFrame:
         if name not in _TRANSFORMS:
             raise ValueError(f"unknown transform {name!r}")
         df = _TRANSFORMS[name](df, spec, ctx)
+        gone = [c for c in ctx.get("carried", ()) if c not in df.columns]
+        if gone:
+            raise ValueError(f"transform {name!r} drops the columns {gone} that tell a scan's datasets apart")
     return df
 
 
@@ -361,31 +419,103 @@ def transfer(spark: SparkSession, origin, transforms=(), terminal=None, datasets
 
 
 def scan_fibers(spark: SparkSession, path: str, glob: str, exclude: list[str] | None, fibers: list[dict], fmt: str = "json",
-                read_options: dict | None = None, recursive: bool = False, datasets: dict | None = None) -> list[DataFrame]:
-    """The ``scan`` action with several sub-fibers: all matching files are read once, every sub-fiber
-    works on that read, with ``name``, ``rpath`` and ``schema`` as fields, and writes to its own terminal.
-
-    ``${schema}``, ``${name}`` or ``${rpath}`` in a terminal's address mean one output per source dataset:
-    the rows are split by it.
+                read_options: dict | None = None, recursive: bool = False, datasets: dict | None = None,
+                registry: DataFrame | None = None) -> list:
+    """The ``scan`` action with sub-fibers: the result of each over all matching datasets.
+
+    A sub-fiber has its own action (``transfer``, ``retrieve`` or ``codify``), origin with options (``encoding``,
+    ``codify``, ``count``, separators and headers), transforms and terminal, all of which may name the dataset
+    (``${name}``, ``${rpath}``, ``${schema}``). Without an origin it reads the scanned datasets with
+    ``read_options``. See :mod:`skein.plans.scan`.
     """
-    many = sources.scan_many(spark, path, glob, exclude, fmt=fmt, recursive=recursive, merge_schema=fmt == "parquet", options=read_options)
+    found = scans.datasets_at(spark, path, glob, exclude, recursive)
+    persisted: list[DataFrame] = []
+
+    def read(addr, options, paths):
+        model = addr.model if addr.model != "*" else fmt
+        return _read(spark, Address(model, addr.locus, addr.schema), options, paths, scans.SOURCE)
+
+    def retrieve(df, spec, carried):
+        fields = spec.get("fields")
+        return pattern.retrieve(df, spec | {"fields": [*fields, *carried]} if fields else spec)
+
+    def write(df, terminal, own=found):
+        spec, hidden = terminal, [c for c in scans.CARRIED if c in df.columns]
+        plain = df.drop(*hidden)
+        if not scans._names_dataset(spec):
+            return write_terminal(plain, spec)
+        addr, opts = Address.parse(spec["smt"]), spec.get("options") or {}
+        model = addr.model.lower()
+
+        def place(d):
+            return Address.parse(scans._filled(spec["smt"], d.values)).path
+
+        same_options = not scans._names_dataset(opts)
+        if same_options and not addr.key_fields and not opts.get("append") and not opts.get("splitOn") and (model.startswith("json") or model == "parquet"):
+            if opts.get("encoding"):
+                df = apply_engram(df, opts["encoding"], keep=tuple(hidden))
+            folder = scratch_path(spark, f"scan-{uuid.uuid4().hex}") if not addr.locus else f"{addr.locus.split('${')[0].rstrip('/')}/__scan-{uuid.uuid4().hex[:8]}"
+            sinks.write_split(df.drop(*[c for c in hidden if c != scans.DATASET]), folder, scans.DATASET, fmt="json" if model.startswith("json") else model)
+            return scans.publish(spark, folder, own, place)
+        cached = df.persist()
+        try:
+            for d in own:
+                write_terminal(cached.where(F.col(scans.DATASET) == d.id).drop(*hidden), scans._filled(spec, d.values))
+        finally:
+            cached.unpersist()
+
+    ctx = {"spark": spark, "datasets": datasets or {}, "registry": registry, "persisted": persisted, "write": write}
+
+    def transform(df, steps, carried):
+        return run_transforms(df, steps, ctx | {"carried": carried})
+
+    def encode_each(df, own):
+        """Datasets of equal encodings as one branch, with the encoding applied."""
+        encodings = codify_each(df.drop(*[c for c in scans.CARRIED if c != scans.DATASET]), by=scans.DATASET)
+        groups: dict[str, list] = {}
+        for d in own:
+            eng = encodings.get(d.id)
+            if eng is not None:
+                fields = [f for f in eng["fields"] if f["name"] not in scans.CARRIED]
+                groups.setdefault(json.dumps(fields, sort_keys=True), []).append((d, fields))
+        return [([d for d, _ in members], apply_engram(df.where(F.col(scans.DATASET).isin([d.id for d, _ in members])), {"fields": members[0][1]}, keep=scans.CARRIED))
+                for members in groups.values()]
+
+    def codify(df, sub, terminal):
+        """One encoding of all datasets; one per dataset if the terminal names the dataset."""
+        opts = (sub.get("origin") or {}).get("options") or {}
+        form = opts.get("encoding_format")
+        if scans._names_dataset(terminal):
+            each = codify_each(df.drop(*[c for c in scans.CARRIED if c != scans.DATASET]), by=scans.DATASET, missing=sub.get("missingValue"))
+            out = {d.rpath: format_engram(each[d.id] | {"name": d.schema or d.name}, form) for d in found if d.id in each}
+            for d in found:
+                if terminal.get("smt") and d.rpath in out:
+                    _write_encoding(spark, out[d.rpath], scans._filled(terminal, d.values))
+            return out
+        eng = codify_engram(df.drop(*scans.CARRIED), missing=sub.get("missingValue"), name=sub.get("name"))
+        if opts.get("encoding"):
+            eng = merge_engram(load_engram(opts["encoding"]), eng)
+        eng = format_engram(eng, form)
+        if terminal.get("smt"):
+            _write_encoding(spark, eng, terminal)
+        return eng
+
     outs = []
-    for fiber in fibers:
-        out = run_transforms(many, fiber.get("transforms", []), {"spark": spark, "datasets": datasets or {}})
-        outs.append(out)
-        terminal = fiber.get("terminal")
-        if not terminal or not terminal.get("smt"):
-            continue
-        addr = Address.parse(terminal["smt"])
-        named = [f for f in ("schema", "name", "rpath") if "${" + f + "}" in addr.path]
-        if named and named[0] in out.columns:
-            base = addr.path[:addr.path.index("${")].rsplit("/", 1)[0]
-            sinks.write_split(out, base, named, fmt="json" if addr.model.lower().startswith("json") else addr.model.lower())
-        else:
-            write_terminal(out, terminal)
+    try:
+        for fiber in fibers:
+            fiber = fiber if fiber.get("origin") else fiber | {"origin": {"smt": f"{fmt}|{path}|${{name}}|*", "options": read_options or {}}}
+            outs.append(scans.scan_fiber(spark, fiber, found, path, fmt, recursive, read, transform, write, codify, {"retrieve": retrieve, "encode_each": encode_each}))
+    finally:
+        for p in persisted:
+            p.unpersist()
     return outs
 
 
+def _write_encoding(spark: SparkSession, encoding: dict, terminal: dict) -> None:
+    text = spark.createDataFrame([(json.dumps(encoding, ensure_ascii=False),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(Address.parse(terminal["smt"]).path)
+
+
 def scan_transfer(spark: SparkSession, path: str, glob: str = "*", exclude: list[str] | None = None,
                   transforms=(), out_path: str | None = None, fmt: str = "json", out_fmt: str = "json",
                   read_options: dict | None = None, recursive: bool = False) -> DataFrame:
@@ -447,8 +577,8 @@ def foreach(spark: SparkSession, driver: DataFrame, fiber: dict, terminal=None,
         ctx = {"spark": spark, "datasets": datasets or {}, "registry": registry}
         frames.append(run_transforms(open_origin(spark, spec["origin"], datasets, registry),
                                      spec.get("transforms", []), ctx))
-    if not frames:
-        raise ValueError("foreach: the driving dataset is empty")
+    if not frames:  # nothing to run: no rows, and nothing is written
+        return spark.createDataFrame([], StructType([]))
     out = union_all(frames)
     if terminal is not None:
         write_terminal(out, terminal)
@@ -476,7 +606,8 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
     * ``codify`` -> the inferred encoding (``origin.options.count`` samples, ``missingValue``,
       ``encoding_format``);
     * ``dull`` -> ``{"deleted": n}`` for a parquet origin (rewritten in place through staging);
-    * ``list`` -> the inventory DataFrame; ``scan`` -> the combined result of ``scan_transfer``;
+    * ``list`` -> the inventory DataFrame; ``scan`` -> the combined rows of its sub-fibers, or, if one of
+      them is a ``codify``, the list of their results;
     * ``foreach`` -> the union of all sub-fibers over the driving rows; ``schema`` -> a status dict;
       ``compare`` -> the differing rows of two stored datasets, at a level (``compareValues``).
     """
@@ -500,19 +631,19 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
         found = codify_engram(src, missing=fiber.get("missingValue"), format=None if opts.get("encoding") else opts.get("encoding_format"),
                               name=fiber.get("name"), sample=opts.get("count"))
         if opts.get("encoding"):  # primed: what the given encoding says comes first
-            from ..operators.codify import format_engram, merge_engram
-
             found = format_engram(merge_engram(load_engram(opts["encoding"]), found), opts.get("encoding_format"))
         if terminal is not None:
-            import json
-
-            text = spark.createDataFrame([(json.dumps(found, ensure_ascii=False),)], "value string")
-            text.coalesce(1).write.mode("overwrite").text(Address.parse(terminal["smt"]).path)
+            _write_encoding(spark, found, terminal)
         return found
     if action == "dull":
-        addr = Address.parse(origin["smt"])
-        return {"deleted": dull_path(spark, addr.path, (origin.get("pattern") or {}).get("match", "*"),
-                                     fmt=addr.model if addr.model != "*" else "parquet")}
+        addr, opts = Address.parse(origin["smt"]), origin.get("options", {}) or {}
+        model = addr.model.lower() if addr.model != "*" else "parquet"
+        match = (origin.get("pattern") or {}).get("match", "*")
+        if model in ("csv", "txt", "text") or model.startswith("json"):
+            # read as any origin is, written as any terminal is: nothing but the deleted rows changes
+            return {"deleted": dull_path(spark, addr.path, match, read=lambda: _read(spark, addr, opts),
+                                         write=lambda df, folder: _write_text(df, folder, model, {"hasHeader": model == "csv"} | opts))}
+        return {"deleted": dull_path(spark, addr.path, match, fmt=model)}
     if action == "list":
         addr = Address.parse(origin["smt"])
         opts = origin.get("options", {}) or {}
@@ -521,9 +652,9 @@ def run_fiber(spark: SparkSession, fiber: dict, datasets: dict | None = None, re
         addr = Address.parse(origin["smt"])
         opts = origin.get("options", {}) or {}
         if fiber.get("fibers"):
-            return union_all(scan_fibers(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber["fibers"],
-                                         fmt="json" if addr.model.lower().startswith("json") else addr.model,
-                                         recursive=bool(opts.get("recursive")), datasets=datasets))
+            outs = scan_fibers(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber["fibers"], addr.model,
+                               {k: v for k, v in opts.items() if k not in ("exclude", "recursive")}, bool(opts.get("recursive")), datasets, registry)
+            return union_all(outs) if all(isinstance(o, DataFrame) for o in outs) and outs else outs
         return scan_transfer(spark, addr.locus, addr.schema or "*", opts.get("exclude"), fiber.get("transforms", []),
                              Address.parse(terminal["smt"]).path if terminal else None, fmt=addr.model)
     if action == "foreach":

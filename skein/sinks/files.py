@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,17 +78,22 @@ def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",", mo
 
     Cells are rendered by :func:`csv_ready` and joined to whole lines, which the text writer stores
     as they are. With ``header`` every part file begins with the header line, as Spark's own CSV
-    writer does.
+    writer does; a result without rows is a file with the header alone.
     """
     cells = csv_ready(df)
     names = cells.columns
     line = F.concat_ws(sep, *[F.coalesce(F.col(quote_part(c)), F.lit("")) for c in names])
     lines = cells.select(line.alias("value"))
-    if header:
-        # the first row of a partition carries the header line before its own
-        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-        lines = lines.select(F.when(first, F.concat(F.lit(sep.join(names) + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
-    lines.write.mode(mode).text(path)
+    if not header:
+        return lines.write.mode(mode).text(path)
+    # the first row of a partition carries the header line before its own
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = sep.join(names)
+    lines = lines.select(F.when(first, F.concat(F.lit(head + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    seen = Observation(f"csv_{uuid.uuid4().hex[:12]}")
+    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
+    if not seen.get.get("n"):  # no rows: a file with the header alone
+        df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def load_table(df: DataFrame, table: str, append: bool = True, fmt: str = "parquet"):
@@ -124,14 +129,25 @@ def upsert_path(df: DataFrame, path: str, keys: list[str], order: list[str] | No
 
 
 def upsert_table(df: DataFrame, table: str, keys: list[str], order: list[str] | None = None, fmt: str = "parquet"):
-    """Keyed store on a catalog table: the merged rows become a new table that takes the old one's name."""
+    """Keyed store on a catalog table: the merged rows become a new table that takes the old one's name.
+
+    Between the two renames the table has no name; a job that dies there leaves the old table under the
+    name ``<table>__old_…``, and the next call puts it back.
+    """
     spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        database, _, name = table.rpartition(".")
+        aside = [t.name for t in spark.catalog.listTables(database or None, f"{name}__old_*")]
+        if len(aside) > 1:
+            raise OSError(f"{table} is missing and several former versions exist: {aside}")
+        if aside:
+            spark.sql(f"ALTER TABLE {database + '.' if database else ''}{aside[0]} RENAME TO {table}")
     if not spark.catalog.tableExists(table):
         upsert(df.limit(0), df, keys, order).write.format(fmt).saveAsTable(table)
         return
     fresh = f"{table}_{uuid.uuid4().hex[:8]}"
     upsert(spark.table(table), df, keys, order).write.format(fmt).saveAsTable(fresh)
-    old = f"{table}_{uuid.uuid4().hex[:8]}"
+    old = f"{table}__old_{uuid.uuid4().hex[:8]}"
     spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
     spark.sql(f"DROP TABLE {old}")
@@ -179,19 +195,22 @@ def tee(df: DataFrame, side_steps, side_sink) -> DataFrame:
     return cached
 
 
-def dull_path(spark, path: str, pattern, fmt: str = "parquet") -> int:
+def dull_path(spark, path: str, pattern, fmt: str = "parquet", read=None, write=None) -> int:
     """Delete the rows matching ``pattern`` from a file dataset; returns how many were deleted.
 
     Survivors are written beside the target and then take its place (:mod:`skein.storage`); the count
-    is an observation on the same pass, not a second job.
+    is an observation on the same pass, not a second job. ``read()`` and ``write(df, folder)`` say how
+    the format is read and written where Spark's defaults won't do (headers, arrays, explicit nulls).
     """
-    from pyspark.sql import Observation
-
     from ..operators.pattern import predicate
+    from ..storage import swap_folder
 
-    current = spark.read.format(fmt).load(path)
+    current = read() if read else spark.read.format(fmt).load(path)
     hit = F.coalesce(predicate(current, pattern), F.lit(False))
     obs = Observation(f"dull_{uuid.uuid4().hex[:12]}")
     kept = current.observe(obs, F.sum(F.when(hit, 1).otherwise(0)).alias("deleted")).where(~hit)
-    replace(kept, path, fmt)
+    if write is None:
+        replace(kept, path, fmt)
+    else:
+        swap_folder(spark, path, lambda folder: write(kept, folder))
     return int(obs.get.get("deleted") or 0)

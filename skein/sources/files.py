@@ -99,86 +99,154 @@ def reorder_like(df: DataFrame, tree: dict) -> DataFrame:
     return df.select(*[_ordered(F.col(quote_part(n)), df.schema[n].dataType, tree.get(n, {})).alias(n) for n in order])
 
 
-def scan_json(spark: SparkSession, path: str, lines: bool = False, engram=None, missing: str | None = None,
-              keep_order: bool = True, sampling_ratio: float | None = None) -> DataFrame:
+def json_kinds(spark: SparkSession, path) -> dict[str, list[str]]:
+    """The files at ``path`` (or a list of paths) by how they hold records: ``lines`` (an object per line)
+    or ``whole`` (one array, or one object over several lines), told by their first line.
+
+    One pass in the JVM; a row per file comes back. Empty files are left out.
+    """
+    text = spark.read.text(path).where(F.trim("value") != "")
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"),
+                        (F.json_object_keys("value").isNotNull()).alias("object"))
+    first = F.min_by("object", F.struct("block", "i"))
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(first.alias("object")).collect():
+        out.setdefault("lines" if r["object"] else "whole", []).append(r["file"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def scan_json(spark: SparkSession, path, lines: bool | None = False, engram=None, missing: str | None = None,
+              keep_order: bool = True, sampling_ratio: float | None = None, source: str | None = None) -> DataFrame:
     """JSON scan: ``lines=False`` reads files holding one array of objects, ``lines=True``
-    JSON Lines / concatenated objects. With an encoding the values are coerced to it and no
-    inference pass runs; without one, Spark infers the schema from all records, or from the
-    fraction ``sampling_ratio`` of them on very large inputs."""
+    JSON Lines / concatenated objects; with ``lines=None`` each file is read as its first line says.
+    With an encoding the values are coerced to it and no inference pass runs; without one, Spark
+    infers the schema from all records, or from the fraction ``sampling_ratio`` of them on very
+    large inputs. ``source`` names a column for the path of each row's file."""
+    if lines is None:
+        kinds = json_kinds(spark, path)
+        frames = [scan_json(spark, kinds[k], k == "lines", engram, missing, keep_order, sampling_ratio, source) for k in ("whole", "lines") if k in kinds]
+        if not frames:
+            return scan_json(spark, path, True, engram, missing, False, sampling_ratio, source)
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
     reader = spark.read.option("multiLine", not lines)
     if sampling_ratio is not None and engram is None:
         reader = reader.option("samplingRatio", float(sampling_ratio))
     if engram is not None:
         st = to_struct(load_engram(engram))
-        df = reader.schema(text_schema(st)).json(path)
-        return apply_engram(df, engram, missing)
+        df = _with_source(reader.schema(text_schema(st)).json(path), source)
+        return apply_engram(df, engram, missing, keep=(source,) if source else ())
     df = reader.option("primitivesAsString", True).json(path)
-    if keep_order:
-        df = reorder_like(df, json_key_order(spark, path, lines, df.schema))
-    return df
+    order = json_key_order(spark, path, lines, df.schema) if keep_order else {}
+    df = _with_source(df, source)
+    return reorder_like(df, order) if keep_order else df
+
+
+def _with_source(df: DataFrame, source: str | None) -> DataFrame:
+    return df.withColumn(source, F.col("_metadata.file_path")) if source else df
 
 
-def scan_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",", names: list[str] | None = None,
-             engram=None, missing: str | None = None, multi_line: bool = True) -> DataFrame:
+#: more files than this have their headers read by executors
+HEADER_FILES = 16
+
+
+def scan_csv(spark: SparkSession, path, header: bool = True, sep: str = ",", names: list[str] | None = None,
+             engram=None, missing: str | None = None, multi_line: bool = True, ranges: bool | None = None,
+             source: str | None = None) -> DataFrame:
     """Delimited text, all values as text; blanks around values are kept (trimmed only when a
     number/boolean/date is parsed). Quotes inside quoted values are doubled.
 
     Files with a header are read by their own header, so files of one folder may order their columns
     differently or lack some. Header-less files take names from ``names`` or the encoding.
-    ``multi_line=False`` lets Spark split large files, for data whose values hold no line breaks.
+
+    Files that are larger than a read partition are read by ranges in parallel, also if quoted values hold
+    line breaks (:mod:`skein.sources.csv_ranges`), and so are more than HEADER_FILES files; ``ranges`` says
+    so explicitly. ``multi_line=False``, for data whose values hold no line breaks, saves the pass that
+    finds the records. ``source`` names a column for the path of each row's file.
     """
+    if engram is not None and names is None and not header:
+        names = to_struct(load_engram(engram)).fieldNames()
+    if ranges is None:
+        ranges = multi_line and source is None and not isinstance(path, list) and _by_ranges(spark, path, header)
+    if ranges:
+        from .csv_ranges import scan_csv_ranges
+
+        df = scan_csv_ranges(spark, path, header, sep, names)
+        return apply_engram(df, engram, missing) if engram is not None else df
     r = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("inferSchema", False))
     if engram is not None and not header:
-        df = r.schema(text_schema(to_struct(load_engram(engram)))).csv(path)
+        df = _with_source(r.schema(text_schema(to_struct(load_engram(engram)))).csv(path), source)
     elif header:
-        df = _by_header(spark, r, path)
+        df = _by_header(spark, r, path, source)
     else:
         df = r.csv(path)
         if names:
             df = df.toDF(*names)
-    return apply_engram(df, engram, missing) if engram is not None else df
+        df = _with_source(df, source)
+    return apply_engram(df, engram, missing, keep=(source,) if source else ()) if engram is not None else df
+
+
+def _by_ranges(spark: SparkSession, path: str, header: bool) -> bool:
+    """Whether files at ``path`` are worth reading by ranges: from the listing alone."""
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    conf = spark._jsc.hadoopConfiguration()
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    files = 0
+    for p in _data_files(spark, path):
+        files += 1
+        if header and files > HEADER_FILES or p.getLen() > limit and codecs.getCodec(p.getPath()) is None:
+            return True
+    return False
+
+
+def _data_files(spark: SparkSession, path):
+    """The file statuses at a path (or a list of paths), folders descended, hidden files left out."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    todo = [fs.Path(p) for p in (path if isinstance(path, list) else [path])]
+    while todo:
+        p = todo.pop()
+        system = p.getFileSystem(conf)
+        for status in sorted(system.globStatus(p) or [], key=lambda s: s.getPath().toString()):
+            q = status.getPath()
+            if q.getName().startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                todo += [s.getPath() for s in system.listStatus(q)]
+            else:
+                yield status
 
 
-def _by_header(spark: SparkSession, reader, path: str) -> DataFrame:
+def _by_header(spark: SparkSession, reader, path, source: str | None = None) -> DataFrame:
     """One read per distinct header line; columns are matched by name."""
     groups: dict[str, list[str]] = {}
     for file, line in header_lines(spark, path):
         groups.setdefault(line, []).append(file)
     if len(groups) <= 1:
-        return reader.csv(path)
-    frames = [reader.csv(files) for files in groups.values()]
+        return _with_source(reader.csv(path), source)
+    frames = [_with_source(reader.csv(files), source) for files in groups.values()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return out if source is None else out.select(*[F.col(quote_part(c)) for c in out.columns if c != source], source)
 
 
-def header_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+def header_lines(spark: SparkSession, path) -> list[tuple[str, str]]:
     """(file, first line) of every non-empty file at ``path``; only first lines leave the files."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    found, todo = [], [fs.Path(path)]
     conf = spark._jsc.hadoopConfiguration()
     codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     java = spark._jvm.java.io
-    while todo:
-        p = todo.pop()
-        system = p.getFileSystem(conf)
-        for status in sorted(system.globStatus(p) or [], key=lambda s: s.getPath().toString()):
-            q = status.getPath()
-            if q.getName().startswith(("_", ".")):
-                continue
-            if status.isDirectory():
-                todo += [s.getPath() for s in system.listStatus(q)]
-                continue
-            stream = system.open(q)
-            codec = codecs.getCodec(q)
-            lines = java.BufferedReader(java.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
-            line = lines.readLine()
-            lines.close()
-            if line is not None:
-                found.append((q.toString(), line))
+    found = []
+    for status in _data_files(spark, path):
+        q = status.getPath()
+        stream = q.getFileSystem(conf).open(q)
+        codec = codecs.getCodec(q)
+        lines = java.BufferedReader(java.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+        line = lines.readLine()
+        lines.close()
+        if line is not None:
+            found.append((q.toString(), line))
     return found
 
 

@@ -2,9 +2,11 @@
 
 A dataset that is rewritten (keyed upsert, pattern delete, registry save) is first written completely
 to a new folder beside it. Then two renames publish it: the old folder steps aside, the new one takes
-its name; only then is the old one deleted. Data is written once, the layout stays that of a plain
-dataset, and at every moment one whole version exists: a failed write leaves the old one in place, and
-if a job dies between the renames the next access puts the old one back.
+its name; only then is the old one deleted. Data is written once and the layout stays that of a plain
+dataset. A failed write leaves the old version in place. Between the two renames the dataset has no
+name: a reader that looks just then doesn't find it, and if the job dies there the next access through
+this module puts the old version back. Where renaming a folder isn't one step (object stores copy),
+that gap is as long as the copy; :mod:`skein.sinks.store` changes data bucket by bucket instead.
 """
 
 from __future__ import annotations

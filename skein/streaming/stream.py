@@ -66,6 +66,26 @@ def foreach_batch(df: DataFrame, sinks: list, checkpoint: str, available_now: bo
     return w.start()
 
 
+def upsert_stream(df: DataFrame, store: str, keys: list[str], checkpoint: str, order: list[str] | None = None,
+                  name: str | None = None, available_now: bool = True, interval: str = "10 seconds"):
+    """Streaming keyed upsert into a store (:mod:`skein.sinks.store`), each batch exactly once.
+
+    The number of a batch is noted in the store together with its rows. Spark hands a batch over again if
+    the job died before its checkpoint was written; the store then knows it and changes nothing. The
+    ledger belongs to ``name`` (the checkpoint's path unless given): another stream has its own.
+    """
+    from ..sinks.store import upsert_store
+
+    name = name or checkpoint.rstrip("/")
+
+    def run(batch: DataFrame, batch_id: int):
+        upsert_store(batch, store, keys, order, batch=(name, batch_id))
+
+    w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
 def sync_stream(spark: SparkSession, src_path: str, dst_path: str, checkpoint: str, fmt: str = "parquet",
                 schema=None, steps=None):
     """Continuous incremental synchronisation: new source files are appended to the destination;
