@@ -10,20 +10,23 @@ one). The draw depends on the tree and on the path so far, so no two nodes decid
 * A larger node of which all but SMALL / 2 classes are in one component already needs only these few
   compared with all of it: they go along with every part of the rest.
 * Any other node is branched on, until its children are small. On the way its classes are dealt into
-  parts of SMALL by chance, which are compared too: this links most of a large group of near
-  copies early, so that its nodes become one component and are done.
+  parts by chance, which are compared too: this links most of a large group of near copies early,
+  so that its nodes become one component and are done.
 * What is still large and mixed after DEPTH levels (large families just below the threshold, which no
   branching takes apart) is compared exhaustively, part by part.
 
-Comparing means: the 2-bit sketches of the minwise tokens must agree well enough (ALIKE), and the pair must be in
-different components. Of a node's pairs first only a forest is taken, the closest first, and of these
-the best of each class, PICKS of them; in the turns from EXHAUSTIVE on all pairs that were not tested yet. Links are
-confirmed on the full sets, which are fetched once per class. So every pair that shares a small node is
-in one component in the end, or was tested, or its sketches differ too much.
+The first tree goes before the others, which then meet only nodes that it has left in several components.
+
+Comparing is done in two steps. First the 2-bit sketches of the minwise tokens: pairs of different
+components whose sketches agree well enough (ALIKE) make groups of classes within the node; the same group
+in several nodes counts once. Then the full sets of a group's classes, fetched once per class, come
+together, and all its pairs are confirmed exactly at once, by one product of the sets' incidence
+matrix; what leaves a group is a forest of its links. So no pair is ever a row, and every pair that shares a small
+node is confirmed, in one component already, or has sketches that differ too much.
 
 Two sets at the threshold share a child of a tree's root or its descendants with a chance of 0.84 or
 more at any depth, hence a small node of some tree but for 0.16 ** 8 = 4e-7; their sketches
-fail the test with a chance of about 1e-5.
+fail the test with a chance of about 1e-5. Shingles are compared by 40 bits of their hashes.
 
 Null, empty and word-less texts have no shingles and are linked with nothing. Rows without an id are
 linked with nothing either: their component is null and they are kept. Rows of the same id are the
@@ -49,10 +52,9 @@ PERCENT = 80
 COORDINATES = 128
 TREES = 8
 CHILDREN = 2
-SMALL = 128
+SMALL = 1024
 DEPTH = 6
-PICKS = (2, 4)     # of each class in the turns before all pairs
-EXHAUSTIVE = 2
+COLUMNS = 4096     # of an incidence matrix at once
 ALIKE = 89         # agreeing 2-bit sketches of 128: of sets at the threshold fewer agree with a chance of about 1e-5
 _WORD = non_blank()
 _RNG = np.random.default_rng(4)
@@ -104,8 +106,9 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return map_texts(docs.select(F.col(id_col).alias("id"), text_col), text_col, "n_shingles bigint, fp1 bigint, fp2 bigint, low binary, sketch binary", fn, ["id"])
 
 
-def children(rows: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """node, rep and sketch of all children; ``rows`` has rep, sketch, low and the parent ``node`` (null at the roots).
+def children(rows: DataFrame, trees: range | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """node, rep and sketch of all children; ``rows`` has rep, sketch, low and the parent ``node``, or the
+    roots of ``trees`` are branched.
 
     ``keep`` (node): only children that may be among these, by a table of bits of fixed size.
     """
@@ -118,13 +121,12 @@ def children(rows: DataFrame, keep: DataFrame | None = None) -> DataFrame:
             if not n:
                 continue
             low, every = matrix(batch.column(2), "<u4", COORDINATES), np.arange(n)
-            root = batch.column(3).null_count == n
-            parent = np.zeros(n, np.uint64) if root else np.asarray(batch.column(3)).view(np.uint64)
+            parent = np.zeros(n, np.uint64) if trees is not None else np.asarray(batch.column(3)).view(np.uint64)
             with np.errstate(over="ignore"):
-                for tree in range(TREES if root else 1):
+                for tree in trees if trees is not None else (0,):
                     for child in range(CHILDREN):
                         node = mixed(parent + np.uint64(tree * CHILDREN + child + 1) * _A[0])
-                        for _ in range(2 if root else 1):
+                        for _ in range(2 if trees is not None else 1):
                             drawn = (node >> np.uint64(40)) % np.uint64(COORDINATES)
                             node = mixed(node * _A[1] + low[every, drawn.astype(np.int64)])
                         at = every if table is None else np.flatnonzero(table[(node >> np.uint64(40)).astype(np.int64)])
@@ -132,76 +134,80 @@ def children(rows: DataFrame, keep: DataFrame | None = None) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)[at]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
                                                              names=["node", "rep", "sketch"])
 
-    return rows.select("rep", "sketch", "low", "node").mapInArrow(run, "node bigint, rep bigint, sketch binary")
+    return rows.select("rep", "sketch", "low", *(["node"] if trees is None else [])).mapInArrow(run, "node bigint, rep bigint, sketch binary")
 
 
-def meeting(rows: DataFrame) -> DataFrame:
+def meeting(rows: DataFrame, trees: range | None = None) -> DataFrame:
     """node, rep, sketch of the children of ``rows`` that at least two classes share, written to the shared folder."""
-    shared = staged(children(rows).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared-nodes")
-    out = staged(children(rows, shared).join(shared, "node", "left_semi"), "nodes")
+    shared = staged(children(rows, trees).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared-nodes")
+    out = staged(children(rows, trees, shared).join(shared, "node", "left_semi"), "nodes")
     drop_staged(shared)
     return out
 
 
-def compared(groups: DataFrame, forest: bool) -> DataFrame:
-    """a, b and how many sketches agree, of the pairs of a group that are alike and in different components.
+class Forest:
+    """Sets of numbers that links join."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        while self.up.get(v, v) != v:
+            self.up[v] = self.up.get(self.up[v], self.up[v])
+            v = self.up[v]
+        return v
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[a] = b
+        return a != b
+
 
-    ``groups`` has ``members`` (rep, label, sketch, role, tested). Role 0 meets all; roles 1 and 2 meet
-    only each other and role 0; role 3 meets role 0 only. Pairs in ``tested`` are left out. ``forest``: only
-    pairs that join parts not joined by closer ones.
+def alike_groups(members: DataFrame) -> DataFrame:
+    """g and reps: within each row of ``members`` (rep, label, sketch, role) the groups of classes that pairs
+    of alike sketches and different components join.
+
+    Role 0 meets all; roles 1 and 2 meet only each other and role 0; role 3 meets role 0 only.
     """
-    def alike_pairs(size, rep, label, role, sketch):
-        """group, both places and agreement of the pairs that count, groups of equal size at once."""
+    def alike_pairs(size, label, role, sketch):
+        """Row and both places of the pairs that count, rows of equal size at once."""
         start, out = np.cumsum(size) - size, []
         for n in np.unique(size).tolist():
             i, j = np.triu_indices(n, 1)
             same = np.flatnonzero(size == n)
-            for at in range(0, len(same), max(1, (1 << 19) // max(len(i), 1))):
-                group = same[at:at + max(1, (1 << 19) // max(len(i), 1))]
-                x, y = (start[group][:, None] + i).ravel(), (start[group][:, None] + j).ravel()
+            step = max(1, (1 << 18) // max(len(i), 1))
+            for at in range(0, len(same), step):
+                row = same[at:at + step]
+                x, y = (start[row][:, None] + i).ravel(), (start[row][:, None] + j).ravel()
                 p, q = role[x], role[y]
                 ok = np.flatnonzero((label[x] != label[y]) & ((p == 0) | (q == 0) | (p + q == 3) & (p != q) & (p != 3) & (q != 3)))
-                x, y = x[ok], y[ok]
-                differ = sketch[x] ^ sketch[y]
-                k = COORDINATES - np.bitwise_count((differ | differ >> np.uint64(1)) & _ODD).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero(k >= ALIKE)
-                out.append((np.repeat(group, len(i))[ok[near]], x[near], y[near], k[near]))
-        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+                for part in np.array_split(ok, max(1, len(ok) >> 18)):
+                    differ = sketch[x[part]] ^ sketch[y[part]]
+                    k = COORDINATES - np.bitwise_count((differ | differ >> np.uint64(1)) & _ODD).sum(axis=1, dtype=np.int64)
+                    near = part[k >= ALIKE]
+                    out.append((np.repeat(row, len(i))[near], x[near], y[near]))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            members = batch.column(0).flatten()
-            rep, label, tested = np.asarray(members.field("rep")), np.asarray(members.field("label")), members.field("tested")
-            group, x, y, k = alike_pairs(np.asarray(batch.column(0).value_lengths()), rep, label, np.asarray(members.field("role")), matrix(members.field("sketch"), "<u8", COORDINATES // 32))
-            if forest or tested.null_count < len(tested):
-                has = np.asarray(tested.is_valid())
-                done = {int(v): set(tested[int(v)].as_py()) for v in np.unique(np.concatenate([x, y])).tolist() if has[v]}
-                keep, up, last = [], {}, -1
-
-                def root(v):
-                    while up.get(v, v) != v:
-                        up[v] = up.get(up[v], up[v])
-                        v = up[v]
-                    return v
-
-                for at in np.lexsort((-k, group)).tolist():
-                    p, q = int(x[at]), int(y[at])
-                    if int(rep[q]) in done.get(p, ()) or int(rep[p]) in done.get(q, ()):
-                        continue
-                    if forest:
-                        if group[at] != last:
-                            up, last = {}, group[at]
-                        a, b = root(int(label[p])), root(int(label[q]))
-                        if a == b:
-                            continue
-                        up[a] = b
-                    keep.append(at)
-                x, y, k = x[keep], y[keep], k[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y])), pa.array(k.astype(np.int32))], names=["a", "b", "alike"])
-
-    return groups.select("members").mapInArrow(run, "a bigint, b bigint, alike int")
+            flat = batch.column(0).flatten()
+            rep = np.asarray(flat.field("rep"))
+            _, x, y = alike_pairs(np.asarray(batch.column(0).value_lengths()), np.asarray(flat.field("label")), np.asarray(flat.field("role")),
+                                  matrix(flat.field("sketch"), "<u8", COORDINATES // 32))
+            forest, found = Forest(), {}
+            for p, q in zip(x.tolist(), y.tolist()):
+                forest.join(p, q)
+            for p in np.unique(np.concatenate([x, y])).tolist():
+                found.setdefault(forest.root(p), []).append(p)
+            groups = [np.unique(rep[own]) for own in found.values()]
+            with np.errstate(over="ignore"):
+                g = [int(mixed(mixed(own.view(np.uint64)).sum(keepdims=True) + np.uint64(len(own)))[0].view(np.int64)) for own in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(groups, pa.list_(pa.int64()))], names=["g", "reps"])
+
+    return members.select("members").mapInArrow(run, "g bigint, reps array<bigint>")
 
 
 def fetched(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -227,114 +233,117 @@ def fetched(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
     return staged(rows.mapInArrow(sets, "rep bigint, set binary").join(reps.select("rep"), "rep", "left_semi"), "sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets are similar enough."""
+def confirmed(groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: a forest of the links of each row of ``groups`` (members: rep, label, set), which joins what all
+    its links join."""
     def shingles_of(held: bytes) -> np.ndarray:
         n = len(held) // 5
         return np.frombuffer(held, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(held, "<u4", n, n)
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(label: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in sets])
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # shingles of one set alone are in no intersection
+        shared, owner = times[place] > 1, np.repeat(np.arange(len(sets)), size)
+        row, column = owner[shared], column[place[shared]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[part], column[part] - low] = 1
+            both += m @ m.T
+        both = both.astype(np.int64)
+        return np.nonzero(np.triu((label[:, None] != label[None, :]) & (100 * both >= percent * (size[:, None] + size[None, :] - both)), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = x.as_py(), y.as_py()
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                x, y = shingles_of(x), shingles_of(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            out_a, out_b = [], []
+            for members in batch.column(0):
+                members = members.values
+                rep, label = np.asarray(members.field("rep")), np.asarray(members.field("label"))
+                forest = Forest()
+                for i, j in zip(*(x.tolist() for x in links(label, [shingles_of(x) for x in members.field("set").to_pylist()]))):
+                    if forest.join(int(label[i]), int(label[j])):
+                        out_a.append(min(rep[i], rep[j]))
+                        out_b.append(max(rep[i], rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    joined = pairs.select("a", "b").join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
-    return staged(joined.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint").distinct(), "links")
+    return staged(groups.select("members").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
 class Turns:
-    """The state between turns: components so far, tested pairs, sets that were fetched."""
+    """The state between turns: components so far, sets that were fetched."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, labels: DataFrame | None):
         self.docs, self.words, self.percent, self.id_col, self.text_col = docs, words, percent, id_col, text_col
-        self.labels, self.sets, self.tested = labels, None, None
+        self.labels, self.sets = labels, None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         if self.labels is None:
             return rows.withColumn("label", F.col("rep"))
         return rows.join(self.labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Confirms pairs and merges components; whether any pair was given."""
-        if not pairs.limit(1).count():
-            return False
-        reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    def confirm(self, groups: DataFrame) -> None:
+        """Confirms all pairs of the groups (g, reps) on full sets and merges components."""
+        if not groups.limit(1).count():
+            return
+        rows = groups.select("g", F.explode("reps").alias("rep"))
+        reps = rows.select("rep").distinct()
         new = reps if self.sets is None else reps.join(self.sets.select("rep"), "rep", "left_anti")
         new = staged(new.withColumn("h", F.xxhash64("rep")), "reps")
         got = fetched(new, self.docs, self.words, self.id_col, self.text_col)
         self.sets = got if self.sets is None else self.sets.unionByName(got)
-        links = confirmed(pairs, self.sets, self.percent)
+        whole = self.labelled(rows).join(self.sets, "rep").groupBy("g").agg(F.collect_list(F.struct("rep", "label", "set")).alias("members"))
+        links = confirmed(whole, self.percent)
         if links.limit(1).count():
             self.labels = connected_components(links, self.labels)
-        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
         drop_staged(new, links)
-        return True
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str,
                       extra: DataFrame) -> DataFrame | None:
     """v and label of all classes that are linked with another; ``extra``: links known from the start."""
     state = Turns(docs, words, percent, id_col, text_col, connected_components(extra) if extra.limit(1).count() else None)
-    roots = classes.select("rep", "sketch", "low", F.lit(None).cast("bigint").alias("node"))
-    nodes, turn = meeting(roots), 0
+    nodes, turn = meeting(classes, range(1)), 0
     while True:
         rows = state.labelled(nodes)
         parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
         sized = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
         small, light = F.col("n") <= SMALL, F.col("n") - F.col("most.n") <= SMALL // 2
-        kind = F.when(small, "small").when(light, "light").when(F.lit(turn + 1 >= DEPTH), "whole").otherwise("heavy")
+        kind = F.when(small, "small").when(light, "light").when(F.lit(turn >= DEPTH), "whole").otherwise("heavy")
         open_nodes = staged(sized.where("labels > 1").select("node", kind.alias("kind"), F.col("most.label").alias("major"),
-                                                             F.ceil(F.col("n") / F.lit(SMALL)).cast("int").alias("parts")), "open-nodes")
+                                                             F.ceil(F.col("n") / F.lit(SMALL // 2)).cast("int").alias("parts")), "open-nodes")
         kinds = {r["kind"] for r in open_nodes.select("kind").distinct().collect()}  # four at most
-        if not kinds:
-            break
-        mixed_rows = staged(rows.join(open_nodes, "node"), "mixed")
-        # what meets: parts of a node; the few outside of its largest component go along with every part
-        part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        outside = (F.col("kind") == "light") & (F.col("label") != F.col("major"))
-        whole = F.col("kind") == "whole"
-        slot = "struct<x:int,y:int,role:int>"
-        places = F.when(outside, F.transform(every, lambda p: F.struct(p.alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("role")))) \
-            .when(whole, F.transform(every, lambda p: F.struct(F.least(p, part).alias("x"), F.greatest(p, part).alias("y"),
-                                                               F.when(p == part, 0).when(part < p, 1).otherwise(2).alias("role")))) \
-            .otherwise(F.array(F.struct(F.when(F.col("kind") == "small", 0).otherwise(part).alias("x"), F.lit(-1).alias("y"),
-                                        F.when(F.col("kind") == "light", 3).otherwise(0).alias("role")))).cast(f"array<{slot}>")
-        placed = mixed_rows.withColumn("place", F.explode(places))
-        if state.tested is not None:
-            tested = state.tested.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tested"))
-            placed = placed.join(tested, "rep", "left")
-        else:
-            placed = placed.withColumn("tested", F.lit(None).cast("array<bigint>"))
-        groups = placed.groupBy("node", "place.x", "place.y").agg(F.collect_list(F.struct("rep", "label", "sketch", F.col("place.role").alias("role"), "tested")).alias("members")) \
-            .where(F.size("members") > 1)
-        forest = turn < EXHAUSTIVE
-        found = compared(groups, forest).groupBy("a", "b").agg(F.max("alike").alias("alike"))
-        if forest:  # the best of each class
-            ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("rep"), F.struct(F.negative("alike").alias("d"), F.xxhash64("a", "b").alias("h"), "a", "b").alias("edge"))
-            best = ends.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("edge")), 1, PICKS[turn]).alias("best"))
-            found = best.select(F.explode("best").alias("e")).select("e.a", "e.b").distinct()
-        pairs = staged(found.select("a", "b"), "pairs")
-        more = state.test(pairs)
-        # nodes that stay: mixed ones until they are compared in full, and the children of heavy ones
-        after = None if not (forest and more) else mixed_rows.where("kind in ('small', 'light')").select("node", "rep", "sketch")
+        mixed_rows = rows.join(open_nodes, "node")
+        if kinds:
+            # what meets: parts of a node; the few outside of its largest component go along with every part
+            part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
+            every = F.sequence(F.lit(0), F.col("parts") - 1)
+            outside = (F.col("kind") == "light") & (F.col("label") != F.col("major"))
+            places = F.when(outside, F.transform(every, lambda p: F.struct(p.alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("role")))) \
+                .when(F.col("kind") == "whole", F.transform(every, lambda p: F.struct(F.least(p, part).alias("x"), F.greatest(p, part).alias("y"),
+                                                                                      F.when(p == part, 0).when(part < p, 1).otherwise(2).alias("role")))) \
+                .otherwise(F.array(F.struct(F.when(F.col("kind") == "small", 0).otherwise(part).alias("x"), F.lit(-1).alias("y"),
+                                            F.when(F.col("kind") == "light", 3).otherwise(0).alias("role")))).cast("array<struct<x:int,y:int,role:int>>")
+            members = mixed_rows.withColumn("place", F.explode(places)).groupBy("node", "place.x", "place.y") \
+                .agg(F.collect_list(F.struct("rep", "label", "sketch", F.col("place.role").alias("role"))).alias("members")).where(F.size("members") > 1)
+            groups = staged(alike_groups(members).dropDuplicates(["g"]), "groups")
+            state.confirm(groups)
+            drop_staged(groups)
+        after = None
         if "heavy" in kinds:
-            heavy = mixed_rows.where("kind = 'heavy'").select("node", "rep")
-            below = meeting(staged(heavy.join(classes, "rep").select("rep", "sketch", "low", "node"), "heavy"))
-            after = below if after is None else after.unionByName(below)
-        drop_staged(open_nodes)
+            heavy = staged(mixed_rows.where("kind = 'heavy'").select("node", "rep").join(classes, "rep"), "heavy")
+            after = meeting(heavy)
+            drop_staged(heavy)
+        if turn == 0:  # the other trees, whose nodes are mostly of one component by now
+            rest = meeting(classes, range(1, TREES))
+            after = rest if after is None else after.unionByName(rest)
+        drop_staged(open_nodes, nodes)
         if after is None:
-            break
+            return state.labels
         nodes, turn = after, turn + 1
-    return state.labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

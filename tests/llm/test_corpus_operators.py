@@ -86,9 +86,9 @@ def test_trees_find_pairs_at_every_depth(spark):
     other = np.where(rng.random(low.shape) < 0.8, low, rng.integers(0, 1 << 32, low.shape, dtype=np.uint32))
     classes = spark.createDataFrame([(i + half * 100_000, bytearray(32), bytearray(x.astype("<u4").tobytes())) for half, side in enumerate((low, other)) for i, x in enumerate(side)],
                                     "rep bigint, sketch binary, low binary")
-    nodes = classes.withColumn("node", F.lit(None).cast("bigint"))
+    nodes = None
     for _ in range(3):
-        nodes = op4_near_dedup.meeting(nodes)
+        nodes = op4_near_dedup.meeting(classes, range(op4_near_dedup.TREES)) if nodes is None else op4_near_dedup.meeting(nodes)
         met = nodes.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("b - a = 100000").select("a").distinct().count()
         assert met >= n - 1  # a pair is missed with a chance of about 4e-7
         nodes = nodes.select("node", "rep").join(classes, "rep")
