@@ -183,6 +183,8 @@ def scan_fiber(spark: SparkSession, sub: dict, datasets: list[Dataset], base: st
             frames.append((own, df))
     if not frames:
         return None
+    if sub.get("exposed"):  # without an origin of its own, the names are fields beside those of the data
+        frames = [(own, df.withColumns({k: F.col(c) for k, c in _VARIABLES.items() if k not in df.columns})) for own, df in frames]
     # transforms may name the dataset: there it is a value of the row
     steps = _of_row(sub.get("transforms") or [])
     terminal = sub.get("terminal") or {}

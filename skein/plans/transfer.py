@@ -426,10 +426,11 @@ def scan_fibers(spark: SparkSession, path: str, glob: str, exclude: list[str] |
     A sub-fiber has its own action (``transfer``, ``retrieve`` or ``codify``), origin with options (``encoding``,
     ``codify``, ``count``, separators and headers), transforms and terminal, all of which may name the dataset
     (``${name}``, ``${rpath}``, ``${schema}``). Without an origin it reads the scanned datasets with
-    ``read_options``. See :mod:`skein.plans.scan`.
+    ``read_options``, has these names as fields too, and an output that keeps such a field is split by it. See :mod:`skein.plans.scan`.
     """
     found = scans.datasets_at(spark, path, glob, exclude, recursive)
     persisted: list[DataFrame] = []
+    exposed = [False]
 
     def read(addr, options, paths):
         model = addr.model if addr.model != "*" else fmt
@@ -446,6 +447,10 @@ def scan_fibers(spark: SparkSession, path: str, glob: str, exclude: list[str] |
             return write_terminal(plain, spec)
         addr, opts = Address.parse(spec["smt"]), spec.get("options") or {}
         model = addr.model.lower()
+        fields = [f for f in ("schema", "name", "rpath") if "${" + f + "}" in addr.path]
+        if exposed[0] and fields[:1] and fields[0] in plain.columns:  # the result has the name as a field: split by it
+            base = addr.path[:addr.path.index("${")].rsplit("/", 1)[0]
+            return sinks.write_split(plain, base, fields, fmt="json" if model.startswith("json") else model)
 
         def place(d):
             return Address.parse(scans._filled(spec["smt"], d.values)).path
@@ -503,7 +508,9 @@ def scan_fibers(spark: SparkSession, path: str, glob: str, exclude: list[str] |
     outs = []
     try:
         for fiber in fibers:
-            fiber = fiber if fiber.get("origin") else fiber | {"origin": {"smt": f"{fmt}|{path}|${{name}}|*", "options": read_options or {}}}
+            exposed[0] = not fiber.get("origin")
+            if exposed[0]:
+                fiber = fiber | {"origin": {"smt": f"{fmt}|{path}|${{name}}|*", "options": read_options or {}}, "exposed": True}
             outs.append(scans.scan_fiber(spark, fiber, found, path, fmt, recursive, read, transform, write, codify, {"retrieve": retrieve, "encode_each": encode_each}))
     finally:
         for p in persisted:

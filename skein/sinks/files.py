@@ -90,9 +90,8 @@ def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",", mo
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     head = sep.join(names)
     lines = lines.select(F.when(first, F.concat(F.lit(head + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
-    seen = Observation(f"csv_{uuid.uuid4().hex[:12]}")
-    lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
-    if not seen.get.get("n"):  # no rows: a file with the header alone
+    lines.write.mode(mode).text(path)
+    if df.sparkSession.read.schema("value string").text(path).isEmpty():  # no rows: a file with the header alone
         df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
@@ -206,11 +205,13 @@ def dull_path(spark, path: str, pattern, fmt: str = "parquet", read=None, write=
     from ..storage import swap_folder
 
     current = read() if read else spark.read.format(fmt).load(path)
+    whole = pattern is None or pattern in ("*", {})  # everything goes: no plan is left that could count
+    deleted = current.count() if whole else None
     hit = F.coalesce(predicate(current, pattern), F.lit(False))
     obs = Observation(f"dull_{uuid.uuid4().hex[:12]}")
-    kept = current.observe(obs, F.sum(F.when(hit, 1).otherwise(0)).alias("deleted")).where(~hit)
+    kept = current.limit(0) if whole else current.observe(obs, F.sum(F.when(hit, 1).otherwise(0)).alias("deleted")).where(~hit)
     if write is None:
         replace(kept, path, fmt)
     else:
         swap_folder(spark, path, lambda folder: write(kept, folder))
-    return int(obs.get.get("deleted") or 0)
+    return deleted if whole else int(obs.get.get("deleted") or 0)

@@ -106,7 +106,8 @@ def json_kinds(spark: SparkSession, path) -> dict[str, list[str]]:
     One pass in the JVM; a row per file comes back. Empty files are left out.
     """
     text = spark.read.text(path).where(F.trim("value") != "")
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"),
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # a path has its blanks encoded
+    lines = text.select(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"),
                         (F.json_object_keys("value").isNotNull()).alias("object"))
     first = F.min_by("object", F.struct("block", "i"))
     out: dict[str, list[str]] = {}
