@@ -183,7 +183,7 @@ class Aligner:
         self.stretches: dict[str, int] = {}  # by text: its place in what follows, -1 if the bytes differ
         self.windows: dict[bytes, int] = {}  # by the ids of both sides
         self.text: list[str] = []            # groups, each closed by ;
-        self.pairs, self.pair_at, self.sizes = Growing(), Growing(), Growing()
+        self.pairs, self.pair_at, self.sizes = Growing(), Growing(), (Growing(), Growing(), Growing())
         self.pair_at.add(np.zeros(1, np.int64))
 
     def stretch_texts(self, text: str) -> list[str]:
@@ -194,8 +194,8 @@ class Aligner:
         if "" not in pieces and all(map(str.isprintable, pieces)):
             return [" " + p for p in pieces]
         out, open_end = [], False
-        for piece in pieces:
-            if open_end:
+        for k, piece in enumerate(pieces):
+            if open_end or out and not piece and k == len(pieces) - 1:  # B gives no tokens for a last blank by itself
                 out[-1] += " " + piece
             else:
                 out.append(" " + piece)
@@ -211,13 +211,25 @@ class Aligner:
             whole = b"".join(raw)
             lead, cp = code_points(np.frombuffer(whole, np.uint8))
             ends = np.cumsum([len(r) for r in raw])
-            odd = np.unique(np.searchsorted(ends, lead[~self.settled[cp]], side="right"))
-            if not len(odd):  # a blank begins each stretch: no token goes over from one into another
+            odd = np.unique(np.searchsorted(ends, lead[~self.settled[cp]], side="right")).tolist()
+            # blanks at the end of a stretch would run into those that begin the next one
+            loose = [i for i, t in enumerate(texts) if t[-1] == " " or not t[-1].isprintable()]
+            if not odd and not loose:  # a blank follows a visible character: no token goes over from one into another
                 ids = np.array(self.fast.encode_ordinary(whole.decode("utf-8", "replace")), np.int64)
                 last = np.searchsorted(np.cumsum(self.side_a.size[ids]), ends)
                 return ids, np.diff(np.concatenate([[-1], last]))
-            of = self.fast.encode_ordinary_batch(texts, num_threads=1)
-            odd = odd.tolist()
+            apart = np.zeros(len(texts), bool)
+            apart[odd] = apart[loose] = True
+            joint = np.flatnonzero(~apart).tolist()
+            of: list = [None] * len(texts)
+            if joint:
+                ids, count = self.tokens_a([texts[i] for i in joint], [raw[i] for i in joint])
+                for i, own in zip(joint, np.split(ids, np.cumsum(count)[:-1])):
+                    of[i] = own.tolist()
+            odd_ones = set(odd)
+            for i in loose:
+                if i not in odd_ones:
+                    of[i] = self.fast.encode_ordinary(texts[i])
             for i, e in zip(odd, self.a.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
                 of[i] = e.ids
         return np.fromiter(chain.from_iterable(of), np.int64), np.array([len(x) for x in of])
@@ -273,24 +285,25 @@ class Aligner:
             numbers.append(w)
             a0, b0 = a1, b1
         new = np.array(new, np.int64)
-        sizes = np.diff(stop_a, prepend=0) << 42 | np.diff(stop_b, prepend=0) << 21 | np.diff(stop, prepend=-1)
+        sizes = [np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0), np.diff(stop, prepend=-1)]
         links = np.diff(link_stop, prepend=0)
-        self.remember(sizes[new], links[new], pairs[spans((link_stop - links)[new], links[new])])
+        self.remember([x[new] for x in sizes], links[new], pairs[spans((link_stop - links)[new], links[new])])
         # a stretch of several windows is kept as a whole
         upto, n0 = (np.searchsorted(shared[stop], close) + 1).tolist(), 0
         for t, n1 in zip(texts, upto):
             self.stretches[t] = numbers[n0] if n1 == n0 + 1 else self.several(numbers[n0:n1])
             n0 = n1
 
-    def remember(self, sizes: np.ndarray, links: np.ndarray, pairs: np.ndarray) -> None:
-        self.sizes.add(sizes)
+    def remember(self, sizes: list[np.ndarray], links: np.ndarray, pairs: np.ndarray) -> None:
+        for held, own in zip(self.sizes, sizes):
+            held.add(own)
         self.pair_at.add(self.pair_at.held[self.pair_at.n - 1] + np.cumsum(links))
         self.pairs.add(pairs)
 
     def several(self, numbers: list[int]) -> int:
         at, size = self.pair_at.held[numbers], self.pair_at.held[np.array(numbers) + 1] - self.pair_at.held[numbers]
         self.text.append("".join([self.text[w] for w in numbers]))
-        self.remember(self.sizes.held[numbers].sum(keepdims=True), size.sum(keepdims=True), self.pairs.held[spans(at, size)])
+        self.remember([x.held[numbers].sum(keepdims=True) for x in self.sizes], size.sum(keepdims=True), self.pairs.held[spans(at, size)])
         return len(self.text) - 1
 
     @staticmethod
@@ -329,8 +342,7 @@ class Aligner:
             at = end
         kept = good[owner]
         seq, owner = seq[kept], owner[kept]
-        size = self.sizes.held[seq]
-        out = {name: np.bincount(owner, size >> k & 0x1FFFFF, n).astype(np.int64) for name, k in (("n_a", 42), ("n_b", 21), ("n_groups", 0))}
+        out = {name: np.bincount(owner, x.held[seq], n).astype(np.int64) for name, x in zip(("n_a", "n_b", "n_groups"), self.sizes)}
         links = self.pair_at.held[seq + 1] - self.pair_at.held[seq]
         of, pairs = np.repeat(owner, links), self.pairs.held[spans(self.pair_at.held[seq], links)]
         order = np.lexsort((pairs, of))

@@ -276,3 +276,14 @@ def test_alignment_equals_brute_force(spark, docs, none, rows, hot_pairs, monkey
         assert alignment.align(none, source, model, hot_pairs=hot_pairs).collect() == []
         repeated = alignment.align(docs.where("doc_id is null or doc_id = 7 or doc_id = 230"), source, model, hot_pairs=hot_pairs).collect()
         assert len(repeated) == 4 and all(r.n_links >= r.n_groups > 0 for r in repeated)
+
+
+def test_alignment_of_blanks_at_the_ends(spark):
+    """Last blanks have tokens, and those of one text don't run into the first blanks of the next."""
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f, open(tokenizer_path("piece_bpe_32k.model"), "rb") as g:
+        source, model = f.read(), g.read()
+    texts = ["a ", " b", "word \n", "  two", "x\n\n", "   y", "end  ", " ", "the last\t", " the  ", "a b ", "\u4e2d\u6587 ", "  the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in alignment.align(df, source, model).collect()}
+    assert got == dict(enumerate(brute_alignment(texts)))
+    assert all(n[0] > 0 for n in got.values())
