@@ -32,16 +32,34 @@ def normalize_geometry(type_col: Column, coordinates_json: Column) -> Column:
     return F.struct(type_col.alias("type"), coords.alias("coordinates"))
 
 
-def _crossings(ring: Column, px: Column, py: Column) -> Column:
-    """Number of ring edges crossed by the ray from (px, py) towards +x."""
-    idx = F.sequence(F.lit(0), F.size(ring) - 2)
+def crosses(e: Column, px: Column, py: Column) -> Column:
+    """Whether the ray from (px, py) towards +x crosses an edge (fields xi, yi, xj, yj)."""
+    xi, yi, xj, yj = (e[c] for c in ("xi", "yi", "xj", "yj"))
+    return ((yi > py) != (yj > py)) & (px < (xj - xi) * (py - yi) / (yj - yi) + xi)
+
 
-    def crosses(i):
+def _ring_edges(ring: Column) -> Column:
+    def edge(i):
         a, b = ring[i], ring[i + 1]
-        xi, yi, xj, yj = a[0], a[1], b[0], b[1]
-        return ((yi > py) != (yj > py)) & (px < (xj - xi) * (py - yi) / (yj - yi) + xi)
+        return F.struct(a[0].alias("xi"), a[1].alias("yi"), b[0].alias("xj"), b[1].alias("yj"))
+
+    return F.when(F.size(ring) >= 2, F.transform(F.sequence(F.lit(0), F.size(ring) - 2), edge)) \
+        .otherwise(F.array().cast("array<struct<xi:double,yi:double,xj:double,yj:double>>"))
+
+
+def edges(geom: Column) -> Column:
+    """The edges of all rings, for tests of many points against one geometry."""
+    return F.flatten(F.transform(F.flatten(geom["coordinates"]), _ring_edges))
 
-    return F.size(F.filter(idx, crosses))
+
+def is_area(geom: Column) -> Column:
+    """Whether a geometry is of a kind that can contain points."""
+    return F.lower(geom["type"]).isin("polygon", "multipolygon")
+
+
+def _crossings(ring: Column, px: Column, py: Column) -> Column:
+    """Number of ring edges crossed by the ray from (px, py) towards +x."""
+    return F.size(F.filter(_ring_edges(ring), lambda e: crosses(e, px, py)))
 
 
 def contains_point(geom: Column, x: float | Column, y: float | Column) -> Column:
@@ -54,5 +72,4 @@ def contains_point(geom: Column, x: float | Column, y: float | Column) -> Column
     ys = F.transform(outer_pts, lambda p: p[1])
     in_box = (F.array_min(xs) <= px) & (px <= F.array_max(xs)) & (F.array_min(ys) <= py) & (py <= F.array_max(ys))
     n = F.aggregate(rings, F.lit(0), lambda acc, r: acc + _crossings(r, px, py))
-    area = F.lower(geom["type"]).isin("polygon", "multipolygon")
-    return F.when(area & in_box, (n % 2) == 1).otherwise(F.lit(False))
+    return F.when(is_area(geom) & in_box, (n % 2) == 1).otherwise(F.lit(False))

@@ -8,14 +8,14 @@ rows meet in an equi-join and the condition itself is checked only on what meets
 * a range is cut into cells: the values of the other side give bins of equal depth, bins form groups
   of FAN, groups of groups and so on, and a range is covered by the fewest cells of any level. A
   value lies in one cell of each level, and the cells of a range don't overlap, so no pair meets twice;
-* an area is covered by grid cells of its own size class (2 x 2 at most); a point lies in one cell of
-  each size class in use;
-* a wildcard is looked up by the text before its first or after its last joker, whichever is longer;
+* an area is covered by grid cells of its own size class (SIDE + 1 each way at most); a point lies in one cell of
+  each size class in use, and is compared with the area's box before its edges;
+* a wildcard is looked up by the text before its first and after its last joker together;
 * conditions that exclude little (``neq``, a pattern that begins and ends with a joker) are checked on
   all pairs by definition: the driving row goes to SALTS parts of the other side.
 
-An equality, if there is one, is the key by itself. Hot keys are split by AQE (both sides are plain
-shuffles). Values that don't depend on the driving row are ordinary predicates on the other side
+An equality, if there is one, is the key by itself. Other keys are joined by shuffle and merge, however
+small the sides are: few rows may have many pairs, and hot keys are split by AQE. Values that don't depend on the driving row are ordinary predicates on the other side
 and reach its scan.
 """
 
@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 
 from ..functions.expr import compile_value
 from ..functions.paths import col_path, path_type, quote_part
-from .geometry import contains_point
+from .geometry import contains_point, crosses, edges, is_area
 from .pattern import match as match_rows
 
-FAN = 16
+FAN = 16                  # a power of two
 LEVELS = 3                # FAN ** LEVELS bins of equal depth
-PREFIX = 8                # characters of a wildcard's literal that make its key
+SIDE = 4                  # grid cells along the longer side of an area
+PREFIX = 32               # characters of each of a wildcard's literals that make its key
+SHAPES = 16               # more pairs of literals' lengths than this are rounded down to powers of two
 SALTS = 64
 _RANGE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 
@@ -102,11 +104,11 @@ def _bin_of(df: DataFrame, c: str, out: str, borders: list[float]) -> DataFrame:
 
 
 def _cells_of_range(df: DataFrame, low: str, high: str) -> DataFrame:
-    """``df`` with ``__cells``: the cells (level, number) that cover the bins low..high."""
-    cell, empty = "array<struct<level:int,number:bigint>>", F.array().cast("array<struct<level:int,number:bigint>>")
+    """``df`` with ``__cells``: the cells (number, level) that cover the bins low..high."""
+    cell, empty = "array<struct<number:bigint,level:int>>", F.array().cast("array<struct<number:bigint,level:int>>")
 
     def cells(level: int, a: Column, e: Column) -> Column:
-        own = F.transform(F.sequence(a, e - 1), lambda x: F.struct(F.lit(level).alias("level"), x.alias("number"))).cast(cell)
+        own = F.transform(F.sequence(a, e - 1), lambda x: F.struct(x.alias("number"), F.lit(level).alias("level"))).cast(cell)
         return F.when(a < e, own).otherwise(empty)
 
     df = df.withColumns({"__a0": F.col(low), "__e0": F.col(high) + 1})
@@ -151,50 +153,96 @@ def _by_range(params: DataFrame, facts: DataFrame, f: str, lows: list, highs: li
     params = _cells_of_range(params, "__b0", "__b1").withColumn("__key", F.explode("__cells"))
     used = sorted(r["level"] for r in params.select("__key.level").distinct().collect())  # LEVELS + 1 at most
     facts = _bin_of(facts, "__at", "__bin_no", borders)
-    own = [F.struct(F.lit(level).alias("level"), F.floor(F.col("__bin_no") / FAN ** level).cast("bigint").alias("number")) for level in used]
-    facts = facts.withColumn("__key", F.explode(F.array(*own) if own else F.array().cast("array<struct<level:int,number:bigint>>")))
+    own = [F.struct(F.shiftright("__bin_no", (FAN.bit_length() - 1) * level).alias("number"), F.lit(level).alias("level")) for level in used]
+    facts = facts.withColumn("__key", F.explode(F.array(*own) if own else F.array().cast("array<struct<number:bigint,level:int>>")))
     return params.drop("__low", "__high", "__b0", "__b1", "__cells"), facts.drop("__at", "__bin_no")
 
 
 def _by_area(params: DataFrame, facts: DataFrame, f: str, x: str, y: str):
-    """Both sides with ``__key`` for areas ``f`` of the facts that contain the points of the params."""
-    points = F.flatten(F.flatten(F.col(f)["coordinates"]))
-    box = {"__x0": F.array_min(F.transform(points, lambda p: p[0])), "__x1": F.array_max(F.transform(points, lambda p: p[0])),
-           "__y0": F.array_min(F.transform(points, lambda p: p[1])), "__y1": F.array_max(F.transform(points, lambda p: p[1]))}
-    facts = facts.withColumns(box)
+    """Both sides with ``__key`` for areas ``f`` of the facts that contain the points of the params; the facts
+    have their box (of the outer rings) and all edges as columns."""
+    outer = F.flatten(F.transform(F.col(f)["coordinates"], lambda poly: F.get(poly, 0)))
+    box = {"__x0": F.array_min(F.transform(outer, lambda p: p[0])), "__x1": F.array_max(F.transform(outer, lambda p: p[0])),
+           "__y0": F.array_min(F.transform(outer, lambda p: p[1])), "__y1": F.array_max(F.transform(outer, lambda p: p[1]))}
+    facts = facts.where(is_area(F.col(f))).withColumns(box).withColumn("__edges", edges(F.col(f)))
     wide = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))
-    facts = facts.where(wide > 0).withColumn("__size", F.ceil(F.log2(wide)).cast("int"))  # cells as large as the area, at least
+    facts = facts.where(wide > 0).withColumn("__size", F.ceil(F.log2(wide / SIDE)).cast("int"))
 
     def cell(v: Column, size: Column) -> Column:
         return F.floor(v / F.pow(F.lit(2.0), size)).cast("bigint")
 
     size = F.col("__size")
     over = F.transform(F.sequence(cell(F.col("__x0"), size), cell(F.col("__x1"), size)), lambda i: F.transform(
-        F.sequence(cell(F.col("__y0"), size), cell(F.col("__y1"), size)), lambda j: F.struct(size.alias("size"), i.alias("i"), j.alias("j"))))
-    facts = facts.withColumn("__key", F.explode(F.flatten(over))).drop(*box, "__size")
+        F.sequence(cell(F.col("__y0"), size), cell(F.col("__y1"), size)), lambda j: F.struct(i.alias("i"), j.alias("j"), size.alias("size"))))
+    facts = facts.withColumn("__key", F.explode(F.flatten(over))).drop("__size")
     used = sorted(r["size"] for r in facts.select("__key.size").distinct().collect())  # powers of two: as many as a double has at most
     ok = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    own = [F.struct(F.lit(s).alias("size"), cell(F.col(x), F.lit(s)).alias("i"), cell(F.col(y), F.lit(s)).alias("j")) for s in used]
-    params = params.where(ok).withColumn("__key", F.explode(F.array(*own) if own else F.array().cast("array<struct<size:int,i:bigint,j:bigint>>")))
+    own = [F.struct(cell(F.col(x), F.lit(s)).alias("i"), cell(F.col(y), F.lit(s)).alias("j"), F.lit(s).alias("size")) for s in used]
+    params = params.where(ok).withColumn("__key", F.explode(F.array(*own) if own else F.array().cast("array<struct<i:bigint,j:bigint,size:int>>")))
     return params, facts
 
 
+def _in_area(x: Column, y: Column) -> Column:
+    """What :func:`skein.operators.geometry.contains_point` says, from the columns of :func:`_by_area`."""
+    in_box = (F.col("__x0") <= x) & (x <= F.col("__x1")) & (F.col("__y0") <= y) & (y <= F.col("__y1"))
+    return in_box & (F.size(F.filter("__edges", lambda e: crosses(e, x, y))) % 2 == 1)
+
+
+def _literals(p: Column) -> tuple[Column, Column]:
+    """The text before a pattern's first joker and after its last; without jokers the whole pattern, twice."""
+    return F.regexp_extract(p, r"\A([^*?]*)", 1), F.regexp_extract(p, r"([^*?]*)\z", 1)
+
+
+def _with_parts(params: DataFrame, p: str) -> DataFrame:
+    """``params`` with what :func:`_fits` asks for: nothing of a pattern is then compiled per pair unless
+    there is text between its jokers."""
+    pattern = F.col(p).cast("string")
+    front, back = _literals(pattern)
+    jokers = F.regexp_replace(pattern, r"[^*?]+", "")
+    n = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit("")))
+    plain = F.length(front) + F.length(back) + F.length(jokers) == F.length(pattern)
+    whole = jokers == ""
+    return params.withColumns({f"{p}_front": front, f"{p}_back": F.when(whole, "").otherwise(back), f"{p}_like": F.when(~(plain | whole), like_pattern(pattern)),
+                               f"{p}_least": F.length(pattern) - n, f"{p}_more": n > 0})
+
+
+def _fits(text: Column, p: str) -> Column:
+    """Whether a text fits the pattern of ``p``, by the columns of :func:`_with_parts`."""
+    like, least = F.col(f"{p}_like"), F.col(f"{p}_least")
+    size = F.when(F.col(f"{p}_more"), F.length(text) >= least).otherwise(F.length(text) == least)
+    return text.startswith(F.col(f"{p}_front")) & text.endswith(F.col(f"{p}_back")) & size & (like.isNull() | F.like(text, like))
+
+
 def _by_wildcard(params: DataFrame, facts: DataFrame, f: str, p: str):
-    """Both sides with ``__key`` for texts ``f`` that fit the patterns ``p``."""
-    front, back = F.regexp_extract(p, r"^([^*?]*)", 1), F.regexp_extract(p, r"([^*?]*)$", 1)
-    by_back = F.length(back) > F.length(front)
-    text = F.when(by_back, F.reverse(back)).otherwise(front)
-    n = F.least(F.length(text), F.lit(PREFIX))
-    params = params.where(F.col(p).isNotNull()).withColumns({"__back": by_back, "__n": n, "__text": F.substring(text, 1, PREFIX)})
-    salts = F.when(F.col("__n") == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    """Both sides with ``__key`` for texts ``f`` that fit the patterns ``p``: by both literals, cut to PREFIX each."""
+    params = params.where(F.col(p).isNotNull())
+    front, back = _literals(F.col(p).cast("string"))
+    params = params.withColumns({"__front": front, "__back": back, "__m": F.least(F.length(front), F.lit(PREFIX)), "__n": F.least(F.length(back), F.lit(PREFIX))})
+
+    def shapes():
+        return [(r["__m"], r["__n"]) for r in params.select("__m", "__n").distinct().collect()]  # (PREFIX + 1) ** 2 at most
+
+    used = shapes()
+    if len(used) > SHAPES:
+        def rounded(c: str) -> Column:
+            return F.when(F.col(c) == 0, 0).otherwise(F.shiftleft(F.lit(1), F.floor(F.log2(F.col(c).cast("double")) + 1e-9).cast("int")))
+
+        params = params.withColumns({"__m": rounded("__m"), "__n": rounded("__n")})
+        used = shapes()
+    kind = "array<struct<front:string,back:string,m:int,n:int,salt:int>>"
+
+    def key(text_front: Column, text_back: Column, m: Column, n: Column, salt: Column) -> Column:
+        return F.struct(F.substring(text_front, F.lit(1), m).alias("front"), F.reverse(F.substring(F.reverse(text_back), F.lit(1), n)).alias("back"),
+                        m.cast("int").alias("m"), n.cast("int").alias("n"), salt.cast("int").alias("salt"))
+
+    salts = F.when((F.col("__m") == 0) & (F.col("__n") == 0), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     params = params.withColumn("__salt", F.explode(salts))
-    params = params.withColumn("__key", F.struct(F.col("__back").alias("back"), F.col("__n").alias("n"), F.col("__text").alias("text"), F.col("__salt").alias("salt")))
-    used = [(r["back"], r["n"]) for r in params.select("__key.back", "__key.n").distinct().collect()]  # 2 x PREFIX + 1 at most
+    params = params.withColumn("__key", key(F.col("__front"), F.col("__back"), F.col("__m"), F.col("__n"), F.col("__salt")))
     salt = F.pmod(F.xxhash64(*[F.col(quote_part(c)) for c in facts.columns if not isinstance(facts.schema[c].dataType, T.MapType)]), F.lit(SALTS)).cast("int")
-    own = [F.struct(F.lit(b).alias("back"), F.lit(k).alias("n"), F.substring(F.reverse(f) if b else F.col(f), 1, k).alias("text"),
-                    (salt if k == 0 else F.lit(0)).alias("salt")) for b, k in used]
-    facts = facts.where(F.col(f).isNotNull()).withColumn("__key", F.explode(F.array(*own) if own else F.array().cast("array<struct<back:boolean,n:int,text:string,salt:int>>")))
-    return params.drop("__back", "__n", "__text", "__salt"), facts
+    text = F.col(f).cast("string")
+    own = [key(text, text, F.lit(m), F.lit(n), salt if m == n == 0 else F.lit(0)) for m, n in used]
+    facts = facts.where(F.col(f).isNotNull()).withColumn("__key", F.explode((F.array(*own) if own else F.array()).cast(kind)))
+    return params.drop("__front", "__back", "__m", "__n", "__salt"), facts
 
 
 def _salted(params: DataFrame, facts: DataFrame):
@@ -244,7 +292,9 @@ def param_join(driver: DataFrame, facts: DataFrame, match: dict, keep: list[str]
     equal = [(f, ps[0]) for f, op, ps in made if op == "eq"]
     ranged = [f for f, op, _ in made if op in _RANGE]
     areas, wild = [m for m in made if m[1] == "contains"], [m for m in made if m[1] == "wc"]
-    cond = F.lit(True)
+    cond, merged = F.lit(True), False
+    for _, _, ps in wild:
+        left = _with_parts(left, ps[0])
     if equal:
         for i, (f, p) in enumerate(equal):
             a, b = in_one_type(F.col(f), f_types[f], F.col(p), p_types[p])
@@ -265,15 +315,22 @@ def param_join(driver: DataFrame, facts: DataFrame, match: dict, keep: list[str]
             left, right = _by_wildcard(left, right, wild[0][0], wild[0][2][0])
         else:
             left, right = _salted(left, right)
-        left = left.withColumnRenamed("__key", "__lkey")
-        cond = F.col("__lkey") == F.col("__key")
+        for i, name in enumerate(left.schema["__key"].dataType.fieldNames() if isinstance(left.schema["__key"].dataType, T.StructType) else [""]):
+            a, b = (F.col("__key")[name] if name else F.col("__key") for _ in "ab")
+            left, right = left.withColumn(f"__l{i}", a), right.withColumn(f"__r{i}", b)
+            e = F.col(f"__l{i}") == F.col(f"__r{i}")
+            cond = e if i == 0 else cond & e
+        left, right = left.drop("__key"), right.drop("__key")
+        merged = True
     for f, op, ps in made:
-        if op == "contains":
+        if op == "contains" and merged and (f, op, ps) == areas[0]:
+            cond = cond & _in_area(F.col(ps[0]), F.col(ps[1]))
+        elif op == "contains":
             cond = cond & contains_point(F.col(f), F.col(ps[0]), F.col(ps[1]))
         elif op == "wc":
-            cond = cond & F.like(F.col(f).cast("string"), like_pattern(F.col(ps[0])))
+            cond = cond & _fits(F.col(f).cast("string"), ps[0])
         elif op != "eq":
             a, b = in_one_type(F.col(f), f_types[f], F.col(ps[0]), p_types[ps[0]])
             cond = cond & (a != b if op == "neq" else _RANGE[op](a, b))
     out = [F.col(f"__d{i}").alias(c) for i, c in enumerate(keep)] + [F.col(f"__v{i}").alias((prefix or "") + c) for i, c in enumerate(fields)]
-    return left.join(right, cond, "inner").select(*out)
+    return (left.hint("merge") if merged else left).join(right, cond, "inner").select(*out)
