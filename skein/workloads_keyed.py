@@ -15,6 +15,9 @@ from .sources import files as sources
 from .workloads import table
 
 
+SCAN_ROWS = 20_000  # rows of one array file
+
+
 def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
@@ -101,10 +104,10 @@ def q_stream_upsert(spark, d):
 
 
 def q_csv_ranges(spark, d):
-    """One large file with quoted line breaks, read by ranges (S3)."""
+    """Large files with quoted line breaks, one per partition of the table, read by ranges (S3)."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit('"a", b\n\n,"'), F.col("text"), F.lit("\r\n;")).alias("text"), "source")
     path, limit = _scratch(spark, "one-csv"), "spark.sql.files.maxPartitionBytes"
-    sinks.write_csv(docs.coalesce(1), path, header=True)
+    sinks.write_csv(docs, path, header=True)
     before = spark.conf.get(limit)
     spark.conf.set(limit, str(256 << 10))  # small ranges, so that many records span two of them
     try:
@@ -138,8 +141,11 @@ def q_scan_fibers(spark, d):
     src, out = _scratch(spark, "scanned"), _scratch(spark, "scan-out")
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
     for k in range(3):
-        rows = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))), ",\n"), F.lit("]"))
-        c.where(F.col("c_nationkey") % 3 == k).agg(rows.alias("value")).coalesce(1).write.text(f"{src}/part{k}.json")
+        # a dataset is a folder of arrays of SCAN_ROWS rows at most; one without rows is an empty array
+        rows = c.where(F.col("c_nationkey") % 3 == k).select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("row"), F.monotonically_increasing_id().alias("i"))
+        rows = rows.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("row"), F.lit(0).cast("bigint").alias("i")))
+        arrays = rows.groupBy(F.expr(f"i div {SCAN_ROWS}").alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
+        arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{src}/part{k}.json")
     sinks.write_json(c.select("c_custkey", "c_name").limit(3), f"{src}/skipped.json")
     fiber = {"action": "scan", "origin": {"smt": f"json|{src}|*.json|*", "options": {"exclude": ["skip*"]}}, "fibers": [
         {"action": "transfer", "origin": {"smt": f"json|{src}|${{name}}|*", "options": {"codify": True}},

@@ -5,6 +5,7 @@ import glob
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -446,3 +447,58 @@ def test_a_transform_that_loses_the_dataset_raises(spark, tmp):
 def test_foreach_over_nothing_ends(spark):
     driver = spark.createDataFrame([], "smt string")
     assert run_fiber(spark, {"action": "foreach", "origin": "d", "fibers": [{"origin": {"smt": "=${smt}"}}]}, datasets={"d": driver}).count() == 0
+
+
+def test_wildcards_meet_by_both_literals(spark):
+    """A pattern's rows are found by its beginning and its end together; jokers and text between them count."""
+    from skein.operators import param_joins
+
+    names = [f"Item#{i:05d}" for i in range(400)] + ["", "Item#00012x", "a\nb", "100%_\\", "Item", "ItemItem", None]
+    wishes = ["Item*#*123", "Item#001??", "*", "?", "", "Item", "It*em", "*m#*0?1", "100%*\\", "a?b", "Item#00012?", None, "*7", "Item*Item", "??em#00*"]
+    facts = spark.createDataFrame(list(enumerate(names)), "n int, name string")
+    driver = spark.createDataFrame(list(enumerate(wishes)), "w int, wish string")
+    got = {(r.w, r.n) for r in param_join(driver, facts, {"name": {"wc": "=wish"}}, ["w"], ["n"]).collect()}
+    fits = lambda p, t: re.fullmatch("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p), t, re.S)
+    want = {(w, n) for w, p in enumerate(wishes) for n, t in enumerate(names) if p is not None and t is not None and fits(p, t)}
+    assert got == want
+    # of a pattern with a selective end, only rows with that end are candidates
+    left, right = param_joins._by_wildcard(driver.where("wish = 'Item*#*123'").withColumnsRenamed({"wish": "__p0"}), facts, "name", "__p0")
+    assert left.join(right, "__key").count() == 1
+
+
+def test_areas_have_few_candidates(spark):
+    from skein.operators import geometry, param_joins
+
+    ring = "[[[0,0],[40,0],[0,40],[0,0]],[[4,4],[8,4],[4,8],[4,4]]]"
+    areas = spark.range(1).select(F.lit(1).alias("a"), geometry.normalize_geometry(F.lit("Polygon"), F.lit(ring)).alias("area"))
+    points = spark.createDataFrame([(x * 1000 + y, x + 0.5, y + 0.25) for x in range(-64, 128) for y in range(-64, 128)], "p int, x double, y double")
+    got = {r.p for r in param_join(points, areas, {"area": {"contains": ["=x", "=y"]}}, ["p"], ["a"]).collect()}
+    inside = lambda x, y, x0, y0, n: x > x0 and y > y0 and (x - x0) + (y - y0) < n
+    assert got == {x * 1000 + y for x in range(-64, 128) for y in range(-64, 128) if inside(x + 0.5, y + 0.25, 0, 0, 40) and not inside(x + 0.5, y + 0.25, 4, 4, 4)}
+    left, right = param_joins._by_area(points.withColumnsRenamed({"x": "__p0", "y": "__p1"}), areas, "area", "__p0", "__p1")
+    assert left.join(right, "__key").count() <= 48 * 48
+
+
+def test_queries_build_their_files_in_parts(spark, tmp, monkeypatch):
+    """Neither the CSV of csv_ranges nor an array of scan_fibers is made by one task for the whole table."""
+    from skein import workloads_keyed as wk
+
+    spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source")) \
+        .repartition(3).write.parquet(f"{tmp}/in/documents.parquet")
+    spark.range(300).select(F.col("id").alias("c_custkey"), F.lit("name").alias("c_name"), F.lit(1.5).alias("c_acctbal"), (F.col("id") % 2).alias("c_nationkey")) \
+        .coalesce(1).write.parquet(f"{tmp}/in/customer.parquet")
+    paths = []
+    monkeypatch.setattr(wk, "_scratch", lambda _, name: paths.append(f"{tmp}/{name}") or paths[-1])
+    limit = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(1 << 30))  # an input file is a partition
+    try:
+        assert wk.q_csv_ranges(spark, f"{tmp}/in").count() == 300
+    finally:
+        spark.conf.set(limit, before)
+    assert len([f for f in os.listdir(paths[0]) if f.startswith("part-")]) == 3
+    monkeypatch.setattr(wk, "SCAN_ROWS", 100)
+    got = wk.q_scan_fibers(spark, f"{tmp}/in")
+    assert sorted((r.key, r.dataset) for r in got.collect()) == [(i, i % 2) for i in range(300)]
+    sizes = [sum(1 for _ in open(f"{paths[1]}/part0.json/{f}")) for f in os.listdir(f"{paths[1]}/part0.json") if f.startswith("part-")]
+    assert len(sizes) > 1 and max(sizes) <= 100
