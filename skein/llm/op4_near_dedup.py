@@ -308,15 +308,15 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
     state = Turns(docs, words, percent, id_col, text_col, connected_components(extra) if extra.limit(1).count() else None)
     nodes, turn = meeting(classes, range(1)), 0
     while True:
-        rows = state.labelled(nodes)
-        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+        parts = state.labelled(nodes).groupBy("node", "label").agg(F.count("*").alias("n"))
         sized = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
         small, light = F.col("n") <= SMALL, F.col("n") - F.col("most.n") <= SMALL // 2
         kind = F.when(small, "small").when(light, "light").when(F.lit(turn >= DEPTH), "whole").otherwise("heavy")
         open_nodes = staged(sized.where("labels > 1").select("node", kind.alias("kind"), F.col("most.label").alias("major"),
                                                              F.ceil(F.col("n") / F.lit(SMALL // 2)).cast("int").alias("parts")), "open-nodes")
         kinds = {r["kind"] for r in open_nodes.select("kind").distinct().collect()}  # four at most
-        mixed_rows = rows.join(open_nodes, "node")
+        mixed_rows = staged(state.labelled(nodes.join(open_nodes, "node")), "open-rows") if kinds else None
+        drop_staged(open_nodes, nodes)
         if kinds:
             # what meets: parts of a node; the few outside of its largest component go along with every part
             part = F.pmod(F.xxhash64("rep", "node"), F.col("parts")).cast("int")
@@ -340,7 +340,8 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
         if turn == 0:  # the other trees, whose nodes are mostly of one component by now
             rest = meeting(classes, range(1, TREES))
             after = rest if after is None else after.unionByName(rest)
-        drop_staged(open_nodes, nodes)
+        if kinds:
+            drop_staged(mixed_rows)
         if after is None:
             return state.labels
         nodes, turn = after, turn + 1

@@ -139,6 +139,29 @@ def test_families_below_the_threshold_stay_apart(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == components(sets)
 
 
+def test_turns_move_only_what_they_need(spark, monkeypatch):
+    """Rows of open nodes are joined once a turn."""
+    plans, real = [], op4_near_dedup.staged
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(op4_near_dedup, "staged", noted)
+    monkeypatch.setattr(op4_near_dedup, "SMALL", 8)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = [" ".join(rng.sample(base, 60)) for _ in range(5)]
+    for i in range(60):  # neighbours of the chain are linked, others are below the threshold
+        base[i] = f"c{i}"
+        rows.append(" ".join(base))
+    sets = {i: shingles(t) for i, t in enumerate(rows)}
+    got = op4_near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(sets)
+    of = {n: [p for name, p in plans if name == n] for n, _ in plans}
+    assert sum("Join Inner, (node" in p for _, p in plans) == len(of["open-rows"])
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     edges = spark.createDataFrame(chain, "a bigint, b bigint")
