@@ -233,6 +233,11 @@ def fetched(reps: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
     return staged(rows.mapInArrow(sets, "rep bigint, set binary").join(reps.select("rep"), "rep", "left_semi"), "sets")
 
 
+def picked(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose rep may be among ``wanted`` (rep), so that a join with few reps doesn't shuffle all."""
+    return split_by_table(held, F.xxhash64("rep"), wanted.select(F.xxhash64("rep").alias("h")), "h")[0]
+
+
 def confirmed(groups: DataFrame, percent: int) -> DataFrame:
     """a, b: a forest of the links of each row of ``groups`` (members: rep, label, set), which joins what all
     its links join."""
@@ -290,16 +295,16 @@ class Turns:
         if not groups.limit(1).count():
             return
         rows = groups.select("g", F.explode("reps").alias("rep"))
-        reps = rows.select("rep").distinct()
-        new = reps if self.sets is None else reps.join(self.sets.select("rep"), "rep", "left_anti")
-        new = staged(new.withColumn("h", F.xxhash64("rep")), "reps")
+        reps = staged(rows.select("rep").distinct().withColumn("h", F.xxhash64("rep")), "reps")
+        new = reps if self.sets is None else staged(reps.join(self.sets.select("rep"), "rep", "left_anti"), "new-reps")
         got = fetched(new, self.docs, self.words, self.id_col, self.text_col)
+        sets = got if self.sets is None else got.unionByName(picked(self.sets, reps))
         self.sets = got if self.sets is None else self.sets.unionByName(got)
-        whole = self.labelled(rows).join(self.sets, "rep").groupBy("g").agg(F.collect_list(F.struct("rep", "label", "set")).alias("members"))
+        whole = self.labelled(rows).join(sets, "rep").groupBy("g").agg(F.collect_list(F.struct("rep", "label", "set")).alias("members"))
         links = confirmed(whole, self.percent)
         if links.limit(1).count():
             self.labels = connected_components(links, self.labels)
-        drop_staged(new, links)
+        drop_staged(reps, new, links)
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str,
@@ -334,7 +339,8 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             drop_staged(groups)
         after = None
         if "heavy" in kinds:
-            heavy = staged(mixed_rows.where("kind = 'heavy'").select("node", "rep").join(classes, "rep"), "heavy")
+            heavy = mixed_rows.where("kind = 'heavy'").select("node", "rep")
+            heavy = staged(heavy.join(picked(classes, heavy), "rep"), "heavy")
             after = meeting(heavy)
             drop_staged(heavy)
         if turn == 0:  # the other trees, whose nodes are mostly of one component by now
@@ -343,6 +349,8 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
         if kinds:
             drop_staged(mixed_rows)
         if after is None:
+            if state.sets is not None:
+                drop_staged(state.sets)
             return state.labels
         nodes, turn = after, turn + 1
 
@@ -358,6 +366,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # an id with several texts links their classes
     extra = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b").distinct()
     labels = linked_components(docs, classes, words, percent, id_col, text_col, extra)
+    drop_staged(classes)
     if labels is not None:
         members = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
     else:

@@ -140,7 +140,7 @@ def test_families_below_the_threshold_stay_apart(spark, monkeypatch):
 
 
 def test_turns_move_only_what_they_need(spark, monkeypatch):
-    """Rows of open nodes are joined once a turn."""
+    """Rows of open nodes are joined once a turn; tokens and sets are picked while they are read, so joins with few reps don't shuffle all."""
     plans, real = [], op4_near_dedup.staged
 
     def noted(df, name):
@@ -159,6 +159,8 @@ def test_turns_move_only_what_they_need(spark, monkeypatch):
     got = op4_near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), words=2).collect()
     assert {r.doc_id: r.component_id for r in got} == components(sets)
     of = {n: [p for name, p in plans if name == n] for n, _ in plans}
+    assert of["heavy"] and all("may_be" in p for p in of["heavy"])
+    assert len(of["links"]) > 1 and all("may_be" in p for p in of["links"][1:])
     assert sum("Join Inner, (node" in p for _, p in plans) == len(of["open-rows"])
 
 
