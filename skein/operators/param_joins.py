@@ -5,7 +5,9 @@ row's range. Such conditions are no equalities, and Spark would compare every pa
 loop. Here each kind of condition yields a key that both sides compute from their own row, so the
 rows meet in an equi-join and the condition itself is checked only on what meets:
 
-* a range is cut into cells: the values of the other side give bins of equal depth, bins form groups
+* ranges with both ends and of a few size classes are covered by cells of their own size class (STEPS + 2 at most), so
+  a range meets little more than what it selects; a value lies in one cell of each size class in use;
+* other ranges are cut into cells: the values of the other side give bins of equal depth, bins form groups
   of FAN, groups of groups and so on, and a range is covered by the fewest cells of any level. A
   value lies in one cell of each level, and the cells of a range don't overlap, so no pair meets twice;
 * an area is covered by grid cells of its own size class (SIDE + 1 each way at most); a point lies in one cell of
@@ -21,6 +23,8 @@ and reach its scan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,7 @@ from .pattern import match as match_rows
 
 FAN = 16                  # a power of two
 LEVELS = 3                # FAN ** LEVELS bins of equal depth
+STEPS = 8                 # cells along a range
 SIDE = 4                  # grid cells along the longer side of an area
 PREFIX = 32               # characters of each of a wildcard's literals that make its key
 SHAPES = 16               # more pairs of literals' lengths than this are rounded down to powers of two
@@ -130,6 +135,32 @@ def _cells_of_range(df: DataFrame, low: str, high: str) -> DataFrame:
     return df.withColumn("__cells", F.concat(*parts)).drop(*names)
 
 
+def _by_size(params: DataFrame, facts: DataFrame):
+    """Both sides with ``__key`` for positions ``__at`` within ``__low``..``__high``, by cells of the ranges' own size; None
+    if ends are infinite or the sizes differ by more classes than bins have levels."""
+    size = F.ceil(F.log2((F.col("__high") - F.col("__low")) / STEPS)).cast("int")  # null of a single value
+    endless = (F.abs("__low") == float("inf")) | (F.abs("__high") == float("inf"))
+    got = params.select("__low", "__high", endless.alias("endless"), F.when(~endless, size).alias("size")) \
+        .agg(F.min("__low").alias("low"), F.max("__high").alias("high"), F.bool_or("endless").alias("endless"),
+             F.collect_set("size").alias("sizes"), F.bool_or(F.col("size").isNull()).alias("single")).first()  # as many sizes as a double has exponents at most
+    if got["low"] is None or got["endless"]:
+        return None
+    least = math.frexp(max(abs(got["low"]), abs(got["high"])))[1] - 50  # cells are numbered exactly
+    sizes = sorted({max(x, least) for x in [*got["sizes"], *[least] * got["single"]]})
+    if len(sizes) > LEVELS + 1:
+        return None
+
+    def cell(c: Column, of: Column) -> Column:
+        return F.floor(c / F.pow(F.lit(2.0), of)).cast("bigint")
+
+    params = params.withColumn("__size", F.greatest(F.lit(least), size))
+    cells = F.sequence(cell(F.col("__low"), F.col("__size")), cell(F.col("__high"), F.col("__size")))
+    params = params.withColumn("__key", F.explode(F.transform(cells, lambda x: F.struct(x.alias("number"), F.col("__size").alias("level")))))
+    facts = facts.where(F.col("__at").between(got["low"], got["high"]))
+    own = [F.struct(cell(F.col("__at"), F.lit(x)).alias("number"), F.lit(x).alias("level")) for x in sizes]
+    return params.drop("__size"), facts.withColumn("__key", F.explode(F.array(*own)))
+
+
 def _by_range(params: DataFrame, facts: DataFrame, f: str, lows: list, highs: list, p_types: dict, f_type: T.DataType):
     """Both sides with the column ``__key`` for conditions ``f`` > / < parameter columns."""
     number = isinstance(f_type, T.NumericType) or any(isinstance(t, T.NumericType) for t in p_types.values())
@@ -141,7 +172,6 @@ def _by_range(params: DataFrame, facts: DataFrame, f: str, lows: list, highs: li
         return position(c, dt)
 
     facts = facts.withColumn("__at", at(f, f_type)).where(F.col("__at").isNotNull())
-    borders = _bins(facts, "__at")
     ends = {"__low": [at(p, p_types[p]) for p in lows], "__high": [at(p, p_types[p]) for p in highs]}
     whole = {"__low": float("-inf"), "__high": float("inf")}
     for name, cols in ends.items():
@@ -149,7 +179,11 @@ def _by_range(params: DataFrame, facts: DataFrame, f: str, lows: list, highs: li
         params = params.withColumn(name, best)
         for c in cols:  # comparing with null is false
             params = params.where(c.isNotNull())
-    params = _bin_of(_bin_of(params.where("__low <= __high"), "__low", "__b0", borders), "__high", "__b1", borders)
+    params = params.where("__low <= __high")
+    if lows and highs and (made := _by_size(params, facts)):
+        return made[0].drop("__low", "__high"), made[1].drop("__at")
+    borders = _bins(facts, "__at")
+    params = _bin_of(_bin_of(params, "__low", "__b0", borders), "__high", "__b1", borders)
     params = _cells_of_range(params, "__b0", "__b1").withColumn("__key", F.explode("__cells"))
     used = sorted(r["level"] for r in params.select("__key.level").distinct().collect())  # LEVELS + 1 at most
     facts = _bin_of(facts, "__at", "__bin_no", borders)

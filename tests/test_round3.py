@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import joins, keyed
+from skein.operators import joins, keyed, param_joins
 from skein.operators.geometry import normalize_geometry
 from skein.operators.maintain import upsert
 from skein.operators.param_joins import param_join
@@ -51,6 +51,29 @@ def test_ranges_equal_all_pairs(spark, ops):
     assert param_join(d.limit(0), f, {"v": spec}).count() == 0 and param_join(d, f.limit(0), {"v": spec}).count() == 0
 
 
+def test_ranges_meet_little_more_than_they_select(spark):
+    facts = spark.range(40_000).select(F.col("id").alias("k"), ((F.col("id") - 20_000) / 4).alias("v"))
+    drive = spark.range(300).select((F.col("id") * 31 - 4600).cast("double").alias("low")).withColumn("high", F.col("low") + 1)
+    types = {"low": drive.schema["low"].dataType, "high": drive.schema["high"].dataType}
+    left, right = param_joins._by_range(drive, facts, "v", ["low"], ["high"], types, facts.schema["v"].dataType)
+    met = left.join(right, "__key")
+    chosen = met.where("v >= low and v < high")
+    assert chosen.count() == chosen.select("low", "k").distinct().count() == 1200
+    assert met.count() <= 2 * 1200
+
+
+def test_ranges_of_few_sizes_equal_all_pairs(spark):
+    """Single values, borders of cells, values far apart in size, facts outside of all ranges."""
+    values = [0.0, -0.0, 1.0, 2.0, 2.5, -3.0, 1e-9, 4.0, 8.0, 1e15, -1e15, float("nan"), float("inf"), None]
+    ranges = [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 8.0), (-3.0, 5.0), (1.0, 9.0), (8.0, 4.0), (None, 1.0), (1.0, None)]
+    for extra in ([], [(1e15, 1e15)], [(-1e15, 1e-9), (0.0, float("inf"))]):
+        f = spark.createDataFrame(list(enumerate(values)), "id int, v double")
+        d = spark.createDataFrame(ranges + extra, "low double, high double")
+        got = param_joins.param_join(d, f, {"v": {"gte": "=low", "lte": "=high"}}, fields=["id"])
+        want = d.crossJoin(f).where("v >= low and v <= high").select("low", "high", "id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_ranges_of_other_types(spark):
     day = dt.date(2020, 1, 1)
     d = spark.createDataFrame([(1, day, day + dt.timedelta(3), "b", "bz"), (2, day, day, "a", "c")], "k int, a date, b date, s string, t string")
