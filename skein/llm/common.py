@@ -154,6 +154,7 @@ def split_by_table(df: DataFrame, key, rows: DataFrame, row_key: str) -> tuple[D
         slot = h.to_numpy().view(np.uint64) >> np.uint64(64 - TABLE_BITS)
         return pd.Series(np.unpackbits(shared.value[(slot >> np.uint64(3)).astype(np.int64)][:, None], axis=1)[np.arange(len(h)), (slot & np.uint64(7)).astype(np.int64)].astype(bool))
 
+    may_be = may_be.asNondeterministic()  # else a join on the key also runs it on the other side, whose rows all pass
     return df.where(may_be(key)), df.where(~may_be(key))
 
 

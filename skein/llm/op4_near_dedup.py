@@ -278,6 +278,12 @@ def confirmed(groups: DataFrame, percent: int) -> DataFrame:
     return staged(groups.select("members").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
+def large(nodes: DataFrame) -> DataFrame:
+    """rep of the classes in nodes of more than SMALL, which alone may have to be branched on."""
+    wide = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("node")
+    return nodes.join(wide, "node", "left_semi").select("rep")
+
+
 class Turns:
     """The state between turns: components so far, sets that were fetched."""
 
@@ -311,7 +317,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
                       extra: DataFrame) -> DataFrame | None:
     """v and label of all classes that are linked with another; ``extra``: links known from the start."""
     state = Turns(docs, words, percent, id_col, text_col, connected_components(extra) if extra.limit(1).count() else None)
-    nodes, turn = meeting(classes, range(1)), 0
+    nodes, tokens, turn = meeting(classes, range(1)), None, 0
     while True:
         parts = state.labelled(nodes).groupBy("node", "label").agg(F.count("*").alias("n"))
         sized = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
@@ -337,20 +343,25 @@ def linked_components(docs: DataFrame, classes: DataFrame, words: int, percent:
             groups = staged(alike_groups(members).dropDuplicates(["g"]), "groups")
             state.confirm(groups)
             drop_staged(groups)
+        heavy = mixed_rows.where("kind = 'heavy'").select("node", "rep") if "heavy" in kinds else None
         after = None
-        if "heavy" in kinds:
-            heavy = mixed_rows.where("kind = 'heavy'").select("node", "rep")
-            heavy = staged(heavy.join(picked(classes, heavy), "rep"), "heavy")
-            after = meeting(heavy)
-            drop_staged(heavy)
         if turn == 0:  # the other trees, whose nodes are mostly of one component by now
-            rest = meeting(classes, range(1, TREES))
-            after = rest if after is None else after.unionByName(rest)
+            after = meeting(classes, range(1, TREES))
+            # tokens of all that any turn may branch on: a later node's classes are in a large one of these, so all classes are read once
+            wanted = large(after) if heavy is None else large(after).union(heavy.select("rep"))
+            wanted = staged(wanted.distinct(), "large")
+            if wanted.limit(1).count():
+                tokens = staged(picked(classes.select("rep", "sketch", "low"), wanted), "tokens")
+            drop_staged(wanted)
+        if heavy is not None:
+            heavy = staged(heavy.join(picked(tokens, heavy), "rep"), "heavy")
+            deeper = meeting(heavy)
+            after = deeper if after is None else after.unionByName(deeper)
+            drop_staged(heavy)
         if kinds:
             drop_staged(mixed_rows)
         if after is None:
-            if state.sets is not None:
-                drop_staged(state.sets)
+            drop_staged(*(x for x in (state.sets, tokens) if x is not None))
             return state.labels
         nodes, turn = after, turn + 1
 

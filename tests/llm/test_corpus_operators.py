@@ -164,6 +164,37 @@ def test_turns_move_only_what_they_need(spark, monkeypatch):
     assert sum("Join Inner, (node" in p for _, p in plans) == len(of["open-rows"])
 
 
+def test_tokens_of_all_classes_are_picked_once(spark, monkeypatch):
+    """Turns that branch on large nodes pick from their classes only, and a pick tests one side of its join."""
+    held, plans, split, real = [], [], op4_near_dedup.split_by_table, op4_near_dedup.staged
+
+    def noted(df, key, rows, row_key):
+        if "low" in df.columns:
+            held.append(df.count())
+        return split(df, key, rows, row_key)
+
+    def planned(df, name):
+        if name == "heavy":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(op4_near_dedup, "split_by_table", noted)
+    monkeypatch.setattr(op4_near_dedup, "staged", planned)
+    monkeypatch.setattr(op4_near_dedup, "SMALL", 8)
+    rng = random.Random(15)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        base[i] = f"c{i}"
+        rows.append(" ".join(base))
+    rows += [" ".join(f"r{rng.randrange(1 << 40)}" for _ in range(20)) for _ in range(300)]
+    sets = {i: shingles(t) for i, t in enumerate(rows)}
+    got = op4_near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), words=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(sets)
+    assert len(plans) > 1 and held[0] == 360 and all(n <= 60 for n in held[1:])
+    assert [p.count("ArrowEvalPython") for p in plans] == [1] * len(plans)
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (200, 200)]
     edges = spark.createDataFrame(chain, "a bigint, b bigint")
