@@ -19,8 +19,8 @@ the one range that it falls in is ranked, so a pattern or a size may hold any sh
 
 Documents without a source, of null sources or whose sources have no target are not taken. A size
 that is null or negative counts as 0. A null among the sources is a source by itself. Rows that
-repeat an id are documents each; rows without an id are told apart by their place in the table. An
-empty table gives no rows. Other columns, of any name, are not read.
+repeat an id are documents each; rows without an id are numbered among those of their sources and size, so that
+their partitions don't matter. An empty table gives no rows. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -217,6 +217,16 @@ def chosen(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return clear.union(sure).union(split).select("row", F.col("times").cast("bigint").alias("times"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """row, key, pattern, size of rows without an id: the key is a number among those of the pattern and size."""
+    rows = rows.withColumn("part", F.shiftright("row", 33))  # the partition that the row was read in
+    before = rows.groupBy("pattern", "size", "part").agg(F.count("*").alias("n")) \
+        .withColumn("before", F.sum("n").over(Window.partitionBy("pattern", "size").orderBy("part")) - F.col("n")).drop("n")
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("pattern", "size", "part").orderBy("row")))
+    return own.join(before, ["pattern", "size", "part"]) \
+        .select("row", F.concat(F.lit("#"), F.col("own") + F.col("before")).alias("key"), "pattern", "size")
+
+
 def mix(docs: DataFrame, targets: DataFrame, max_repeats: int = MAX_REPEATS, seed: int = SEED, id_col: str = "doc_id",
         size_col: str = "size", sources_col: str = "sources") -> tuple[DataFrame, DataFrame]:
     """The mix and its routes.
@@ -229,12 +239,14 @@ def mix(docs: DataFrame, targets: DataFrame, max_repeats: int = MAX_REPEATS, see
     members = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(f"`{sources_col}`"), F.expr("array()").cast("array<string>")), encoded)))
     size = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("bigint"), F.lit(0)), F.lit(0))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), size.alias("size"), members.alias("members"), F.monotonically_increasing_id().alias("row"))
-    rows = staged(rows.withColumn("pattern", F.to_json("members")).withColumn("key", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("-"), "row"))), "mix-rows")
+    rows = staged(rows.withColumn("pattern", F.to_json("members")), "mix-rows")
+    keyed = rows.where("id is not null").select("row", F.col("id").cast("string").alias("key"), "pattern", "size") \
+        .unionByName(staged(numbered(rows.where("id is null")), "without-id"))
     ways = routes(rows, targets, max_repeats)
     flow = ways.groupBy("pattern").agg(F.sum("words").alias("words"))
     plan = rows.groupBy("pattern").agg(F.sum("size").alias("all")).join(flow, "pattern").where(F.col("all") > 0) \
         .select("pattern", F.expr("words div all").alias("passes"), F.expr("words % all").alias("rest"))
-    times = chosen(rows.select("row", "key", "pattern", "size"), staged(plan, "plan"), seed)
+    times = chosen(keyed, staged(plan, "plan"), seed)
     names = F.transform("members", lambda m: F.when(m != "", F.substring(m, 2, 1 << 30)))
     out = rows.select("row", F.col("id").alias(id_col), "size", names.alias("sources")).join(times, "row").drop("row")
     return out, ways
