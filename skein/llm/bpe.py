@@ -19,8 +19,9 @@ import tokenizers
 RUN = 256            # symbols after which a run of pretokens is cut at the next pretoken
 FEW = 32             # a prefix of at most so many longer tokens has its contexts merged
 MANY = "many"
-MAX_STATES = 100_000  # states kept; beyond that, or beyond TABLE_BYTES, compilation starts anew (results stay the same)
+MAX_STATES = 64_000  # states kept; beyond that, or beyond TABLE_BYTES, compilation starts anew (results stay the same)
 TABLE_BYTES = 80 << 20
+MAX_ALIKE = 100_000  # contexts of tokens kept when compilation starts anew
 COLUMNS = 32         # the transition table grows by so many columns: one per symbol that texts have
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -96,6 +97,8 @@ class Merger:
         self.reset()
 
     def reset(self):
+        if len(self.alike) > MAX_ALIKE:  # no state is left that was named by them
+            self.alike, self.first_alike, self.spines, self.whole = {}, {}, ({}, {}), {}
         self.ids, self.info, self.last = {}, [], np.full(8192, -1, np.int32)
         #: next state << 8 | tokens added + 128; -1: not compiled yet
         self.table = np.full((8192, self.width), -1, np.int32)

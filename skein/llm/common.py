@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
+#: Bytes of text whose words, n-grams or tokens, many times their size, are made at once.
+PART_BYTES = 256 << 10
 
 
 _SHIPPED: set[str] = set()

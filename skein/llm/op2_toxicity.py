@@ -7,8 +7,8 @@ the weights, so a text's score is sigmoid(bias + sum over its distinct features
 
 The classifier is fitted on a bounded sample of labelled rows (``sample``): its rows follow from a
 hash of the id. Counting runs on Spark; only features whose counts differ by more than chance
-(|z| >= MIN_Z, the FEATURES strongest) enter the regression, which is one small task. Scoring reads
-every text whole.
+(|z| >= MIN_Z, the FEATURES strongest) enter the regression, which is one small task: it keeps two bytes per row and feature and
+works on blocks of them. Scoring reads every text whole.
 
 Nulls and empty texts have no feature: they get the score of the bias. Without labels of both kinds
 every score is 0. Rows that repeat an id each get a row; if an id has several labels the largest
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, text_buffers
+from .common import PART_BYTES, map_texts, slices, text_buffers
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -32,6 +32,7 @@ SAMPLE = 20_000     # labelled rows that the classifier is fitted on, at most
 FEATURES = 8_192    # features of the regression, at most
 MIN_Z = 4.0
 THRESHOLD = 0.3
+BLOCK = 1 << 17     # entries of the regression that are worked on at once
 
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491)  # odd, fixed values of the feature hash
 
@@ -67,6 +68,11 @@ def hashed_grams(raw: np.ndarray) -> list[np.ndarray]:
 
 def each_text(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The feature buckets of each text (with repeats). Texts are padded by blanks at both ends."""
+    for i, j in slices(offsets, PART_BYTES):
+        yield from _each_text(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+
+
+def _each_text(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     n = len(offsets) - 1
     size = np.diff(offsets)
     padded = np.full(len(raw) + 2 * n, 32, np.uint8)
@@ -93,6 +99,44 @@ class Presence:
         return buckets[self.stamp[buckets] == place]
 
 
+def blocks_of(lists: pa.ListArray, dtype: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The columns of some rows (about BLOCK entries; a longer row is a block by itself) and each row's number of them."""
+    size = np.asarray(lists.value_lengths()).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    columns = np.asarray(lists.flatten()).astype(dtype)
+    for i, j in slices(ends, BLOCK):
+        yield columns[ends[i]:ends[j]], size[i:j]
+
+
+def regression(blocks: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression with L2 and momentum. Sums run over all entries in their order, so
+    the result doesn't depend on how rows are dealt into blocks."""
+    beta, bias = np.zeros(len(scale)), 0.0
+    every, squared = np.arange(len(scale)), scale ** 2
+
+    def by_row(weights: np.ndarray, col: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(size)), size), weights=weights[col], minlength=len(size))
+
+    # step by the largest curvature the features can give
+    step = 1.0 / max(1e-9, 0.25 * max(by_row(squared, *b).max() for b in blocks) + 0.25)
+    v_beta, v_bias = np.zeros_like(beta), 0.0
+    for _ in range(rounds):
+        look, look_bias = beta + 0.9 * v_beta, bias + 0.9 * v_bias
+        weighted, grad, err, i = scale * look, np.zeros(len(scale)), np.zeros(len(y)), 0
+        for col, size in blocks:
+            j = i + len(size)
+            margin = look_bias + by_row(weighted, col, size)
+            err[i:j] = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[i:j]) / len(y)
+            # the sums so far go first, so each goes on where the last block left it
+            grad = np.bincount(np.concatenate([every, col]), weights=np.concatenate([grad, scale[col] * np.repeat(err[i:j], size)]), minlength=len(scale))
+            i = j
+        grad = grad + 1e-4 * look
+        v_beta = 0.9 * v_beta - 10 * step * grad
+        v_bias = 0.9 * v_bias - 10 * step * err.sum()
+        beta, bias = beta + v_beta, bias + v_bias
+    return beta, bias
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """text and y of at most about ``sample`` labelled rows.
 
@@ -155,28 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scale = ratio[chosen]
 
     def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full-batch logistic regression with L2 and momentum on the bounded sample."""
-        xs, ys = [], []
+        blocks, ys = [], []
         for batch in batches:
             ys.append(np.asarray(batch.column(1), dtype=float))
-            xs += [np.asarray(v) for v in batch.column(2).to_pylist()]
-        y = np.concatenate(ys)
-        size = np.array([len(v) for v in xs])
-        col = np.concatenate([*xs, np.zeros(0)]).astype(np.int64)
-        row = np.repeat(np.arange(len(xs)), size)
-        value = scale[col]
-        beta, bias = np.zeros(len(scale)), 0.0
-        # step by the largest curvature the features can give
-        step = 1.0 / max(1e-9, 0.25 * np.bincount(row, weights=value ** 2, minlength=len(y)).max() + 0.25)
-        v_beta, v_bias = np.zeros_like(beta), 0.0
-        for _ in range(rounds):
-            look, look_bias = beta + 0.9 * v_beta, bias + 0.9 * v_bias
-            margin = look_bias + np.bincount(row, weights=value * look[col], minlength=len(y))
-            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-            grad = np.bincount(col, weights=value * err[row], minlength=len(scale)) + 1e-4 * look
-            v_beta = 0.9 * v_beta - 10 * step * grad
-            v_bias = 0.9 * v_bias - 10 * step * err.sum()
-            beta, bias = beta + v_beta, bias + v_bias
+            blocks += blocks_of(batch.column(2), np.min_scalar_type(len(scale)))
+        beta, bias = regression(blocks, np.concatenate(ys), scale, rounds)
         yield pa.RecordBatch.from_arrays([pa.array([beta * scale], pa.list_(pa.float64())), pa.array([bias])], names=["w", "bias"])
 
     small = rows.mapInArrow(features, "id bigint, y int, x array<int>") if dict(rows.dtypes)["__id"] == "bigint" \

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, drop_staged, fresh, map_texts, slices, split_by_table, staged, text_buffers
+from .common import PART_BYTES, bit_table, drop_staged, fresh, map_texts, slices, split_by_table, staged, text_buffers
 from .components import connected_components
 from .words import mixed, non_blank, shingles, word_hashes
 
@@ -65,10 +65,11 @@ _ODD = np.uint64(0x5555555555555555)
 
 def each_set(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
-    h, bounds, _, _ = word_hashes(raw, offsets, _WORD)
-    s, ends = shingles(h, bounds, words)
-    for i in range(len(offsets) - 1):
-        yield np.unique(s[ends[i]:ends[i + 1]])
+    for i, j in slices(offsets, PART_BYTES):
+        h, bounds, _, _ = word_hashes(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], _WORD)
+        s, ends = shingles(h, bounds, words)
+        for k in range(j - i):
+            yield np.unique(s[ends[k]:ends[k + 1]])
 
 
 def fixed(values: np.ndarray) -> pa.Array:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import NUMBER, OTHER, RUN, SPACE, Merger, character_kinds, read_bpe
-from .common import code_points, slices, staged, text_buffers
+from .common import PART_BYTES, code_points, slices, staged, text_buffers
 
 SIZE = 2048
 END_ID = 1
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
         ranks = np.zeros(size + 1, np.int64)
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PART_BYTES):
                 all_ids = tok.ids(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 owner, rows, lists = [], [], []
                 for k, ids in enumerate(all_ids):

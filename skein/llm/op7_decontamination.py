@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_BITS, bit_table, fresh, slices, split_by_table, staged, text_buffers
+from .common import PART_BYTES, TABLE_BITS, bit_table, fresh, slices, split_by_table, staged, text_buffers
 from .words import alphanumeric, word_hashes
 
 WINDOW = 10
@@ -62,8 +62,11 @@ def corpus_counts(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for i, j in slices(offsets):
-                h, *_ = word_hashes(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], _WORD)
-                w, n = np.unique(h[_picked(h, table)], return_counts=True)
+                found = []
+                for k, m in slices(offsets[i:j + 1], PART_BYTES):
+                    h, *_ = word_hashes(raw[offsets[i + k]:offsets[i + m]], offsets[i + k:i + m + 1] - offsets[i + k], _WORD)
+                    found.append(h[_picked(h, table)])
+                w, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -105,7 +108,7 @@ def index(docs: DataFrame, looked_up: DataFrame, id_col: str, text_col: str, win
         table = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             raw, offsets = text_buffers(batch.column(2))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, PART_BYTES):
                 h, bounds, _, _ = word_hashes(raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], _WORD)
                 at = _picked(h, table)
                 owner = np.searchsorted(bounds, at, side="right") - 1
